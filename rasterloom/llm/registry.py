@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import warc
+from rasterloom.llm import simhash, warc
 
-QUERIES = {"op9_warc": warc.op9_warc}
+QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
+    "op9_warc": warc.op9_warc,
+}
 ORACLE_SQL = {"op9_warc": warc.ORACLE_SQL}
