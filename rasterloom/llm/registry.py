@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import simhash, warc
+from rasterloom.llm import bpe, simhash, toxicity, warc
 
 QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_warc": warc.op9_warc,
 }
 ORACLE_SQL = {"op9_warc": warc.ORACLE_SQL}
