@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's features are the word itself and its character n-grams (3 to 5, with word marks), hashed to BUCKETS rows of an
-embedding table. A word's vector is the mean of its features' vectors, a document's the mean of its words'; a linear softmax
-follows. Table and softmax are learnt together by Adagrad on log loss. Misspelt or newly inflected words share n-grams with
-those seen. As everything before the softmax is a mean, scoring needs one number per bucket, and each Python worker keeps
+embedding table. A word's vector is the sum of its features' vectors, a document's the mean of its distinct words', a word that
+occurs n times weighing 1 + ln n, so that one repeated word can't speak for a text; a linear softmax follows. Table and softmax are learnt together by Adagrad on log loss. Misspelt or newly inflected words share n-grams with
+those seen. As everything before the softmax is linear, scoring needs one number per bucket, and each Python worker keeps
 the words it met.
 
 Defined cases: null and empty texts, and those without any word, get the softmax of its bias; without any usable label all
@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,11 @@ BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4, 5)
 #: At most so many labelled documents are learnt from; their texts pass through the driver.
-TRAIN_ROWS = 6_000
-EPOCHS = 10
+TRAIN_ROWS = 8_000
+EPOCHS = 8
+LEAST = 3
 BATCH = 32
-RATE = 0.5
+RATE = 1.0
 CACHED = 500_000
 CACHED_LENGTH = 64
 MARKS = ".,;:!?\"'()[]{}<>|*&#%$"
@@ -54,15 +56,15 @@ def tidy(token: str) -> str:
 def bag(text: str, memo: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A text's buckets and their weights in the mean, which sum to 1."""
     words = Counter(text.lower().split())
-    ids, weights, total = [], [], sum(words.values())
+    ids, weights, total = [], [], sum(1 + log(n) for n in words.values())
     for token, n in words.items():
         got = memo.get(token)
         if got is None:
-            got = memo[token] = np.array(features(tidy(token)), np.int64)
+            got = memo[token] = np.array(features(tidy(token)), np.int32)
         ids.append(got)
-        weights.append(np.full(len(got), n / total))
+        weights.append(np.full(len(got), (1 + log(n)) / total))
     if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     unique, inverse = np.unique(np.concatenate(ids), return_inverse=True)
     return unique, np.bincount(inverse, np.concatenate(weights)).astype(np.float32)
 
@@ -79,6 +81,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         memo: dict[str, np.ndarray] = {}
         bags = [bag(t, memo) for t in texts]
         memo.clear()
+        # features of fewer documents than LEAST stay at zero, as unseen ones do
+        known = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=BUCKETS) >= LEAST
+        bags = [(ids[known[ids]], weights[known[ids]]) for ids, weights in bags]
         seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
@@ -124,8 +129,9 @@ class Scorer(dict):
         return got
 
     def score(self, text: str) -> float:
-        words = text.lower().split()
-        logit = self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
+        words = Counter(text.lower().split())
+        weights = 1 + np.log(np.fromiter(words.values(), np.float64, len(words)))
+        logit = self.bias + (float(np.fromiter(map(self.__getitem__, words), np.float64, len(words)) @ weights / weights.sum()) if words else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
