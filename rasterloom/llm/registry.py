@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, quality, simhash, toxicity, warc
+from rasterloom.llm import bpe, html, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
