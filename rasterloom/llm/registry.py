@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, html, quality, simhash, toxicity, warc
+from rasterloom.llm import bpe, decontaminate, html, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_html": html.op8_html,
