@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, html, quality, simhash, toxicity, warc
+from rasterloom.llm import bpe, decontaminate, html, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_secrets": secrets.op7_secrets,
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,

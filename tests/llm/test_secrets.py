@@ -1,0 +1,48 @@
+import numpy as np
+import pytest
+
+from rasterloom.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return secrets.fit()
+
+
+def test_held_out_accuracy(forest):
+    held = secrets.labelled_findings(seed=99, count=1500)
+    got = forest.score(np.array([secrets.describe(t, (a, b, r)) for t, a, b, r, _ in held])) >= 0.5
+    assert (got == np.array([x[4] for x in held])).mean() > 0.97
+
+
+KEY = "AKIA" + "Q7ZK3VW2T5MND4XR"
+HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def rows():
+    return [
+        (1, f"before {KEY} after", 27, "a"), (2, f'x token = "{HEX}" y', None, "b"), (3, f"commit {HEX} done", 5, "c"), (4, "password=changeme and token = your_token_here", 0, "d"), (5, None, None, None), (6, "", 0, ""), (None, f"PASSWORD={HEX[:18]} {KEY}. {KEY}", 1, "e"),
+        (7, f"İ password={HEX[:18]}", 1, "f"), (7, "w " * 60_000 + f"token: {HEX}", 1, "g"), (8, "z" * 150_000, 150_000, "h"), (8, "see https://www.example.com/a/b/c1/index and /usr/lib/python3/dist-packages/x1", 9, "i"),
+    ]
+
+
+def test_findings_and_redaction(spark, forest):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, n_chars long, rule string").repartition(2)
+    got = sorted((str(r.doc_id), r.secret) for r in secrets.findings(docs, forest).collect())
+    assert got == sorted([("1", KEY), ("2", HEX), ("None", HEX[:18]), ("None", KEY), ("None", KEY), ("7", HEX[:18]), ("7", HEX)])
+    texts = {t for _, t, _, _ in rows()}
+    for r in secrets.findings(docs, forest).collect():
+        assert any(t and t[r.start : r.end] == r.secret for t in texts)
+    clean = {r.rule: r for r in secrets.redact(docs, forest).collect()}
+    assert clean["a"].text == "before [SECRET] after" and clean["a"].n_chars == len(clean["a"].text)
+    assert clean["b"].text == 'x token = "[SECRET]" y' and clean["e"].text == "PASSWORD=[SECRET] [SECRET]. [SECRET]"
+    for ident, text, n, rule in rows():
+        if rule in ("c", "d", "h", "i", "", None):
+            assert (clean[rule].doc_id, clean[rule].text, clean[rule].n_chars) == (ident, text, n)
+    assert len(clean) == len(rows()) and secrets.redact(docs.limit(0), forest).collect() == []
+
+
+def test_other_labels():
+    tiny = secrets.fit([("pin=aaaa1111", 4, 12, "assigned", 0)] * 30 + [("pin=b9Xk22Lq", 4, 12, "assigned", 1)] * 30)
+    x = np.array([secrets.describe("pin=aaaa1111", (4, 12, "assigned")), secrets.describe("pin=b9Xk22Lq", (4, 12, "assigned"))])
+    assert (tiny.score(x) >= 0.5).tolist() == [False, True]
