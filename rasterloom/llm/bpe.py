@@ -148,17 +148,22 @@ def _bytes(encoder: Encoder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(encoder.decode(ids))])
 
 
-def _run(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, decoded: bool, keep_text: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, pattern)
         for batch in slices(batches, most=4 << 20):
             ids, ends = _ids(encoder, batch.column(1))
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
-            yield pa.RecordBatch.from_arrays([*columns, _bytes(encoder, ids, ends)] if decoded else columns, ["doc_id", "ids", "decoded"][: 2 + decoded])
+            columns = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+            if decoded:
+                columns["decoded"] = _bytes(encoder, ids, ends)
+            if keep_text:
+                columns["text"] = batch.column(1)
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded + ", text string" * keep_text)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -179,9 +184,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids, decoded): encoded, and decoded again from the ids, in one pass."""
-    return _run(docs, path, pattern, True)
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_text: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids, decoded[, text]): encoded, and decoded again from the ids, in one pass."""
+    return _run(docs, path, pattern, True, keep_text)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

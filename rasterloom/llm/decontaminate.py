@@ -185,15 +185,19 @@ class Matcher:
 _MATCHERS: dict[tuple[int, float], Matcher] = {}
 
 
+def _matcher(shared, share: float) -> Matcher:
+    key = (shared.id if hasattr(shared, "id") else id(shared), share)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(shared.value, share)
+    return _MATCHERS[key]
+
+
 def _matches(docs: DataFrame, items: list[tuple[int | None, str]], share: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # a block, of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared.id if hasattr(shared, "id") else id(shared), share)
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(shared.value, share)
-        matcher = _MATCHERS[key]
+        matcher = _matcher(shared, share)
         for batch in slices(batches):
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -206,20 +210,36 @@ def _matches(docs: DataFrame, items: list[tuple[int | None, str]], share: float)
     return docs.mapInArrow(run, SCHEMA)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, start, end, distance): every occurrence of an item in a document, in characters of its text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, ceil(total / block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    parts = [_matches(docs, [(r.item_id, normal(r.text)) for r in items.where(block == k).collect()], share) for k in range(count)]
-    return reduce(DataFrame.unionByName, parts)
+    for k in range(count):
+        yield [(r.item_id, normal(r.text)) for r in items.where(block == k).collect()]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, start, end, distance): every occurrence of an item in a document, in characters of its text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return reduce(DataFrame.unionByName, [_matches(docs, items, share) for items in _blocks(benchmark, block_chars)])
+
+
+def _without(docs: DataFrame, items: list[tuple[int | None, str]], share: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared, share)
+        for batch in slices(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not matcher.find(normal(t or "")) for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id) of the documents that hold an item."""
-    return matches(docs, benchmark, share).select("doc_id").distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item."""
+    return reduce(lambda rows, items: _without(rows, items, share), _blocks(benchmark, block_chars), docs)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,9 @@ def test_against_brute_force(spark):
                 assert pairs.get((ident, item)) == (n if n <= int(len(a) * d.SHARE) else None)
             else:
                 assert ((ident, item) in pairs) == bool(a and a == b)
+    left = d.clean(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()
+    hit = {r.doc_id for r in got}
+    assert sorted(map(tuple, left), key=str) == sorted((x for x in docs if x[0] not in hit), key=str)
     texts = dict((i, t) for i, t, _ in docs)
     for r in got:
         a, b = d.normal(dict(items)[r.item_id]), d.normal(texts[r.doc_id][r.start : r.end])

@@ -41,7 +41,7 @@ def test_against_brute_force(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts())]
     got = sorted(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)).collect())
     prints = [brute_fp(t) for _, t, _ in rows]
-    assert [r.fp & (2**64 - 1) for r in got] == prints
+    assert [r.fps[0] & (2**64 - 1) for r in got] == prints
     assert [r.component_id for r in got] == brute_components(prints)
 
 
@@ -56,8 +56,8 @@ def test_links_lose_nothing(spark, hot):
             for b in rnd.sample(range(64), rnd.randint(1, 4)):
                 x ^= 1 << b
     prints = sorted(prints)
-    rows = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)]
-    found = {r.node: r.component for r in components(simhash.link(spark.createDataFrame(rows, "rep long, fp long"), hot=hot)).collect()}
+    rows = [(i, [p - 2**64 if p >= 2**63 else p]) for i, p in enumerate(prints)]
+    found = {r.node: r.component for r in components(simhash.link(spark.createDataFrame(rows, "rep long, fps array<long>"), hot=hot)).collect()}
     assert [found.get(i, i) for i in range(len(prints))] == brute_components(prints)
 
 
@@ -74,8 +74,8 @@ def test_empty_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (None, "q r s"), (None, ""), (3, None)], schema)).collect()
-    assert sorted((str(r.doc_id), r.component_id) for r in got if r.fp == 0) == [("3", 3), ("None", 3)]
-    assert sorted(str(r.component_id) for r in got if r.fp) == ["7", "7", "None"]
+    assert sorted((str(r.doc_id), r.component_id) for r in got if r.fps == [0]) == [("3", 3), ("None", 3)]
+    assert sorted(str(r.component_id) for r in got if r.fps != [0]) == ["7", "7", "None"]
 
 
 def test_components(spark):
@@ -89,3 +89,21 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert {k: c for k, c in label.items() if k != c} == local == spread
+
+
+def test_several_tables(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(2000)]
+    rows, groups = [], 30
+    for g in range(groups):
+        base = rnd.choices(words, k=400)
+        rows.append((g, " ".join(base)))
+        for c in range(2):
+            near = list(base)
+            for at in rnd.sample(range(400), 2):
+                near[at] = rnd.choice(words)
+            rows.append((100 + 2 * g + c, " ".join(near)))
+    rows += [(500 + i, " ".join(rnd.choices(words, k=400))) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, tables=12).collect()}
+    assert all(got[i] == i for i in range(groups)) and all(got[500 + i] == 500 + i for i in range(60))
+    assert sum(got[100 + i] == i // 2 for i in range(2 * groups)) >= 2 * groups - 1
