@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, embeddings, html, quality, secrets, simhash, toxicity, warc
+from rasterloom.llm import bpe, decontaminate, embeddings, html, lm, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op2_embeddings": embeddings.op2_embeddings,
     "op3_bpe": bpe.op3_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
