@@ -14,9 +14,9 @@ rows are scored as they are; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +53,39 @@ def tidy(token: str) -> str:
     return token.strip(MARKS) or token
 
 
-def bag(text: str, memo: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A text's buckets and their weights in the mean, which sum to 1."""
-    words = Counter(text.lower().split())
-    ids, weights, total = [], [], sum(1 + log(n) for n in words.values())
-    for token, n in words.items():
-        got = memo.get(token)
-        if got is None:
-            got = memo[token] = np.array(features(tidy(token)), np.int32)
-        ids.append(got)
-        weights.append(np.full(len(got), (1 + log(n)) / total))
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    unique, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-    return unique, np.bincount(inverse, np.concatenate(weights)).astype(np.float32)
+def bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For each text its words' numbers and their weights in the mean, which sum to 1; and all words' features in a row,
+    with where each word's begin. Features of fewer documents than LEAST are left out, as unseen ones are."""
+    number: dict[str, int] = {}
+    found, every, sizes, holders = [], array("i"), array("i"), array("i")
+    for text in texts:
+        words = Counter(text.lower().split())
+        ids = np.empty(len(words), np.int32)
+        for k, token in enumerate(words):
+            at = number.setdefault(token, len(number))
+            if at == len(sizes):
+                got = features(tidy(token))
+                every.extend(got)
+                sizes.append(len(got))
+                holders.append(0)
+            holders[at] += 1
+            ids[k] = at
+        weights = 1 + np.log(np.fromiter(words.values(), np.float64, len(words)))
+        found.append((ids, (weights / weights.sum()).astype(np.float32)))
+    number.clear()
+    feature, size, held = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (every, sizes, holders))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    holders_of, kept = np.zeros(BUCKETS), np.zeros(len(size), np.int64)
+    steps = range(0, len(size), 20_000)
+    for at in steps:
+        part = slice(at, at + 20_000)
+        holders_of += np.bincount(feature[begin[at] : begin[min(at + 20_000, len(size))]], np.repeat(held[part], size[part]), BUCKETS)
+    known = (holders_of >= LEAST)[feature]
+    for at in steps:
+        part = slice(at, at + 20_000)
+        a, b = begin[at], begin[min(at + 20_000, len(size))]
+        kept[part] = np.bincount(np.repeat(np.arange(len(size[part])), size[part]), known[a:b], len(size[part]))
+    return found, feature[known], np.concatenate([[0], np.cumsum(kept)])
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -77,40 +96,40 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     layer = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     ones = int(labels.sum())
     bias = np.log([(len(labels) - ones + 1) / (len(labels) + 2), (ones + 1) / (len(labels) + 2)]).astype(np.float32)
-    if 0 < ones < len(labels):
-        memo: dict[str, np.ndarray] = {}
-        bags = [bag(t, memo) for t in texts]
-        memo.clear()
-        # features of fewer documents than LEAST stay at zero, as unseen ones do
-        known = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=BUCKETS) >= LEAST
-        bags = [(ids[known[ids]], weights[known[ids]]) for ids, weights in bags]
-        seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-        for epoch in range(epochs):
-            rate = RATE * (1 - epoch / epochs)
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                chosen = order[at : at + BATCH]
-                size = np.array([len(bags[i][0]) for i in chosen])
-                ids, weights, row = np.concatenate([bags[i][0] for i in chosen]), np.concatenate([bags[i][1] for i in chosen]), np.repeat(np.arange(len(chosen)), size)
-                rows = table[ids] * weights[:, None]
-                mean = np.stack([np.bincount(row, rows[:, k], len(chosen)) for k in range(WIDTH)], 1).astype(np.float32)
-                logits = mean @ layer + bias
-                logits -= logits.max(1, keepdims=True)
-                p = np.exp(logits)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(chosen)), labels[chosen]] -= 1  # the gradient by the logits
-                g_layer, g_bias, g_mean = mean.T @ p, p.sum(0), p @ layer.T
-                touched, inverse = np.unique(ids, return_inverse=True)
-                g_rows = g_mean[row] * weights[:, None]
-                g_table = np.stack([np.bincount(inverse, g_rows[:, k], len(touched)) for k in range(WIDTH)], 1).astype(np.float32)
-                seen_table[touched] += (g_table**2).mean(1)
-                table[touched] -= rate * g_table / np.sqrt(seen_table[touched])[:, None]
-                seen_layer += g_layer**2
-                layer -= rate * g_layer / np.sqrt(seen_layer)
-                seen_bias += g_bias**2
-                bias -= 0.2 * rate * g_bias / np.sqrt(seen_bias)
-        return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
-    return np.zeros(BUCKETS, np.float32), float(bias[1] - bias[0]) if len(labels) else -1e-9
+    if not 0 < ones < len(labels):
+        return np.zeros(BUCKETS, np.float32), float(bias[1] - bias[0]) if len(labels) else -1e-9
+    docs, every, begin = bags(texts)
+    seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    columns = lambda at, x, n: np.stack([np.bincount(at, x[:, k], n) for k in range(WIDTH)], 1).astype(np.float32)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        order = rng.permutation(len(texts))
+        for start in range(0, len(order), BATCH):
+            chosen = order[start : start + BATCH]
+            words, at = np.unique(np.concatenate([docs[i][0] for i in chosen]), return_inverse=True)
+            weights = np.concatenate([docs[i][1] for i in chosen])
+            row = np.repeat(np.arange(len(chosen)), [len(docs[i][0]) for i in chosen])
+            size = begin[words + 1] - begin[words]
+            feature = every[np.repeat(begin[words] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            owner = np.repeat(np.arange(len(words)), size)
+            vectors = columns(owner, table[feature], len(words))
+            mean = columns(row, vectors[at] * weights[:, None], len(chosen))
+            logits = mean @ layer + bias
+            logits -= logits.max(1, keepdims=True)
+            p = np.exp(logits)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(chosen)), labels[chosen]] -= 1  # the gradient by the logits
+            g_layer, g_bias, g_mean = mean.T @ p, p.sum(0), p @ layer.T
+            g_word = columns(at, g_mean[row] * weights[:, None], len(words))
+            touched, inverse = np.unique(feature, return_inverse=True)
+            g_table = columns(inverse, g_word[owner], len(touched))
+            seen_table[touched] += (g_table**2).mean(1)
+            table[touched] -= rate * g_table / np.sqrt(seen_table[touched])[:, None]
+            seen_layer += g_layer**2
+            layer -= rate * g_layer / np.sqrt(seen_layer)
+            seen_bias += g_bias**2
+            bias -= 0.2 * rate * g_bias / np.sqrt(seen_bias)
+    return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 class Scorer(dict):
