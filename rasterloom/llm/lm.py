@@ -38,7 +38,7 @@ SINGLY = 256
 #: Bytes of text that a bucket should get at most.
 BUCKET_BYTES = 20 << 20
 #: Bytes of text that are tokenised, and paired, at once.
-CHUNK, SLICE = 4 << 20, 24 << 20
+CHUNK, SLICE = 2 << 20, 12 << 20
 NONE = -(1 << 63)
 
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -107,7 +107,7 @@ def _chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     for piece in slices([batch], "text", CHUNK):
         t, r = tokens(*utf8(piece.column(1)))
         parts.append(t)
-        rows.append(r + done)
+        rows.append((r + done).astype(np.int32))
         done += piece.num_rows
     return np.concatenate(parts), np.concatenate(rows)
 
@@ -179,14 +179,17 @@ def _pairs(parts: int, hot: np.ndarray):
             spread = np.isin(u, hot) if len(hot) else np.zeros(len(u), bool)
             part = (np.where(spread, both, mixed(u ^ np.uint64(0x55))) >> np.uint64(11)) % np.uint64(parts)
             order = np.argsort((part << np.uint64(48)) | (both >> np.uint64(16)), kind="stable")
-            u, w, row, part = u[order], w[order], row[order], part[order]
+            del both, spread
+            u, w, row, part = u[order], w[order], row[order], part[order].astype(np.uint16)
+            del order
             new_pair = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
             new_post = new_pair | np.r_[True, row[1:] != row[:-1]]
             first, post = np.flatnonzero(new_pair), np.flatnonzero(new_post)
             times = np.diff(np.r_[post, len(u)])
             posts = np.diff(np.r_[np.searchsorted(post, first), len(post)])
-            u, w, part_of, row = u[first], w[first], part[first], row[post]
-            at, end = np.searchsorted(part_of, np.arange(parts + 1, dtype=np.uint64)), np.cumsum(np.r_[0, posts])
+            u, w, part, row = u[first], w[first], part[first], row[post]
+            del first, post, new_pair, new_post
+            at, end = np.searchsorted(part, np.arange(parts + 1)), np.cumsum(np.r_[0, posts])
             ids = np.array([NONE if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             out = []
