@@ -36,7 +36,7 @@ BURN_IN, SAMPLES = 2, 3
 #: From so many customers of a dish on, seats are drawn in groups of 1/64 of those seated.
 SINGLY = 256
 #: Bytes of text that a bucket should get at most.
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 12 << 20
 #: Bytes of text that are tokenised, and paired, at once.
 CHUNK, SLICE = 2 << 20, 12 << 20
 NONE = -(1 << 63)
@@ -93,12 +93,25 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    small = {k: v.astype(np.min_scalar_type(int(v.max())) if len(v) else np.uint8) if v.dtype.kind in "iu" and k[0] != "_" else v for k, v in arrays.items()}
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps({k: (v.dtype.str, v.tobytes()) for k, v in small.items()}, protocol=5))
+    """Arrays as compressed bytes: whole numbers in the least width, rising hashes ("_word", "_vocab") as differences, all
+    cut into planes of first bytes, second bytes and so on."""
+    out = {}
+    for name, x in arrays.items():
+        if name in ("_word", "_vocab"):
+            x = np.diff(x, prepend=np.uint64(0))
+        elif x.dtype.kind in "iu" and name[0] != "_":
+            x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+        out[name] = (x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(b, t) for k, (t, b) in pickle.loads(zstandard.ZstdDecompressor().decompress(data)).items()}
+    out = {}
+    for name, (kind, raw) in pickle.loads(zstandard.ZstdDecompressor().decompress(data)).items():
+        size = np.dtype(kind).itemsize
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+        out[name] = np.cumsum(x) if name in ("_word", "_vocab") else x
+    return out
 
 
 def _chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +191,8 @@ def _pairs(parts: int, hot: np.ndarray):
             both = mixed(u * np.uint64(3) + w)
             spread = np.isin(u, hot) if len(hot) else np.zeros(len(u), bool)
             part = (np.where(spread, both, mixed(u ^ np.uint64(0x55))) >> np.uint64(11)) % np.uint64(parts)
-            order = np.argsort((part << np.uint64(48)) | (both >> np.uint64(16)), kind="stable")
+            # in order of part, context and word: a pair's tokens come together, and contexts rise
+            order = np.argsort((part << np.uint64(48)) | (u >> np.uint64(40) << np.uint64(24)) | (w >> np.uint64(40)), kind="stable")
             del both, spread
             u, w, row, part = u[order], w[order], row[order], part[order].astype(np.uint16)
             del order
@@ -236,29 +250,37 @@ def seat(c: np.ndarray, strength: np.ndarray, p: np.ndarray, discount: float, rn
     return out
 
 
-def _merged(group: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+def _merged(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """A bucket's distinct pairs (u, w as numbers in its vocabulary), training counts, and postings in order of pairs."""
+    group = [unpack(x) for x in blobs]
     vocab = np.unique(np.concatenate([x["_vocab"] for x in group]))
     ids = np.unique(np.concatenate([x["_ids"] for x in group]))
-    keys, pair_of, docs, times, learn, base = [], [], [], [], [], 0
+    keys = np.empty(sum(len(x["u"]) for x in group), np.int64)
+    total = sum(len(x["doc"]) for x in group)
+    pair, doc, times, learn = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, bool)
+    at = post = 0
     for x in group:
-        name = np.searchsorted(vocab, x["_vocab"])
-        keys.append(name[x["u"]] * len(vocab) + name[x["w"]])
-        pair_of.append(np.repeat(np.arange(base, base + len(x["u"])), x["posts"]))
-        base += len(x["u"])
-        docs.append(np.searchsorted(ids, x["_ids"])[x["doc"]])
-        times.append(x["times"].astype(np.int64))
-        learn.append(x["learn"][x["doc"]].astype(bool))
-    pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    pair, doc, times, learn = inverse[np.concatenate(pair_of)], np.concatenate(docs), np.concatenate(times), np.concatenate(learn)
+        name = np.searchsorted(vocab, x.pop("_vocab"))
+        n, m = len(x["u"]), len(x["doc"])
+        keys[at : at + n] = name[x.pop("u")] * len(vocab) + name[x.pop("w")]
+        pair[post : post + m] = np.repeat(np.arange(at, at + n, dtype=np.int32), x.pop("posts"))
+        doc[post : post + m] = np.searchsorted(ids, x["_ids"])[x["doc"]]
+        times[post : post + m] = x.pop("times")
+        learn[post : post + m] = x.pop("learn")[x.pop("doc")]
+        at, post = at + n, post + m
+    del group
+    pairs, inverse = np.unique(keys, return_inverse=True)
+    del keys
+    pair = inverse.astype(np.int32)[pair]
     c = np.bincount(pair[learn], times[learn], len(pairs)).astype(np.int64)
-    return {"_vocab": vocab, "u": pairs // len(vocab), "w": pairs % len(vocab), "c": c, "pair": pair, "doc": doc, "times": times, "_ids": ids}
+    order = np.argsort(pair, kind="stable")
+    return {"_vocab": vocab, "u": (pairs // len(vocab)).astype(np.int32), "w": (pairs % len(vocab)).astype(np.int32), "c": c, "posts": np.bincount(pair, minlength=len(pairs)), "doc": doc[order], "times": times[order], "_ids": ids}
 
 
 def _sample(parts: int, hot: np.ndarray, seed: int):
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        m = _merged([unpack(x) for x in group.column("data").to_pylist()])
+        m = _merged(group.column("data").to_pylist())
         vocab, rng = m["_vocab"], np.random.default_rng([seed, part])
         seen = np.flatnonzero(m["c"])
         u, w, c = m["u"][seen], m["w"][seen], m["c"][seen]
@@ -274,12 +296,7 @@ def _sample(parts: int, hot: np.ndarray, seed: int):
             t[many] = seat(c[many], STRENGTH + DISCOUNT * (of_u[u[many]] - t[many]), p[w[many]], DISCOUNT, rng)
             if sweep >= BURN_IN:
                 samples.append(t.copy())
-        state = {k: m[k] for k in ("_vocab", "u", "w", "c", "doc", "times", "_ids")}
-        # postings in order of pairs need only their numbers
-        order = np.argsort(m["pair"], kind="stable")
-        state |= {"doc": m["doc"][order], "times": m["times"][order], "posts": np.bincount(m["pair"], minlength=len(m["u"]))}
-        state |= {f"t{s}": x[many] for s, x in enumerate(samples)}
-        rows = [(0, part, part, pack(**state))]
+        rows = [(0, part, part, pack(**m, **{f"t{s}": x[many] for s, x in enumerate(samples)}))]
         asked = np.unique(m["w"])
         of_w = [np.bincount(w, x, names).astype(np.int64)[asked] for x in samples]
         order, at = by_owner(vocab[asked], parts)
@@ -383,6 +400,10 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held", F.coalesce(held_out, F.lit(False)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # what a finished job has shuffled isn't read again here: its files go at once
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
     parts = int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))))
     words = cut(texts.mapInArrow(_count(parts), SCHEMA).repartition(parts, "part").groupBy("part").applyInArrow(_counted, SCHEMA), "words")
     told = [unpack(r.data)["_total"] for r in words.where("kind = 1").select("data").collect()]
@@ -403,6 +424,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     discard(words)
     totals = [unpack(r.data)["_total"] for r in answers.where("kind = 5").select("data").collect()]
     totals = np.sum(totals, 0) if totals else np.zeros(2 * SAMPLES)
+    spark.conf.set(tidy, before)
     last = sampled.where("kind = 0").unionByName(answers.where("kind = 4")).repartition(parts, "part")
     sums = last.groupBy("part").applyInArrow(_score(parts, hot, hot_n, hot_t, totals, v), RESULT)
     out = sums.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
