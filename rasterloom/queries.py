@@ -10,8 +10,8 @@ from rasterloom import model
 from rasterloom.functions import samples
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, quantize, stencil
-from rasterloom.plans import expression
+from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, procedural, quantize, stencil, text
+from rasterloom.plans import assembler, expression, registry
 from rasterloom.sources import codecs, images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -402,3 +402,14 @@ def _usage_of_events(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["events_raster"] = _usage_of_events
 SQL["events_raster"] = "select dayofyear(ts)::int as y, hour(ts)::int as x, count(*) as n from events group by 1, 2"
+
+# Pictures from places, and filters by name
+
+add("turbnoise", lambda r: procedural.turbnoise(r, 1.0, 2.0, 10.0))
+add("radnoise", lambda r: procedural.radnoise(r, 30, 25, 0.3, 2.0))
+add("mandelbrot", lambda r: procedural.mandelbrot(r, -2.5, -1.5, 1.0, 1.5))
+add("transform2_mandel", lambda r: assembler.mandel(r, maxcount=20))
+add("transform2_julia", lambda r: assembler.julia(r, maxcount=20))
+add("filter_by_name", lambda r: registry.apply(registry.apply(r, "hardinvert"), "contrast", intensity=0.5), select(each("trunc((255 - c@) * 0.5::double)::int")))
+add("text_boxes", lambda r: text.draw(r, "ab c", 5, 30, text.BlockFont(10), (1, 2, 3)), select(", ".join(f"case when y between 24 and 30 and (x between 5 and 8 or x between 10 and 13 or x between 20 and 23) then {k + 1} else c{k} end as c{k}" for k in range(3))))
+add("masked_view", lambda r: geometry.crop(r, left=25, top=25, width=30, height=20), f"{BASE} select image_id, y - 25 as y, x - 25 as x, c0, c1, c2 from p where x between 25 and 54 and y between 25 and 44")
