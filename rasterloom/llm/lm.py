@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ BURN_IN, SAMPLES = 2, 3
 #: From so many customers of a dish on, seats are drawn in groups of 1/64 of those seated.
 SINGLY = 256
 #: Bytes of text that a bucket should get at most.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 9 << 20
 #: Bytes of text that are tokenised, and paired, at once.
 CHUNK, SLICE = 2 << 20, 12 << 20
 NONE = -(1 << 63)
@@ -114,6 +115,14 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that is kept doesn't hold what an earlier stage needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of a batch's texts (column 1), made in chunks."""
     parts, rows, done = [], [], 0
@@ -149,6 +158,8 @@ def _count(parts: int):
             words, n = words[n > 0], n[n > 0]
             order, at = by_owner(words, parts)
             yield _rows([(1, k, -1, pack(_word=words[order[a:b]], n=n[order[a:b]])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
+            del t, row, learn, words, n, order
+            give_back()
 
     return run
 
@@ -212,7 +223,9 @@ def _pairs(parts: int, hot: np.ndarray):
                     vocab, inverse = np.unique(np.concatenate([u[a:b], w[a:b]]), return_inverse=True)
                     docs, doc = np.unique(row[end[a] : end[b]], return_inverse=True)
                     out.append((0, k, -1, pack(_vocab=vocab, u=inverse[: b - a], w=inverse[b - a :], posts=posts[a:b], doc=doc, times=times[end[a] : end[b]], _ids=ids[docs], learn=learn[docs].astype(np.uint8))))
+            del u, w, row, part, posts, times, end
             yield _rows(out)
+            give_back()
 
     return run
 
@@ -304,6 +317,9 @@ def _sample(parts: int, hot: np.ndarray, seed: int):
         if len(hot):
             place = np.flatnonzero(np.isin(vocab, hot))
             rows.append((3, part, part, pack(_word=vocab[place], **{f"t{s}": np.bincount(u, x, names).astype(np.int64)[place] for s, x in enumerate(samples)})))
+        m.clear()
+        del u, w, c, t, samples, many, seen
+        give_back()
         return _table(rows)
 
     return run
@@ -386,9 +402,12 @@ def _score(parts: int, hot: np.ndarray, hot_n: np.ndarray, hot_t: np.ndarray, to
             p += (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * of_u[u]) * parent[w]) / (STRENGTH + of_c[u])
         pair = np.repeat(np.arange(len(u)), m["posts"])
         doc, times, ids = m["doc"], m["times"].astype(np.float64), m["_ids"]
-        sum_ = lambda x: np.bincount(doc, times * x[pair], len(ids))
+        sum_ = lambda x, doc=doc, times=times, pair=pair: np.bincount(doc, times * x[pair], len(ids))
         n = np.bincount(doc, times, len(ids)).astype(np.int64)
         out = [pa.array(ids, mask=ids == NONE), pa.array(n), pa.array(sum_((count > 0)[w].astype(float)).astype(np.int64)), pa.array(sum_(np.log10(count + 1.0)[w])), pa.array(sum_(np.log10(p / SAMPLES)))]
+        m.clear()
+        del pair, doc, times, u, w, c, p
+        give_back()
         return pa.Table.from_arrays(out, [x.split()[0] for x in RESULT.split(", ")])
 
     return run
