@@ -38,6 +38,8 @@ BURN_IN, SAMPLES = 2, 3
 SINGLY = 256
 #: Bytes of text that a bucket should get at most.
 BUCKET_BYTES = 9 << 20
+#: Words and documents are summed in at most so many parts, as each bucket sends a row to each.
+OWNERS = 1_024
 #: Bytes of text that are tokenised, and paired, at once.
 CHUNK, SLICE = 2 << 20, 12 << 20
 NONE = -(1 << 63)
@@ -290,7 +292,7 @@ def _merged(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {"_vocab": vocab, "u": (pairs // len(vocab)).astype(np.int32), "w": (pairs % len(vocab)).astype(np.int32), "c": c, "posts": np.bincount(pair, minlength=len(pairs)), "doc": doc[order], "times": times[order], "_ids": ids}
 
 
-def _sample(parts: int, hot: np.ndarray, seed: int):
+def _sample(parts: int, owners: int, hot: np.ndarray, seed: int):
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         m = _merged(group.column("data").to_pylist())
@@ -312,7 +314,7 @@ def _sample(parts: int, hot: np.ndarray, seed: int):
         rows = [(0, part, part, pack(**m, **{f"t{s}": x[many] for s, x in enumerate(samples)}))]
         asked = np.unique(m["w"])
         of_w = [np.bincount(w, x, names).astype(np.int64)[asked] for x in samples]
-        order, at = by_owner(vocab[asked], parts)
+        order, at = by_owner(vocab[asked], owners)
         rows += [(2, k, part, pack(_word=vocab[asked][order[a:b]], **{f"t{s}": x[order[a:b]] for s, x in enumerate(of_w)})) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         if len(hot):
             place = np.flatnonzero(np.isin(vocab, hot))
@@ -368,14 +370,14 @@ def _root(words_total: int, seed: int):
 RESULT = "doc_id long, n long, known long, base double, score double"
 
 
-def _score(parts: int, hot: np.ndarray, hot_n: np.ndarray, hot_t: np.ndarray, totals: np.ndarray, words_total: int):
+def _score(owners: int, hot: np.ndarray, hot_n: np.ndarray, hot_t: np.ndarray, totals: np.ndarray, words_total: int):
     def run(group: pa.Table) -> pa.Table:
         kinds, sources, data = (group.column(k).to_pylist() for k in ("kind", "source", "data"))
         m = unpack(data[kinds.index(0)])
         vocab, c = m["_vocab"], m["c"].astype(np.int64)
         u, w, names = m["u"].astype(np.int64), m["w"].astype(np.int64), len(vocab)
         asked = np.unique(w)
-        order, at = by_owner(vocab[asked], parts)
+        order, at = by_owner(vocab[asked], owners)
         count, rest = np.zeros(names, np.int64), np.zeros((SAMPLES, names))
         for kind, source, blob in zip(kinds, sources, data, strict=True):
             if kind == 4:
@@ -404,15 +406,27 @@ def _score(parts: int, hot: np.ndarray, hot_n: np.ndarray, hot_t: np.ndarray, to
         doc, times, ids = m["doc"], m["times"].astype(np.float64), m["_ids"]
         sum_ = lambda x, doc=doc, times=times, pair=pair: np.bincount(doc, times * x[pair], len(ids))
         n = np.bincount(doc, times, len(ids)).astype(np.int64)
-        out = [pa.array(ids, mask=ids == NONE), pa.array(n), pa.array(sum_((count > 0)[w].astype(float)).astype(np.int64)), pa.array(sum_(np.log10(count + 1.0)[w])), pa.array(sum_(np.log10(p / SAMPLES)))]
+        known, base, logs = sum_((count > 0)[w].astype(float)).astype(np.int64), sum_(np.log10(count + 1.0)[w]), sum_(np.log10(p / SAMPLES))
+        # each document's sums go on in packed arrays, by an owner of documents
+        order, at = by_owner(mixed(ids.view(np.uint64)), owners)
+        rows = [(6, k, -1, pack(_ids=ids[o], n=n[o], known=known[o], _base=base[o], _score=logs[o])) for k, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i and (o := order[i:j]) is not None]
         m.clear()
         del pair, doc, times, u, w, c, p
         give_back()
-        return pa.Table.from_arrays(out, [x.split()[0] for x in RESULT.split(", ")])
+        return _table(rows)
 
     return run
 
 
+def _totals(group: pa.Table) -> pa.Table:
+    """An owner's documents, their sums over all buckets."""
+    got = [unpack(x) for x in group.column("data").to_pylist()]
+    ids, at = np.unique(np.concatenate([x["_ids"] for x in got]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([x[k] for x in got]), len(ids)) for k in ("n", "known", "_base", "_score")]
+    out = [pa.array(ids, mask=ids == NONE), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+    return pa.Table.from_arrays(out, [x.split()[0] for x in RESULT.split(", ")])
+
+
 def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     """docs (doc_id, text), learnt from where held_out (over doc_id) is false -> doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score; scores in log10."""
@@ -424,7 +438,8 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     before = spark.conf.get(tidy, "false")
     spark.conf.set(tidy, "true")
     parts = int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))))
-    words = cut(texts.mapInArrow(_count(parts), SCHEMA).repartition(parts, "part").groupBy("part").applyInArrow(_counted, SCHEMA), "words")
+    owners = min(parts, OWNERS)
+    words = cut(texts.mapInArrow(_count(owners), SCHEMA).repartition(owners, "part").groupBy("part").applyInArrow(_counted, SCHEMA), "words")
     told = [unpack(r.data)["_total"] for r in words.where("kind = 1").select("data").collect()]
     n, v = (int(x) for x in np.sum(told, 0)) if told else (0, 0)
     found = words.where("kind = 0").select("data").mapInArrow(_hot(n / (2 * parts)), "word long, n long").collect()  # 2 * parts rows at most
@@ -432,21 +447,21 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     hot_n = np.array([r.n for r in found], np.int64)[np.argsort(hot)]
     hot = np.sort(hot)
     dealt = texts.mapInArrow(_pairs(parts, hot), SCHEMA).repartition(parts, "part")
-    sampled = cut(dealt.groupBy("part").applyInArrow(_sample(parts, hot, seed), SCHEMA), "sampled")
+    sampled = cut(dealt.groupBy("part").applyInArrow(_sample(parts, owners, hot, seed), SCHEMA), "sampled")
     hot_t = np.zeros((SAMPLES, len(hot)), np.int64)
     for r in sampled.where("kind = 3").select("data").toLocalIterator():
         got = unpack(r.data)
         for s in range(SAMPLES):
             hot_t[s, np.searchsorted(hot, got["_word"])] += got[f"t{s}"].astype(np.int64)
-    root_in = sampled.where("kind = 2").unionByName(words.where("kind = 0")).repartition(parts, "part")
+    root_in = sampled.where("kind = 2").unionByName(words.where("kind = 0")).repartition(owners, "part")
     answers = cut(root_in.groupBy("part").applyInArrow(_root(v, seed), SCHEMA), "answers")
     discard(words)
     totals = [unpack(r.data)["_total"] for r in answers.where("kind = 5").select("data").collect()]
     totals = np.sum(totals, 0) if totals else np.zeros(2 * SAMPLES)
     spark.conf.set(tidy, before)
     last = sampled.where("kind = 0").unionByName(answers.where("kind = 4")).repartition(parts, "part")
-    sums = last.groupBy("part").applyInArrow(_score(parts, hot, hot_n, hot_t, totals, v), RESULT)
-    out = sums.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
+    sums = last.groupBy("part").applyInArrow(_score(owners, hot, hot_n, hot_t, totals, v), SCHEMA)
+    out = sums.repartition(owners, "part").groupBy("part").applyInArrow(_totals, RESULT)
     base = F.col("base") - F.col("n") * F.log10(F.lit(float(n + v + 1)))
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
