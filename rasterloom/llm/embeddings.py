@@ -206,3 +206,16 @@ def near_duplicates(rows: DataFrame, least: float = COSINE, tables: int = TABLES
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_SQL = """
+with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+ok as (select * from v where label is not null and e is not null and list_count(e) = len(e) and len(list_filter(e, lambda z: not isfinite(z))) = 0 and len(list_filter(e, lambda z: z <> 0)) > 0),
+linked as (select a.r as x, b.r as y from ok a join ok b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach as (select r as x, r as y from v union select reach.x, linked.y from reach join linked on reach.y = linked.x),
+least as (select reach.x, min(v.vec_id) as c from reach join v on reach.y = v.r group by 1),
+counted as (select x, count(*) as n from linked group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, coalesce(vec_id = c, false) as kept
+from v join least on v.r = least.x left join counted on v.r = counted.x
+"""

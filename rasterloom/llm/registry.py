@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_embeddings": embeddings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
