@@ -120,7 +120,8 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Learns labels.quality from documents whose crc32(doc_id) mod 3 is not 1."""
     texts, y = labelled(docs, labels, "quality", remainder("doc_id", 3) != 1, rows)
-    return train(statistics(pa.array(texts, pa.string())), y)
+    parts = [statistics(pa.array(texts[k : k + 250], pa.string())) for k in range(0, len(texts), 250)]
+    return train(np.concatenate(parts) if parts else np.zeros((0, len(NAMES))), y)
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
