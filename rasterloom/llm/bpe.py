@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import slices, utf8
+from rasterloom.llm.common import kept, slices, utf8
 
 #: Bits of a bitmap word; two levels reach WIDTH * WIDTH ranks, further ranks lengthen the upper word.
 WIDTH = 256
@@ -125,15 +125,8 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def _encoder(shared, pattern: str) -> Encoder:
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
+    return kept(f"bpe {pattern}", shared, lambda ranks: Encoder(ranks, pattern))
 
 
 def _ids(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +76,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(size, begun + most, side="right")))
             yield batch.slice(at, end - at)
             begun, at = int(size[end - 1]), end
+
+
+_KEPT: dict[str, tuple[Any, Any]] = {}
+
+
+def kept(name: str, shared: Any, make: Callable[[Any], Any]) -> Any:
+    """In a Python worker: what make(shared.value) gave for this broadcast variable, made once and dropped for the next. The
+    variable is held along, so that no other can be taken for it."""
+    if name not in _KEPT or _KEPT[name][0] is not shared:
+        _KEPT[name] = (shared, make(shared.value))
+    return _KEPT[name][1]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import slices
+from rasterloom.llm.common import kept, slices
 
 #: Edits allowed, as a share of an item's characters.
 SHARE = 0.1
@@ -182,15 +182,8 @@ class Matcher:
         return out
 
 
-_MATCHERS: dict[tuple[int, float], Matcher] = {}
-
-
 def _matcher(shared, share: float) -> Matcher:
-    key = (shared.id if hasattr(shared, "id") else id(shared), share)
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value, share)
-    return _MATCHERS[key]
+    return kept(f"matcher {share}", shared, lambda items: Matcher(items, share))
 
 
 def _matches(docs: DataFrame, items: list[tuple[int | None, str]], share: float) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import remainder, slices, utf8
+from rasterloom.llm.common import kept, remainder, slices, utf8
 from rasterloom.llm.training import labelled
 
 BUCKETS = 1 << 18
@@ -154,27 +154,20 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """docs plus score double and predicted int; all other columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 1 MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value)
-        scorer = _SCORERS[key]
+        scorer = kept("toxicity", shared, lambda model: Scorer(*model))
         for batch in slices(batches):
             raw, off = utf8(batch.column(batch.schema.get_field_index("text")))
             data = raw.tobytes()
             scores = np.array([scorer.score(data[a:b].decode()) for a, b in zip(off[:-1], off[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    kept = docs.drop("score", "predicted")
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double", "predicted int"]))
+    rest = docs.drop("score", "predicted")
+    return rest.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double", "predicted int"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
