@@ -19,6 +19,9 @@ Pixel = tuple[list[Column], Column | None]  # colours, alpha
 class Arithmetic:
     def __init__(self, top: float):
         self.top, self.exact = top, isinstance(top, float)
+        # HSV figures that already stand in columns, of the source and the destination
+        self.source_hsv: tuple[Column, ...] | None = None
+        self.target_hsv: tuple[Column, ...] | None = None
         self.zero = F.lit(0.0 if self.exact else 0)
 
     def over(self, a: Column, b: Column | float) -> Column:
@@ -113,14 +116,13 @@ def _hue(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
     (sc, sa), (dc, da) = src, dst
     if len(sc) < 3:
         return dst
-    sh, ss, _ = m.to_hsv(sc)
-    _, ds, dv = m.to_hsv(dc)
+    sh, ss, _ = m.source_hsv or m.to_hsv(sc)
+    dh, ds, dv = m.target_hsv or m.to_hsv(dc)
     lively = (ss != 0) & (sa != 0) & (F.lit(True) if da is None else da != 0)
     grey = ds == 0
     made = m.to_rgb(sh, ds, dv)
     if da is None:
         # over a grey destination the source carries the destination's HSV figures, with whatever stands in its alpha's place
-        dh, _, _ = m.to_hsv(dc)
         colours = [F.when(lively & ~grey, a).otherwise(b) for a, b in zip(made, (dh, ds, dv), strict=True)]
         alpha = F.when(lively & ~grey, sa).otherwise(m.zero)
         return _keep_alpha(m, (colours, alpha), dst)
@@ -132,7 +134,7 @@ def _parts(hue: bool, saturation: bool, value: bool):
         (sc, sa), (dc, _) = src, dst
         if len(sc) < 3:
             return _keep_alpha(m, src, dst) if value else dst
-        a, b = m.to_hsv(sc), m.to_hsv(dc)
+        a, b = m.source_hsv or m.to_hsv(sc), m.target_hsv or m.to_hsv(dc)
         return _keep_alpha(m, (m.to_rgb(*(p if take else q for p, q, take in zip(a, b, (hue, saturation, value), strict=True))), sa), dst)
 
     return mode
@@ -156,7 +158,13 @@ MODES: dict[str, Callable] = {
 }
 
 
-def combine(mode: str, top: float, src: Pixel, dst: Pixel) -> Pixel:
+#: Modes that work on HSV figures; a caller does well to put these into columns first, as each is used many times.
+IN_HSV = ("hue", "saturation", "value", "color")
+
+
+def combine(mode: str, top: float, src: Pixel, dst: Pixel, source_hsv: tuple[Column, ...] | None = None, target_hsv: tuple[Column, ...] | None = None) -> Pixel:
     if mode not in MODES:
         raise ValueError(f"unknown combine mode {mode}; known: {', '.join(MODES)}")
-    return MODES[mode](Arithmetic(top), src, dst)
+    math = Arithmetic(top)
+    math.source_hsv, math.target_hsv = source_hsv, target_hsv
+    return MODES[mode](math, src, dst)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, cos, pi, sin
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -107,14 +107,17 @@ def polygon(r: Raster, contours: list[list[tuple[float, float]]], colour: tuple[
     hits = sum((F.when(_inside(_x() + u, _y() + v, contours, rule), 1).otherwise(0) for u in spots for v in spots), F.lit(0))
     if aa == 1:
         return _where(r, hits > 0, colour)
-    share = (hits * 255 / (aa * aa)).cast("int")
-    return r.project({n: (quotient(F.col(n) * (F.lit(255) - share) + F.lit(colour[k]) * share, 255)).cast("int") for k, n in enumerate(r.names)})
+    share = F.col("_share")
+    return r.with_px(r.px.withColumn("_share", (hits * 255 / (aa * aa)).cast("int"))).project({n: (quotient(F.col(n) * (F.lit(255) - share) + F.lit(colour[k]) * share, 255)).cast("int") for k, n in enumerate(r.names)})
 
 
-def circle_aa(r: Raster, cx: float, cy: float, radius: float, colour: tuple[int, ...]) -> Raster:
-    """Filled, covered by a fine polygon's share of each pixel."""
-    n = max(12, int(4 * radius))
-    return polygon(r, [[(cx + 0.5 + radius * cos(2 * pi * k / n), cy + 0.5 + radius * sin(2 * pi * k / n)) for k in range(n)]], colour, aa=4)
+def circle_aa(r: Raster, cx: float, cy: float, radius: float, colour: tuple[int, ...], aa: int = 4) -> Raster:
+    """Filled; coverage comes from aa * aa places in each pixel."""
+    spots = [(k + 0.5) / aa - 0.5 for k in range(aa)]
+    hits = sum((F.when((_x() + (u - cx)) * (_x() + (u - cx)) + (_y() + (v - cy)) * (_y() + (v - cy)) <= radius * radius, 1).otherwise(0) for u in spots for v in spots), F.lit(0))
+    px = r.px.withColumn("_share", (hits * 255 / (aa * aa)).cast("int"))
+    share = F.col("_share")
+    return r.with_px(px).project({n: quotient(F.col(n) * (F.lit(255) - share) + F.lit(colour[k]) * share, 255).cast("int") for k, n in enumerate(r.names)})
 
 
 def pixel_alpha(r: Raster, x: int, y: int, colour: tuple[int, ...], alpha: int) -> Raster:

@@ -309,7 +309,9 @@ add("line", lambda r: draw.line(r, 2, 3, 60, 40, (1, 2, 3)), select(", ".join(f"
 add("circle", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("circle_outline", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3), filled=False), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 and (x - 30) ** 2 + (y - 25) ** 2 > 132 then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)))
-add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)))
+_SPOTS = [(k + 0.5) / 4 - 0.5 for k in range(4)]
+_HITS = " + ".join(f"case when (x + {u - 30.5}::double) * (x + {u - 30.5}::double) + (y + {v - 25.5}::double) * (y + {v - 25.5}::double) <= 81 then 1 else 0 end" for u in _SPOTS for v in _SPOTS)
+add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, trunc(({_HITS}) * 255 / 16)::int as s from p)"))
 add("polygon", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)], [(20, 15), (35, 15), (35, 30), (20, 30)]], (1, 2, 3)))
 add("polygon_aa", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)]], (1, 2, 3), "nonzero", 4))
 add("bezier", lambda r: draw.bezier(r, [(2, 2), (30, 60), (60, 4)], (1, 2, 3)))
