@@ -577,12 +577,71 @@ def read_gif(data: bytes, limits: Limits = Limits()) -> list[Picture]:
     return out
 
 
+def _packed_bits(codes: list[tuple[int, int]]) -> bytes:
+    """Codes of given widths, lowest bits first."""
+    out, held, n = bytearray(), 0, 0
+    for code, width in codes:
+        held |= code << n
+        n += width
+        while n >= 8:
+            out.append(held & 255)
+            held, n = held >> 8, n - 8
+    return bytes(out) + (bytes([held]) if n else b"")
+
+
+def write_gif(pictures: list[Picture], palette: list[tuple[int, int, int]], loop: int | None = None, delay: int = 0) -> bytes:
+    """Frames of palette indexes (one channel) under a shared palette; an index after the last is transparent."""
+    if not 1 <= len(palette) <= 255:
+        raise ImageError("1 to 255 colours")
+    bits = max(1, len(palette).bit_length())
+    h, w = (max(p.samples.shape[k] for p in pictures) for k in (0, 1))
+    table = b"".join(bytes(c) for c in palette).ljust(3 << bits, b"\0")
+    out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80 | bits - 1, 0, 0) + table
+    if loop is not None:
+        out += b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loop) + b"\0"
+    least = max(2, bits)
+    for p in pictures:
+        fh, fw = p.samples.shape[:2]
+        clear, codes, table_, width, prefix = 1 << least, [], {}, least + 1, b""
+        index = p.samples[..., 0].astype(np.uint8).tobytes()
+        codes.append((clear, width))
+        for k in range(len(index)):
+            longer = prefix + index[k : k + 1]
+            if len(longer) == 1 or longer in table_:
+                prefix = longer
+                continue
+            codes.append((table_.get(prefix, prefix[0]), width))
+            table_[longer] = clear + 2 + len(table_)
+            if clear + 2 + len(table_) > 1 << width and width < 12:
+                width += 1
+            if clear + 2 + len(table_) >= 4095:
+                codes.append((clear, width))
+                table_, width = {}, least + 1
+            prefix = longer[-1:]
+        if prefix:
+            codes.append((table_.get(prefix, prefix[0]), width))
+            if clear + 2 + len(table_) + 1 > 1 << width and width < 12:
+                width += 1
+        codes.append((clear + 1, width))
+        body = _packed_bits(codes)
+        out += b"\x21\xf9\x04" + struct.pack("<BHB", 1, delay, len(palette)) + b"\0\x2c" + struct.pack("<HHHHB", 0, 0, fw, fh, 0) + bytes([least])
+        out += b"".join(bytes([len(body[k : k + 255])]) + body[k : k + 255] for k in range(0, len(body), 255)) + b"\0"
+    return out + b";"
+
+
 READERS = {"pnm": read_pnm, "bmp": read_bmp, "tga": read_tga, "png": read_png, "sgi": read_sgi, "gif": read_gif}
 WRITERS = {"pnm": write_pnm, "bmp": write_bmp, "tga": write_tga, "png": write_png, "sgi": write_sgi, "raw": write_raw}
 
 
 def decode(data: bytes, kind: str | None = None, limits: Limits = Limits(), incomplete: bool = False) -> list[Picture]:
     kind = kind or probe(data)
+    if kind in ("ico", "cur", "tiff"):
+        from rasterloom.sources import icons, tiff  # these build on this module
+
+        try:
+            return tiff.read_tiff(data, limits) if kind == "tiff" else icons.read_icons(data, limits)
+        except (struct.error, IndexError) as e:
+            raise ImageError(f"broken {kind} file: {e}") from None
     if kind not in READERS:
         raise ImageError(f"format '{kind}' not supported" if kind else "unable to determine the format")
     try:

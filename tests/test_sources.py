@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterloom.model import blank
-from rasterloom.sources import codecs, images
+from rasterloom.sources import codecs, icons, images, metadata, tiff
 from rasterloom.streaming import frames
 
 
@@ -33,6 +33,41 @@ def test_round_trips(p):
         assert np.array_equal(codecs.read_raw(codecs.write_raw(p), p.samples.shape[1], p.samples.shape[0], c, c).samples, p.samples)
 
 
+@settings(max_examples=40, deadline=None)
+@given(pictures(), st.booleans())
+def test_tiff_and_icons(p, packed):
+    got = codecs.decode(tiff.write_tiff([p, p], packed))
+    assert len(got) == 2 and all(np.array_equal(g.samples, p.samples) and g.bits == p.bits for g in got)
+    if p.bits == "8" and p.samples.shape[2] == 4:
+        for cursor in (False, True):
+            assert np.array_equal(codecs.decode(icons.write_icons([p], cursor))[0].samples, p.samples)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 40), st.integers(1, 255), st.integers(0, 999))
+def test_gif_frames(w, h, colours, seed):
+    rng = np.random.default_rng(seed)
+    palette = [tuple(map(int, c)) for c in rng.integers(0, 256, (colours, 3))]
+    index = rng.integers(0, colours + 1, (h, w, 1)) // rng.integers(1, 4)
+    p = codecs.decode(codecs.write_gif([codecs.Picture(index)] * 2, palette, loop=0, delay=7))
+    table = np.array([(*c, 255) for c in palette] + [(0, 0, 0, 0)])
+    shown = table[index[..., 0]]
+    assert len(p) == 2 and np.array_equal(p[0].samples[..., 3], shown[..., 3]) and np.array_equal(p[0].samples[shown[..., 3] > 0], shown[shown[..., 3] > 0])
+
+
+def test_metadata():
+    import struct
+
+    entries = struct.pack("<HHII", 271, 2, 4, 0x636261) + struct.pack("<HHII", 274, 3, 1, 6) + struct.pack("<HHII", 34665, 4, 1, 62)
+    data = b"II*\0" + struct.pack("<IH", 8, 3) + entries + b"\0" * 4
+    data = data.ljust(62, b"\0") + struct.pack("<HHHII", 1, 33437, 5, 1, 80) + b"\0" * 4 + struct.pack("<II", 28, 10)
+    assert metadata.exif(b"Exif\0\0" + data) == {"exif_make": "abc", "exif_orientation": "right_top", "exif_f_number": "2.8"}
+    with pytest.raises(codecs.ImageError):
+        metadata.exif(b"junk")
+    block = b"8BIM\x04\x04\0\0\0\0\0\x20" + b"\x1c\x02\x78\0\x05Hello" + b"\x1c\x02\x50\0\x02Me"
+    assert metadata.iptc(b"Photoshop 3.0\0" + block) == {"caption": "Hello", "photogr": "Me"} and metadata.iptc(b"") == {}
+
+
 def test_ascii_pnm():
     p = codecs.decode(b"P1\n# a remark\n2 2\n1 0\n0 1\n")[0]
     assert p.samples[..., 0].tolist() == [[0, 255], [255, 0]]
