@@ -343,6 +343,11 @@ def transform2(images: list[Raster], postfix: str | None = None, infix: str | No
     return Raster(px, w, h, channels)
 
 
+def transform(image: Raster, x: str, y: str, constants: dict[str, float] | None = None) -> Raster:
+    """Two postfix programs give each pixel's source place."""
+    return transform2([image], postfix=f"{x} {y} getp1", constants=constants)
+
+
 # Canned transforms: what each does, its constants and their usual values.
 CANNED = {
     "circleripple": ({"freq": 5, "depth": 10, "shadow": 20}, "x y cx cy distance !r @r freq / sin !s @s depth * @r + !q y cy - x cx - atan2 !a cx @a cos @q * + cy @a sin @q * + getp1 @s shadow + shadow 1 + / *"),

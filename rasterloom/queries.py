@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import model
-from rasterloom.functions import samples
+from rasterloom.functions import samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
 from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, procedural, quantize, stencil, text
@@ -343,9 +343,9 @@ def _tripped(kind: str):
     return f
 
 
-for _kind in ("pnm", "bmp", "tga", "png", "sgi"):
+for _kind in ("pnm", "bmp", "tga", "png", "sgi", "tiff"):
     add(f"file_{_kind}", _tripped(_kind), select("c0, c1, c2"))
-for _kind in ("tga", "png", "sgi"):
+for _kind in ("tga", "png", "sgi", "tiff", "ico", "cur"):
     add(f"file_{_kind}_alpha", _tripped(_kind), select("c0, c1, c2, c3", "a"), 4)
 add("probe_format", lambda r: images.probe_format(images.encoded(r, "png").select(F.col("image_id").cast("string").alias("path"), "content")), f"{BASE} select image_id::varchar as path, 'png' as format from p group by 1")
 
@@ -415,3 +415,18 @@ add("transform2_julia", lambda r: assembler.julia(r, maxcount=20))
 add("filter_by_name", lambda r: registry.apply(registry.apply(r, "hardinvert"), "contrast", intensity=0.5), select(each("trunc((255 - c@) * 0.5::double)::int")))
 add("text_boxes", lambda r: text.draw(r, "ab c", 5, 30, text.BlockFont(10), (1, 2, 3)), select(", ".join(f"case when y between 24 and 30 and (x between 5 and 8 or x between 10 and 13 or x between 20 and 23) then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("masked_view", lambda r: geometry.crop(r, left=25, top=25, width=30, height=20), f"{BASE} select image_id, y - 25 as y, x - 25 as x, c0, c1, c2 from p where x between 25 and 54 and y between 25 and 44")
+add("transform_legacy", lambda r: expression.transform(r, "x 2 *", "y 1 +"), f"{BASE} select o.image_id, o.y, o.x, {each('coalesce(q.c@, 0)')} from p o left join p q on q.image_id = o.image_id and q.x = o.x * 2 and q.y = o.y + 1")
+add("scale_x", lambda r: geometry.scale_axis(r, "x", 0.5))
+add("scale_y", lambda r: geometry.scale_axis(r, "y", 1.5))
+add("gaussian2", lambda r: stencil.gaussian2(r, 0, 2.0))
+add("pal_expand", lambda r: quantize.expand(quantize.closest(r, _PAL), _PAL), select(", ".join("case " + " ".join(f"when d{k} = least(d0, d1, d2, d3, d4) then {_PAL[k][c]}" for k in range(5)) + f" end as c{c}" for c in range(3)), "q", "q as (select *, " + ", ".join(f"{d} as d{k}" for k, d in enumerate(_D)) + " from p)"))
+
+
+def _tags_int(spark: SparkSession, folder: str) -> DataFrame:
+    made = tags.put(tags.add(F.array().cast(tags.KIND), "i_lines", F.col("p_size")), "brand", F.col("p_brand"))
+    parts = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", made.alias("t"))
+    return parts.select("p_partkey", tags.get_int(F.col("t"), "i_lines").alias("lines"), tags.get_int(F.col("t"), "brand").alias("brand"), F.size("t").alias("n"))
+
+
+QUERIES["tags_int"] = _tags_int
+SQL["tags_int"] = "select p_partkey, p_size::bigint as lines, 0::bigint as brand, 2 as n from part"

@@ -652,6 +652,10 @@ def decode(data: bytes, kind: str | None = None, limits: Limits = Limits(), inco
 
 
 def encode(p: Picture, kind: str, **options) -> bytes:
+    if kind in ("ico", "cur", "tiff"):
+        from rasterloom.sources import icons, tiff  # these build on this module
+
+        return tiff.write_tiff([p], **options) if kind == "tiff" else icons.write_icons([p], kind == "cur")
     if kind not in WRITERS:
         raise ImageError(f"format '{kind}' not supported for writing")
     return WRITERS[kind](p, **options)
