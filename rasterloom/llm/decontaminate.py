@@ -1,6 +1,6 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts are compared in lower case with every run of other than letters and digits as one space. A test item of n characters
+Texts are compared with folded case and every run of other than letters and digits as one space. A test item of n characters
 may differ by k = SHARE * n edits. It is split into k + 1 pieces, one of which must then occur exactly; an Aho-Corasick
 automaton finds all pieces of a block of items in one walk over a text. A hit is verified hierarchically: of the nodes over
 the hit's piece, one with l pieces must match within l - 1 edits, so pairs of pieces are tried first and chance hits end
@@ -40,17 +40,15 @@ SCHEMA = "doc_id long, item_id long, start long, end long, distance int"
 
 
 def normal(text: str) -> str:
-    return OTHER.sub(" ", text.lower()).strip()
+    return OTHER.sub(" ", text.casefold()).strip()
 
 
 def places(text: str) -> list[int]:
     """For each character of normal(text), where it stands in text; one more entry for the end."""
     lowered: list[int] = []
     for i, ch in enumerate(text):
-        lowered += [i] * len(ch.lower())
-    low = text.lower()
-    if len(low) != len(lowered):  # can't happen with today's case rules; offsets then stay those of the lowered text
-        lowered = list(range(len(low)))
+        lowered += [i] * len(ch.casefold())
+    low = text.casefold()
     out, at, stop = [], 0, len(low)
     for m in OTHER.finditer(low):
         out += lowered[at : m.start()]
