@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -64,6 +65,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that is kept doesn't hold what an earlier stage needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about most bytes of text; a longer text comes alone and whole."""
     for batch in batches:
@@ -76,14 +85,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(size, begun + most, side="right")))
             yield batch.slice(at, end - at)
             begun, at = int(size[end - 1]), end
+        give_back()
 
 
 _KEPT: dict[str, tuple[Any, Any]] = {}
 
 
 def kept(name: str, shared: Any, make: Callable[[Any], Any]) -> Any:
-    """In a Python worker: what make(shared.value) gave for this broadcast variable, made once and dropped for the next. The
-    variable is held along, so that no other can be taken for it."""
+    """In a Python worker: what make(shared.value) gave for this broadcast variable, made once and dropped for the next of
+    any name. The variable is held along, so that no other can be taken for it."""
     if name not in _KEPT or _KEPT[name][0] is not shared:
+        _KEPT.clear()
+        give_back()
         _KEPT[name] = (shared, make(shared.value))
     return _KEPT[name][1]

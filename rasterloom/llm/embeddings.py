@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut
+from rasterloom.llm.common import cut, give_back
 from rasterloom.llm.components import components, forest
 
 COSINE = 0.98
@@ -165,6 +165,9 @@ def _compare(tables: int, least: float):
             v, u = forest(*np.concatenate(edges, 1))
             both = np.concatenate([unique, v])
             yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.r_[total, np.zeros(len(v), np.int64)]), pa.array(np.r_[unique, u])], ["v", "links", "u"])
+        held.clear()
+        del table, rows, raw, x, code
+        give_back()
 
     return run
 

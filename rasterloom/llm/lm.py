@@ -19,7 +19,6 @@ are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, discard, remainder, slices, utf8
+from rasterloom.llm.common import cut, discard, give_back, remainder, slices, utf8
 
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 50.0
@@ -117,14 +116,6 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system, so that a worker that is kept doesn't hold what an earlier stage needed."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of a batch's texts (column 1), made in chunks."""
     parts, rows, done = [], [], 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, slices, utf8
+from rasterloom.llm.common import cut, give_back, slices, utf8
 from rasterloom.llm.components import components, forest
 
 SEED = 42
@@ -184,6 +184,9 @@ def _link(distance: int):
         if ends:
             v, u = forest(np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
+        ends.clear()
+        del cell, rep, fp
+        give_back()
 
     return run
 
