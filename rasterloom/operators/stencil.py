@@ -95,13 +95,11 @@ def bumpmap(r: Raster, bump: Raster, channel: int, light_x: int, light_y: int, r
     edge = lambda c, size: (c < reach) | (c >= size - reach)
     slope = bump.px.select(*KEYS, (_at(n, reach, "x") - _at(n, -reach, "x")).alias("gx"), (_at(n, reach, "y") - _at(n, -reach, "y")).alias("gy"))
     px = r.px.join(slope, KEYS, "left")
-    dx, dy = F.abs(F.col("x") - light_x), F.abs(F.col("y") - light_y)
     nx, ny = F.abs(F.col("gx") + (F.col("x") - light_x)), F.abs(F.col("gy") + (F.col("y") - light_y))
     far = max(light_x, r.width - light_x) ** 2 + max(light_y, r.height - light_y) ** 2
     z = F.lit(2.0) - 2.0 * F.sqrt((nx * nx + ny * ny).cast("double")) / F.lit(float(far) ** 0.5)
     z = F.least(F.greatest(z, F.lit(0.0)), F.lit(2.0))
     outside = edge(F.col("x"), r.width) | edge(F.col("y"), r.height) | F.col("gx").isNull() | F.col("gy").isNull()
-    del dx, dy
     return r.with_px(px).project({c: F.when(outside, F.lit(0)).otherwise(clamp((F.col(c) * z).cast("int"))) for c in r.names})
 
 
