@@ -9,8 +9,9 @@ there; the root decides on the whole item. All distances are Myers' bit-parallel
 Items are never gathered beyond a block: blocks hold about BLOCK_CHARS characters, chosen by hash, and each goes over all
 documents.
 
-Defined cases: null texts are empty; items without letters or digits match nothing; items of under LEAST characters only
-match documents whose whole text equals theirs; items with equal texts each give their rows; an occurrence that several
+Defined cases: null texts are empty; items without letters or digits match nothing; items of under LEAST characters
+match exactly or not at all, inside texts on word bounds (inside=True, as the query and the pipeline do) or only whole texts;
+items with equal texts each give their rows; an occurrence that several
 diagonals find is one row; a null id is kept as null; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from rasterloom.llm.common import kept, slices
 
 #: Edits allowed, as a share of an item's characters.
 SHARE = 0.1
-#: Shorter items only match whole texts.
+#: Shorter items are only matched without edits.
 LEAST = 24
 #: About so many characters of items are held by a task at once.
 BLOCK_CHARS = 400_000
@@ -134,13 +135,13 @@ class Item:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int | None, str]], share: float):
+    def __init__(self, items: list[tuple[int | None, str]], share: float, inside: bool = False):
         by_text = defaultdict(list)
         for ident, text in items:
             if text:
                 by_text[text].append(ident)
-        self.whole = {t: ids for t, ids in by_text.items() if len(t) < LEAST}
-        self.items = [(Item(t, share), ids) for t, ids in by_text.items() if len(t) >= LEAST]
+        self.whole = {t: ids for t, ids in by_text.items() if len(t) < LEAST and not inside}
+        self.items = [(Item(t, share if len(t) >= LEAST else 0), ids) for t, ids in by_text.items() if t not in self.whole]
         pieces = defaultdict(list)
         for k, (item, _) in enumerate(self.items):
             for leaf, (a, b) in enumerate(zip(item.cuts[:-1], item.cuts[1:], strict=True)):
@@ -161,6 +162,8 @@ class Matcher:
         for last, (length, where) in self.automaton.iter(text):
             for k, leaf, offset in where:
                 item, diagonal = self.items[k][0], last + 1 - length - offset
+                if len(item.text) < LEAST and (text[max(0, diagonal - 1) : diagonal].strip() or text[last + 1 : last + 2].strip()):
+                    continue
                 # a verified occurrence covers the diagonals around it; a failed node needn't be tried again
                 if any(abs(diagonal - s) <= item.budget for s, _, _ in found.get(k, ())):
                     continue
@@ -180,15 +183,15 @@ class Matcher:
         return out
 
 
-def _matcher(shared, share: float) -> Matcher:
-    return kept(f"matcher {share}", shared, lambda items: Matcher(items, share))
+def _matcher(shared, share: float, inside: bool) -> Matcher:
+    return kept(f"matcher {share} {inside}", shared, lambda items: Matcher(items, share, inside))
 
 
-def _matches(docs: DataFrame, items: list[tuple[int | None, str]], share: float) -> DataFrame:
+def _matches(docs: DataFrame, items: list[tuple[int | None, str]], share: float, inside: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # a block, of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, share)
+        matcher = _matcher(shared, share, inside)
         for batch in slices(batches):
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -210,17 +213,17 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
         yield [(r.item_id, normal(r.text)) for r in items.where(block == k).collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = False) -> DataFrame:
     """(doc_id, item_id, start, end, distance): every occurrence of an item in a document, in characters of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return reduce(DataFrame.unionByName, [_matches(docs, items, share) for items in _blocks(benchmark, block_chars)])
+    return reduce(DataFrame.unionByName, [_matches(docs, items, share, inside) for items in _blocks(benchmark, block_chars)])
 
 
-def _without(docs: DataFrame, items: list[tuple[int | None, str]], share: float) -> DataFrame:
+def _without(docs: DataFrame, items: list[tuple[int | None, str]], share: float, inside: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, share)
+        matcher = _matcher(shared, share, inside)
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not matcher.find(normal(t or "")) for t in texts]))
@@ -228,10 +231,10 @@ def _without(docs: DataFrame, items: list[tuple[int | None, str]], share: float)
     return docs.mapInArrow(run, docs.schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = False) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    return reduce(lambda rows, items: _without(rows, items, share), _blocks(benchmark, block_chars), docs)
+    return reduce(lambda rows, items: _without(rows, items, share, inside), _blocks(benchmark, block_chars), docs)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)

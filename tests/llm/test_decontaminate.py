@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import numpy as np
@@ -74,3 +75,14 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "text")], "item_id long, text string")
     assert d.matches(docs.limit(0), items).collect() == [] and d.matches(docs, items.limit(0)).collect() == []
     assert [tuple(r) for r in d.matches(docs, items).collect()] == [(1, 1, 0, 4, 0)]
+
+
+def test_short_items_inside_texts(spark, tmp_path):
+    texts = ["a tiny one here", "a tiny ones", "destiny one", "Tiny, ONE!", "so: tiny one.", "tiny onx", "问题。这是一个完整的中文句子吗？是的。"]
+    items = [(50, "Tiny one"), (51, "..."), (54, "这是一个完整的中文句子吗？")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, d.op4_decontaminate(spark, str(tmp_path)).collect()))
+    assert got == [(0, 50, 2, 10, 0), (3, 50, 0, 9, 0), (4, 50, 4, 12, 0), (6, 54, 3, 15, 0)]
+    left = importlib.import_module("corpus_pipeline").drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
