@@ -20,6 +20,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,9 +156,8 @@ ENDS = re.compile(r"[.!?](?:\s|$)")
 
 def shape(block: Block) -> list[float]:
     n = len(block.text)
-    head = block.text[:4000]
     return [
-        1.0, block.within, block.inside, block.outside and not block.within, min(1.0, block.linked / n), min(6.0, np.log1p(n)) / 6, min(3, len(ENDS.findall(head))) / 3,
+        1.0, block.within, block.inside, block.outside and not block.within, min(1.0, block.linked / n), min(6.0, np.log1p(n)) / 6, sum(1 for _ in islice(ENDS.finditer(block.text), 3)) / 3,
         block.tag in HEADING, block.tag in ("p", "blockquote", "pre"), block.tag in ("li", "td", "th", "dt", "dd"),
     ]
 

@@ -48,3 +48,8 @@ def test_smoothing_decides_doubtful_blocks():
 def test_classifier_on_other_layouts():
     x, y = html.made_up(77, 100)
     assert ((x @ np.array(html.weights()) > 0) == (y > 0)).mean() > 0.93
+
+
+def test_sentences_late_in_a_block():
+    block = html.blocks("<p>" + "verse without an end " * 300 + "One is here. Two is here. Three is here.</p>")[0]
+    assert html.shape(block)[html.FEATURES.index("sentences")] == 1
