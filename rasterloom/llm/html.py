@@ -8,7 +8,8 @@ whose own capacity outweighs all their edges are settled first, which is exact;
 
 Defined cases: a null or empty html, or one without text, has empty text; whole pages are read, whatever their length;
 ``<br>`` and tags between words of one block are white space or nothing as in browsers; unclosed elements end with their
-parents; scripts, styles, comments and the head are never text; a null page_id or url and repeated rows stay; other columns
+parents; scripts, styles, comments, titles and what stands in a template, iframe or textarea that is closed are never
+text, an unclosed script or style runs to the page's end; a null page_id or url and repeated rows stay; other columns
 are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title|math)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|iframe|textarea|title)\b[^>]*?(?:/>|>.*?</\1\s*>)|<(?:script|style)\b[^>]*>.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = frozenset("html head body p div section article main aside nav header footer ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend label button select option h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr address details summary dialog menu center".split())

@@ -53,3 +53,14 @@ def test_classifier_on_other_layouts():
 def test_sentences_late_in_a_block():
     block = html.blocks("<p>" + "verse without an end " * 300 + "One is here. Two is here. Three is here.</p>")[0]
     assert html.shape(block)[html.FEATURES.index("sentences")] == 1
+
+
+def test_only_scripts_and_the_like_are_dropped():
+    words = lambda page: " ".join(b.text for b in html.blocks(page))
+    assert words("<p>so <math><mi>x</mi>=<mn>2</mn></math> holds</p>") == "so x=2 holds"
+    assert words("<noscript><p>a</p></noscript><object>b</object><svg><text>c</text></svg>") == "a bc"
+    for tag in ("object", "svg", "math", "noscript", "template", "iframe", "textarea", "title"):
+        assert words(f"<p>one</p><{tag} id=x><p>two</p>") == "one two"
+    for tag in ("script", "style", "template", "iframe", "textarea", "title"):
+        assert words(f"<p>one</p><{tag} id=x>no</{tag}><p>two</p>") == "one two"
+    assert words("<p>one</p><script>let a = 1") == "one"
