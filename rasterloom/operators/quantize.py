@@ -131,6 +131,8 @@ def transparent(r: Raster, how: str = "threshold", threshold: int = 128, table:
     a = F.col(r.names[-1])
     if how == "threshold":
         return a < threshold
+    if how != "ordered":
+        raise ValueError(f"no transparency method {how!r}")
     flat = [v for row in (table or ordered_map()) for v in row]
     return a <= F.element_at(F.array(*map(F.lit, flat)), (F.col("y") % 8) * 8 + F.col("x") % 8 + 1)
 

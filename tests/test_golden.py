@@ -244,3 +244,9 @@ def test_pixels_in_and_out(spark):
     with pytest.raises(ValueError, match="different number"):
         joins.difference(r, blank(spark, 3, 2, 3))
     assert only(procedural.by_place(blank(spark, 2, 2, 1), lambda x, y: [x * 0 + 3])) == (3,)
+
+
+def test_unknown_transparency_is_an_error(spark):
+    r = Raster(spark.createDataFrame([(0, 0, 0, 1, 2, 3, 4)], "image_id long, y int, x int, c0 int, c1 int, c2 int, c3 int"), 1, 1, 4, "8")
+    with pytest.raises(ValueError):
+        quantize.to_paletted(r, [(0, 0, 0)], transparency="errdiff")
