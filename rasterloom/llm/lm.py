@@ -1,26 +1,37 @@
-"""LM scoring: a hierarchical Pitman-Yor bigram model.
-
-Every word has a restaurant for what follows it; all of them share one parent, the unigram restaurant, whose own parent is
-uniform over the training words and one unknown. Customers of a context's restaurant are the training bigrams, customers of
-the parent are the contexts' tables. Seatings are sampled by Gibbs sweeps: each dish of a restaurant is seated anew given
-all other tables, by drawing its customers' seats in order of arrival (two candidates, kept in proportion to the weights that
-the order leaves). Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN.
-
-At scale, contexts are dealt to buckets by hash, and the contexts that hold over half a bucket's share are spread over all
-buckets by their next word. A bucket samples with its own copy of the parent (its share of the tables); the copies' table
-counts are then summed word by word, the unigram restaurant is seated from the sums, and each bucket gets the words that it
-needs. Nothing but a few totals and the spread contexts (at most twice as many as buckets) passes the driver. Rows between
-tasks are packed arrays; words are 64-bit hashes.
-
-Defined cases: a null or wordless text is one end token; rows that share a doc_id are parts of one document and give one row
-(null is such an id too); without training text every word is unknown; an empty table gives an empty result; other columns
-are ignored.
+"""LM scoring: a hierarchical Pitman-Yor trigram model.
+
+Restaurants: one for each two words (what follows them), one for each word, and one for all words; the parent of a
+restaurant drops the context's first word, and the root's parent is uniform over the training words and one unknown. The
+customers of a two-word restaurant are the training trigrams; those of any other restaurant are its children's tables.
+
+Seatings are sampled by Gibbs sweeps over the levels in turn, all restaurants of a level at once given the level above.
+A restaurant's dishes depend on each other only through its number of tables; with x ~ Gamma(strength / discount + tables)
+drawn for each restaurant, they are independent, and a table of dish w weighs discount * x * parent(w). All customers of a
+dish are then unseated and seated anew at once: its number of tables t has probability S(c, t) * (weights of its tables),
+with S the generalised Stirling numbers, which at the discount 1/2 of all levels grow by 4 (c - t) / ((2c - t - 1) t) from t
+to t + 1. A table's weight is taken with the dish's own tables removed from the parent and put back one by one. Of dishes
+with over WINDOW customers, t is drawn in a window of that width that lies at random around the present t, which leaves the
+same law unchanged. Predictive probabilities are averaged over some sweeps after a burn-in. Random numbers are hashes of
+the context, the dish and the sweep, and all counts that restaurants share are exchanged in every sweep: the scores don't
+depend on how the data are dealt.
+
+At scale: texts are cut into slices, tables of packed word numbers. A slice sends its distinct trigrams to buckets by their
+middle word (middle and last word where that middle word alone has more than a bucket's share), so that a two-word and its
+one-word restaurant lie in one bucket. Between sweeps buckets keep only dishes with two customers or more; the others have
+one table. Owners of words sum the tables that buckets report, seat the root and answer; they also sum the tables of
+restaurants that lie in several buckets. In the end buckets answer each slice's trigrams with averaged probabilities, and
+the slice adds them up by document. Sizes of slices and buckets are bounded by bytes of text, their numbers are not. The
+driver gets totals and the middle words that are split (fewer than buckets).
+
+Defined cases: every row gives a row, repeated rows and ids too, and a null id stays null; a null or wordless text is one end
+token; a very long text is a slice of its own and needs some 100 bytes of memory for each of its tokens; equal counts need
+no order; without training text every word is unknown; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +41,19 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, discard, give_back, remainder, slices, utf8
 
-DISCOUNT, STRENGTH = 0.8, 2.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 50.0
-BURN_IN, SAMPLES = 2, 3
-#: From so many customers of a dish on, seats are drawn in groups of 1/64 of those seated.
-SINGLY = 256
-#: Bytes of text that a bucket should get at most.
-BUCKET_BYTES = 9 << 20
-#: Words and documents are summed in at most so many parts, as each bucket sends a row to each.
-OWNERS = 1_024
-#: Bytes of text that are tokenised, and paired, at once.
+DISCOUNT = 0.5
+#: Of the root, of one-word and of two-word restaurants.
+STRENGTH = (50.0, 2.0, 1.0)
+BURN_IN, SAMPLES = 3, 3
+#: Numbers of tables that one draw weighs against each other at most.
+WINDOW = 256
+#: Bytes of text for a bucket, on average, and for one at small sizes, where all tasks should have some.
+BUCKET_BYTES, BUCKET_LEAST = 16 << 20, 1 << 20
+#: Bytes of text that are tokenised, and dealt, at once.
 CHUNK, SLICE = 2 << 20, 12 << 20
-NONE = -(1 << 63)
 
 END = np.uint64(0x9AE16A3B2F90404F)
+ALONE = np.uint64(0x77)  # tells the hash of a one-word context from that of the word
 BASE = 0x5851F42D4C957F2D
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -51,6 +61,8 @@ BYTES = np.random.default_rng(20).integers(1, 2**63, 256).astype(np.uint64) * np
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+Arrays = dict[str, np.ndarray]
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,6 +70,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mixed(a * np.uint64(3) + b)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     out[1:] = base & 2**64 - 1
@@ -68,7 +85,7 @@ _POWERS: list[np.ndarray] = []
 
 
 def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts in order, each text's end included, and the tokens' texts (row numbers)."""
+    """Hashes of all tokens of the texts in order, each text's end included, and the number of tokens of each text."""
     n = len(raw)
     if not _POWERS or len(_POWERS[0]) < n + 1:
         _POWERS[:] = [powers(BASE, max(n + 1, CHUNK + 1)), powers(pow(BASE, -1, 2**64), max(n + 1, CHUNK + 1))]
@@ -77,9 +94,8 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word[1:-1] = ~SPACE[low]
     flips = word[1:] != word[:-1]
     # texts end words, too
-    inner = off[1:-1]
     touch = np.zeros(n + 1, bool)
-    touch[inner] = True
+    touch[off[1:-1]] = True
     touch &= word[1:] & word[:-1]
     starts = np.flatnonzero((flips & word[1:]) | touch)
     ends = np.flatnonzero((flips & word[:-1]) | touch)
@@ -88,18 +104,17 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = mixed((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     row = np.searchsorted(off, starts, side="right") - 1
     count = np.bincount(row, minlength=len(off) - 1)
-    place = np.arange(len(words)) + row
     out = np.full(len(words) + len(count), END, np.uint64)
-    out[place] = words
-    return out, np.repeat(np.arange(len(count)), count + 1)
+    out[np.arange(len(words)) + row] = words
+    return out, count + 1
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes: whole numbers in the least width, rising hashes ("_word", "_vocab") as differences, all
-    cut into planes of first bytes, second bytes and so on."""
+    """Arrays as compressed bytes: whole numbers in the least width, rising hashes ("_word") as differences, all cut into
+    planes of first bytes, second bytes and so on."""
     out = {}
     for name, x in arrays.items():
-        if name in ("_word", "_vocab"):
+        if name == "_word":
             x = np.diff(x, prepend=np.uint64(0))
         elif x.dtype.kind in "iu" and name[0] != "_":
             x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
@@ -107,24 +122,31 @@ def pack(**arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def unpack(data: bytes) -> Arrays:
     out = {}
     for name, (kind, raw) in pickle.loads(zstandard.ZstdDecompressor().decompress(data)).items():
-        size = np.dtype(kind).itemsize
-        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-        out[name] = np.cumsum(x) if name in ("_word", "_vocab") else x
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+        out[name] = np.cumsum(x) if name == "_word" else x.astype(np.int64) if x.dtype.kind in "iu" and name[0] != "_" else x
     return out
 
 
-def _chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of a batch's texts (column 1), made in chunks."""
-    parts, rows, done = [], [], 0
-    for piece in slices([batch], "text", CHUNK):
-        t, r = tokens(*utf8(piece.column(1)))
-        parts.append(t)
-        rows.append((r + done).astype(np.int32))
-        done += piece.num_rows
-    return np.concatenate(parts), np.concatenate(rows)
+#: What passes between tasks: rows of a kind, for a part (a bucket, an owner or a slice), from a source.
+SCHEMA = "kind int, part long, source long, data binary"
+SLICE_ROW, WORDS, COUNTS, TOTALS, GRAMS, STATE, KEYS, TABLES, ROOT, ANSWER, CHANCES = range(11)
+Row = tuple[int, int, int, bytes]
+
+
+def _table(rows: list[Row]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.binary()])], ["kind", "part", "source", "data"])
+
+
+def _got(group: pa.Table) -> dict[int, list[tuple[int, Arrays]]]:
+    """A group's rows by kind, in order of their sources."""
+    out: dict[int, list[tuple[int, Arrays]]] = {}
+    columns = (group.column(k).to_pylist() for k in ("kind", "source", "data"))
+    for kind, source, data in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
+        out.setdefault(kind, []).append((source, unpack(data)))
+    return out
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -135,326 +157,506 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
 
 
-def by_owner(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of words by owning part, words rising in it, and where each part begins."""
-    owner = (words >> np.uint64(20)) % np.uint64(parts)
-    order = np.lexsort((words, owner))
-    return order, np.searchsorted(owner[order], np.arange(parts + 1, dtype=np.uint64))
+def by_owner(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The owners of rising hashes, each with the places of its own."""
+    owner = (hashes >> np.uint64(20)) % np.uint64(parts)
+    order = np.argsort(owner, kind="stable")
+    at = np.searchsorted(owner[order], np.arange(parts + 1, dtype=np.uint64))
+    yield from ((k, order[a:b]) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    source = TaskContext.get().partitionId() << 32
+    for batch in slices(batches, most=SLICE):
+        got = [tokens(*utf8(piece.column(1))) for piece in slices([batch], "text", CHUNK)]
+        vocab, ids = np.unique(np.concatenate([t for t, _ in got]), return_inverse=True)
+        known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        doc = batch.column(0).fill_null(0).to_numpy()
+        learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        data = pack(_word=vocab, ids=ids, length=np.concatenate([n for _, n in got]), _doc=doc, known=known.astype(np.uint8), learn=learn.astype(np.uint8))
+        yield from _table([(SLICE_ROW, source, source, data)]).to_batches()
+        source += 1
+        del got, vocab, ids
+        give_back()
+
 
+def _counts(parts: int):
+    """Of each slice, its words and their training counts, to their owners."""
 
-def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            t, row = _chunks(batch)
-            learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            words, n = summed(t, learn[row].astype(np.int64))
-            words, n = words[n > 0], n[n > 0]
-            order, at = by_owner(words, parts)
-            yield _rows([(1, k, -1, pack(_word=words[order[a:b]], n=n[order[a:b]])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
-            del t, row, learn, words, n, order
+        for batch in batches:
+            for source, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                m = unpack(data)
+                n = np.bincount(m["ids"], np.repeat(m["learn"], m["length"]), len(m["_word"])).astype(np.int64)
+                yield from _table([(WORDS, k, source, pack(_word=m["_word"][at], n=n[at])) for k, at in by_owner(m["_word"], parts)]).to_batches()
             give_back()
 
     return run
 
 
-SCHEMA = "kind int, part int, source int, data binary"
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int32(), pa.int32(), pa.binary()])], ["kind", "part", "source", "data"])
+def _counted(group: pa.Table) -> pa.Table:
+    """An owner's words and counts (those in training), its totals, and each slice's answer."""
+    part, asked = group.column("part")[0].as_py(), _got(group)[WORDS]
+    words, n = summed(np.concatenate([x["_word"] for _, x in asked]), np.concatenate([x["n"] for _, x in asked]))
+    rows = [(COUNTS, source, part, pack(n=n[np.searchsorted(words, x["_word"])])) for source, x in asked]
+    words, n = words[n > 0], n[n > 0]
+    return _table([*rows, (WORDS, part, part, pack(_word=words, n=n)), (TOTALS, part, part, pack(_total=np.array([n.sum(), len(n)])))])
 
 
-def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_batches([_rows(rows)])
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            a, b = unpack(data)["_total"]
+            yield pa.RecordBatch.from_arrays([pa.array([int(a)]), pa.array([int(b)])], ["a", "b"])
 
 
-def _counted(group: pa.Table) -> pa.Table:
-    """One row of kind 0 with a part's words and counts, and one of kind 1 with its totals."""
-    got = [unpack(x) for x in group.column("data").to_pylist()]
-    words, n = summed(np.concatenate([x["_word"] for x in got]), np.concatenate([x["n"].astype(np.int64) for x in got]))
-    part = group.column("part")[0].as_py()
-    return _table([(0, part, -1, pack(_word=words, n=n)), (1, part, -1, pack(_total=np.array([n.sum(), len(n)])))])
+def totals(rows: DataFrame) -> tuple[int, int]:
+    """Sums of the two totals that the owners tell."""
+    a, b = rows.where(F.col("kind") == TOTALS).select("data").mapInArrow(_totals, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
+    return a or 0, b or 0
 
 
-def _hot(least: float):
+def _large(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                got = unpack(data)
-                big = got["n"] > least
-                yield pa.RecordBatch.from_arrays([pa.array(got["_word"][big].view(np.int64)), pa.array(got["n"][big].astype(np.int64))], ["word", "n"])
+                m = unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(m["_word"][m["n"] > least].view(np.int64))], ["word"])
 
     return run
 
 
-def _pairs(parts: int, hot: np.ndarray):
+def codes(a: np.ndarray, b: np.ndarray, c: np.ndarray, names: int) -> np.ndarray:
+    """Numbers in the order of (a, b, c), each under names."""
+    if names**3 < 1 << 63:
+        return (a * names + b) * names + c
+    pairs, inverse = np.unique(a * names + b, return_inverse=True)
+    return inverse * names + c
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def trigrams(m: Arrays, parts: int, split: np.ndarray) -> tuple[Arrays, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of a slice: its distinct trigrams (u, v, w, training count c) as numbers of its words, each token's trigram, and the
+    trigrams of each bucket, in order of (v, w, u)."""
+    w, length, names = m["ids"], m["length"], len(m["_word"])
+    end = int(np.searchsorted(m["_word"], END))
+    starts = np.cumsum(length) - length
+    v = np.r_[end, w[:-1]]
+    u = np.r_[end, v[:-1]]
+    u[starts] = end
+    keys = codes(v, w, u, names)
+    order = np.argsort(keys)
+    new = runs(keys[order])
+    del keys
+    first = order[np.flatnonzero(new)]
+    which = np.empty(len(w), np.int64)
+    which[order] = np.cumsum(new) - 1
+    c = np.bincount(which, np.repeat(m["learn"], length), len(first)).astype(np.int64)
+    u, v, w = u[first], v[first], w[first]
+    word = m["_word"]
+    apart = np.isin(word, split)[v] if len(split) else np.zeros(len(v), bool)
+    part = mixed(word ^ np.uint64(0x55))[v]
+    part[apart] = joined(word[v[apart]], word[w[apart]])
+    part = (part >> np.uint64(11)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    return {"u": u, "v": v, "w": w, "c": c}, which, [(k, order[a:b]) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+
+
+def _deal(parts: int, split: np.ndarray):
+    """Of each slice, its distinct trigrams, to their buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            w, row = _chunks(batch)
-            u = np.r_[END, w[:-1]]  # a text's first context is the end before it
-            both = mixed(u * np.uint64(3) + w)
-            spread = np.isin(u, hot) if len(hot) else np.zeros(len(u), bool)
-            part = (np.where(spread, both, mixed(u ^ np.uint64(0x55))) >> np.uint64(11)) % np.uint64(parts)
-            # in order of part, context and word: a pair's tokens come together, and contexts rise
-            order = np.argsort((part << np.uint64(48)) | (u >> np.uint64(40) << np.uint64(24)) | (w >> np.uint64(40)), kind="stable")
-            del both, spread
-            u, w, row, part = u[order], w[order], row[order], part[order].astype(np.uint16)
-            del order
-            new_pair = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
-            new_post = new_pair | np.r_[True, row[1:] != row[:-1]]
-            first, post = np.flatnonzero(new_pair), np.flatnonzero(new_post)
-            times = np.diff(np.r_[post, len(u)])
-            posts = np.diff(np.r_[np.searchsorted(post, first), len(post)])
-            u, w, part, row = u[first], w[first], part[first], row[post]
-            del first, post, new_pair, new_post
-            at, end = np.searchsorted(part, np.arange(parts + 1)), np.cumsum(np.r_[0, posts])
-            ids = np.array([NONE if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            out = []
-            for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                if b > a:
-                    vocab, inverse = np.unique(np.concatenate([u[a:b], w[a:b]]), return_inverse=True)
-                    docs, doc = np.unique(row[end[a] : end[b]], return_inverse=True)
-                    out.append((0, k, -1, pack(_vocab=vocab, u=inverse[: b - a], w=inverse[b - a :], posts=posts[a:b], doc=doc, times=times[end[a] : end[b]], _ids=ids[docs], learn=learn[docs].astype(np.uint8))))
-            del u, w, row, part, posts, times, end
-            yield _rows(out)
-            give_back()
+        for batch in batches:
+            for source, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                m = unpack(data)
+                g, _, dealt = trigrams(m, parts, split)
+                number = np.zeros(len(m["_word"]), np.int64)
+                rows = []
+                for k, at in dealt:
+                    here = {x: g[x][at] for x in "uvwc"}
+                    used = np.zeros(len(number), bool)
+                    for x in "uvw":
+                        used[here[x]] = True
+                    names = np.flatnonzero(used)
+                    number[names] = np.arange(len(names))
+                    rows.append((GRAMS, k, source, pack(_word=m["_word"][names], c=here["c"], **{x: number[here[x]] for x in "uvw"})))
+                del m, g, dealt
+                yield from _table(rows).to_batches()
+                give_back()
 
     return run
 
 
-def seat(c: np.ndarray, strength: np.ndarray, p: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of dishes with c customers each, given strength + discount * (tables of other dishes) and the
-    parent's probability: customers sit down in order, and of two candidates one is kept by weight."""
-    best = None
-    order = np.argsort(-c, kind="stable")
-    c, strength, p = c[order], strength[order], p[order]
-    for _ in range(2):
-        t, weight = np.ones(len(c)), np.zeros(len(c))
-        n, active = 1, int(np.searchsorted(-c, -1))
-        while active:
-            step = 1 if n < SINGLY else n // 64
-            now = t[:active]
-            new = (strength[:active] + discount * now) * p[:active]
-            room = new + n - discount * now
-            if step == 1:
-                weight[:active] += np.log(room)
-                now += rng.random(active) * room < new
-            else:
-                size = np.minimum(step, c[:active] - n)
-                weight[:active] += size * np.log(room)
-                now += rng.binomial(size, np.minimum(1.0, new / room))
-            n += step
-            active = int(np.searchsorted(-c, -n))
-        if best is None:
-            best, kept = t, weight
-        else:
-            take = rng.random(len(c)) * (1 + np.exp(np.clip(kept - weight, -50, 50))) < 1
-            best = np.where(take, t, best)
+def bucket(asked: list[tuple[int, Arrays]], split: np.ndarray) -> Arrays:
+    """What a bucket makes of its slices' trigrams: distinct words (word); trigrams (u, v, w numbers of words, c; pair and
+    context numbers) in order of (v, w, u); of pairs v and w, of contexts u and v; what is shared with other buckets."""
+    word = np.unique(np.concatenate([x["_word"] for _, x in asked]))
+    at = [np.searchsorted(word, x["_word"]) for _, x in asked]
+    u, v, w = (np.concatenate([n[x[k]] for n, (_, x) in zip(at, asked, strict=True)]) for k in "uvw")
+    keys = codes(v, w, u, len(word))
+    order = np.argsort(keys)
+    new = runs(keys[order])
+    first, group = order[np.flatnonzero(new)], np.cumsum(new) - 1
+    which = np.empty(len(keys), np.int64)
+    which[order] = group
+    c = np.bincount(group, np.concatenate([x["c"] for _, x in asked])[order], len(first)).astype(np.int64)
+    del keys, order, new, group
+    u, v, w = u[first], v[first], w[first]
+    new = runs(v, w)
+    contexts, context = np.unique(u * len(word) + v, return_inverse=True)
+    return {"word": word, "u": u, "v": v, "w": w, "c": c, "pair": np.cumsum(new) - 1, "pair_v": v[new], "pair_w": w[new], "context": context, "context_u": contexts // len(word), "context_v": contexts % len(word), "apart": np.isin(word, split), "which": which, "sizes": np.array([len(x["c"]) for _, x in asked])}
+
+
+def context_hash(word: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return joined(word[u] ^ np.uint64(0x3C), word[v])
+
+
+def shared(b: Arrays) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of a bucket: its words, those that are split contexts, and its contexts with a split middle word, by number; and the
+    order in which the hashes of all these rise."""
+    split2, split3 = np.flatnonzero(b["apart"]), np.flatnonzero(b["apart"][b["context_v"]])
+    keys = np.concatenate([b["word"], mixed(b["word"][split2] ^ ALONE), context_hash(b["word"], b["context_u"][split3], b["context_v"][split3])])
+    order = np.argsort(keys)
+    return [keys[order], split2, split3], order
+
+
+def counted(at: np.ndarray, weights: np.ndarray | None, size: int) -> np.ndarray:
+    return np.bincount(at, weights, size).astype(np.int64)
+
+
+def _begin(owners: int, split: np.ndarray):
+    """A bucket's first state, and what it shares: for words, pairs with one table for good; for restaurants that lie in
+    several buckets, tables and customers that are there for good. core: whether more may come from sweeps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, b = group.column("part")[0].as_py(), bucket(_got(group)[GRAMS], split)
+        word, c, many = b["word"], b["c"], b["c"] > 1
+        pairs, contexts, names = len(b["pair_v"]), len(b["context_u"]), len(word)
+        ones, more = counted(b["pair"][c == 1], None, pairs), counted(b["pair"][many], None, pairs)
+        core, plain = ones + 2 * more > 1, ones + 2 * more == 1
+        core3, core2 = counted(b["context"][many], None, contexts) > 0, counted(b["pair_v"][core], None, names) > 0
+        fixed3, fixed2 = counted(b["context"][c == 1], None, contexts), counted(b["pair_v"][plain], None, names)
+        (keys, split2, split3), order = shared(b)
+        a = np.concatenate([counted(b["pair_w"][plain], None, names), fixed2[split2], fixed3[split3]])[order]
+        z = np.concatenate([np.zeros(names, np.int64), fixed2[split2], counted(b["context"], c, contexts)[split3]])[order]
+        is_core = np.concatenate([counted(b["pair_w"][core], None, names) > 0, core2[split2], core3[split3]])[order]
+        is_word = np.repeat([True, False], [names, len(split2) + len(split3)])[order]
+        rows = [(KEYS, k, part, pack(_word=keys[at], a=a[at], z=z[at], is_word=is_word[at].view(np.uint8), core=is_core[at].view(np.uint8))) for k, at in by_owner(keys, owners)]
+        # the state has the core's own words, pairs and contexts only
+        kept_pairs, kept_contexts, dish = np.flatnonzero(core), np.flatnonzero(core3), np.flatnonzero(many)
+        used = np.zeros(names, bool)
+        used[b["pair_v"][kept_pairs]] = used[b["pair_w"][kept_pairs]] = used[b["context_u"][kept_contexts]] = True
+        kept_words = np.flatnonzero(used)
+        number = lambda kept, size: np.bincount(kept, np.arange(len(kept)), size).astype(np.int64)
+        of_word, of_pair, of_context = number(kept_words, names), number(kept_pairs, pairs), number(kept_contexts, contexts)
+        state = {
+            "_word": word[kept_words], "apart": b["apart"][kept_words].astype(np.int64), "fixed2": fixed2[kept_words],
+            "pair_v": of_word[b["pair_v"][kept_pairs]], "pair_w": of_word[b["pair_w"][kept_pairs]], "ones": ones[kept_pairs],
+            "context_u": of_word[b["context_u"][kept_contexts]], "context_v": of_word[b["context_v"][kept_contexts]], "fixed3": fixed3[kept_contexts],
+            "pair": of_pair[b["pair"][dish]], "context": of_context[b["context"][dish]], "c": c[dish], "t3": np.ones(len(dish), np.int64), "t2": np.ones(len(kept_pairs), np.int64),
+        }
+        del b
+        rows += [(STATE, part, part, pack(**state)), *reported(part, owners, state)]
+        give_back()
+        return _table(rows)
+
+    return run
+
+
+def core_keys(s: Arrays) -> tuple[list[np.ndarray], np.ndarray]:
+    """As shared(), of what the state's sweeps change: hashes, words that are dishes, split contexts of one and of two words."""
+    word, names = s["_word"], len(s["_word"])
+    dishes, split2 = np.flatnonzero(counted(s["pair_w"], None, names)), np.flatnonzero(s["apart"] * counted(s["pair_v"], None, names))
+    split3 = np.flatnonzero(s["apart"][s["context_v"]])
+    keys = np.concatenate([word[dishes], mixed(word[split2] ^ ALONE), context_hash(word, s["context_u"][split3], s["context_v"][split3])])
+    order = np.argsort(keys)
+    return [keys[order], dishes, split2, split3], order
+
+
+def changing(s: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As far as sweeps change them: tables of two-word contexts, tables and customers of one-word ones; customers of pairs."""
+    names = len(s["_word"])
+    c2 = s["ones"] + counted(s["pair"], s["t3"], len(s["ones"]))
+    return counted(s["context"], s["t3"], len(s["fixed3"])), counted(s["pair_v"], s["t2"], names), counted(s["pair_v"], c2, names), c2
+
+
+def reported(part: int, owners: int, s: Arrays) -> list[Row]:
+    """The state's tables and customers of what others share, for the owners."""
+    of3, of2, n2, _ = changing(s)
+    (keys, dishes, split2, split3), order = core_keys(s)
+    a = np.concatenate([counted(s["pair_w"], s["t2"], len(s["_word"]))[dishes], of2[split2], of3[split3]])[order]
+    z = np.concatenate([np.zeros(len(dishes), np.int64), n2[split2], np.zeros(len(split3), np.int64)])[order]
+    return [(TABLES, k, part, pack(a=a[at], z=z[at])) for k, at in by_owner(keys, owners)]
+
+
+def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each key."""
+    return (mixed(keys ^ mixed(np.array([salt], np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma variates (shapes of 1 or more) from the keys' random numbers, by Marsaglia and Tsang's rejection."""
+    d = shape - 1 / 3
+    out, open_ = np.empty(len(shape)), np.arange(len(shape))
+    while len(open_):
+        k, e = keys[open_], d[open_]
+        z = np.sqrt(-2 * np.log(uniform(k, salt + 1))) * np.cos(2 * np.pi * uniform(k, salt + 2))
+        cube = (1 + z / np.sqrt(9 * e)) ** 3
+        ok = cube > 0
+        ok[ok] = np.log(uniform(k, salt + 3)[ok]) < 0.5 * z[ok] ** 2 + e[ok] * (1 - cube[ok] + np.log(cube[ok]))
+        out[open_[ok]] = e[ok] * cube[ok]
+        open_, salt = open_[~ok], salt + 4
+    return out
+
+
+def seat(c: np.ndarray, t: np.ndarray, x: np.ndarray, keys: np.ndarray, salt: int, parent: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """New numbers of tables of dishes with c customers and t tables. x: their restaurants' gamma variates. parent(i, j):
+    the parent's probability of dishes i where j of their own tables (a column for each) are counted in it."""
     out = np.empty(len(c), np.int64)
-    out[order] = best.astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    at = 0
+    while at < len(order):
+        # dishes of alike c together, some 260,000 weights at most
+        least = int(c[order[at]])
+        end = at + max(1, (1 << 18) // min(WINDOW, least + least // 4))
+        end = min(end, int(np.searchsorted(c, least + least // 4, side="right", sorter=order)))
+        i = order[at:end]
+        width, n, k = min(WINDOW, int(c[i[-1]])), c[i][:, None], keys[i]
+        low = np.where(c[i] <= width, 1, t[i] - (uniform(k, salt) * width).astype(np.int64))
+        j = low[:, None] + np.arange(width)
+        inside = (j >= 1) & (j < n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.log(4.0 * DISCOUNT * (n - j) / ((2.0 * n - j - 1) * j) * x[i][:, None] * parent(i, j))  # from j tables to j + 1
+        step[~inside] = 0
+        weight = np.zeros(j.shape)
+        np.cumsum(step[:, :-1], 1, out=weight[:, 1:])
+        weight[(j < 1) | (j > n)] = -np.inf
+        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+        out[i] = low + np.argmax(weight > (uniform(k, salt + 1) * weight[:, -1])[:, None], 1)
+        at = end
     return out
 
 
-def _merged(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """A bucket's distinct pairs (u, w as numbers in its vocabulary), training counts, and postings in order of pairs."""
-    group = [unpack(x) for x in blobs]
-    vocab = np.unique(np.concatenate([x["_vocab"] for x in group]))
-    ids = np.unique(np.concatenate([x["_ids"] for x in group]))
-    keys = np.empty(sum(len(x["u"]) for x in group), np.int64)
-    total = sum(len(x["doc"]) for x in group)
-    pair, doc, times, learn = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, bool)
-    at = post = 0
-    for x in group:
-        name = np.searchsorted(vocab, x.pop("_vocab"))
-        n, m = len(x["u"]), len(x["doc"])
-        keys[at : at + n] = name[x.pop("u")] * len(vocab) + name[x.pop("w")]
-        pair[post : post + m] = np.repeat(np.arange(at, at + n, dtype=np.int32), x.pop("posts"))
-        doc[post : post + m] = np.searchsorted(ids, x["_ids"])[x["doc"]]
-        times[post : post + m] = x.pop("times")
-        learn[post : post + m] = x.pop("learn")[x.pop("doc")]
-        at, post = at + n, post + m
-    del group
-    pairs, inverse = np.unique(keys, return_inverse=True)
-    del keys
-    pair = inverse.astype(np.int32)[pair]
-    c = np.bincount(pair[learn], times[learn], len(pairs)).astype(np.int64)
-    order = np.argsort(pair, kind="stable")
-    return {"_vocab": vocab, "u": (pairs // len(vocab)).astype(np.int32), "w": (pairs % len(vocab)).astype(np.int32), "c": c, "posts": np.bincount(pair, minlength=len(pairs)), "doc": doc[order], "times": times[order], "_ids": ids}
+def above(others: np.ndarray, tables: np.ndarray, mass: np.ndarray, room: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A parent restaurant for seat(): without a dish's own tables it has others customers of it at tables, mass of what
+    comes from above and room in all (strength and all its customers)."""
+
+    def parent(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        held = np.where(others[i] > 0, others[i] - DISCOUNT * tables[i], -DISCOUNT)  # the first own table makes one there
+        return (j + (held + mass[i])[:, None]) / (j + room[i][:, None])
+
+    return parent
 
 
-def _sample(parts: int, owners: int, hot: np.ndarray, seed: int):
+def chances(c1: np.ndarray, t1: np.ndarray, root: tuple[int, int], words: int) -> np.ndarray:
+    """The root's predictive probabilities of words with c1 customers at t1 tables; root: all its customers and tables."""
+    return (c1 - DISCOUNT * t1 + (STRENGTH[0] + DISCOUNT * root[1]) / (words + 1)) / (STRENGTH[0] + root[0])
+
+
+def _sweep(owners: int, number: int, sample: int, seed: int, root: tuple[int, int], words: int):
+    """A bucket's sweep, kept as a sample of that number (from 0), given the owners' answers: the two-word restaurants, then
+    the one-word ones."""
+    salt = (seed * 1000 + number) * 1_000_000
+
     def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        m = _merged(group.column("data").to_pylist())
-        vocab, rng = m["_vocab"], np.random.default_rng([seed, part])
-        seen = np.flatnonzero(m["c"])
-        u, w, c = m["u"][seen], m["w"][seen], m["c"][seen]
-        names = len(vocab)
-        t = np.ones(len(seen), np.int64)
-        many = np.flatnonzero(c > 1)
-        share = np.where(np.isin(vocab, hot), float(parts), 1.0)  # a spread context has about so many times the tables seen here
-        samples = []
-        for sweep in range(BURN_IN + SAMPLES):
-            of_u, of_w = np.bincount(u, t, names) * share, np.bincount(w, t, names)
-            kinds, total = np.count_nonzero(of_w), of_w.sum()
-            p = np.maximum(of_w - ROOT_DISCOUNT, 0) / (total + ROOT_STRENGTH) + (ROOT_STRENGTH + ROOT_DISCOUNT * kinds) / (total + ROOT_STRENGTH) / (kinds + 1)
-            t[many] = seat(c[many], STRENGTH + DISCOUNT * (of_u[u[many]] - t[many]), p[w[many]], DISCOUNT, rng)
-            if sweep >= BURN_IN:
-                samples.append(t.copy())
-        rows = [(0, part, part, pack(**m, **{f"t{s}": x[many] for s, x in enumerate(samples)}))]
-        asked = np.unique(m["w"])
-        of_w = [np.bincount(w, x, names).astype(np.int64)[asked] for x in samples]
-        order, at = by_owner(vocab[asked], owners)
-        rows += [(2, k, part, pack(_word=vocab[asked][order[a:b]], **{f"t{s}": x[order[a:b]] for s, x in enumerate(of_w)})) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-        if len(hot):
-            place = np.flatnonzero(np.isin(vocab, hot))
-            rows.append((3, part, part, pack(_word=vocab[place], **{f"t{s}": np.bincount(u, x, names).astype(np.int64)[place] for s, x in enumerate(samples)})))
-        m.clear()
-        del u, w, c, t, samples, many, seen
+        part, got = group.column("part")[0].as_py(), _got(group)
+        s, answers = got[STATE][0][1], dict(got.get(ANSWER, []))
+        word, names = s["_word"], len(s["_word"])
+        (keys, dishes, split2, split3), order = core_keys(s)
+        a, z = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for k, at in by_owner(keys, owners):
+            a[order[at]], z[order[at]] = answers[k]["a"], answers[k]["z"]
+        c1, t1 = np.zeros(names, np.int64), np.zeros(names, np.int64)
+        c1[dishes], t1[dishes] = a[: len(dishes)], z[: len(dishes)]
+        a, z = a[len(dishes) :], z[len(dishes) :]
+        of3, of2, n2, c2 = changing(s)
+        of3, of2, n2 = of3 + s["fixed3"], of2 + s["fixed2"], n2 + s["fixed2"]
+        of2[split2], n2[split2], of3[split3] = a[: len(split2)], z[: len(split2)], a[len(split2) :]
+        pair, v, w, t2, t3 = s["pair"], s["pair_v"], s["pair_w"], s["t2"], s["t3"]
+        x = gamma(STRENGTH[2] / DISCOUNT + of3, context_hash(word, s["context_u"], s["context_v"]), salt)
+        others = c2[pair] - t3
+        mass = ((STRENGTH[1] + DISCOUNT * of2[v]) * chances(c1, t1, root, words)[w])[pair]
+        pair_hash = joined(word[v], word[w])
+        s["t3"] = seat(s["c"], t3, x[s["context"]], joined(word[s["context_u"][s["context"]]], pair_hash[pair]), salt + 500_000, above(others, np.minimum(t2[pair], others), mass, STRENGTH[1] + n2[v[pair]] - t3))
+        # the tables just laid are the one-word restaurants' customers
+        c2 = s["ones"] + counted(pair, s["t3"], len(c2))
+        x = gamma(STRENGTH[1] / DISCOUNT + of2, mixed(word ^ ALONE), salt + 200_000)
+        others = c1[w] - t2
+        mass = np.full(len(w), (STRENGTH[0] + DISCOUNT * root[1]) / (words + 1))
+        s["t2"] = seat(c2, np.minimum(t2, c2), x[v], pair_hash, salt + 600_000, above(others, np.minimum(t1[w], others), mass, STRENGTH[0] + root[0] - t2))
+        if sample >= 0:
+            s[f"t3_{sample}"], s[f"t2_{sample}"] = s["t3"], s["t2"]
+        rows = [(STATE, part, part, pack(**s)), *reported(part, owners, s)]
         give_back()
         return _table(rows)
 
     return run
 
 
-def _root(words_total: int, seed: int):
-    """The unigram restaurant's share of a part: seats the summed tables, answers each asking bucket, tells totals."""
+def _owner(number: int, sample: int, seed: int, tables: int, words: int):
+    """An owner's turn after a sweep (-1: the first state): adds what buckets report, seats the root's dishes, answers."""
+    salt = (seed * 1000 + number + 1) * 1_000_000 + 700_000
 
     def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        rng = np.random.default_rng([seed, 1, part])
-        known, asked = np.zeros(0, np.uint64), []
-        count = np.zeros(0, np.int64)
-        for kind, source, data in sorted(zip(group.column("kind").to_pylist(), group.column("source").to_pylist(), group.column("data").to_pylist(), strict=True), key=lambda x: x[:2]):
-            got = unpack(data)
-            if kind == 0:
-                known, count = got["_word"], got["n"].astype(np.int64)
-            else:
-                asked.append((source, got))
-        sums = np.zeros((SAMPLES, len(known) + 1), np.int64)
-        places = []
-        for _, got in asked:
-            at = np.searchsorted(known, got["_word"])
-            at[at == len(known)] = 0
-            at = np.where(known[at] == got["_word"], at, len(known)) if len(known) else np.zeros(len(at), np.int64)
-            places.append(at)
-            for s in range(SAMPLES):
-                sums[s] += np.bincount(at, got[f"t{s}"], len(known) + 1).astype(np.int64)
-        rows, rest, totals = [], np.zeros((SAMPLES, len(known) + 1), np.float32), []
-        for s in range(SAMPLES):
-            c = sums[s, :-1]
-            t = np.where(c > 0, 1, 0)
-            several = np.flatnonzero(c > 1)
-            t[several] = seat(c[several], np.full(len(several), ROOT_STRENGTH + ROOT_DISCOUNT * words_total), np.full(len(several), 1 / (words_total + 1)), ROOT_DISCOUNT, rng)
-            rest[s, :-1] = np.maximum(c - ROOT_DISCOUNT * t, 0)
-            totals += [c.sum(), t.sum()]
-        counts = np.r_[count, 0]
-        for (source, _), at in zip(asked, places, strict=True):
-            rows.append((4, source, part, pack(c=counts[at], **{f"_r{s}": rest[s, at] for s in range(SAMPLES)})))
-        rows.append((5, part, part, pack(_total=np.array(totals))))
+        part, got = group.column("part")[0].as_py(), _got(group)
+        if ROOT in got:
+            s = got[ROOT][0][1]
+        else:
+            s = {"_word": np.unique(np.concatenate([x["_word"] for _, x in got[KEYS]]))}
+            s |= {k: np.zeros(len(s["_word"]), np.int64) for k in ("a", "z", "is_word")}
+            for source, x in got[KEYS]:
+                at = np.searchsorted(s["_word"], x["_word"])
+                s["a"][at] += x["a"]
+                s["z"][at] += x["z"]
+                s["is_word"][at] = x["is_word"]
+                s[f"core{source}"] = at[x["core"] > 0]
+        a, z = s["a"].copy(), s["z"].copy()
+        for source, x in got.get(TABLES, []):
+            at = s[f"core{source}"]
+            a[at] += x["a"]
+            z[at] += x["z"]
+        seated = (s["is_word"] > 0) & (a > 0)
+        t = np.where(seated, np.clip(s["t"] if "t" in s else np.sqrt(a).astype(np.int64), 1, a), 0)
+        i = np.flatnonzero(seated & (a > 1))
+        x = gamma(np.array([STRENGTH[0] / DISCOUNT + tables]), np.array([END]), salt)  # the root is one restaurant for all owners
+        t[i] = seat(a[i], t[i], np.repeat(x, len(i)), s["_word"][i], salt + 100_000, lambda i, j: 1 / (words + 1))
+        s["t"], z = t, np.where(s["is_word"] > 0, t, z)
+        rows = [(ANSWER, int(k[4:]), part, pack(a=a[at], z=z[at])) for k, at in s.items() if k.startswith("core") and len(at)]
+        if sample >= 0:
+            s[f"a_{sample}"], s[f"z_{sample}"] = a, z
+        rows += [(ROOT, part, part, pack(**s)), (TOTALS, part, part, pack(_total=np.array([a[seated].sum(), t[seated].sum()])))]
+        give_back()
         return _table(rows)
 
     return run
 
 
-RESULT = "doc_id long, n long, known long, base double, score double"
+def _told(group: pa.Table) -> pa.Table:
+    """An owner's counts of all samples, for each bucket's words and shared restaurants."""
+    part, got = group.column("part")[0].as_py(), _got(group)
+    s = got[ROOT][0][1]
+    rows = []
+    for source, x in got[KEYS]:
+        at = np.searchsorted(s["_word"], x["_word"])
+        rows.append((ANSWER, source, part, pack(**{k: x[at] for k, x in s.items() if k[:2] in ("a_", "z_")})))
+    return _table(rows)
+
 
+def _chances(owners: int, split: np.ndarray, roots: list[tuple[int, int]], words: int):
+    """A bucket's answers to its slices: log10 of each trigram's probability, averaged over the samples."""
 
-def _score(owners: int, hot: np.ndarray, hot_n: np.ndarray, hot_t: np.ndarray, totals: np.ndarray, words_total: int):
     def run(group: pa.Table) -> pa.Table:
-        kinds, sources, data = (group.column(k).to_pylist() for k in ("kind", "source", "data"))
-        m = unpack(data[kinds.index(0)])
-        vocab, c = m["_vocab"], m["c"].astype(np.int64)
-        u, w, names = m["u"].astype(np.int64), m["w"].astype(np.int64), len(vocab)
-        asked = np.unique(w)
-        order, at = by_owner(vocab[asked], owners)
-        count, rest = np.zeros(names, np.int64), np.zeros((SAMPLES, names))
-        for kind, source, blob in zip(kinds, sources, data, strict=True):
-            if kind == 4:
-                got, place = unpack(blob), asked[order[at[source] : at[source + 1]]]
-                count[place] = got["c"]
-                for s in range(SAMPLES):
-                    rest[s, place] = got[f"_r{s}"]
-        seen, many = c > 0, c > 1
-        of_c = np.bincount(u, c, names)
-        place = np.searchsorted(hot, vocab) if len(hot) else None
-        if place is not None:
-            place[place == len(hot)] = 0
-            here = hot[place] == vocab
-            of_c[here] = hot_n[place[here]]
-        p = np.zeros(len(u))
-        for s in range(SAMPLES):
-            t = seen.astype(np.int64)
-            t[many] = m[f"t{s}"]
-            of_u = np.bincount(u, t, names)
-            if place is not None:
-                of_u[here] = hot_t[s, place[here]]
-            customers, tables = totals[2 * s], totals[2 * s + 1]
-            parent = (rest[s] + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (words_total + 1)) / (ROOT_STRENGTH + customers)
-            p += (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * of_u[u]) * parent[w]) / (STRENGTH + of_c[u])
-        pair = np.repeat(np.arange(len(u)), m["posts"])
-        doc, times, ids = m["doc"], m["times"].astype(np.float64), m["_ids"]
-        sum_ = lambda x, doc=doc, times=times, pair=pair: np.bincount(doc, times * x[pair], len(ids))
-        n = np.bincount(doc, times, len(ids)).astype(np.int64)
-        known, base, logs = sum_((count > 0)[w].astype(float)).astype(np.int64), sum_(np.log10(count + 1.0)[w]), sum_(np.log10(p / SAMPLES))
-        # each document's sums go on in packed arrays, by an owner of documents
-        order, at = by_owner(mixed(ids.view(np.uint64)), owners)
-        rows = [(6, k, -1, pack(_ids=ids[o], n=n[o], known=known[o], _base=base[o], _score=logs[o])) for k, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i and (o := order[i:j]) is not None]
-        m.clear()
-        del pair, doc, times, u, w, c, p
+        part, got = group.column("part")[0].as_py(), _got(group)
+        asked, s, answers = got.pop(GRAMS), got[STATE][0][1], dict(got[ANSWER])
+        b = bucket(asked, split)
+        c, pair, v, w, context = (b[k] for k in ("c", "pair", "pair_v", "pair_w", "context"))
+        pairs, contexts, names = len(v), len(b["context_u"]), len(b["word"])
+        ones, more = counted(pair[c == 1], None, pairs), counted(pair[c > 1], None, pairs)
+        core = ones + 2 * more > 1
+        (keys, split2, split3), order = shared(b)
+        p = np.zeros(len(c))
+        for n in range(len(roots)):
+            a, z = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            for k, at in by_owner(keys, owners):
+                a[order[at]], z[order[at]] = answers[k][f"a_{n}"], answers[k][f"z_{n}"]
+            p1 = chances(a[:names], z[:names], roots[n], words)
+            a, z = a[names:], z[names:]
+            t3 = np.minimum(c, 1)
+            t3[c > 1] = s[f"t3_{n}"]
+            c2 = counted(pair, t3, pairs)
+            t2 = np.minimum(c2, 1)
+            t2[core] = s[f"t2_{n}"]
+            of3, n3, of2, n2 = counted(context, t3, contexts), counted(context, c, contexts), counted(v, t2, names), counted(v, c2, names)
+            of2[split2], n2[split2], of3[split3], n3[split3] = a[: len(split2)], z[: len(split2)], a[len(split2) :], z[len(split2) :]
+            p2 = (c2 - DISCOUNT * t2 + (STRENGTH[1] + DISCOUNT * of2[v]) * p1[w]) / (STRENGTH[1] + n2[v])
+            p += (c - DISCOUNT * t3 + (STRENGTH[2] + DISCOUNT * of3[context]) * p2[pair]) / (STRENGTH[2] + n3[context])
+        logs = np.log10(p / len(roots)).astype(np.float32)[b["which"]]
+        ends = np.cumsum(b["sizes"])
+        rows = [(CHANCES, source, part, pack(_log=logs[end - size : end])) for (source, _), end, size in zip(asked, ends, b["sizes"], strict=True)]
+        del b, asked, logs
         give_back()
         return _table(rows)
 
     return run
 
 
-def _totals(group: pa.Table) -> pa.Table:
-    """An owner's documents, their sums over all buckets."""
-    got = [unpack(x) for x in group.column("data").to_pylist()]
-    ids, at = np.unique(np.concatenate([x["_ids"] for x in got]), return_inverse=True)
-    sums = [np.bincount(at, np.concatenate([x[k] for x in got]), len(ids)) for k in ("n", "known", "_base", "_score")]
-    out = [pa.array(ids, mask=ids == NONE), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
-    return pa.Table.from_arrays(out, [x.split()[0] for x in RESULT.split(", ")])
+RESULT = "doc_id long, held boolean, n long, known long, base double, score double"
+
+
+def _scored(parts: int, split: np.ndarray):
+    """A slice's documents, their sums over tokens."""
+
+    def run(group: pa.Table) -> pa.Table:
+        got = _got(group)
+        m = got[SLICE_ROW][0][1]
+        word, length = m["_word"], m["length"]
+        owned, answers = dict(by_owner(word, parts)), dict(got[COUNTS])
+        c = np.zeros(len(word), np.int64)
+        for k, at in owned.items():
+            c[at] = answers[k]["n"]
+        g, which, dealt = trigrams(m, parts, split)
+        logs, answers = np.zeros(len(g["c"])), dict(got[CHANCES])
+        for k, at in dealt:
+            logs[at] = answers[k]["_log"]
+        starts = np.cumsum(length) - length
+        base, score, known = (np.add.reduceat(x, starts) for x in (np.log10(c + 1.0)[m["ids"]], logs[which], (c > 0).astype(np.int64)[m["ids"]]))
+        columns = [pa.array(m["_doc"], mask=m["known"] == 0), pa.array(m["learn"] == 0), *map(pa.array, (length, known, base, score))]
+        give_back()
+        return pa.Table.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
+
+    return run
 
 
-def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, seed: int = 5, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """docs (doc_id, text), learnt from where held_out (over doc_id) is false -> doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score; scores in log10."""
+    train_tokens, base_score, score of every row; scores in log10. Probabilities are averaged over samples sweeps after burn_in."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held", F.coalesce(held_out, F.lit(False)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # what a finished job has shuffled isn't read again here: its files go at once
     tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(tidy, "false")
     spark.conf.set(tidy, "true")
-    parts = int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))))
-    owners = min(parts, OWNERS)
-    words = cut(texts.mapInArrow(_count(owners), SCHEMA).repartition(owners, "part").groupBy("part").applyInArrow(_counted, SCHEMA), "words")
-    told = [unpack(r.data)["_total"] for r in words.where("kind = 1").select("data").collect()]
-    n, v = (int(x) for x in np.sum(told, 0)) if told else (0, 0)
-    found = words.where("kind = 0").select("data").mapInArrow(_hot(n / (2 * parts)), "word long, n long").collect()  # 2 * parts rows at most
-    hot = np.array([r.word for r in found], np.int64).view(np.uint64)
-    hot_n = np.array([r.n for r in found], np.int64)[np.argsort(hot)]
-    hot = np.sort(hot)
-    dealt = texts.mapInArrow(_pairs(parts, hot), SCHEMA).repartition(parts, "part")
-    sampled = cut(dealt.groupBy("part").applyInArrow(_sample(parts, owners, hot, seed), SCHEMA), "sampled")
-    hot_t = np.zeros((SAMPLES, len(hot)), np.int64)
-    for r in sampled.where("kind = 3").select("data").toLocalIterator():
-        got = unpack(r.data)
-        for s in range(SAMPLES):
-            hot_t[s, np.searchsorted(hot, got["_word"])] += got[f"t{s}"].astype(np.int64)
-    root_in = sampled.where("kind = 2").unionByName(words.where("kind = 0")).repartition(owners, "part")
-    answers = cut(root_in.groupBy("part").applyInArrow(_root(v, seed), SCHEMA), "answers")
-    discard(words)
-    totals = [unpack(r.data)["_total"] for r in answers.where("kind = 5").select("data").collect()]
-    totals = np.sum(totals, 0) if totals else np.zeros(2 * SAMPLES)
-    spark.conf.set(tidy, before)
-    last = sampled.where("kind = 0").unionByName(answers.where("kind = 4")).repartition(parts, "part")
-    sums = last.groupBy("part").applyInArrow(_score(owners, hot, hot_n, hot_t, totals, v), SCHEMA)
-    out = sums.repartition(owners, "part").groupBy("part").applyInArrow(_totals, RESULT)
-    base = F.col("base") - F.col("n") * F.log10(F.lit(float(n + v + 1)))
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    try:
+        parts = max(1, -(-size // BUCKET_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_LEAST))
+        each = lambda rows, f: rows.repartition(parts, "part").groupBy("part").applyInArrow(f, SCHEMA)
+        of = lambda rows, *kinds: rows.where(F.col("kind").isin(*kinds))
+        sliced = cut(texts.mapInArrow(_sliced, SCHEMA), "slices")
+        counts = cut(each(sliced.mapInArrow(_counts(parts), SCHEMA), _counted), "counts")
+        n, words = totals(counts)
+        split = np.sort(np.array([r.word for r in of(counts, WORDS).select("data").mapInArrow(_large(n / parts), "word long").collect()], np.int64).view(np.uint64))  # fewer than parts
+        dealt = sliced.mapInArrow(_deal(parts, split), SCHEMA)
+        begun = state = cut(each(dealt, _begin(parts, split)), "begun")
+        owned = cut(each(of(begun, KEYS, TABLES), _owner(-1, -1, seed, words, words)), "root")
+        roots = [totals(owned)]
+        for number in range(burn_in + samples):
+            old = [owned] if state is begun else [owned, state]
+            state = cut(each(of(state, STATE).unionByName(of(owned, ANSWER)), _sweep(parts, number, number - burn_in, seed, roots[-1], words)), "state")
+            owned = cut(each(of(state, TABLES).unionByName(of(owned, ROOT)), _owner(number, number - burn_in, seed, roots[-1][1], words)), "root")
+            roots.append(totals(owned))
+            for table in old:
+                discard(table)
+        told = cut(each(of(owned, ROOT).unionByName(of(begun, KEYS)), _told), "told")
+        last = dealt.unionByName(of(state, STATE)).unionByName(told)
+        found = cut(each(last, _chances(parts, split, roots[-samples:], words)), "chances")
+        for table in (begun, state, owned, told):
+            discard(table)
+    finally:
+        spark.conf.set(tidy, before)
+    back = sliced.unionByName(of(counts, COUNTS)).unionByName(found).repartition(parts, "part")
+    out = back.groupBy("part").applyInArrow(_scored(parts, split), RESULT)
+    base = F.col("base") - F.col("n") * F.log10(F.lit(float(n + words + 1)))
+    return out.select("doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import product
 from math import log10
 
 import numpy as np
@@ -37,57 +38,147 @@ def brute_base(rows):
     return {i: (held[i], len(words(t)), sum(c[w] > 0 for w in words(t)), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in words(t))) for i, t in rows}
 
 
-@pytest.mark.parametrize("bucket_bytes", [lm.BUCKET_BYTES, 3000])
-def test_base_and_gain(spark, monkeypatch, bucket_bytes):
-    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket_bytes)
+@pytest.fixture(scope="module")
+def scored(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in corpus()], "doc_id long, text string, n string").repartition(3)
+    return lm.score(docs, remainder("doc_id", 7) == 2).collect()
+
+
+def test_base_and_gain(scored):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
-    got = {r.doc_id: r for r in lm.score(docs, remainder("doc_id", 7) == 2).collect()}
-    want = brute_base(rows)
-    assert got.keys() == want.keys()
+    got, want = {r.doc_id: r for r in scored}, brute_base(rows)
+    assert got.keys() == want.keys() and len(scored) == len(rows)
     for i, (held, n, known, train, base) in want.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
         assert r.score < 0
-    held = [r for r in got.values() if r.held_out and r.doc_id is not None and r.doc_id < 200]
+    held = [r for r in scored if r.held_out and r.doc_id is not None and r.doc_id < 200]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
 
 
+def test_scores_do_not_depend_on_dealing(spark, scored, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 3000)  # dozens of buckets, split contexts, other slices
+    docs = spark.createDataFrame([*corpus()[::-1]], "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.score for r in lm.score(docs, remainder("doc_id", 7) == 2).collect()}
+    assert all(abs(got[r.doc_id] - r.score) < 1e-5 * max(1, abs(r.score)) for r in scored)
+
+
+def plain_sampler(docs, asked, sweeps, burn_in, rnd):
+    """Hierarchical Pitman-Yor trigrams the slow way: tables as lists, customers unseated and seated anew one by one."""
+    d, strength = lm.DISCOUNT, {2: lm.STRENGTH[2], 1: lm.STRENGTH[1], 0: lm.STRENGTH[0]}
+    tables, customers, number = {}, Counter(), Counter()  # (context, word) -> sizes; by context
+    vocab = {w for t in docs for w in t}
+
+    def p(context, w):
+        up = p(context[1:], w) if context else 1 / (len(vocab) + 1)
+        sizes = tables.get((context, w), [])
+        return (sum(sizes) - d * len(sizes) + (strength[len(context)] + d * number[context]) * up) / (strength[len(context)] + customers[context])
+
+    def add(context, w):
+        up = p(context[1:], w) if context else 1 / (len(vocab) + 1)
+        sizes = tables.setdefault((context, w), [])
+        new = (strength[len(context)] + d * number[context]) * up
+        k = rnd.choices(range(len(sizes) + 1), [*(n - d for n in sizes), new])[0]
+        customers[context] += 1
+        if k < len(sizes):
+            sizes[k] += 1
+        else:
+            sizes.append(1)
+            number[context] += 1
+            if context:
+                add(context[1:], w)
+
+    def remove(context, w):
+        sizes = tables[context, w]
+        k = rnd.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        customers[context] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            number[context] -= 1
+            if context:
+                remove(context[1:], w)
+
+    grams = lambda t: zip([None, None, *t], [None, *t], t, strict=False)
+    seats = [(g[:2], g[2]) for t in docs for g in grams(t)]
+    for s in seats:
+        add(*s)
+    total = [[0.0] * len(t) for t in asked]
+    for sweep in range(burn_in + sweeps):
+        for s in seats:
+            remove(*s)
+            add(*s)
+        if sweep >= burn_in:
+            for t, sums in zip(asked, total, strict=True):
+                for i, g in enumerate(grams(t)):
+                    sums[i] += p(g[:2], g[2]) / sweeps
+    return [sum(map(log10, sums)) for sums in total]
+
+
+def test_against_plain_sampler(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("a b c d e f a b a".split()) + rnd.choice(["", "", "x"]) for _ in range(rnd.randint(3, 15))) for _ in range(50)]
+    texts += texts[:8]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    want = plain_sampler([words(t) for t, h in zip(texts, held, strict=True) if not h], [words(t) for t in texts], 150, 30, rnd)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, remainder("doc_id", 7) == 2, burn_in=6, samples=12).collect()}
+    off = [(got[i].score - want[i]) / got[i].n_tokens for i in range(len(texts))]
+    assert abs(np.mean(off)) < 0.01 and max(map(abs, off)) < 0.05
+
+
 def test_probabilities_sum_to_one(spark):
-    """With one training word a, the scores of short texts of a and an unknown z tell P(a | end), P(end | end) and
-    P(z | end) if each context's probabilities sum to one; then these three must sum to one, too."""
+    """All texts of up to eight words a (known) and z (for all unknown ones) have nearly all of the probability."""
     learn = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
-    ask = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    asked = dict(zip(ask, ["", "a", "a a", "z", "z a", "z z", "a z"]))  # noqa: B905
-    rows = [(i, ["a", "", "a a", "a a a"][k % 4]) for k, i in enumerate(learn)] + list(asked.items())
-    got = {asked[r.doc_id]: 10**r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), remainder("doc_id", 7) == 2).collect() if r.doc_id in asked}
-    aa, zz = got["a a"] / got["a"], got["z z"] / got["z"]  # P(a | a), P(z | z)
-    low, high = 1e-9, 1 - aa
-    for _ in range(200):
-        end_a = (low + high) / 2  # P(end | a)
-        end_z = (1 - zz) / (1 + got["z a"] / (got["z"] * end_a))  # P(end | z)
-        if got["a"] * (1 - aa - end_a) / end_a * end_z > got["a z"]:
-            low = end_a
-        else:
-            high = end_a
-    assert abs(got["a"] / end_a + got[""] + got["z"] / end_z - 1) < 1e-4
+    ask = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = dict(zip(ask, [" ".join(x) for n in range(9) for x in product("az", repeat=n)]))  # noqa: B905
+    assert len(asked) == 511
+    rows = [(i, ["", "a", "", "a a"][k % 4]) for k, i in enumerate(learn)] + list(asked.items())
+    got = [10**r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), remainder("doc_id", 7) == 2).collect() if r.doc_id in asked]
+    assert 0.99 < sum(got) < 1.00001
 
 
 def test_seating():
-    rng = np.random.default_rng(0)
-    c = np.full(4000, 3)
-    t = lm.seat(c, np.full(4000, 2.0), np.full(4000, 0.3), 0.5, rng)
-    # all partitions of three customers: weights of one, two and three tables
-    a = [0.6, 0.6 * 0.75, 0.6 * 0.75 * 0.9]
-    weight = np.array([a[0] * 0.5 * 1.5, a[1] * 3 * 0.5, a[2]])
-    share = np.bincount(t, minlength=4)[1:] / len(t)
-    assert np.abs(share - weight / weight.sum()).max() < 0.05
-    big = lm.seat(np.full(200, 100_000), np.full(200, 5.0), np.full(200, 0.1), 0.5, rng)
-    assert big.min() >= 1 and 5 < big.mean() < 2000
-    assert lm.seat(np.array([1, 1]), np.ones(2), np.ones(2), 0.5, rng).tolist() == [1, 1]
-
-
-def test_empty(spark):
+    """seat() against the law of all partitions of c customers: numbers of tables by plain recursion."""
+    keys = lm.mixed(np.arange(20_000, dtype=np.uint64) * np.uint64(77))
+    for c, x, p in ((2, 2.0, 0.3), (3, 4.0, 0.5), (9, 30.0, 0.1)):
+        s = [1.0]  # S(c, t), t from 0
+        for n in range(c):
+            s = [(s[t - 1] if t else 0) + ((n - 0.5 * t) * s[t] if t < len(s) else 0) for t in range(len(s) + 1)]
+        law = np.array([s[t] * (0.5 * x * p) ** t for t in range(c + 1)])
+        t = lm.seat(np.full(20_000, c), np.ones(20_000, np.int64), np.full(20_000, x), keys, 1, lambda i, j: p)
+        assert np.abs(np.bincount(t, minlength=c + 1) / 20_000 - law / law.sum()).max() < 0.02
+    # windows keep the law of all: many turns from two starts
+    n = 4000
+    both = [np.full(n, 1), np.full(n, 900)]
+    for turn in range(40):
+        both = [lm.seat(np.full(n, 1000), t, np.full(n, 50.0), keys[:n] ^ np.uint64(k), 10 * turn, lambda i, j: 1.0) for k, t in enumerate(both)]
+    assert abs(both[0].mean() - both[1].mean()) < 1 and abs(both[0].std() - both[1].std()) < 1
+    assert lm.seat(np.array([1, 1]), np.ones(2, np.int64), np.ones(2), keys[:2], 1, lambda i, j: 0.5).tolist() == [1, 1]
+    big = lm.seat(np.array([10**12]), np.array([500]), np.array([1000.0]), keys[:1], 1, lambda i, j: 1.0)
+    assert 1 <= big[0] < 10**4
+
+
+def test_gamma():
+    keys = lm.mixed(np.arange(50_000, dtype=np.uint64))
+    for shape in (1.0, 2.5, 400.0):
+        x = lm.gamma(np.full(50_000, shape), keys, 3)
+        assert abs(x.mean() / shape - 1) < 0.02 and abs(x.var() / shape - 1) < 0.05
+
+
+def test_twice_is_told_apart(spark):
+    """Training documents that occur twice against others, by their gain for each token."""
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rnd.choices(vocab, k=60))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    got = [r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), remainder("doc_id", 7) == 9).collect()]
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in got}
+    assert min(gain[i] for i in range(20)) > max(gain[i] for i in range(20, 150))
+
+
+def test_empty_and_repeats(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), remainder("doc_id", 7) == 2).collect() == []
-    got = lm.score(spark.createDataFrame([(0, "a b"), (0, "c")], "doc_id long, text string"), remainder("doc_id", 7) < 9).collect()
-    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(5, 0, 0)]
+    got = lm.score(spark.createDataFrame([(0, "a b"), (0, "c"), (0, "c"), (None, ""), (-(1 << 63), None)], "doc_id long, text string"), remainder("doc_id", 7) < 9).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got if r.doc_id is not None) == [(False, -(1 << 63), 1, 0, 0), (False, 0, 2, 0, 0), (False, 0, 2, 0, 0), (False, 0, 3, 0, 0)]
+    assert [r.n_tokens for r in got if r.doc_id is None] == [1]
