@@ -15,13 +15,14 @@ same law unchanged. Predictive probabilities are averaged over some sweeps after
 the context, the dish and the sweep, and all counts that restaurants share are exchanged in every sweep: the scores don't
 depend on how the data are dealt.
 
-At scale: texts are cut into slices, tables of packed word numbers. A slice sends its distinct trigrams to buckets by their
+At scale: texts are cut into slices, tables of packed word numbers (a word's number is its hash's place among the hashes of
+all training words, which the hashes' owners count). A slice sends its distinct trigrams to buckets by their
 middle word (middle and last word where that middle word alone has more than a bucket's share), so that a two-word and its
 one-word restaurant lie in one bucket. Between sweeps buckets keep only dishes with two customers or more; the others have
 one table. Owners of words sum the tables that buckets report, seat the root and answer; they also sum the tables of
 restaurants that lie in several buckets. In the end buckets answer each slice's trigrams with averaged probabilities, and
 the slice adds them up by document. Sizes of slices and buckets are bounded by bytes of text, their numbers are not. The
-driver gets totals and the middle words that are split (fewer than buckets).
+driver gets two totals for each bucket and the middle words that are split (fewer than buckets).
 
 Defined cases: every row gives a row, repeated rows and ids too, and a null id stays null; a null or wordless text is one end
 token; a very long text is a slice of its own and needs some 100 bytes of memory for each of its tokens; equal counts need
@@ -48,12 +49,13 @@ BURN_IN, SAMPLES = 3, 3
 #: Numbers of tables that one draw weighs against each other at most.
 WINDOW = 256
 #: Bytes of text for a bucket, on average, and for one at small sizes, where all tasks should have some.
-BUCKET_BYTES, BUCKET_LEAST = 16 << 20, 1 << 20
+BUCKET_BYTES, BUCKET_LEAST = 12 << 20, 1 << 20
 #: Bytes of text that are tokenised, and dealt, at once.
-CHUNK, SLICE = 2 << 20, 12 << 20
+CHUNK, SLICE = 2 << 20, 10 << 20
 
 END = np.uint64(0x9AE16A3B2F90404F)
-ALONE = np.uint64(0x77)  # tells the hash of a one-word context from that of the word
+#: Words have numbers; marks tell the keys of one-word contexts and of two-word contexts from those of words.
+ALONE, BOTH = np.uint64(1 << 50), np.uint64(1 << 63)
 BASE = 0x5851F42D4C957F2D
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -71,8 +73,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes in order."""
-    return mixed(a * np.uint64(3) + b)
+    """A hash of two numbers in order."""
+    return mixed(mixed(a) * np.uint64(3) + b)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -157,9 +159,16 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
 
 
-def by_owner(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The owners of rising hashes, each with the places of its own."""
-    owner = (hashes >> np.uint64(20)) % np.uint64(parts)
+def by_range(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The owners of rising hashes by equal ranges, each with the places of its own."""
+    owner = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    at = np.searchsorted(owner, np.arange(parts + 1, dtype=np.uint64))
+    yield from ((k, slice(a, b)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a)
+
+
+def by_owner(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The owners of rising keys, each with the places of its own."""
+    owner = mixed(keys) % np.uint64(parts)
     order = np.argsort(owner, kind="stable")
     at = np.searchsorted(owner[order], np.arange(parts + 1, dtype=np.uint64))
     yield from ((k, order[a:b]) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a)
@@ -190,40 +199,68 @@ def _counts(parts: int):
             for source, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 m = unpack(data)
                 n = np.bincount(m["ids"], np.repeat(m["learn"], m["length"]), len(m["_word"])).astype(np.int64)
-                yield from _table([(WORDS, k, source, pack(_word=m["_word"][at], n=n[at])) for k, at in by_owner(m["_word"], parts)]).to_batches()
+                yield from _table([(WORDS, k, source, pack(_word=m["_word"][at], n=n[at])) for k, at in by_range(m["_word"], parts)]).to_batches()
             give_back()
 
     return run
 
 
 def _counted(group: pa.Table) -> pa.Table:
-    """An owner's words and counts (those in training), its totals, and each slice's answer."""
+    """An owner's totals, and each slice's answer: training counts, and ranks among the owner's training words."""
     part, asked = group.column("part")[0].as_py(), _got(group)[WORDS]
     words, n = summed(np.concatenate([x["_word"] for _, x in asked]), np.concatenate([x["n"] for _, x in asked]))
-    rows = [(COUNTS, source, part, pack(n=n[np.searchsorted(words, x["_word"])])) for source, x in asked]
-    words, n = words[n > 0], n[n > 0]
-    return _table([*rows, (WORDS, part, part, pack(_word=words, n=n)), (TOTALS, part, part, pack(_total=np.array([n.sum(), len(n)])))])
+    rank, rows = np.cumsum(n > 0) - 1, []
+    for source, x in asked:
+        at = np.searchsorted(words, x["_word"])
+        rows.append((COUNTS, source, part, pack(n=n[at], rank=np.maximum(rank[at], 0))))
+    rows.append((WORDS, part, part, pack(n=n[n > 0])))
+    return _table([*rows, (TOTALS, part, part, pack(_total=np.array([n.sum(), np.count_nonzero(n)])))])
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data in batch.column(0).to_pylist():
-            a, b = unpack(data)["_total"]
-            yield pa.RecordBatch.from_arrays([pa.array([int(a)]), pa.array([int(b)])], ["a", "b"])
+        both = np.array([unpack(data)["_total"] for data in batch.column(1).to_pylist()], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, both.T)], ["part", "a", "b"])
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """(part, a, b): the two totals that each owner tells."""
+    return rows.where(F.col("kind") == TOTALS).select("part", "data").mapInArrow(_totals, "part long, a long, b long")
 
 
-def totals(rows: DataFrame) -> tuple[int, int]:
-    """Sums of the two totals that the owners tell."""
-    a, b = rows.where(F.col("kind") == TOTALS).select("data").mapInArrow(_totals, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
+def added(rows: DataFrame) -> tuple[int, int]:
+    a, b = totals(rows).agg(F.sum("a"), F.sum("b")).first()
     return a or 0, b or 0
 
 
-def _large(least: float):
+def _large(least: float, offsets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                m = unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array(m["_word"][m["n"] > least].view(np.int64))], ["word"])
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(unpack(data)["n"] > least) + offsets[part])], ["word"])
+
+    return run
+
+
+def _numbered(parts: int, offsets: np.ndarray, words: int):
+    """A slice with numbers of words for their hashes: their places among the hashes of all training words; all others have
+    the number after the last."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, got = group.column("part")[0].as_py(), _got(group)
+        m, answers = got[SLICE_ROW][0][1], dict(got[COUNTS])
+        hashes = m.pop("_word")
+        n, number = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for k, at in by_range(hashes, parts):
+            n[at], number[at] = answers[k]["n"], offsets[k] + answers[k]["rank"]
+        number[n == 0] = words
+        m["end"] = np.array([np.searchsorted(hashes, END)])
+        names, inverse = np.unique(number, return_inverse=True)
+        m["n"] = np.bincount(inverse, n, len(names)).astype(np.int64)
+        m["ids"], m["end"], m["_word"] = inverse[m["ids"]], inverse[m["end"]], names.view(np.uint64)
+        rows = [(SLICE_ROW, part, part, pack(**m))]
+        give_back()
+        return _table(rows)
 
     return run
 
@@ -248,7 +285,7 @@ def trigrams(m: Arrays, parts: int, split: np.ndarray) -> tuple[Arrays, np.ndarr
     """Of a slice: its distinct trigrams (u, v, w, training count c) as numbers of its words, each token's trigram, and the
     trigrams of each bucket, in order of (v, w, u)."""
     w, length, names = m["ids"], m["length"], len(m["_word"])
-    end = int(np.searchsorted(m["_word"], END))
+    end = int(m["end"][0])
     starts = np.cumsum(length) - length
     v = np.r_[end, w[:-1]]
     u = np.r_[end, v[:-1]]
@@ -264,7 +301,7 @@ def trigrams(m: Arrays, parts: int, split: np.ndarray) -> tuple[Arrays, np.ndarr
     u, v, w = u[first], v[first], w[first]
     word = m["_word"]
     apart = np.isin(word, split)[v] if len(split) else np.zeros(len(v), bool)
-    part = mixed(word ^ np.uint64(0x55))[v]
+    part = mixed(word)[v]
     part[apart] = joined(word[v[apart]], word[w[apart]])
     part = (part >> np.uint64(11)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
@@ -302,30 +339,31 @@ def bucket(asked: list[tuple[int, Arrays]], split: np.ndarray) -> Arrays:
     context numbers) in order of (v, w, u); of pairs v and w, of contexts u and v; what is shared with other buckets."""
     word = np.unique(np.concatenate([x["_word"] for _, x in asked]))
     at = [np.searchsorted(word, x["_word"]) for _, x in asked]
-    u, v, w = (np.concatenate([n[x[k]] for n, (_, x) in zip(at, asked, strict=True)]) for k in "uvw")
+    u, v, w = (np.concatenate([n[x.pop(k)] for n, (_, x) in zip(at, asked, strict=True)]) for k in "uvw")
+    sizes = np.array([len(x["c"]) for _, x in asked])
     keys = codes(v, w, u, len(word))
     order = np.argsort(keys)
     new = runs(keys[order])
     first, group = order[np.flatnonzero(new)], np.cumsum(new) - 1
-    which = np.empty(len(keys), np.int64)
+    which = np.empty(len(keys), np.int32)
     which[order] = group
-    c = np.bincount(group, np.concatenate([x["c"] for _, x in asked])[order], len(first)).astype(np.int64)
+    c = np.bincount(group, np.concatenate([x.pop("c") for _, x in asked])[order], len(first)).astype(np.int64)
     del keys, order, new, group
     u, v, w = u[first], v[first], w[first]
     new = runs(v, w)
     contexts, context = np.unique(u * len(word) + v, return_inverse=True)
-    return {"word": word, "u": u, "v": v, "w": w, "c": c, "pair": np.cumsum(new) - 1, "pair_v": v[new], "pair_w": w[new], "context": context, "context_u": contexts // len(word), "context_v": contexts % len(word), "apart": np.isin(word, split), "which": which, "sizes": np.array([len(x["c"]) for _, x in asked])}
+    return {"word": word, "u": u, "v": v, "w": w, "c": c, "pair": np.cumsum(new) - 1, "pair_v": v[new], "pair_w": w[new], "context": context, "context_u": contexts // len(word), "context_v": contexts % len(word), "apart": np.isin(word, split), "which": which, "sizes": sizes}
 
 
 def context_hash(word: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return joined(word[u] ^ np.uint64(0x3C), word[v])
+    return joined(word[u], word[v]) | BOTH
 
 
 def shared(b: Arrays) -> tuple[list[np.ndarray], np.ndarray]:
     """Of a bucket: its words, those that are split contexts, and its contexts with a split middle word, by number; and the
-    order in which the hashes of all these rise."""
+    order in which the keys of all these rise."""
     split2, split3 = np.flatnonzero(b["apart"]), np.flatnonzero(b["apart"][b["context_v"]])
-    keys = np.concatenate([b["word"], mixed(b["word"][split2] ^ ALONE), context_hash(b["word"], b["context_u"][split3], b["context_v"][split3])])
+    keys = np.concatenate([b["word"], b["word"][split2] | ALONE, context_hash(b["word"], b["context_u"][split3], b["context_v"][split3])])
     order = np.argsort(keys)
     return [keys[order], split2, split3], order
 
@@ -374,11 +412,11 @@ def _begin(owners: int, split: np.ndarray):
 
 
 def core_keys(s: Arrays) -> tuple[list[np.ndarray], np.ndarray]:
-    """As shared(), of what the state's sweeps change: hashes, words that are dishes, split contexts of one and of two words."""
+    """As shared(), of what the state's sweeps change: keys, words that are dishes, split contexts of one and of two words."""
     word, names = s["_word"], len(s["_word"])
     dishes, split2 = np.flatnonzero(counted(s["pair_w"], None, names)), np.flatnonzero(s["apart"] * counted(s["pair_v"], None, names))
     split3 = np.flatnonzero(s["apart"][s["context_v"]])
-    keys = np.concatenate([word[dishes], mixed(word[split2] ^ ALONE), context_hash(word, s["context_u"][split3], s["context_v"][split3])])
+    keys = np.concatenate([word[dishes], word[split2] | ALONE, context_hash(word, s["context_u"][split3], s["context_v"][split3])])
     order = np.argsort(keys)
     return [keys[order], dishes, split2, split3], order
 
@@ -401,7 +439,7 @@ def reported(part: int, owners: int, s: Arrays) -> list[Row]:
 
 def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) for each key."""
-    return (mixed(keys ^ mixed(np.array([salt], np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    return (mixed(mixed(keys) ^ mixed(np.array([salt], np.uint64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
 def gamma(shape: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
@@ -490,7 +528,7 @@ def _sweep(owners: int, number: int, sample: int, seed: int, root: tuple[int, in
         s["t3"] = seat(s["c"], t3, x[s["context"]], joined(word[s["context_u"][s["context"]]], pair_hash[pair]), salt + 500_000, above(others, np.minimum(t2[pair], others), mass, STRENGTH[1] + n2[v[pair]] - t3))
         # the tables just laid are the one-word restaurants' customers
         c2 = s["ones"] + counted(pair, s["t3"], len(c2))
-        x = gamma(STRENGTH[1] / DISCOUNT + of2, mixed(word ^ ALONE), salt + 200_000)
+        x = gamma(STRENGTH[1] / DISCOUNT + of2, word | ALONE, salt + 200_000)
         others = c1[w] - t2
         mass = np.full(len(w), (STRENGTH[0] + DISCOUNT * root[1]) / (words + 1))
         s["t2"] = seat(c2, np.minimum(t2, c2), x[v], pair_hash, salt + 600_000, above(others, np.minimum(t1[w], others), mass, STRENGTH[0] + root[0] - t2))
@@ -598,14 +636,10 @@ def _scored(parts: int, split: np.ndarray):
 
     def run(group: pa.Table) -> pa.Table:
         got = _got(group)
-        m = got[SLICE_ROW][0][1]
-        word, length = m["_word"], m["length"]
-        owned, answers = dict(by_owner(word, parts)), dict(got[COUNTS])
-        c = np.zeros(len(word), np.int64)
-        for k, at in owned.items():
-            c[at] = answers[k]["n"]
+        m, answers = got[SLICE_ROW][0][1], dict(got[CHANCES])
+        length, c = m["length"], m["n"]
         g, which, dealt = trigrams(m, parts, split)
-        logs, answers = np.zeros(len(g["c"])), dict(got[CHANCES])
+        logs = np.zeros(len(g["c"]))
         for k, at in dealt:
             logs[at] = answers[k]["_log"]
         starts = np.cumsum(length) - length
@@ -633,17 +667,24 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5, burn_in: int = BURN_
         of = lambda rows, *kinds: rows.where(F.col("kind").isin(*kinds))
         sliced = cut(texts.mapInArrow(_sliced, SCHEMA), "slices")
         counts = cut(each(sliced.mapInArrow(_counts(parts), SCHEMA), _counted), "counts")
-        n, words = totals(counts)
-        split = np.sort(np.array([r.word for r in of(counts, WORDS).select("data").mapInArrow(_large(n / parts), "word long").collect()], np.int64).view(np.uint64))  # fewer than parts
+        told = totals(counts).toPandas()  # two numbers for each part
+        n, words, offsets = int(told.a.sum()), int(told.b.sum()), np.zeros(parts + 1, np.int64)
+        offsets[told.part + 1] = told.b
+        offsets = np.cumsum(offsets)
+        split = of(counts, WORDS).select("part", "data").mapInArrow(_large(n / parts, offsets), "word long").toPandas()  # fewer than parts
+        split = np.sort(split.word.to_numpy(np.int64)).view(np.uint64)
+        old, sliced = [sliced, counts], cut(each(sliced.unionByName(of(counts, COUNTS)), _numbered(parts, offsets, words)), "numbered")
+        for table in old:
+            discard(table)
         dealt = sliced.mapInArrow(_deal(parts, split), SCHEMA)
         begun = state = cut(each(dealt, _begin(parts, split)), "begun")
         owned = cut(each(of(begun, KEYS, TABLES), _owner(-1, -1, seed, words, words)), "root")
-        roots = [totals(owned)]
+        roots = [added(owned)]
         for number in range(burn_in + samples):
             old = [owned] if state is begun else [owned, state]
             state = cut(each(of(state, STATE).unionByName(of(owned, ANSWER)), _sweep(parts, number, number - burn_in, seed, roots[-1], words)), "state")
             owned = cut(each(of(state, TABLES).unionByName(of(owned, ROOT)), _owner(number, number - burn_in, seed, roots[-1][1], words)), "root")
-            roots.append(totals(owned))
+            roots.append(added(owned))
             for table in old:
                 discard(table)
         told = cut(each(of(owned, ROOT).unionByName(of(begun, KEYS)), _told), "told")
@@ -653,7 +694,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5, burn_in: int = BURN_
             discard(table)
     finally:
         spark.conf.set(tidy, before)
-    back = sliced.unionByName(of(counts, COUNTS)).unionByName(found).repartition(parts, "part")
+    back = sliced.unionByName(found).repartition(parts, "part")
     out = back.groupBy("part").applyInArrow(_scored(parts, split), RESULT)
     base = F.col("base") - F.col("n") * F.log10(F.lit(float(n + words + 1)))
     return out.select("doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
