@@ -195,25 +195,60 @@ class Matrix2d(tuple):
         return all(abs(a - b) < 1e-6 for a, b in zip(self, other, strict=True))
 
 
+def _between(r: Raster, before: list[Column], after: list[Column], share: Column) -> list[Column]:
+    """Two pixels mixed, after with share: colours weighed by alpha where there is one, whole samples rounded."""
+    whole = r.bits == "8"
+    if not r.has_alpha:
+        mix = [(1 - share) * a + share * b for a, b in zip(before, after, strict=True)]
+        return [F.when(share == 0, a).otherwise((m + 0.5).cast("int") if whole else m) for a, m in zip(before, mix, strict=True)]
+    top = float(r.top)
+    a, b = before[-1] / F.lit(top), after[-1] / F.lit(top)
+    cover = (1 - share) * before[-1] + share * after[-1]
+    cover = cover.cast("int") if whole else cover
+    total = a * (1 - share) + b * share
+    out = []
+    for x, y in zip(before[:-1], after[:-1], strict=True):
+        level = ((1 - share) * x * a + share * y * b) / F.when(total > 0, total)
+        level = F.least((level + 0.5).cast("int"), F.lit(255)) if whole else level
+        out.append(F.when(share == 0, x).when(cover > 0, level).otherwise(F.lit(0)))
+    return [*out, F.when(share == 0, before[-1]).otherwise(cover)]
+
+
 def matrix_transform(r: Raster, matrix, width: int | None = None, height: int | None = None, background: tuple[int, ...] = (0, 0, 0, 0)) -> Raster:
-    """Each output place's source by a 3 x 3 matrix with perspective division; the nearest pixel, background outside."""
+    """Each output place's source by a 3 x 3 matrix with perspective division, mixed from the (up to four) pixels around it;
+    background stands where there is none. The pixels around are rows of one join, gathered again by output place."""
     m, w, h = matrix, width or r.width, height or r.height
     images = r.px.select("image_id").distinct()
     grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("ox"))
-    at = lambda k: F.col("ox") * float(m[k]) + F.col("oy") * float(m[k + 1]) + float(m[k + 2])
+    at = lambda k: F.col("ox") * F.lit(float(m[k])) + F.col("oy") * F.lit(float(m[k + 1])) + F.lit(float(m[k + 2]))
     z = at(6)
-    place = lambda k: F.when(F.abs(z) > 1e-7, F.floor(at(k) / F.when(F.abs(z) > 1e-7, z) + 0.5)).cast("int")
-    asked = grid.withColumns({"x": place(0), "y": place(3)})
-    px = asked.join(r.px, KEYS, "left").select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *(F.coalesce(F.col(n), F.lit(background[k])).alias(n) for k, n in enumerate(r.names)))
-    return Raster(px, w, h, r.channels, r.bits)
+    place = lambda k: at(k) / F.when(F.abs(z) > 1e-7, z)
+    asked = grid.withColumns({"sx": place(0), "sy": place(3)})
+    near = F.coalesce((F.col("sx") >= -1) & (F.col("sx") < r.width) & (F.col("sy") >= -1) & (F.col("sy") < r.height), F.lit(False))
+    asked = asked.select("image_id", "oy", "ox", *(F.when(near, F.floor(s)).cast("int").alias(f"b{s[1]}") for s in ("sx", "sy")), *(F.when(near, F.col(s) - F.floor(s)).otherwise(F.lit(0.0)).alias(f"d{s[1]}") for s in ("sx", "sy")))
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)))).alias("at")
+    asked = asked.select("*", corner).where("(at.i = 0 or dx > 0) and (at.j = 0 or dy > 0)").withColumns({"x": F.col("bx") + F.col("at.i"), "y": F.col("by") + F.col("at.j")})
+    found = asked.join(r.px, KEYS, "left").select("image_id", "oy", "ox", "dx", "dy", "at", *(F.coalesce(F.col(n), F.lit(background[k])).alias(n) for k, n in enumerate(r.names)))
+    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
+    gathered = found.groupBy("image_id", "oy", "ox").agg(F.max("dx").alias("dx"), F.max("dy").alias("dy"), *(F.max(F.when((F.col("at.i") == i) & (F.col("at.j") == j), F.col(n))).alias(f"{n}_{i}{j}") for i, j in corners for n in r.names))
+    row = lambda j: _between(r, *([F.coalesce(F.col(f"{n}_{i}{j}"), F.col(f"{n}_00")) for n in r.names] for i in (0, 1)), F.col("dx"))
+    rows = gathered.select("image_id", "oy", "ox", "dy", *(c.alias(f"{n}_{j}") for j in (0, 1) for n, c in zip(r.names, row(j), strict=True)))
+    out = _between(r, *([F.col(f"{n}_{j}") for n in r.names] for j in (0, 1)), F.col("dy"))
+    if r.bits == "16":
+        out = [(c + 0.5).cast("int") for c in out]
+    return Raster(rows.select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *(c.alias(n) for n, c in zip(r.names, out, strict=True))), w, h, r.channels, r.bits)
+
+
+def rotation(width: int, height: int, degrees: float) -> tuple[Matrix2d, int, int]:
+    """The matrix of a turn about the middle, and the least frame that holds all."""
+    a = degrees * pi / 180
+    w, h = (int(ceil(abs(width * p) + abs(height * q) - 0.0001)) for p, q in ((cos(a), sin(a)), (sin(a), cos(a))))
+    return Matrix2d.translate((width - 1) / 2, (height - 1) / 2) * Matrix2d.rotate(-a) * Matrix2d.translate(-(w - 1) / 2, -(h - 1) / 2), w, h
 
 
 def rotate(r: Raster, degrees: float, background: tuple[int, ...] = (0, 0, 0, 0)) -> Raster:
     """By any angle, into the least frame that holds all."""
-    a = degrees * pi / 180
-    w = int(ceil(round(abs(r.width * cos(a)) + abs(r.height * sin(a)), 6)))
-    h = int(ceil(round(abs(r.width * sin(a)) + abs(r.height * cos(a)), 6)))
-    m = Matrix2d.translate((r.width - 1) / 2, (r.height - 1) / 2) * Matrix2d.rotate(-a) * Matrix2d.translate(-(w - 1) / 2, -(h - 1) / 2)
+    m, w, h = rotation(r.width, r.height, degrees)
     return matrix_transform(r, m, w, h, background)
 
 

@@ -3,6 +3,8 @@ alone and is broadcast by the optimizer when its size allows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,3 +180,45 @@ def masked_update(r: Raster, new: Raster, mask: Raster | None, left: int, top: i
         px = px.join(part, KEYS, "left")
         keep = F.coalesce(F.col("m") != 0, F.lit(False))
     return r.with_px(px).project({n: F.when(F.col(s).isNotNull() & keep, F.col(s)).otherwise(F.col(n)) for n, s in zip(r.names, names, strict=True)})
+
+
+def get_scanline(r: Raster, y: int, left: int = 0, right: int | None = None) -> DataFrame:
+    """The pixels of a row from left to before right (image_id, y, x, samples); a row outside has none."""
+    return r.px.where((F.col("y") == y) & (F.col("x") >= left) & (F.col("x") < (r.width if right is None else right))).select(*KEYS, *r.names)
+
+
+def get_samples(r: Raster, y: int, channels: list[int], left: int = 0, right: int | None = None) -> DataFrame:
+    """As get_scanline, of the listed channels in their order, repeats allowed, as s0, s1 and so on."""
+    if any(not 0 <= k < r.channels for k in channels):
+        raise ValueError("no channel of that number")
+    return get_scanline(r, y, left, right).select(*KEYS, *(F.col(f"c{k}").alias(f"s{i}") for i, k in enumerate(channels)))
+
+
+@dataclass(frozen=True)
+class View:
+    """A frame of a stack, with a mask or without: reads see the stack's pixels, writes reach it where the mask isn't 0.
+    A view of a view has both masks."""
+
+    target: Raster
+    left: int
+    top: int
+    width: int
+    height: int
+    mask: Raster | None = None
+
+    def read(self) -> Raster:
+        px = self.target.px.where(F.col("x").between(self.left, self.left + self.width - 1) & F.col("y").between(self.top, self.top + self.height - 1))
+        moved = px.select("image_id", (F.col("y") - self.top).cast("int").alias("y"), (F.col("x") - self.left).cast("int").alias("x"), *self.target.names)
+        return Raster(moved, self.width, self.height, self.target.channels, self.target.bits)
+
+    def view(self, left: int, top: int, width: int, height: int, mask: Raster | None = None) -> View:
+        outer = self.mask and View(self.mask, left, top, width, height).read()
+        if outer and mask:
+            both = outer.px.select(*KEYS, F.col("c0").alias("_m")).join(mask.px, KEYS)
+            mask = Raster(both.select(*KEYS, F.when(F.col("_m") != 0, F.col("c0")).otherwise(F.lit(0)).alias("c0")), width, height, 1, mask.bits)
+        return View(self.target, self.left + left, self.top + top, min(width, self.width - left), min(height, self.height - top), mask or outer)
+
+    def write(self, new: Raster) -> Raster:
+        """The target with new's pixels in the view's frame."""
+        inside = new.px.where((F.col("x") < self.width) & (F.col("y") < self.height))
+        return masked_update(self.target, new.with_px(inside), self.mask, self.left, self.top)

@@ -90,17 +90,18 @@ def mosaic(r: Raster, size: int) -> Raster:
 
 
 def bumpmap(r: Raster, bump: Raster, channel: int, light_x: int, light_y: int, reach: int) -> Raster:
-    """Light and shade from a bump image's gradient at +-reach, fading with the distance from the light; border pixels are 0."""
-    n = f"c{channel}"
-    edge = lambda c, size: (c < reach) | (c >= size - reach)
-    slope = bump.px.select(*KEYS, (_at(n, reach, "x") - _at(n, -reach, "x")).alias("gx"), (_at(n, reach, "y") - _at(n, -reach, "y")).alias("gy"))
-    px = r.px.join(slope, KEYS, "left")
-    nx, ny = F.abs(F.col("gx") + (F.col("x") - light_x)), F.abs(F.col("gy") + (F.col("y") - light_y))
-    far = max(light_x, r.width - light_x) ** 2 + max(light_y, r.height - light_y) ** 2
-    z = F.lit(2.0) - 2.0 * F.sqrt((nx * nx + ny * ny).cast("double")) / F.lit(float(far) ** 0.5)
-    z = F.least(F.greatest(z, F.lit(0.0)), F.lit(2.0))
-    outside = edge(F.col("x"), r.width) | edge(F.col("y"), r.height) | F.col("gx").isNull() | F.col("gy").isNull()
-    return r.with_px(px).project({c: F.when(outside, F.lit(0)).otherwise(clamp((F.col(c) * z).cast("int"))) for c in r.names})
+    """Shade from a bump image's slope at +-reach (what lies outside is 0), growing with the distance from the light; the
+    outermost pixels of the common area, and all beyond it, are 0."""
+    n, w, h = f"c{channel}", min(r.width, bump.width), min(r.height, bump.height)
+    at = lambda shift, axis: F.coalesce(_at(n, shift, axis), F.lit(0))
+    slope = bump.px.select(*KEYS, *((at(reach, axis) - at(-reach, axis) + 128).cast("double").alias(f"g{axis}") for axis in "xy"))
+    far = (float(max(light_x, w - light_x) if light_x != w // 2 else w - light_x) ** 2 + float(max(light_y, h - light_y) if light_y != h // 2 else h - light_y) ** 2) ** 0.5
+    tx, ty = F.abs(F.col("x") - light_x) / F.lit(far), F.abs(F.col("y") - light_y) / F.lit(far)
+    steep = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / F.lit(far)
+    z = F.least(F.greatest(F.lit(1.0) - F.sqrt(tx * tx + ty * ty) * steep, F.lit(0.0)), F.lit(2.0))
+    inside = F.col("x").between(1, w - 2) & F.col("y").between(1, h - 2)
+    shaded = r.with_px(r.px.join(slope, KEYS, "left"))
+    return shaded.project({c: F.when(inside, clamp((F.col(c) * z).cast("float").cast("int"))).otherwise(F.lit(0)) for c in r.names})
 
 
 def bumpmap_complex(r: Raster, bump: Raster, channel: int, light: tuple[float, float, float], ambient: float, diffuse: float, specular: float, exponent: float, light_colour: tuple[int, ...] = (255, 255, 255), ambient_colour: tuple[int, ...] = (255, 255, 255), specular_colour: tuple[int, ...] = (255, 255, 255)) -> Raster:

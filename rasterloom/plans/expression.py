@@ -315,9 +315,9 @@ class Compiler:
         return (*colours[:3], got[-1] if image.channels == 4 else F.lit(255))
 
 
-def transform2(images: list[Raster], postfix: str | None = None, infix: str | None = None, constants: dict[str, float] | None = None, width: int | None = None, height: int | None = None, channels: int = 3, grid: Raster | None = None) -> Raster:
+def transform2(images: list[Raster], postfix: str | None = None, infix: str | None = None, constants: dict[str, float] | None = None, width: int | None = None, height: int | None = None, channels: int = 3, grid: Raster | None = None, tree: Node | None = None) -> Raster:
     """A pixel expression over (x, y), constants and up to three stacks. The result has the first stack's size, or the given
-    one; without stacks grid says which images there are."""
+    one; without stacks grid says which images there are. A tree can be given instead of a text."""
     first = images[0] if images else grid
     if first is None:
         raise ExpressionError("an image or a grid is needed")
@@ -325,7 +325,7 @@ def transform2(images: list[Raster], postfix: str | None = None, infix: str | No
     known = {"w": w, "h": h, "cx": w / 2, "cy": h / 2} | (constants or {})
     for k, im in enumerate(images, 1):
         known |= {f"w{k}": im.width, f"h{k}": im.height, f"cx{k}": im.width / 2, f"cy{k}": im.height / 2}
-    tree = parse_postfix(postfix, known) if postfix is not None else parse_infix(infix or "", known)
+    tree = tree or (parse_postfix(postfix, known) if postfix is not None else parse_infix(infix or "", known))
     if tree.kind != "p":
         raise ExpressionError("an expression must give a pixel")
     if (w, h) == (first.width, first.height):
@@ -334,7 +334,7 @@ def transform2(images: list[Raster], postfix: str | None = None, infix: str | No
         ids = first.px.select("image_id").distinct()
         base = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"))
         base = base.join(first.px.select(*KEYS, *(F.col(n).alias(f"_own_{n}") for n in first.names)), KEYS, "left")
-    compiler = Compiler(base, images)
+    compiler = Compiler(base.withColumns({"_cx": F.lit(known["cx"]), "_cy": F.lit(known["cy"])}), images)
     pixel = compiler.emit(tree)
     colours = list(pixel)
     if channels <= 2:
@@ -348,15 +348,58 @@ def transform(image: Raster, x: str, y: str, constants: dict[str, float] | None
     return transform2([image], postfix=f"{x} {y} getp1", constants=constants)
 
 
-# Canned transforms: what each does, its constants and their usual values.
-CANNED = {
-    "circleripple": ({"freq": 5, "depth": 10, "shadow": 20}, "x y cx cy distance !r @r freq / sin !s @s depth * @r + !q y cy - x cx - atan2 !a cx @a cos @q * + cy @a sin @q * + getp1 @s shadow + shadow 1 + / *"),
-    "spiral": ({}, "x y cx cy distance !r y cy - x cx - atan2 !a @r 180 / pi * @a + !t cx @t cos @r * + cy @t sin @r * + getp1"),
-    "diagripple": ({"freq": 5, "depth": 3}, "x y + freq / sin depth * !s x @s + y @s + getp1"),
-    "twist": ({"twist": 2.5}, "x y cx cy distance !r y cy - x cx - atan2 @r twist / pi * 180 / + !a cx @a cos @r * + cy @a sin @r * + getp1"),
-}
+X, Y, CX, CY = (Node("var", (v,), "n") for v in ("x", "y", "_cx", "_cy"))
+
+
+def calc(op: str, *args: Node | float) -> Node:
+    return make(op, [a if isinstance(a, Node) else number(a) for a in args])
+
+
+def _radius() -> Node:
+    return calc("distance", X, Y, CX, CY)
+
+
+def _bearing() -> Node:
+    return calc("atan2", calc("-", Y, CY), calc("-", X, CX))
+
+
+def _pixel_at(bearing: Node, radius: Node) -> Node:
+    """The first stack's pixel at a bearing and a distance from the middle."""
+    return calc("getp1", calc("+", CX, calc("*", calc("cos", bearing), radius)), calc("+", CY, calc("*", calc("sin", bearing), radius)))
+
+
+def _shaded(pixel: Node, wave: Node, shadow: float) -> Node:
+    """A pixel darkened where a wave from -1 to 1 is low."""
+    return calc("*", pixel, calc("/", calc("+", wave, shadow), shadow + 1))
+
+
+def circleripple(freq: float = 5, depth: float = 10, shadow: float = 20) -> Node:
+    """Rings: pixels come from farther out or in as a wave along the distance says."""
+    wave = calc("sin", calc("/", _radius(), freq))
+    return _shaded(_pixel_at(_bearing(), calc("+", _radius(), calc("*", wave, depth))), wave, shadow)
+
+
+def spiral(spacing: float = 10) -> Node:
+    """Coloured arms, without a source: the hue is the bearing, the value a wave along distance and bearing."""
+    turn = calc("%", calc("+", calc("/", _radius(), spacing), _bearing()), 2 * math.pi)
+    return calc("hsv", calc("/", calc("*", _bearing(), 180), math.pi), 1, calc("/", calc("+", calc("sin", turn), 1), 2))
+
+
+def diagripple(freq: float = 5, depth: float = 3, shadow: float = 20) -> Node:
+    """Waves along the diagonal."""
+    wave = calc("sin", calc("/", calc("+", X, Y), freq))
+    moved = calc("*", wave, depth)
+    return _shaded(calc("getp1", calc("+", X, moved), calc("+", Y, moved)), wave, shadow)
+
+
+def twist(twist: float = 2.5) -> Node:
+    """Pixels turn about the middle, the more the farther out they are."""
+    return _pixel_at(calc("+", _bearing(), calc("/", _radius(), twist)), _radius())
+
+
+CANNED = {f.__name__: f for f in (circleripple, spiral, diagripple, twist)}
 
 
 def canned(name: str, image: Raster, **constants: float) -> Raster:
-    usual, text = CANNED[name]
-    return transform2([image], postfix=text, constants=usual | constants)
+    """A canned transform of a stack (spiral takes its size only)."""
+    return transform2([image], tree=CANNED[name](**constants))

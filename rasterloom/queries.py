@@ -71,7 +71,7 @@ add("flatten", lambda r: point.flatten(r, (10, 200, 90)), select(", ".join(f"tru
 add("border", lambda r: point.border(r, (1, 2, 3)), select(each("case when x in (0, 63) or y in (0, 49) then @ + 1 else c@ end")))
 add("noise", lambda r: point.noise(r, 12.0, seed=3))
 add("to_16_and_back", lambda r: model.to_bits(model.to_bits(r, "16"), "8"), select("c0, c1, c2"))
-add("to_double", lambda r: Raster(r.px.select(*KEYS, *(F.round(F.col(n) / 255.0, 6).alias(n) for n in r.names)), r.width, r.height), select(each("round(c@ / 255, 6)")))
+add("to_double", lambda r: model.to_bits(r, "double").map_all(lambda c: F.round(c, 6)), select(each("round(c@ / 255, 6)")))
 
 # Places
 
@@ -93,8 +93,24 @@ for _d, _x, _y in ((90, "49 - y", "x"), (180, "63 - x", "49 - y"), (270, "y", "6
 add("scale_nn", lambda r: geometry.scale_nearest(r, 0.5, 2.0), f"{BASE}, o as (select unnest(range(32))::int as ox), q as (select unnest(range(100))::int as oy) select image_id, oy as y, ox as x, c0, c1, c2 from o, q, p where p.x = trunc(ox / 0.5)::int and p.y = trunc(oy / 2.0)::int")
 add("scale_mixing", lambda r: geometry.scale_mixing(r, 32, 25), f"{BASE} select image_id, y // 2 as y, x // 2 as x, {each('least(255, floor(sum(c@) / 4 + 0.5))::int')} from p group by 1, y // 2, x // 2")
 add("scale_lanczos", lambda r: Raster(geometry.scale(r, 0.5, 0.5).px, 32, 25))
-add("matrix_transform", lambda r: geometry.matrix_transform(r, geometry.Matrix2d.translate(3, -2) * geometry.Matrix2d.shear(0.5, 0)), f"{BASE}, o as (select image_id, y as oy, x as ox, floor(x + y * 0.5 + 3 + 0.5)::int as sx, floor(y - 2 + 0.5)::int as sy from p) select o.image_id, oy as y, ox as x, coalesce(c0, 0) as c0, coalesce(c1, 0) as c1, coalesce(c2, 0) as c2 from o left join p on o.image_id = p.image_id and p.x = sx and p.y = sy")
-add("rotate_angle", lambda r: geometry.rotate(r, 30))
+
+
+def _mixed_sql(m: tuple[float, ...], w: int, h: int) -> str:
+    """A 3 x 3 matrix without perspective, over p: up to four pixels around a place, rows first, rounded twice."""
+    place = lambda k: f"ox * {float(m[k])!r}::double + oy * {float(m[k + 1])!r}::double + {float(m[k + 2])!r}::double"
+    grid = f"o as (select image_id, oy, ox, {place(0)} as sx, {place(3)} as sy from (select distinct image_id from p), (select unnest(range({w}))::int as ox), (select unnest(range({h}))::int as oy)), n as (select image_id, oy, ox, sx >= -1 and sx < 64 and sy >= -1 and sy < 50 as near, floor(sx)::int as bx, floor(sy)::int as \"by\", sx - floor(sx) as dx, sy - floor(sy) as dy from o)"
+    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
+    joins = " ".join(f"left join p q{i}{j} on q{i}{j}.image_id = n.image_id and q{i}{j}.x = n.bx + {i} and q{i}{j}.y = n.\"by\" + {j}" for i, j in corners)
+    got = ", ".join(f"coalesce(q{i}{j}.c{k}, 0) as c{k}_{i}{j}" for k in range(3) for i, j in corners)
+    row = lambda k, j: f"case when dx = 0 then c{k}_0{j} else trunc((1 - dx) * c{k}_0{j} + dx * c{k}_1{j} + 0.5::double)::int end as c{k}_{j}"
+    rows = ", ".join(row(k, j) for k in range(3) for j in (0, 1))
+    return f"{BASE}, {grid}, found as (select n.*, {got} from n {joins}), mixed as (select *, {rows} from found) select image_id, oy as y, ox as x, " + ", ".join(f"case when not near then 0 when dy = 0 then c{k}_0 else trunc((1 - dy) * c{k}_0 + dy * c{k}_1 + 0.5::double)::int end as c{k}" for k in range(3)) + " from mixed"
+
+
+_SHEARED = geometry.Matrix2d.translate(3, -2.25) * geometry.Matrix2d.shear(0.5, 0)
+add("matrix_transform", lambda r: geometry.matrix_transform(r, _SHEARED), _mixed_sql(_SHEARED, 64, 50))
+add("matrix_transform_alpha", lambda r: geometry.matrix_transform(r, _SHEARED, background=(10, 20, 30, 40)), None, 4)
+add("rotate_angle", lambda r: geometry.rotate(r, 30), _mixed_sql(*geometry.rotation(64, 50, 30)))
 
 # Neighbourhoods
 
@@ -134,7 +150,8 @@ add("conv", lambda r: stencil.conv(r, [0.1, 0.2, 0.4, 0.2, 0.1]), _conv_sql((0.1
 add("gaussian", lambda r: stencil.gaussian(r, 1.5), _gauss_sql(1.5))
 add("unsharpmask", lambda r: stencil.unsharp_mask(r, 1.5, 1.0), _gauss_sql(1.5, f"select p.image_id, p.y, p.x, {each('greatest(0, least(255, 2 * p.c@ - gy.c@))')} from p join gy using (image_id, y, x)"))
 add("mosaic", lambda r: stencil.mosaic(r, 8), f"{BASE}, m as (select image_id, y // 8 as ty, x // 8 as tx, {each('trunc((sum(c@) / 64)::float)::int')} from p group by 1, 2, 3) select p.image_id, y, x, {each('m.c@')} from p join m on p.image_id = m.image_id and y // 8 = ty and x // 8 = tx")
-add("bumpmap", lambda r: stencil.bumpmap(r, model.turned(r), 0, 20, 15, 2), f"{BASE}, s as (select image_id, y, x, lead(c0, 2) over wx - lag(c0, 2) over wx as gx, lead(c0, 2) over wy - lag(c0, 2) over wy as gy from t window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)), z as (select image_id, y, x, least(2, greatest(0, 2 - 2 * sqrt(((gx + x - 20) * (gx + x - 20) + (gy + y - 15) * (gy + y - 15))::double) / sqrt(44.0::double * 44 + 35 * 35))) as z from s where gx is not null and gy is not null) select p.image_id, p.y, p.x, {each('case when z is null then 0 else greatest(0, least(255, trunc(c@ * z)::int)) end')} from p left join z using (image_id, y, x)")
+_FAR = repr((44.0**2 + 35.0**2) ** 0.5) + "::double"
+add("bumpmap", lambda r: stencil.bumpmap(r, model.turned(r), 0, 20, 15, 2), f"{BASE}, s as (select image_id, y, x, (coalesce(lead(c0, 2) over wx, 0) - coalesce(lag(c0, 2) over wx, 0) + 128)::double as gx, (coalesce(lead(c0, 2) over wy, 0) - coalesce(lag(c0, 2) over wy, 0) + 128)::double as gy, abs(x - 20) / {_FAR} as tx, abs(y - 15) / {_FAR} as ty from t window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)), z as (select image_id, y, x, least(2, greatest(0, 1 - sqrt(tx * tx + ty * ty) * (sqrt(gx * gx + gy * gy) / {_FAR}))) as z from s) select p.image_id, p.y, p.x, {each('case when p.x between 1 and 62 and p.y between 1 and 48 then trunc((c@ * z)::float)::int else 0 end')} from p join z using (image_id, y, x)")
 add("bumpmap_complex", lambda r: stencil.bumpmap_complex(r, model.turned(r), 0, (-1.0, -1.0, -2.0), 0.3, 0.6, 0.4, 8.0))
 add("haar", lambda r: stencil.haar(r), f"{BASE}, h1 as (select image_id, y, x // 2 as k, {', '.join(f'max(case when x % 2 = {q} then c{k} end) as a{k}{q}' for k in range(3) for q in (0, 1))} from p group by 1, 2, 3), r1 as (select image_id, y, k as x, {', '.join(f'(a{k}0 + a{k}1) // 2 as c{k}' for k in range(3))} from h1 union all select image_id, y, k + 32, {', '.join(f'(255 + a{k}0 - a{k}1) // 2' for k in range(3))} from h1), h2 as (select image_id, x, y // 2 as k, {', '.join(f'max(case when y % 2 = {q} then c{k} end) as a{k}{q}' for k in range(3) for q in (0, 1))} from r1 group by 1, 2, 3) select image_id, k::int as y, x::int as x, {', '.join(f'((a{k}0 + a{k}1) // 2)::int as c{k}' for k in range(3))} from h2 union all select image_id, (k + 25)::int, x::int, {', '.join(f'((255 + a{k}0 - a{k}1) // 2)::int' for k in range(3))} from h2")
 
@@ -229,8 +246,8 @@ add("img_diff", lambda r: joins.img_diff(r, model.turned(r)), f"{BASE} select im
 add("img_samef", lambda r: joins.img_same(r, r.project({"c1": F.col("c1") + (F.col("image_id") % 2).cast("int") * 2}), 1), f"{BASE} select image_id, image_id % 2 = 0 as same from p group by 1")
 add("setpixel", lambda r: joins.set_pixels(r, r.px.where("x % 9 = 0 and y % 5 = 0").select(*KEYS, F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select("*", (F.col("seq") * 10).alias("c0"), F.lit(7).alias("c1"), F.col("x").alias("c2"))), select("case when x % 9 = 0 and y % 5 = 0 then 20 else c0 end as c0, case when x % 9 = 0 and y % 5 = 0 then 7 else c1 end as c1, case when x % 9 = 0 and y % 5 = 0 then x else c2 end as c2"))
 add("getpixel", lambda r: joins.get_pixels(r, r.px.where("x < 3 and y < 3").select("image_id", (F.col("y") * 20).alias("y"), (F.col("x") * 40).alias("x"))), f"{BASE}, q as (select image_id, y * 20 as y, x * 40 as x from p where x < 3 and y < 3) select q.image_id, q.y, q.x, c0, c1, c2 from q left join p using (image_id, y, x)")
-add("getscanline", lambda r: r.px.where("y = 7 and x between 3 and 20").select(*KEYS, *r.names), f"{BASE} select image_id, y, x, c0, c1, c2 from p where y = 7 and x between 3 and 20")
-add("getsamples", lambda r: r.px.where("y between 2 and 3").select(*KEYS, F.col("c2").alias("s0"), F.col("c0").alias("s1"), F.col("c2").alias("s2")), f"{BASE} select image_id, y, x, c2 as s0, c0 as s1, c2 as s2 from p where y between 2 and 3")
+add("getscanline", lambda r: joins.get_scanline(r, 7, 3, 21), f"{BASE} select image_id, y, x, c0, c1, c2 from p where y = 7 and x between 3 and 20")
+add("getsamples", lambda r: joins.get_samples(r, 2, [2, 0, 2]), f"{BASE} select image_id, y, x, c2 as s0, c0 as s1, c2 as s2 from p where y = 2")
 add("masked_update", lambda r: joins.masked_update(Raster(r.px.drop("c3"), 64, 50, 3), Raster(model.turned(r).px.drop("c3"), 64, 50, 3), point.convert(r, "alpha"), 8, 8), f"{BASE} select p.image_id, p.y, p.x, {each('case when t.c0 is not null and coalesce(a.c3, 0) <> 0 then t.c@ else p.c@ end')} from p left join t on p.image_id = t.image_id and t.x = p.x - 8 and t.y = p.y - 8 left join a on p.image_id = a.image_id and a.x = p.x - 8 and a.y = p.y - 8", 4)
 
 # Colour figures
@@ -296,7 +313,9 @@ for _curve in ("sine", "sphereup", "spheredown"):
     add(f"fountain_curve_{_curve}", lambda r, c=_curve: fills.fountain(r, 0, 0, 63, 49, "linear", "none", [fills.Segment(curve=c, middle=0.3)]))
 for _colour in ("hueup", "huedown"):
     add(f"fountain_colour_{_colour}", lambda r, c=_colour: fills.fountain(r, 0, 0, 63, 0, "linear", "none", [fills.Segment(c0=(1.0, 0.2, 0.1, 1.0), c1=(0.1, 0.3, 1.0, 1.0), colour=c)]))
-add("hatch", lambda r: fills.hatch(r, "check2x2", (1, 2, 3), (9, 8, 7), 1, 0), select(", ".join(f"case when (((x + 1) // 2) % 2 = 0) = (y % 4 < 2) then {a} else {b} end as c{k}" for k, (a, b) in enumerate(((1, 9), (2, 8), (3, 7))))))
+_BITS = lambda rows, dx=0, dy=0: f"(list_value({', '.join(map(str, rows))}))[(y + {dy}) % 8 + 1] // (list_value(128, 64, 32, 16, 8, 4, 2, 1))[(x + {dx}) % 8 + 1] % 2 = 1"
+for _name, _on in (("check2x2", "((x + 1) // 2) % 2 = (y // 2) % 2"), ("vline2", "(x + 1) % 4 = 3"), ("slash1", "(x + 1 + y) % 8 = 7"), ("slosh2", "(x + 1) % 4 = y % 4"), ("grid4", "(x + 1) % 2 = 0 or y % 2 = 0"), ("dots4", "(x + 1) % 4 = 0 and y % 4 = 0"), ("weave", _BITS((0x55, 0xFD, 0x05, 0xFD, 0x55, 0xDF, 0x50, 0xDF), 1)), ("tile_L", _BITS((0xFF, 0x84, 0x84, 0x9C, 0x94, 0x9C, 0x90, 0x90), 1))):
+    add("hatch" if _name == "check2x2" else f"hatch_{_name}", lambda r, n=_name: fills.hatch(r, n, (1, 2, 3), (9, 8, 7), 1, 0), select(", ".join(f"case when {_on} then {a} else {b} end as c{k}" for k, (a, b) in enumerate(((1, 9), (2, 8), (3, 7))))))
 add("image_fill", lambda r: fills.image_fill(r, geometry.crop(r, width=10, height=8, left=0, top=0), 3, 0), f"{BASE} select o.image_id, o.y, o.x, {each('q.c@')} from p o join p q on q.image_id = o.image_id and q.x = (o.x + (o.y // 8) * 3) % 10 and q.y = o.y % 8")
 add("opacity_fill", lambda r: fills.opacity_fill(Raster(r.px.drop("c3"), 64, 50, 3), model.turned(r), 0.5), f"{BASE}, j as (select p.*, t.c0 as s0, t.c1 as s1, t.c2 as s2, trunc(t.c3 * 0.5::double + 0.5)::int as a from p join ta t using (image_id, y, x)) select image_id, y, x, {each('case when a = 0 then c@ else trunc((s@ * a + c@ * (255 - a)) / 255)::int end')} from j", 4)
 add("solid_fill", lambda r: fills.solid(r, (1, 2, 3, 255)), select("1 as c0, 2 as c1, 3 as c2"))
@@ -305,13 +324,22 @@ add("nearest_color", lambda r: fills.nearest_colour(r, [(5, 5), (50, 10), (30, 4
 add("box", lambda r: draw.box(r, 4, 5, 40, 30, (9, 8, 7)), select(", ".join(f"case when x between 4 and 40 and y between 5 and 30 and (x in (4, 40) or y in (5, 30)) then {v} else c{k} end as c{k}" for k, v in enumerate((9, 8, 7)))))
 add("box_filled", lambda r: draw.box_filled(r, -4, 5, 40, 99, (9, 8, 7)), select(", ".join(f"case when x <= 40 and y >= 5 then {v} else c{k} end as c{k}" for k, v in enumerate((9, 8, 7)))))
 add("box_fill", lambda r: draw.box_fill(r, 10, 10, 30, 30, model.turned(r)), f"{BASE} select p.image_id, p.y, p.x, {each('case when p.x between 10 and 30 and p.y between 10 and 30 then t.c@ else p.c@ end')} from p join t using (image_id, y, x)")
-add("line", lambda r: draw.line(r, 2, 3, 60, 40, (1, 2, 3)), select(", ".join(f"case when x between 2 and 60 and y = 3 + floor((x - 2) * (37 / 58::double) + 0.5) then {k + 1} else c{k} end as c{k}" for k in range(3))))
+def _line_sql(y: str, low: int, high: int, axes: tuple[str, str] = ("x", "y")) -> str:
+    return select(", ".join(f"case when {axes[0]} between {low} and {high} and {axes[1]} = {y} then {k + 1} else c{k} end as c{k}" for k in range(3)))
+
+
+add("line", lambda r: draw.line(r, 2, 3, 60, 40, (1, 2, 3)), _line_sql("3 + (2 * 37 * (x - 2) + 58) // 116", 2, 60))
+add("line_rising", lambda r: draw.line(r, 0, 10, 8, 6, (1, 2, 3)), _line_sql("10 - (2 * 4 * x + 8) // 16", 0, 8))
+add("line_steep", lambda r: draw.line(r, 30, 45, 9, 3, (1, 2, 3), endpoint=False), _line_sql("9 + (2 * 21 * (y - 3) + 42) // 84", 3, 44, ("y", "x")))
+add("line_dda", lambda r: draw.line_dda(r, 3, 5, 60, 41, (1, 2, 3)), _line_sql("trunc(5::double + (x - 3) / 57::double * 36 + 0.5)::int", 3, 60))
+_DONE, _TOWARD = "31 * (x - 6) // 50", "(50 * (31 * (x - 6) // 50 + 1) - 31 * (x - 5)) / 50::double"
+add("line_aa", lambda r: draw.line_aa(r, 5, 4, 55, 35, (200, 100, 50)), select(", ".join(f"case when (x = 5 and y = 4) or (x = 55 and y = 35) then {v} when x between 6 and 54 and y = 4 + {_DONE} then trunc((1 - t) * c{k} + t * {v})::int when x between 6 and 54 and y = 5 + {_DONE} then trunc(t * c{k} + (1 - t) * {v})::int else c{k} end as c{k}" for k, v in enumerate((200, 100, 50))), "l", f"l as (select *, greatest(0, {_TOWARD})::float::double as t from p)"))
 add("circle", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("circle_outline", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3), filled=False), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 and (x - 30) ** 2 + (y - 25) ** 2 > 132 then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)))
-_SPOTS = [(k + 0.5) / 4 - 0.5 for k in range(4)]
-_HITS = " + ".join(f"case when (x + {u - 30.5}::double) * (x + {u - 30.5}::double) + (y + {v - 25.5}::double) * (y + {v - 25.5}::double) <= 81 then 1 else 0 end" for u in _SPOTS for v in _SPOTS)
-add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, trunc(({_HITS}) * 255 / 16)::int as s from p)"))
+_REACH = [f"case when (y + {(s + 1) / 16 - 25.5}::double) ** 2 < 81 then sqrt(81::double - (y + {(s + 1) / 16 - 25.5}::double) * (y + {(s + 1) / 16 - 25.5}::double)) end" for s in range(16)]
+_HITS = " + ".join(f"coalesce(greatest(0, least(trunc(0.5::double + (30.5::double + {h}) * 16)::int, x * 16 + 16) - greatest(trunc(0.5::double + (30.5::double - {h}) * 16)::int, x * 16)), 0)" for h in _REACH)
+add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, case when y between 16 and 34 then ({_HITS}) * 255 // 256 else 0 end as s from p)"))
 add("polygon", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)], [(20, 15), (35, 15), (35, 30), (20, 30)]], (1, 2, 3)))
 add("polygon_aa", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)]], (1, 2, 3), "nonzero", 4))
 add("bezier", lambda r: draw.bezier(r, [(2, 2), (30, 60), (60, 4)], (1, 2, 3)))
@@ -365,8 +393,7 @@ def _limits(spark: SparkSession, folder: str) -> DataFrame:
     limits = codecs.Limits(40, 30, 3000)
     w, h, c = (F.col("p_partkey") % 50).cast("int"), (F.col("p_size") % 40).cast("int"), (F.col("p_partkey") % 4 + 1).cast("int")
     heads = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", w.alias("w"), h.alias("h"), c.alias("c"))
-    fits = (F.col("w") >= 1) & (F.col("h") >= 1) & (F.col("w") <= limits.width) & (F.col("h") <= limits.height) & (F.col("w") * F.col("h") * F.col("c") <= limits.bytes)
-    return heads.select("p_partkey", fits.alias("fits"))
+    return heads.select("p_partkey", images.within(limits, F.col("w"), F.col("h"), F.col("c")).alias("fits"))
 
 
 QUERIES["file_limits"] = _limits
@@ -382,12 +409,12 @@ def _tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tags_find(spark: SparkSession, folder: str) -> DataFrame:
-    found = F.filter("tags", lambda t: t["name"] == "1-URGENT")
-    return _tags(spark, folder).select("image_id", F.size(found).alias("n"), F.get(found, F.lit(0))["data"].alias("first"))
+    found = tags.find(F.col("tags"), "1-URGENT")
+    return _tags(spark, folder).select("image_id", F.size(found).alias("n"), tags.get(F.col("tags"), "1-URGENT").alias("first"))
 
 
 def _tags_delete(spark: SparkSession, folder: str) -> DataFrame:
-    left = F.filter("tags", lambda t: t["name"] != "1-URGENT")
+    left = tags.delete(F.col("tags"), "1-URGENT")
     return _tags(spark, folder).select("image_id", F.size(left).alias("n"), (F.size("tags") - F.size(left)).alias("removed"))
 
 
@@ -396,15 +423,6 @@ SQL["tags_find"] = "select o_custkey as image_id, count(*) filter (o_orderpriori
 SQL["tags_delete"] = "select o_custkey as image_id, count(*) filter (o_orderpriority <> '1-URGENT')::int as n, count(*) filter (o_orderpriority = '1-URGENT')::int as removed from orders group by 1"
 
 
-def _usage_of_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as pixels of a year's picture: x the hour, y the day; many events of a pixel are counted."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.groupBy(F.dayofyear("ts").alias("y"), F.hour("ts").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES["events_raster"] = _usage_of_events
-SQL["events_raster"] = "select dayofyear(ts)::int as y, hour(ts)::int as x, count(*) as n from events group by 1, 2"
-
 # Pictures from places, and filters by name
 
 add("turbnoise", lambda r: procedural.turbnoise(r, 1.0, 2.0, 10.0))
@@ -414,7 +432,9 @@ add("transform2_mandel", lambda r: assembler.mandel(r, maxcount=20))
 add("transform2_julia", lambda r: assembler.julia(r, maxcount=20))
 add("filter_by_name", lambda r: registry.apply(registry.apply(r, "hardinvert"), "contrast", intensity=0.5), select(each("trunc((255 - c@) * 0.5::double)::int")))
 add("text_boxes", lambda r: text.draw(r, "ab c", 5, 30, text.BlockFont(10), (1, 2, 3)), select(", ".join(f"case when y between 24 and 30 and (x between 5 and 8 or x between 10 and 13 or x between 20 and 23) then {k + 1} else c{k} end as c{k}" for k in range(3))))
-add("masked_view", lambda r: geometry.crop(r, left=25, top=25, width=30, height=20), f"{BASE} select image_id, y - 25 as y, x - 25 as x, c0, c1, c2 from p where x between 25 and 54 and y between 25 and 44")
+_VIEW = lambda r: joins.View(Raster(r.px.drop("c3"), 64, 50, 3), 20, 15, 40, 30, point.convert(r, "alpha"))
+add("masked_view", lambda r: _VIEW(r).view(5, 4, 20, 12).read(), f"{BASE} select image_id, y - 19 as y, x - 25 as x, c0, c1, c2 from p where x between 25 and 44 and y between 19 and 30", 4)
+add("masked_view_write", lambda r: _VIEW(r).view(5, 4, 20, 12).write(Raster(model.turned(r).px.drop("c3"), 64, 50, 3)), f"{BASE} select p.image_id, p.y, p.x, {each('case when p.x between 25 and 44 and p.y between 19 and 30 and a.c3 <> 0 then t.c@ else p.c@ end')} from p left join t on p.image_id = t.image_id and t.x = p.x - 25 and t.y = p.y - 19 left join a on p.image_id = a.image_id and a.x = p.x - 20 and a.y = p.y - 15", 4)
 add("transform_legacy", lambda r: expression.transform(r, "x 2 *", "y 1 +"), f"{BASE} select o.image_id, o.y, o.x, {each('coalesce(q.c@, 0)')} from p o left join p q on q.image_id = o.image_id and q.x = o.x * 2 and q.y = o.y + 1")
 add("scale_x", lambda r: geometry.scale_axis(r, "x", 0.5))
 add("scale_y", lambda r: geometry.scale_axis(r, "y", 1.5))

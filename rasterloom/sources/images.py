@@ -70,6 +70,15 @@ def probe_format(files: DataFrame, extra: list[tuple[bytes, str]] = ()) -> DataF
     return files.select("path", out.alias("format"))
 
 
+def within(limits: codecs.Limits, width: Column, height: Column, channels: Column, sample_bytes: int = 1) -> Column:
+    """Whether headers keep the limits, as Limits.check() says for one."""
+    size = width.cast("long") * height * channels * sample_bytes
+    fits = (width >= 1) & (height >= 1) & channels.between(1, 4)
+    for value, most in ((width, limits.width), (height, limits.height), (size, limits.bytes)):
+        fits = fits & (value <= most) if most else fits
+    return fits
+
+
 def guess_type(path) -> F:
     """A file's type by its extension, in lower case; known spellings are folded."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{2,})$", 1))
