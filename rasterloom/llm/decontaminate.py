@@ -10,14 +10,16 @@ Items are never gathered beyond a block: blocks hold about BLOCK_CHARS character
 documents.
 
 Defined cases: null texts are empty; items without letters or digits match nothing; items of under LEAST characters
-match exactly or not at all, inside texts on word bounds (inside=True, as the query and the pipeline do) or only whole texts;
-items with equal texts each give their rows; an occurrence that several
-diagonals find is one row; a null id is kept as null; repeated rows give repeated results; other columns are ignored.
+match exactly or not at all, inside texts on word bounds or, with inside=False, only whole texts;
+items with equal texts each give their rows; every
+occurrence is a row, overlapping ones too, but of those that begin within the item's budget of each other only the one of
+least distance, then of least start, then of least end; very long texts are walked whole; a null id is kept as null; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -132,6 +134,19 @@ class Item:
         return begin + end - length, begin + end, distance
 
 
+def apart(spans: set[tuple[int, int, int]], budget: int) -> list[tuple[int, int, int]]:
+    """Of spans (start, end, distance) that begin within budget of each other, the one of least distance, then start, then
+    end; spans may overlap."""
+    starts: list[int] = []
+    kept = []
+    for span in sorted(spans, key=lambda s: (s[2], s)):
+        at = bisect_left(starts, span[0] - budget)
+        if at == len(starts) or starts[at] > span[0] + budget:
+            insort(starts, span[0])
+            kept.append(span)
+    return sorted(kept)
+
+
 class Matcher:
     """All items of a block."""
 
@@ -157,29 +172,22 @@ class Matcher:
         out = [(i, 0, len(text), 0) for i in self.whole.get(text, ())]
         if not self.automaton:
             return out
-        done: dict[int, dict[int, int]] = {}
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        tried: dict[tuple[int, int], int] = {}  # (item, diagonal): its pieces that failed, -1 once one was verified
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for last, (length, where) in self.automaton.iter(text):
             for k, leaf, offset in where:
                 item, diagonal = self.items[k][0], last + 1 - length - offset
                 if len(item.text) < LEAST and (text[max(0, diagonal - 1) : diagonal].strip() or text[last + 1 : last + 2].strip()):
                     continue
-                # a verified occurrence covers the diagonals around it; a failed node needn't be tried again
-                if any(abs(diagonal - s) <= item.budget for s, _, _ in found.get(k, ())):
-                    continue
-                tried = done.setdefault(k, {})
-                if tried.get(diagonal, 0) >> leaf & 1:
+                # the whole item's distance on a diagonal is the same whichever piece hit it
+                if tried.get((k, diagonal), 0) >> leaf & 1:
                     continue
-                tried[diagonal] = tried.get(diagonal, 0) | 1 << leaf
                 got = item.verify(text, diagonal, leaf)
+                tried[k, diagonal] = -1 if got else tried.get((k, diagonal), 0) | 1 << leaf
                 if got:
-                    found.setdefault(k, []).append(got)
+                    found.setdefault(k, set()).add(got)
         for k, spans in found.items():
-            kept: list[tuple[int, int, int]] = []
-            for span in sorted(spans, key=lambda s: (s[2], s)):
-                if all(span[1] <= a or span[0] >= b for a, b, _ in kept):
-                    kept.append(span)
-            out += [(i, *span) for i in self.items[k][1] for span in sorted(kept)]
+            out += [(i, *span) for i in self.items[k][1] for span in apart(spans, self.items[k][0].budget)]
         return out
 
 
@@ -213,7 +221,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
         yield [(r.item_id, normal(r.text)) for r in items.where(block == k).collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = True) -> DataFrame:
     """(doc_id, item_id, start, end, distance): every occurrence of an item in a document, in characters of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return reduce(DataFrame.unionByName, [_matches(docs, items, share, inside) for items in _blocks(benchmark, block_chars)])
@@ -231,7 +239,7 @@ def _without(docs: DataFrame, items: list[tuple[int | None, str]], share: float,
     return docs.mapInArrow(run, docs.schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = True) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
     return reduce(lambda rows, items: _without(rows, items, share, inside), _blocks(benchmark, block_chars), docs)
 

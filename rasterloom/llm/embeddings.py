@@ -77,8 +77,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-DEALT = "table int, bucket long, width int, label int, key long, weight long, vector array<float>, codes array<long>"
-TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64())]
+DEALT = "table int, bucket long, width int, label int, key long, weight long, vector array<{kind}>, codes array<long>"
 NAMES = [x.split()[0] for x in DEALT.split(", ")]
 
 
@@ -92,7 +91,7 @@ def _deal(tables: int, hashes: int):
                     part = rows.slice(at, 1000)
                     key, label, weight, vector = (part.column(k) for k in range(4))
                     found = codes(_matrix(vector), tables, hashes)
-                    flat = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), found.shape[1] * found.shape[2]).cast(TYPES[7])
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), found.shape[1] * found.shape[2]).cast(pa.list_(pa.int64()))
                     for t in range(tables):
                         for p in range(1 + hashes):
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(found[:, t, p]), pa.array(np.full(len(key), size, np.int32)), label, key, weight, vector, flat], NAMES)
@@ -175,13 +174,14 @@ def _compare(tables: int, least: float):
 def near_duplicates(rows: DataFrame, least: float = COSINE, tables: int = TABLES, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of rows (vec_id, embedding, label)."""
     spark = rows.sparkSession
-    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # compared as doubles anyway
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("int").alias("label"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
     classes = vectors.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")  # keys are fixed once written
-    dealt = classes.select("key", "label", "weight", "embedding").mapInArrow(_deal(tables, hashes), DEALT)
+    dealt = classes.select("key", "label", "weight", "embedding").mapInArrow(_deal(tables, hashes), DEALT.format(kind=kind))
     place = ["label", "width", "table", "bucket"]
     crowded = cut(dealt.groupBy(*place).count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "crowded")
     if crowded.limit(1).count():

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -71,20 +71,34 @@ def kind(tag: str, attributes: str) -> int:
     return found
 
 
+class Place:
+    """An element in the tree: its parent, and how deep it lies."""
+
+    __slots__ = ("depth", "parent")
+
+    def __init__(self, parent: Place | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
 class Block:
-    __slots__ = ("depth", "inside", "linked", "outside", "path", "tag", "text", "within")
+    __slots__ = ("inside", "linked", "outside", "place", "tag", "text", "within")
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], within: bool, inside: bool, outside: bool):
-        self.text, self.linked, self.tag, self.path, self.within, self.inside, self.outside = text, linked, tag, path, within, inside, outside
+    def __init__(self, text: str, linked: int, tag: str, place: Place, within: bool, inside: bool, outside: bool):
+        self.text, self.linked, self.tag, self.place, self.within, self.inside, self.outside = text, linked, tag, place, within, inside, outside
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks, decoded and with single spaces."""
     found: list[Block] = []
-    # open block elements: tag, number, in content, boilerplate since the innermost content, boilerplate around it
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # open block elements: tag, place, in content, boilerplate since the innermost content, boilerplate around it
+    stack: list[tuple[str, Place, bool, bool, bool]] = [("", Place(None), False, False, False)]
+    count: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
-    linked, links, number, at = 0, 0, 0, 0
+    linked, links, at = 0, 0, 0
+
+    def close(i: int) -> None:
+        count.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def end() -> None:
         nonlocal linked
@@ -92,7 +106,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = stack[-1]
-                found.append(Block(text, linked, top[0], tuple(x[1] for x in stack), top[2], top[3], top[4]))
+                found.append(Block(text, linked, top[0], top[1], top[2], top[3], top[4]))
             parts.clear()
         linked = 0
 
@@ -116,24 +130,21 @@ def blocks(page: str) -> list[Block]:
             continue
         end()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if count[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             continue
         # an unclosed paragraph or item ends where its next begins, and a paragraph at any block
         if stack[-1][0] == "p" or stack[-1][0] in ("li", "dt", "dd", "option", "tr", "td", "th") and stack[-1][0] == tag:
-            stack.pop()
+            close(len(stack) - 1)
         elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("ul", "ol", "table", "dl", "select", "menu", "div", "nav") or tag in ("td", "th") and stack[i][0] == "tr":
                     break
-        number += 1
         top, k = stack[-1], kind(tag, m[4])
         within, inside, outside = top[2:]
         if k == -2:
@@ -142,7 +153,8 @@ def blocks(page: str) -> list[Block]:
             within, outside, inside = True, outside or inside, False
         elif k < 0:
             inside = True
-        stack.append((tag, number, within, inside, outside))
+        stack.append((tag, Place(top[1]), within, inside, outside))
+        count[tag] += 1
     if at < len(page):
         parts.append(page[at:])
         if links:
@@ -205,14 +217,16 @@ def weights(seed: int = 3) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+def distance(a: Place, b: Place) -> int:
     """Steps between two blocks' elements in the tree."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
@@ -220,11 +234,11 @@ def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, fl
     out, last = [], {}
     for i, block in enumerate(found):
         if i:
-            out.append((i - 1, i, smooth / (1 + distance(found[i - 1].path, block.path))))
-        parent = block.path[:-1]
+            out.append((i - 1, i, smooth / (1 + distance(found[i - 1].place, block.place))))
+        parent = block.place.parent
         before = last.get(parent)
         if before is not None and before < i - 1:
-            out.append((before, i, smooth / (1 + distance(found[before].path, block.path))))
+            out.append((before, i, smooth / (1 + distance(found[before].place, block.place))))
         last[parent] = i
     return out
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,7 +40,8 @@ FORMATS = [
     ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)),
 ]
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key")
-ASSIGNED = re.compile(r"[\w-]{0,40}[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}(?:Bearer\s+)?([\"'`]?)([^\s\"'`,;<>()\[\]{}]{6,})")
+TAIL = re.compile(r"[\w-]*+")
+ASSIGNED = re.compile(r"[\"']?\s*+(?::=|=>|[:=])\s*+(?:Bearer\s++)?([\"'`]?)([^\s\"'`,;<>()\[\]{}]{6,}+)")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RULES = [*dict.fromkeys(x[0] for x in FORMATS), "assigned", "long"]
 CODE_WORDS = NAMES + ("key", "login", "export", "bearer", "authorization", "config", "env", "secret_key", "pass", "set")
@@ -62,19 +65,16 @@ def candidates(text: str) -> list[Finding]:
         if literal in text:
             found += [(0, m.start(), m.end(), rule) for m in pattern.finditer(text)]
     low = text.lower()
-    same = len(low) == len(text)
+    if len(low) != len(text):  # case rules that change lengths: lower one by one what keeps its length
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     for name in NAMES:
         at = low.find(name)
-        while at >= 0:
-            m = ASSIGNED.match(text, at + len(name)) if same else None
-            if m:
-                found.append((1, m.start(2), m.end(2), "assigned"))
-            at = low.find(name, at + len(name))
-    if not same:  # case rules that change lengths: look for the names without lowering
-        for m in re.finditer("|".join(map(re.escape, NAMES)), text, re.I):
-            m = ASSIGNED.match(text, m.end())
+        while at >= 0:  # names in one run of word characters share what follows it
+            end = TAIL.match(text, at + len(name)).end()
+            m = ASSIGNED.match(text, end)
             if m:
                 found.append((1, m.start(2), m.end(2), "assigned"))
+            at = low.find(name, end)
     at = 0
     for word in text.split():
         if len(word) >= 20:
@@ -84,12 +84,32 @@ def candidates(text: str) -> list[Finding]:
                 if any(map(str.isdigit, s)) and not s.isdigit() or (s.lower() != s and s.upper() != s and not s.istitle()):
                     found.append((2, at + m.start(), at + m.end(), "long"))
             at += len(word)
-    kept: list[Finding] = []
-    for _, a, b, rule in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+    kept: list[Finding] = []  # in order, never overlapping
+    for _, a, b, rule in sorted(set(found), key=lambda x: (x[0], x[1], -x[2], x[3])):
         b -= len(text[a:b]) - len(text[a:b].rstrip(".!?:"))
-        if b > a and all(b <= s or a >= e for s, e, _ in kept):
-            kept.append((a, b, rule))
-    return sorted(kept)
+        at = bisect_left(kept, (a,))
+        if b > a and (at == len(kept) or b <= kept[at][0]) and (not at or kept[at - 1][1] <= a):
+            kept.insert(at, (a, b, rule))
+    return kept
+
+
+class Around:
+    """Where a text's words and runs of white space lie, found once for all its candidates."""
+
+    def __init__(self, text: str):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_]+", text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in words], [b for _, b in words]
+        self.spaces = [m.end() for m in re.finditer(r"\s+", text)]
+
+    def near(self, start: int, end: int) -> list[str]:
+        """The four whole words before a candidate and the two after it, whatever their length."""
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return [self.text[self.starts[k] : self.ends[k]].lower() for k in (*range(max(0, before - 4), before), *range(after, min(len(self.starts), after + 2)))]
+
+    def token(self, start: int, end: int) -> str:
+        """From the last white space before a candidate to its end."""
+        at = bisect_right(self.spaces, start)
+        return self.text[self.spaces[at - 1] if at else 0 : end]
 
 
 @cache
@@ -124,19 +144,17 @@ def covered(value: str) -> float:
 FEATURES = ("length", "classes", "changes", "letters_usual", "covered", "distinct", "entropy", "digits", "upper", "hex", "same_again", "slashes", "dots", "address", "dashes", "groups", "quoted", "code_words", "plain_words", "placeholder", *RULES)
 
 
-def describe(text: str, finding: Finding) -> list[float]:
+def describe(text: str, finding: Finding, around: Around | None = None) -> list[float]:
     start, end, rule = finding
+    around = around or Around(text)
     value = text[start:end]
     n = len(value)
     kinds = [_class(c) for c in value]
     letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in value.lower()]
     usual = _usual()
     pairs = [usual[a, b] for a, b in zip(letters, letters[1:], strict=False) if a < 26 and b < 26]
-    counts = np.array([value.count(c) for c in set(value)]) / n
-    before, after = text[max(0, start - 40) : start], text[end : end + 25]
-    near = re.findall(r"[a-z0-9_]+", before.lower())[-4:]
-    near += re.findall(r"[a-z0-9_]+", after.lower())[:2]
-    token = text[text.rfind(" ", 0, start) + 1 : end] if start - text.rfind(" ", 0, start) < 200 else before
+    counts = np.array(list(Counter(value).values())) / n
+    before, near, token = text[max(0, start - 1) : start], around.near(start, end), around.token(start, end)
     return [
         float(np.log1p(n)), len(set(kinds)), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -3.3, covered(value), len(set(value)) / n,
         float(-(counts * np.log2(counts)).sum()), kinds.count(0) / n, kinds.count(2) / n, all(c in string.hexdigits for c in value), sum(a == b for a, b in zip(value, value[1:], strict=False)) / n,
@@ -242,7 +260,8 @@ def judged(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
     found = candidates(text)
     if not found:
         return []
-    scores = forest.score(np.array([describe(text, f) for f in found], float))
+    around = Around(text)
+    scores = forest.score(np.array([describe(text, f, around) for f in found], float))
     return [(*f, float(s)) for f, s in zip(found, scores, strict=True)]
 
 

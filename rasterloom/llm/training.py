@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, rows: int) -> tuple[list[str], np.ndarray]:
     """Whole texts and 0/1 labels of at most rows documents, those of the smallest xxhash64(doc_id) where learn (over
-    doc_id) holds. Labels other than 0 and 1 don't count; a document with contradicting labels has the larger."""
+    doc_id) holds; of several texts with one doc_id that of the smallest hash. Labels other than 0 and 1 don't count; a document with contradicting labels has the larger."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = sorted((r.doc_id, r.text, r.label) for r in found.collect())
     return [x[1] for x in got], np.array([x[2] for x in got], np.int64)

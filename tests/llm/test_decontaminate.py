@@ -42,7 +42,7 @@ def fixture():
 
 def test_against_brute_force(spark):
     docs, items = fixture()
-    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string, item_id string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()
+    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string, item_id string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_chars=300, inside=False).collect()
     pairs = {(r.doc_id, r.item_id): r.distance for r in got}
     for ident, text, _ in docs:
         for item, words in items:
@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
                 assert pairs.get((ident, item)) == (n if n <= int(len(a) * d.SHARE) else None)
             else:
                 assert ((ident, item) in pairs) == bool(a and a == b)
-    left = d.clean(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()
+    left = d.clean(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=300, inside=False).collect()
     hit = {r.doc_id for r in got}
     assert sorted(map(tuple, left), key=str) == sorted((x for x in docs if x[0] not in hit), key=str)
     texts = dict((i, t) for i, t, _ in docs)
@@ -86,3 +86,17 @@ def test_short_items_inside_texts(spark, tmp_path):
     assert got == [(0, 50, 2, 10, 0), (3, 50, 0, 9, 0), (4, 50, 4, 12, 0), (6, 54, 3, 15, 0)]
     left = importlib.import_module("corpus_pipeline").drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
+
+
+def test_overlapping_occurrences(spark):
+    half = "abcdefghij klmnop"
+    docs = spark.createDataFrame([(1, f"{half} {half} {half}"), (2, f"{half} {half}"), (3, f"x {half} {half}, {half} {half}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"{half} {half}")], "item_id long, text string")
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in d.matches(docs, items).collect())
+    assert got == [(1, 0, 35, 0), (1, 18, 53, 0), (2, 0, 35, 0), (3, 2, 37, 0), (3, 20, 56, 0), (3, 39, 74, 0)]
+
+
+def test_many_occurrences_stay_quick(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor sit amet consectetur " * 3000)], "doc_id long, text string")
+    got = d.matches(docs, spark.createDataFrame([(7, "lorem ipsum dolor sit amet consectetur")], "item_id long, text string")).collect()
+    assert len(got) == 3000 and {r.distance for r in got} == {0}

@@ -64,3 +64,24 @@ def test_only_scripts_and_the_like_are_dropped():
     for tag in ("script", "style", "template", "iframe", "textarea", "title"):
         assert words(f"<p>one</p><{tag} id=x>no</{tag}><p>two</p>") == "one two"
     assert words("<p>one</p><script>let a = 1") == "one"
+
+
+def test_deep_trees_take_little():
+    deep = "<div>word " * 60_000
+    assert len(html.blocks(deep)) == 60_000
+    assert len(html.edges(html.blocks(deep))) >= 59_999
+    assert len(html.blocks("<div>a" * 30_000 + "</section>" * 30_000)) == 30_000
+
+
+def test_distance_in_the_tree():
+    a, b, c = html.blocks("<div><div><p>one</p></div><p>two</p></div><p>three</p>")
+    assert [html.distance(a.place, b.place), html.distance(a.place, c.place), html.distance(b.place, a.place), html.distance(a.place, a.place)] == [3, 4, 3, 0]
+
+
+def test_hand_written_pages_without_telling_names():
+    page = """<body><div><a href=/>Start</a> <a href=/b>Blog</a> <a href=/k>Kontakt</a></div>
+    <div><h1>Die alte Mühle</h1><p>Am Rand des Dorfes steht seit über zweihundert Jahren eine Mühle. Sie mahlt nicht mehr, aber ihr Rad dreht sich noch.</p>
+    <p>Im Sommer kommen Kinder her, um im Bach zu baden. Im Winter friert das Rad ein, und dann ist es still.</p></div>
+    <div><a href=/impressum>Impressum</a> <a href=/daten>Datenschutz</a></div></body>"""
+    got = html.extract(page)
+    assert "zweihundert" in got and "Bach zu baden" in got and "Impressum" not in got and "Kontakt" not in got

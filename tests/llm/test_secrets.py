@@ -46,3 +46,18 @@ def test_other_labels():
     tiny = secrets.fit([("pin=aaaa1111", 4, 12, "assigned", 0)] * 30 + [("pin=b9Xk22Lq", 4, 12, "assigned", 1)] * 30)
     x = np.array([secrets.describe("pin=aaaa1111", (4, 12, "assigned")), secrets.describe("pin=b9Xk22Lq", (4, 12, "assigned"))])
     assert (tiny.score(x) >= 0.5).tolist() == [False, True]
+
+
+def test_no_windows(forest):
+    found = lambda text: [(text[a:b], s >= 0.5) for a, b, _, s in secrets.judged(text, forest)]
+    value = "Xk29!fkQ0zP2m"
+    for text in (f"password={value}", f"password          = {value}", f"password{'_of_the_service' * 6} = {value}", f"password:{' ' * 5000}{value}", f"{'w' * 900} password = {value} {'v' * 900}"):
+        assert found(text) == [(value, True)], text[:60]
+    far = "commit " + "-" * 300 + " " + HEX
+    assert found(far) == [(HEX, False)]
+
+
+def test_long_texts_take_linear_time(forest):
+    text = " ".join(f"token{i} = {HEX[:i % 20 + 12]}{i}" for i in range(20_000))
+    assert len(secrets.candidates(text)) == 20_000
+    assert secrets.candidates("password" * 50_000) == [] and len(secrets.judged(text + "x" * 10**6, forest)) == 20_000
