@@ -45,7 +45,7 @@ from rasterloom.llm.common import cut, discard, give_back, remainder, slices, ut
 DISCOUNT = 0.5
 #: Of the root, of one-word and of two-word restaurants.
 STRENGTH = (50.0, 2.0, 1.0)
-BURN_IN, SAMPLES = 3, 3
+BURN_IN, SAMPLES = 2, 3
 #: Numbers of tables that one draw weighs against each other at most.
 WINDOW = 256
 #: Bytes of text for a bucket, on average, and for one at small sizes, where all tasks should have some.
@@ -335,8 +335,8 @@ def _deal(parts: int, split: np.ndarray):
 
 
 def bucket(asked: list[tuple[int, Arrays]], split: np.ndarray) -> Arrays:
-    """What a bucket makes of its slices' trigrams: distinct words (word); trigrams (u, v, w numbers of words, c; pair and
-    context numbers) in order of (v, w, u); of pairs v and w, of contexts u and v; what is shared with other buckets."""
+    """What a bucket makes of its slices' trigrams: distinct words (word); trigrams (c, pair and context numbers) in order
+    of (v, w, u); of pairs v and w, of contexts u and v; what is shared with other buckets."""
     word = np.unique(np.concatenate([x["_word"] for _, x in asked]))
     at = [np.searchsorted(word, x["_word"]) for _, x in asked]
     u, v, w = (np.concatenate([n[x.pop(k)] for n, (_, x) in zip(at, asked, strict=True)]) for k in "uvw")
@@ -352,7 +352,7 @@ def bucket(asked: list[tuple[int, Arrays]], split: np.ndarray) -> Arrays:
     u, v, w = u[first], v[first], w[first]
     new = runs(v, w)
     contexts, context = np.unique(u * len(word) + v, return_inverse=True)
-    return {"word": word, "u": u, "v": v, "w": w, "c": c, "pair": np.cumsum(new) - 1, "pair_v": v[new], "pair_w": w[new], "context": context, "context_u": contexts // len(word), "context_v": contexts % len(word), "apart": np.isin(word, split), "which": which, "sizes": sizes}
+    return {"word": word, "c": c, "pair": (np.cumsum(new) - 1).astype(np.int32), "pair_v": v[new], "pair_w": w[new], "context": context.astype(np.int32), "context_u": contexts // len(word), "context_v": contexts % len(word), "apart": np.isin(word, split), "which": which, "sizes": sizes}
 
 
 def context_hash(word: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -688,9 +688,12 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5, burn_in: int = BURN_
             for table in old:
                 discard(table)
         told = cut(each(of(owned, ROOT).unionByName(of(begun, KEYS)), _told), "told")
+        discard(owned)
+        if state is not begun:
+            discard(begun)
         last = dealt.unionByName(of(state, STATE)).unionByName(told)
         found = cut(each(last, _chances(parts, split, roots[-samples:], words)), "chances")
-        for table in (begun, state, owned, told):
+        for table in (state, told):
             discard(table)
     finally:
         spark.conf.set(tidy, before)

@@ -153,8 +153,9 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """docs plus score double and predicted int; all other columns stay as they are."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs plus a double and an int, named score and predicted unless told otherwise, which replace columns of these names;
+    all other columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 1 MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +164,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
             raw, off = utf8(batch.column(batch.schema.get_field_index("text")))
             data = raw.tobytes()
             scores = np.array([scorer.score(data[a:b].decode()) for a, b in zip(off[:-1], off[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
-    rest = docs.drop("score", "predicted")
-    return rest.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double", "predicted int"]))
+    rest = docs.drop(*names)
+    return rest.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{names[0]}` double", f"`{names[1]}` int"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:

@@ -61,3 +61,26 @@ def test_stages(spark, folder):
     assert all(masked[i].text == texts[i] for i in masked if i not in planted["secret"])
     assert all(r.intact for r in docs.collect())
     assert {r.doc_id: r.n_tokens for r in docs.collect()} == {r.doc_id: r.n_tokens for r in pipeline.run(spark, path).collect()}
+
+
+def test_clashing_names_stay(spark, folder):
+    """Columns called like the stages' own keep their values."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    path, rows, planted = folder
+    extra = ["score", "predicted", "_row", "_toxic", "key", "component", "first", "n"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *(f"{-7 - k} as {c}" for k, c in enumerate(extra)))
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, path)
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{path}/clash{k}.parquet")
+        docs = spark.read.parquet(f"{path}/clash{k}.parquet")
+    assert docs.count() == len(rows) - sum(len(planted[x]) for x in ("toxic", "copy", "leak")) - 1
+    assert docs.select(*extra).distinct().collect() == [tuple(-7 - k for k in range(len(extra)))]
+
+
+def test_empty_tables(spark, folder):
+    pipeline = importlib.import_module("corpus_pipeline")
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, path).count() == 0
