@@ -129,13 +129,10 @@ def _conv_sql(coefficients: tuple[float, ...]) -> str:
     return f"{BASE}, {one('x', 'p', 'cx')}, {one('y', 'cx', 'cy')} select image_id, y, x, c0, c1, c2 from cy"
 
 
-def _gauss_sql(sigma: float, last: str = "select image_id, y, x, c0, c1, c2 from gy") -> str:
-    weights = geometry.gaussian_weights(sigma, "8")
-    m = len(weights) // 2
-
-    def one(axis: str, table: str, name: str) -> str:
-        other, size = ("y", 64) if axis == "x" else ("x", 50)
-        parts = []
+def _gauss_sql(sigma_x: float, sigma_y: float, last: str = "") -> str:
+    def one(axis: str, sigma: float, table: str, name: str) -> str:
+        weights = geometry.gaussian_weights(sigma, "8")
+        m, (other, size), parts = len(weights) // 2, ("y", 64) if axis == "x" else ("x", 50), []
         for k in range(3):
             tap = lambda i, k=k: f"c{k}" if i == m else f"{'lag' if i < m else 'lead'}(c{k}, {abs(i - m)}) over w"
             value = " + ".join(f"coalesce(({tap(i)}) * {w!r}::double, 0)" for i, w in enumerate(weights))
@@ -143,12 +140,17 @@ def _gauss_sql(sigma: float, last: str = "select image_id, y, x, c0, c1, c2 from
             parts.append(f"greatest(0, least(255, trunc(({value}) / ({mass}) + 0.5)::int)) as c{k}")
         return f"{name} as (select image_id, y, x, {', '.join(parts)} from {table} window w as (partition by image_id, {other} order by {axis}))"
 
-    return f"{BASE}, {one('x', 'p', 'gx')}, {one('y', 'gx', 'gy')} {last}"
+    table, passes = "p", []
+    for axis, sigma in (("x", sigma_x), ("y", sigma_y)):
+        if sigma:
+            passes.append(one(axis, sigma, table, f"g{axis}"))
+            table = f"g{axis}"
+    return f"{BASE}, {', '.join(passes)} {last or f'select image_id, y, x, c0, c1, c2 from {table}'}"
 
 
 add("conv", lambda r: stencil.conv(r, [0.1, 0.2, 0.4, 0.2, 0.1]), _conv_sql((0.1, 0.2, 0.4, 0.2, 0.1)))
-add("gaussian", lambda r: stencil.gaussian(r, 1.5), _gauss_sql(1.5))
-add("unsharpmask", lambda r: stencil.unsharp_mask(r, 1.5, 1.0), _gauss_sql(1.5, f"select p.image_id, p.y, p.x, {each('greatest(0, least(255, 2 * p.c@ - gy.c@))')} from p join gy using (image_id, y, x)"))
+add("gaussian", lambda r: stencil.gaussian(r, 1.5), _gauss_sql(1.5, 1.5))
+add("unsharpmask", lambda r: stencil.unsharp_mask(r, 1.5, 1.0), _gauss_sql(1.5, 1.5, f"select p.image_id, p.y, p.x, {each('greatest(0, least(255, 2 * p.c@ - gy.c@))')} from p join gy using (image_id, y, x)"))
 add("mosaic", lambda r: stencil.mosaic(r, 8), f"{BASE}, m as (select image_id, y // 8 as ty, x // 8 as tx, {each('trunc((sum(c@) / 64)::float)::int')} from p group by 1, 2, 3) select p.image_id, y, x, {each('m.c@')} from p join m on p.image_id = m.image_id and y // 8 = ty and x // 8 = tx")
 _FAR = repr((44.0**2 + 35.0**2) ** 0.5) + "::double"
 add("bumpmap", lambda r: stencil.bumpmap(r, model.turned(r), 0, 20, 15, 2), f"{BASE}, s as (select image_id, y, x, (coalesce(lead(c0, 2) over wx, 0) - coalesce(lag(c0, 2) over wx, 0) + 128)::double as gx, (coalesce(lead(c0, 2) over wy, 0) - coalesce(lag(c0, 2) over wy, 0) + 128)::double as gy, abs(x - 20) / {_FAR} as tx, abs(y - 15) / {_FAR} as ty from t window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)), z as (select image_id, y, x, least(2, greatest(0, 1 - sqrt(tx * tx + ty * ty) * (sqrt(gx * gx + gy * gy) / {_FAR}))) as z from s) select p.image_id, p.y, p.x, {each('case when p.x between 1 and 62 and p.y between 1 and 48 then trunc((c@ * z)::float)::int else 0 end')} from p join z using (image_id, y, x)")
@@ -309,8 +311,16 @@ for _repeat in ("sawtooth", "triangle", "saw_both", "tri_both"):
     add(f"fountain_linear_{_repeat}", lambda r, k=_repeat: fills.fountain(r, 21, 17, 33, 26, "linear", k, _SEG), _fill_sql("((x - 21) * 12 + (y - 17) * 9) / 225::double", _repeat))
 for _shape in ("revolution", "conical"):
     add(f"fountain_{_shape}", lambda r, s=_shape: fills.fountain(r, 5, 3, 45, 33, s, "none", _SEG))
-for _curve in ("sine", "sphereup", "spheredown"):
-    add(f"fountain_curve_{_curve}", lambda r, c=_curve: fills.fountain(r, 0, 0, 63, 49, "linear", "none", [fills.Segment(curve=c, middle=0.3)]))
+_WORK = "case when v < 0.3 then (v - 0.0::double) / 0.3::double / 2 else 0.5::double + (v - 0.3::double) / 0.7::double / 2 end"
+_CURVES = {"linear": "w", "sphereup": "sqrt(1.0::double - (1 - w) * (1 - w))", "spheredown": "1 - sqrt(1.0::double - w * w)"}
+
+
+def _curve_sql(curve: str) -> str:
+    return select(", ".join(f"greatest(0, least(255, trunc(t * 255 + 0.5)::int)) as c{k}" for k in range(3)) + ", 255 as c3", "t", f"l as (select image_id, y, x, least(1, greatest(0, (x * 63::double + y * 49::double) / 6370::double)) as v from p), w as (select *, {_WORK} as w from l), t as (select image_id, y, x, {_CURVES[curve]} as t from w)".replace("t as (", "curved as (")).replace("from t", "from curved") if curve in _CURVES else None
+
+
+for _curve in ("linear", "sine", "sphereup", "spheredown"):
+    add(f"fountain_curve_{_curve}", lambda r, c=_curve: fills.fountain(r, 0, 0, 63, 49, "linear", "none", [fills.Segment(curve=c, middle=0.3)]), _curve_sql(_curve))
 for _colour in ("hueup", "huedown"):
     add(f"fountain_colour_{_colour}", lambda r, c=_colour: fills.fountain(r, 0, 0, 63, 0, "linear", "none", [fills.Segment(c0=(1.0, 0.2, 0.1, 1.0), c1=(0.1, 0.3, 1.0, 1.0), colour=c)]))
 _BITS = lambda rows, dx=0, dy=0: f"(list_value({', '.join(map(str, rows))}))[(y + {dy}) % 8 + 1] // (list_value(128, 64, 32, 16, 8, 4, 2, 1))[(x + {dx}) % 8 + 1] % 2 = 1"
@@ -319,7 +329,9 @@ for _name, _on in (("check2x2", "((x + 1) // 2) % 2 = (y // 2) % 2"), ("vline2",
 add("image_fill", lambda r: fills.image_fill(r, geometry.crop(r, width=10, height=8, left=0, top=0), 3, 0), f"{BASE} select o.image_id, o.y, o.x, {each('q.c@')} from p o join p q on q.image_id = o.image_id and q.x = (o.x + (o.y // 8) * 3) % 10 and q.y = o.y % 8")
 add("opacity_fill", lambda r: fills.opacity_fill(Raster(r.px.drop("c3"), 64, 50, 3), model.turned(r), 0.5), f"{BASE}, j as (select p.*, t.c0 as s0, t.c1 as s1, t.c2 as s2, trunc(t.c3 * 0.5::double + 0.5)::int as a from p join ta t using (image_id, y, x)) select image_id, y, x, {each('case when a = 0 then c@ else trunc((s@ * a + c@ * (255 - a)) / 255)::int end')} from j", 4)
 add("solid_fill", lambda r: fills.solid(r, (1, 2, 3, 255)), select("1 as c0, 2 as c1, 3 as c2"))
-add("gradgen", lambda r: fills.gradgen(r, [(0, 0), (63, 10), (20, 49)], [(255, 0, 0), (0, 255, 30), (10, 20, 255)]))
+_POINTS, _TINTS = [(0, 0), (63, 10), (20, 49)], [(255, 0, 0), (0, 255, 30), (10, 20, 255)]
+_APART = ", ".join(f"sqrt((x - {a}::double) * (x - {a}::double) + (y - {b}::double) * (y - {b}::double)) as d{k}" for k, (a, b) in enumerate(_POINTS))
+add("gradgen", lambda r: fills.gradgen(r, _POINTS, _TINTS), select(", ".join("greatest(0, least(255, " + " + ".join(f"trunc({float(c[k])}::double * ((d0 + d1 + d2 - d{j}) / (d0 + d1 + d2) / 2.0::double))::int" for j, c in enumerate(_TINTS)) + f")) as c{k}" for k in range(3)), "d", f"d as (select *, {_APART} from p)"))
 add("nearest_color", lambda r: fills.nearest_colour(r, [(5, 5), (50, 10), (30, 40)], 1), f"{BASE}, d as (select *, (x - 5) ** 2 + (y - 5) ** 2 as d0, (x - 50) ** 2 + (y - 10) ** 2 as d1, (x - 30) ** 2 + (y - 40) ** 2 as d2 from p), o as (select *, case when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end as o from d) select image_id, y, x, {each('trunc(avg(c@) over (partition by image_id, o))::int')} from o")
 add("box", lambda r: draw.box(r, 4, 5, 40, 30, (9, 8, 7)), select(", ".join(f"case when x between 4 and 40 and y between 5 and 30 and (x in (4, 40) or y in (5, 30)) then {v} else c{k} end as c{k}" for k, v in enumerate((9, 8, 7)))))
 add("box_filled", lambda r: draw.box_filled(r, -4, 5, 40, 99, (9, 8, 7)), select(", ".join(f"case when x <= 40 and y >= 5 then {v} else c{k} end as c{k}" for k, v in enumerate((9, 8, 7)))))
@@ -336,11 +348,22 @@ _DONE, _TOWARD = "31 * (x - 6) // 50", "(50 * (31 * (x - 6) // 50 + 1) - 31 * (x
 add("line_aa", lambda r: draw.line_aa(r, 5, 4, 55, 35, (200, 100, 50)), select(", ".join(f"case when (x = 5 and y = 4) or (x = 55 and y = 35) then {v} when x between 6 and 54 and y = 4 + {_DONE} then trunc((1 - t) * c{k} + t * {v})::int when x between 6 and 54 and y = 5 + {_DONE} then trunc(t * c{k} + (1 - t) * {v})::int else c{k} end as c{k}" for k, v in enumerate((200, 100, 50))), "l", f"l as (select *, greatest(0, {_TOWARD})::float::double as t from p)"))
 add("circle", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 then {k + 1} else c{k} end as c{k}" for k in range(3))))
 add("circle_outline", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3), filled=False), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 and (x - 30) ** 2 + (y - 25) ** 2 > 132 then {k + 1} else c{k} end as c{k}" for k in range(3))))
-add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)))
+_ANGLE = "case when atan2(y - 25, x - 30) < 0 then degrees(atan2(y - 25, x - 30)) + 360 else degrees(atan2(y - 25, x - 30)) end"
+add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 240 and (x = 30 and y = 25 or {_ANGLE} >= 300 or {_ANGLE} <= 60) then {k + 1} else c{k} end as c{k}" for k in range(3))))
 _REACH = [f"case when (y + {(s + 1) / 16 - 25.5}::double) ** 2 < 81 then sqrt(81::double - (y + {(s + 1) / 16 - 25.5}::double) * (y + {(s + 1) / 16 - 25.5}::double)) end" for s in range(16)]
 _HITS = " + ".join(f"coalesce(greatest(0, least(trunc(0.5::double + (30.5::double + {h}) * 16)::int, x * 16 + 16) - greatest(trunc(0.5::double + (30.5::double - {h}) * 16)::int, x * 16)), 0)" for h in _REACH)
 add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, case when y between 16 and 34 then ({_HITS}) * 255 // 256 else 0 end as s from p)"))
-add("polygon", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)], [(20, 15), (35, 15), (35, 30), (20, 30)]], (1, 2, 3)))
+_RINGS = [[(5, 5), (55, 10), (40, 45), (10, 40)], [(20, 15), (35, 15), (35, 30), (20, 30)]]
+
+
+def _crossings(rings: list[list[tuple[int, int]]], signed: bool) -> str:
+    """How often a ray to the right of a pixel's middle crosses the rings."""
+    sides = [(a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a[1] != b[1]]
+    return " + ".join(f"case when y + 0.5::double >= {min(a[1], b[1])} and y + 0.5::double < {max(a[1], b[1])} and x + 0.5::double < {float(a[0])}::double + (y + 0.5::double - {float(a[1])}::double) * {(b[0] - a[0]) / (b[1] - a[1])!r}::double then {1 if b[1] > a[1] or not signed else -1} else 0 end" for a, b in sides)
+
+
+add("polygon", lambda r: draw.polygon(r, _RINGS, (1, 2, 3)), select(", ".join(f"case when n % 2 <> 0 then {k + 1} else c{k} end as c{k}" for k in range(3)), "q", f"q as (select *, {_crossings(_RINGS, False)} as n from p)"))
+add("polygon_nonzero", lambda r: draw.polygon(r, _RINGS, (1, 2, 3), "nonzero"), select(", ".join(f"case when n <> 0 then {k + 1} else c{k} end as c{k}" for k in range(3)), "q", f"q as (select *, {_crossings(_RINGS, True)} as n from p)"))
 add("polygon_aa", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)]], (1, 2, 3), "nonzero", 4))
 add("bezier", lambda r: draw.bezier(r, [(2, 2), (30, 60), (60, 4)], (1, 2, 3)))
 add("flood_fill", lambda r: draw.flood_fill(draw.box(r, 10, 10, 40, 40, (0, 0, 0)), 20, 20, (1, 2, 3), border=(0, 0, 0)), select(", ".join(f"case when x between 11 and 39 and y between 11 and 39 then {k + 1} when x between 10 and 40 and y between 10 and 40 then 0 else c{k} end as c{k}" for k in range(3))))
@@ -438,7 +461,8 @@ add("masked_view_write", lambda r: _VIEW(r).view(5, 4, 20, 12).write(Raster(mode
 add("transform_legacy", lambda r: expression.transform(r, "x 2 *", "y 1 +"), f"{BASE} select o.image_id, o.y, o.x, {each('coalesce(q.c@, 0)')} from p o left join p q on q.image_id = o.image_id and q.x = o.x * 2 and q.y = o.y + 1")
 add("scale_x", lambda r: geometry.scale_axis(r, "x", 0.5))
 add("scale_y", lambda r: geometry.scale_axis(r, "y", 1.5))
-add("gaussian2", lambda r: stencil.gaussian2(r, 0, 2.0))
+add("gaussian2", lambda r: stencil.gaussian2(r, 0, 2.0), _gauss_sql(0, 2.0))
+add("gaussian2_both", lambda r: stencil.gaussian2(r, 1.0, 2.5), _gauss_sql(1.0, 2.5))
 add("pal_expand", lambda r: quantize.expand(quantize.closest(r, _PAL), _PAL), select(", ".join("case " + " ".join(f"when d{k} = least(d0, d1, d2, d3, d4) then {_PAL[k][c]}" for k in range(5)) + f" end as c{c}" for c in range(3)), "q", "q as (select *, " + ", ".join(f"{d} as d{k}" for k, d in enumerate(_D)) + " from p)"))
 
 
