@@ -3,12 +3,15 @@
 Candidates are strings of known key formats, values assigned to names such as ``password`` or ``token``, and long strings of
 mixed character classes. The forest sees each candidate's length, its transitions between character classes and how usual
 they are in words, how much of it dictionary words cover, whether it is or lies in a path or address, and its neighbouring
-words. It is trained in numpy on labelled findings (text, start, end, rule, label); ``labelled_findings`` makes a seeded set
-of them from formats, placeholders, checksums, identifiers and paths, and others can be given.
+words. The dictionary is the documents' own: the words used most, counted over all texts (``common_words``), beside a few that
+placeholders are made of. The forest is trained in numpy on labelled findings (text, start, end, rule, label);
+``labelled_findings`` makes a seeded set of them from formats, placeholders, checksums, identifiers and paths with words of
+that dictionary, and others can be given.
 
 Defined cases: null and empty texts have no findings; findings never overlap (the earlier rule, then the earlier start,
 then the longer one stays); whole texts are scanned and strings of any length are judged whole; a null doc_id and repeated
-rows are scanned as they are; other columns are ignored, and kept by redact().
+rows are scanned as they are; other columns are ignored, and kept by redact(). Words used equally often rank by their
+letters; without documents the dictionary is the words of placeholders.
 """
 
 from __future__ import annotations
@@ -18,8 +21,7 @@ import re
 import string
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,8 @@ DICTIONARY = frozenset(
     "example your here test sample changeme change replace password secret token placeholder dummy default none null user name admin demo value todo insert enter string fake public private access key api the and for with from this that have not are you all can get set new old "
     "file path usr lib bin local home var src main index data base config server client request response static image images content view model controller service manager factory helper utils common package python java script module http https www com org net html json xml".split()
 )
-#: How the transitions of ordinary words look: learnt from the dictionary above.
+#: The documents' words that the dictionary takes, of so many letters.
+WORD_ROWS, WORD_LETTERS = 20_000, (4, 12)
 TREES, DEPTH, LEAVES_LEAST, SEED = 40, 9, 3, 11
 #: Labelled findings that training takes at most.
 TRAIN_ROWS = 20_000
@@ -112,63 +115,82 @@ class Around:
         return self.text[self.spaces[at - 1] if at else 0 : end]
 
 
-@cache
-def _usual() -> np.ndarray:
-    """Log-probabilities of letter pairs in words, for how word-like a string is."""
-    n = np.full((27, 27), 0.5)
-    for word in DICTIONARY:
-        codes = [26, *(ord(c) - 97 for c in word if "a" <= c <= "z"), 26]
-        for a, b in zip(codes, codes[1:], strict=False):
-            n[a, b] += 1
-    return np.log(n / n.sum(1, keepdims=True))
+class Lexicon:
+    """The dictionary, and log-probabilities of letter pairs in its words, for how word-like a string is."""
 
+    def __init__(self, words: Iterable[str] = ()):
+        self.common = sorted(set(words))
+        self.words = DICTIONARY | set(self.common)
+        n = np.full((27, 27), 0.5)
+        for word in sorted(self.words):
+            codes = [26, *(ord(c) - 97 for c in word if "a" <= c <= "z"), 26]
+            for a, b in zip(codes, codes[1:], strict=False):
+                n[a, b] += 1
+        self.usual = np.log(n / n.sum(1, keepdims=True))
+
+    def covered(self, value: str) -> float:
+        """The share of a string's characters that dictionary words cover, longest first from the left."""
+        low, n, i, got = value.lower(), len(value), 0, 0
+        while i < n:
+            for size in range(min(12, n - i), 2, -1):
+                if low[i : i + size] in self.words:
+                    got += size
+                    i += size
+                    break
+            else:
+                i += 1
+        return got / n if n else 0.0
 
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
+PLAIN = Lexicon()
+WORD = re.compile(r"(?<![\w+/=-])[a-z]{%d,%d}(?![\w+/=-])" % WORD_LETTERS)
 
-def covered(value: str) -> float:
-    """The share of a string's characters that dictionary words cover, longest first from the left."""
-    low, n, i, got = value.lower(), len(value), 0, 0
-    while i < n:
-        for size in range(min(12, n - i), 2, -1):
-            if low[i : i + size] in DICTIONARY:
-                got += size
-                i += size
-                break
-        else:
-            i += 1
-    return got / n if n else 0.0
+
+def common_words(docs: DataFrame, rows: int = WORD_ROWS) -> list[str]:
+    """The rows words (a to z, in lower case) that occur most in all texts, copies counted. Tasks count slices of text first,
+    so that a word comes once a slice to the shuffle, and only the words chosen reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n = Counter(m[0] for text in batch.column(0).to_pylist() if text for m in WORD.finditer(text.lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    return [r.word for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(rows).collect()]
+
+
+def _class(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
 FEATURES = ("length", "classes", "changes", "letters_usual", "covered", "distinct", "entropy", "digits", "upper", "hex", "same_again", "slashes", "dots", "address", "dashes", "groups", "quoted", "code_words", "plain_words", "placeholder", *RULES)
 
 
-def describe(text: str, finding: Finding, around: Around | None = None) -> list[float]:
+def describe(text: str, finding: Finding, around: Around | None = None, lexicon: Lexicon = PLAIN) -> list[float]:
     start, end, rule = finding
     around = around or Around(text)
     value = text[start:end]
     n = len(value)
     kinds = [_class(c) for c in value]
     letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in value.lower()]
-    usual = _usual()
-    pairs = [usual[a, b] for a, b in zip(letters, letters[1:], strict=False) if a < 26 and b < 26]
+    pairs = [lexicon.usual[a, b] for a, b in zip(letters, letters[1:], strict=False) if a < 26 and b < 26]
     counts = np.array(list(Counter(value).values())) / n
     before, near, token = text[max(0, start - 1) : start], around.near(start, end), around.token(start, end)
     return [
-        float(np.log1p(n)), len(set(kinds)), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -3.3, covered(value), len(set(value)) / n,
+        float(np.log1p(n)), len(set(kinds)), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -3.3, lexicon.covered(value), len(set(value)) / n,
         float(-(counts * np.log2(counts)).sum()), kinds.count(0) / n, kinds.count(2) / n, all(c in string.hexdigits for c in value), sum(a == b for a, b in zip(value, value[1:], strict=False)) / n,
         value.count("/") + value.count("\\"), value.count("."), "://" in token or "@" in token or token.startswith(("/", "./", "~")), value.count("-") + value.count("_"), bool(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)),
         before[-1:] in "\"'`" and bool(before), sum(any(c in w for c in CODE_WORDS) for w in near), sum(w in PLAIN_WORDS for w in near), bool(re.search(r"example|your|xxxx|\*{3}|changeme|placeholder|dummy|sample|1234567|abcdef|\$\{|%\(|<", value, re.I)), *(rule == r for r in RULES),
     ]
 
 
-def labelled_findings(seed: int = SEED, count: int = 6_000) -> list[tuple[str, int, int, str, int]]:
-    """(text, start, end, rule, label): seeded texts with one real or false secret each, as candidates() finds them."""
+def labelled_findings(seed: int = SEED, count: int = 6_000, words: Sequence[str] = ()) -> list[tuple[str, int, int, str, int]]:
+    """(text, start, end, rule, label): seeded texts with one real or false secret each, as candidates() finds them. Half of
+    their words come from words, where there are any, the others are made of syllables."""
     rnd = random.Random(seed)
     pick = lambda letters, n: "".join(rnd.choices(letters, k=n))
     syllables = ["an", "er", "the", "ion", "re", "ta", "mo", "ve", "lin", "sch", "que", "ado", "ung", "ent"]
-    word = lambda: "".join(rnd.choices(syllables, k=rnd.randint(1, 4)))
+    word = lambda: rnd.choice(words) if words and rnd.random() < 0.5 else "".join(rnd.choices(syllables, k=rnd.randint(1, 4)))
     say = lambda n: " ".join(word() for _ in range(n))
     alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     any_name = lambda: rnd.choice(NAMES)
@@ -203,8 +225,8 @@ def labelled_findings(seed: int = SEED, count: int = 6_000) -> list[tuple[str, i
 class Forest:
     """Trees as arrays: a row goes right where its feature is over the threshold; left < 0 marks a leaf."""
 
-    def __init__(self, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, share: np.ndarray, roots: np.ndarray):
-        self.feature, self.threshold, self.left, self.right, self.share, self.roots = feature, threshold, left, right, share, roots
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, share: np.ndarray, roots: np.ndarray, lexicon: Lexicon = PLAIN):
+        self.feature, self.threshold, self.left, self.right, self.share, self.roots, self.lexicon = feature, threshold, left, right, share, roots, lexicon
 
     def score(self, x: np.ndarray) -> np.ndarray:
         node = np.tile(self.roots, (len(x), 1))
@@ -250,10 +272,14 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = SEED) ->
     return Forest(*map(np.array, (feature, threshold, left, right, share, roots)))
 
 
-def fit(findings: list[tuple[str, int, int, str, int]] | None = None) -> Forest:
-    """A forest from labelled findings, at most TRAIN_ROWS of them; from the seeded set where none are given."""
-    rows = (findings if findings is not None else labelled_findings())[:TRAIN_ROWS]
-    return train(np.array([describe(t, (a, b, r)) for t, a, b, r, _ in rows], float), np.array([x[4] for x in rows], np.int64))
+def fit(findings: list[tuple[str, int, int, str, int]] | None = None, words: Sequence[str] = ()) -> Forest:
+    """A forest from labelled findings, at most TRAIN_ROWS of them; from the seeded set where none are given. words are added
+    to the dictionary, which the forest keeps."""
+    lexicon = Lexicon(words)
+    rows = (findings if findings is not None else labelled_findings(words=lexicon.common))[:TRAIN_ROWS]
+    forest = train(np.array([describe(t, (a, b, r), None, lexicon) for t, a, b, r, _ in rows], float), np.array([x[4] for x in rows], np.int64))
+    forest.lexicon = lexicon
+    return forest
 
 
 def judged(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
@@ -261,7 +287,7 @@ def judged(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
     if not found:
         return []
     around = Around(text)
-    scores = forest.score(np.array([describe(text, f, around) for f in found], float))
+    scores = forest.score(np.array([describe(text, f, around, forest.lexicon) for f in found], float))
     return [(*f, float(s)) for f, s in zip(found, scores, strict=True)]
 
 
@@ -270,7 +296,7 @@ SCHEMA = "doc_id long, start long, end long, rule string, score double, secret s
 
 def findings(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
     """(doc_id, start, end, rule, score, secret) of what the forest takes for a secret."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # some thousand nodes, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(forest)  # some thousand nodes and WORD_ROWS words, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -308,5 +334,6 @@ def redact(docs: DataFrame, forest: Forest, least: float = 0.5, mask: str = MASK
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fit())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = findings(docs, fit(words=common_words(docs)))
     return found.select("doc_id", "start", "end", "rule", "score", F.sha2("secret", 256).alias("secret_sha256"))
