@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import slices
+from rasterloom.llm.common import cut, discard, slices
 
 #: Key formats: a literal that must occur, and the format.
 FORMATS = [
@@ -148,7 +148,8 @@ WORD = re.compile(r"(?<![\w+/=-])[a-z]{%d,%d}(?![\w+/=-])" % WORD_LETTERS)
 
 def common_words(docs: DataFrame, rows: int = WORD_ROWS) -> list[str]:
     """The rows words (a to z, in lower case) that occur most in all texts, copies counted. Tasks count slices of text first,
-    so that a word comes once a slice to the shuffle, and only the words chosen reach the driver."""
+    so that a word comes once a slice to the shuffle. How many words have which count, in steps of an eighth of an octave,
+    says from which step on to look, so that a task sends its share of the words chosen and not its own first rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -156,7 +157,14 @@ def common_words(docs: DataFrame, rows: int = WORD_ROWS) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    return [r.word for r in counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(rows).collect()]
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), "words").withColumn("step", F.floor(F.log2("n") * 8))
+    least, seen = 0, 0
+    for step, words in sorted(counted.groupBy("step").count().collect(), reverse=True):  # some 500 steps at most
+        if seen < rows:
+            least, seen = step, seen + words
+    found = [r.word for r in counted.where(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(rows).collect()]
+    discard(counted)
+    return found
 
 
 def _class(c: str) -> int:
