@@ -42,3 +42,9 @@ def get_colour(tags: Column, name: str) -> Column:
     m = lambda k: F.regexp_extract(get(tags, name), r"^color\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)$", k)
     parts = [F.when(m(k) != "", m(k)).cast("int") for k in (1, 2, 3)] + [F.coalesce(F.when(m(4) != "", m(4)).cast("int"), F.lit(255))]
     return F.when(m(1) != "", F.struct(*(p.alias(n) for p, n in zip(parts, "rgba", strict=True))))
+
+
+def background(tags: Column) -> Column:
+    """(r, g, b, a) that files without alpha are flattened on: the tag i_background, black without a valid one; always opaque."""
+    got = get_colour(tags, "i_background")
+    return F.struct(*(F.coalesce(got[n], F.lit(0)).alias(n) for n in "rgb"), F.lit(255).alias("a"))

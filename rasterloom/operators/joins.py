@@ -166,6 +166,12 @@ def set_pixels(r: Raster, updates: DataFrame) -> Raster:
     return r.with_px(px).project({n: F.coalesce(F.col(f"_new.{n}"), F.col(n)) for n in r.names})
 
 
+def masked_channels(r: Raster, new: Raster, mask: int) -> Raster:
+    """Writes the samples of new, but only in the channels whose bit is set in mask; places that new lacks stay."""
+    px, names = _overlay(r, new, 0, 0)
+    return r.with_px(px).project({n: F.coalesce(F.col(s), F.col(n)) for k, (n, s) in enumerate(zip(r.names, names, strict=True)) if mask >> k & 1})
+
+
 def get_pixels(r: Raster, points: DataFrame) -> DataFrame:
     """points (image_id, y, x, ...) with the samples there; null outside."""
     return points.join(r.px, KEYS, "left")

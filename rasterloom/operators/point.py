@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions import tags
 from rasterloom.functions.samples import clamp, grey, quotient
 from rasterloom.model import Raster
 
@@ -128,6 +129,19 @@ def flatten(r: Raster, background: tuple[int, int, int] = (0, 0, 0)) -> Raster:
     return r.project({n: quotient(F.col(n) * a + F.lit(back[k]) * (F.lit(top) - a), top).cast("int") for k, n in enumerate(names)}, channels=r.channels - 1)
 
 
+def flatten_tagged(r: Raster, heads: DataFrame) -> Raster:
+    """As flatten, each image on the background that its tags (image_id, tags) name; black where they name none."""
+    if not r.has_alpha:
+        return r
+    names, top = r.colour_names, int(r.top)
+    back = tags.background(F.col("tags"))
+    scale = F.lit(top // 255)
+    parts = [back[n] * scale for n in "rgb"] if len(names) == 3 else [grey(back["r"], back["g"], back["b"], rounded=True) * scale]
+    px = r.px.join(heads.select("image_id", *(c.alias(f"_b{k}") for k, c in enumerate(parts))), "image_id", "left")
+    a = F.col(r.names[-1])
+    return r.with_px(px).project({n: quotient(F.col(n) * a + F.coalesce(F.col(f"_b{k}"), F.lit(0)) * (F.lit(top) - a), top).cast("int") for k, n in enumerate(names)}, channels=r.channels - 1)
+
+
 def border(r: Raster, colour: tuple[int, ...]) -> Raster:
     edge = F.col("x").isin(0, r.width - 1) | F.col("y").isin(0, r.height - 1)
     return r.project({n: F.when(edge, F.lit(colour[k])).otherwise(F.col(n)) for k, n in enumerate(r.names)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.model import KEYS, Raster
@@ -137,10 +137,32 @@ def transparent(r: Raster, how: str = "threshold", threshold: int = 128, table:
     return a <= F.element_at(F.array(*map(F.lit, flat)), (F.col("y") % 8) * 8 + F.col("x") % 8 + 1)
 
 
+def diffused_alpha(r: Raster, kind: str = "floyd") -> DataFrame:
+    """(image_id, y, x, _t): _t says that a pixel is transparent. What an alpha is off its black or white (under 128 or not) is
+    spread by weight to the pixels after it, summed whole and divided when one's turn comes; one group an image, as above."""
+    weights, origin = DIFFUSION[kind]
+    total, w, h, name = sum(map(sum, weights)), r.width, r.height, r.names[-1]
+    taps = [(dy, dx - origin, v) for dy, row in enumerate(weights) for dx, v in enumerate(row) if v]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["y", "x"], ignore_index=True)
+        alpha, owed, gone = group[name].to_numpy().reshape(h, w).tolist(), np.zeros((h + 3, w + 6), np.int64).tolist(), []
+        for y in range(h):
+            for x in range(w):
+                value = min(255, max(0, alpha[y][x] - int(owed[y][x + 3] / total)))
+                gone.append(value < 128)
+                off = (0 if gone[-1] else 255) - value
+                for dy, dx, v in taps:
+                    owed[y + dy][x + 3 + dx] += off * v
+        return pd.DataFrame({"image_id": group["image_id"], "y": group["y"], "x": group["x"], "_t": gone})
+
+    return r.px.select(*KEYS, name).groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, _t boolean")
+
+
 def to_paletted(r: Raster, palette: list[Colour], how: str = "closest", transparency: str | None = None) -> Raster:
     """Indexes, and with transparency the index after the palette's last where a pixel is transparent."""
     base = error_diffusion(r, palette) if how == "errdiff" else closest(r, palette)
     if transparency is None or not r.has_alpha:
         return base
-    gone = r.px.select(*KEYS, transparent(r, transparency).alias("_t"))
+    gone = diffused_alpha(r) if transparency == "errdiff" else r.px.select(*KEYS, transparent(r, transparency).alias("_t"))
     return base.with_px(base.px.join(gone, KEYS)).project({"c0": F.when(F.col("_t"), F.lit(len(palette))).otherwise(F.col("c0"))})

@@ -10,7 +10,7 @@ from rasterloom import model
 from rasterloom.functions import samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, procedural, quantize, stencil, text
+from rasterloom.operators import aggregates, draw, fills, geometry, joins, palette, point, procedural, quantize, stencil, text
 from rasterloom.plans import assembler, expression, registry
 from rasterloom.sources import codecs, images
 
@@ -474,3 +474,54 @@ def _tags_int(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["tags_int"] = _tags_int
 SQL["tags_int"] = "select p_partkey, p_size::bigint as lines, 0::bigint as brand, 2 as n from part"
+
+# Palettes of their own: the images in steps of 85, of which those of up to 40 colours are paletted
+
+_STEPPED = f"{BASE}, s as (select image_id, y, x, {each('c@ // 86 * 85')} from p), u as (select distinct image_id, c0, c1, c2 from s), n as (select image_id, count(*) as n from u group by 1)"
+
+
+def _stepped(r: Raster) -> palette.Paletted:
+    return palette.exact(r.map_colour(lambda c: (c / 86).cast("int") * 85), 40)
+
+
+def _written(r: Raster) -> DataFrame:
+    """A row of each image gets the colours of another row; in images of odd numbers one pixel gets a colour of its own."""
+    p = _stepped(r)
+    row = r.map_colour(lambda c: (c / 86).cast("int") * 85).px.where("y = 9")
+    own = (F.col("image_id") % 2 == 1) & (F.col("x") == 7)
+    updates = row.select("image_id", F.lit(3).alias("y"), "x", F.lit(1).alias("seq"), *(F.when(own, F.lit(k + 1)).otherwise(F.col(n)).alias(a) for k, (n, a) in enumerate(zip(r.names, "rgb", strict=True))))
+    got = palette.set_pixels(p, updates)
+    return palette.expand(got).px.join(got.heads.select("image_id", F.col("palette").isNull().alias("direct")), "image_id")
+
+
+def _colours(r: Raster) -> DataFrame:
+    heads = palette.add_colours(_stepped(r), [(1, 2, 3), (4, 5, 6), (7, 8, 9)]).heads
+    third = palette.get_colours(2)[0]
+    return heads.select("image_id", "added", palette.colour_count().alias("n"), palette.max_colours().alias("most"), third["r"].alias("r"), third["g"].alias("g"), third["b"].alias("b"), palette.find_colour((85, 85, 85)).alias("found"))
+
+
+def _monochrome(r: Raster) -> DataFrame:
+    """Black and white, white first in images of even numbers, with a third colour in every third image."""
+    p = palette.exact(r.project({n: F.when(F.col("c0") < 128, 0).when((F.col("image_id") % 3 == 2) & (F.col("y") == 0), 60).otherwise(255) for n in r.names}))
+    p = palette.set_colours(p, 0, [(255, 255, 255), (0, 0, 0)], (F.col("image_id") % 2 == 0) & (palette.colour_count() == 2))
+    return p.heads.select("image_id", palette.colour_count().alias("n"), palette.zero_is_white().alias("zero_is_white"))
+
+
+add("palette_expand", lambda r: palette.expand(_stepped(r)), f"{_STEPPED} select * from s")
+add("palette_set_pixels", _written, f"{_STEPPED} select s.image_id, s.y, s.x, {each('case when s.y <> 3 then s.c@ when s.image_id % 2 = 1 and s.x = 7 then @ + 1 else o.c@ end')}, n > 40 or s.image_id % 2 = 1 as direct from s join n using (image_id) join s o on o.image_id = s.image_id and o.x = s.x and o.y = 9")
+add("palette_colours", _colours, f"""{_STEPPED}, k as (select *, (row_number() over (partition by image_id order by c0, c1, c2) - 1)::int as i, n from u join n using (image_id) where n <= 40), h as (select image_id, max(n) as n, {', '.join(f'max(c{k}) filter (i = 2) as {a}' for k, a in enumerate('rgb'))}, max(i) filter (c0 = 85 and c1 = 85 and c2 = 85) as found from k group by 1)
+select n.image_id, (case when h.n <= 37 then h.n else -1 end)::int as added, coalesce(case when h.n <= 37 then h.n + 3 else h.n end, -1)::int as n, (case when h.n is null then -1 else 40 end)::int as most, case when h.n = 2 then 1 else r end as r, case when h.n = 2 then 2 else g end as g, case when h.n = 2 then 3 else b end as b, found from n left join h using (image_id)""")
+add("palette_monochrome", _monochrome, f"{BASE}, m as (select image_id, case when c0 < 128 then 0 when image_id % 3 = 2 and y = 0 then 60 else 255 end as c from p), d as (select image_id, count(distinct c)::int as n, min(c) as lo, max(c) as hi from m group by 1) select image_id, n, case when n = 2 and lo = 0 and hi = 255 then image_id % 2 = 0 when n = 2 and image_id % 2 = 0 then true end as zero_is_white from d")
+add("palette_indexes", lambda r: palette.get_indexes(_stepped(r), 4, 10, 30), f"{_STEPPED}, k as (select u.*, (row_number() over (partition by image_id order by c0, c1, c2) - 1)::int as i from u join n using (image_id) where n <= 40) select image_id, y, x, i from s join k using (image_id, c0, c1, c2) where y = 4 and x between 10 and 29")
+add("channel_mask", lambda r: joins.masked_channels(r, model.turned(r), 0b101), f"{BASE} select p.image_id, p.y, p.x, t.c0, p.c1, t.c2 from p join t using (image_id, y, x)")
+
+
+def _tagged(r: Raster) -> DataFrame:
+    head = r.px.groupBy("image_id").agg(F.lit(1).alias("_one"))
+    tagged = tags.add(F.array().cast(tags.KIND), "i_background", F.concat(F.lit("color("), F.col("image_id") % 256, F.lit(",90,200,10)")))
+    heads = head.select("image_id", F.when(F.col("image_id") % 2 == 1, tagged).alias("tags"))
+    return point.flatten_tagged(r, heads)
+
+
+add("flatten_tagged", _tagged, select(", ".join(f"trunc((c{k} * c3 + (case when image_id % 2 = 1 then {v} else 0 end) * (255 - c3)) / 255)::int as c{k}" for k, v in enumerate(("image_id % 256", "90", "200"))), "a"), 4)
+add("quant_transparent_errdiff", lambda r: quantize.to_paletted(r, quantize.fixed_palette("gray4"), transparency="errdiff"), None, 4)

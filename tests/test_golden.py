@@ -249,4 +249,4 @@ def test_pixels_in_and_out(spark):
 def test_unknown_transparency_is_an_error(spark):
     r = Raster(spark.createDataFrame([(0, 0, 0, 1, 2, 3, 4)], "image_id long, y int, x int, c0 int, c1 int, c2 int, c3 int"), 1, 1, 4, "8")
     with pytest.raises(ValueError):
-        quantize.to_paletted(r, [(0, 0, 0)], transparency="errdiff")
+        quantize.to_paletted(r, [(0, 0, 0)], transparency="sieve")
