@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import remainder, slices, utf8
-from rasterloom.llm.training import labelled
+from rasterloom.llm.training import label_array, labelled
 
-#: At most so many labelled documents are learnt from; their texts pass through the driver.
+#: At most so many labelled documents are learnt from; their statistics come to the driver, the texts don't.
 TRAIN_ROWS = 8_000
 TREES, DEPTH, BINS = 60, 4, 64
 RATE, SHRINK, LEAST = 0.15, 1.0, 5.0
@@ -117,11 +117,15 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
     return Trees(*(np.stack(part) for part in zip(*made, strict=True)), model.base)
 
 
+def _figures(texts: pa.Array) -> list[pa.Array]:
+    return [pa.array(list(statistics(texts)), pa.list_(pa.float64()))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Learns labels.quality from documents whose crc32(doc_id) mod 3 is not 1."""
-    texts, y = labelled(docs, labels, "quality", remainder("doc_id", 3) != 1, rows)
-    parts = [statistics(pa.array(texts[k : k + 250], pa.string())) for k in range(0, len(texts), 250)]
-    return train(np.concatenate(parts) if parts else np.zeros((0, len(NAMES))), y)
+    table = labelled(docs, labels, "quality", remainder("doc_id", 3) != 1, rows, _figures, "figures array<double>")
+    x = table.column("figures").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    return train(x, label_array(table))
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:

@@ -16,19 +16,19 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm.common import kept, remainder, slices, utf8
-from rasterloom.llm.training import labelled
+from rasterloom.llm.training import label_array, labelled
 
 BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4, 5)
-#: At most so many labelled documents are learnt from; their texts pass through the driver.
+#: At most so many labelled documents are learnt from; their distinct words, with counts, come to the driver.
 TRAIN_ROWS = 8_000
 EPOCHS = 8
 LEAST = 3
@@ -52,13 +52,17 @@ def tidy(token: str) -> str:
     return token.strip(MARKS) or token
 
 
-def bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+def counts(text: str) -> Counter[str]:
+    """How often each word of a text occurs."""
+    return Counter(text.lower().split())
+
+
+def bags(counted: Iterable[Mapping[str, int]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """For each text its words' numbers and their weights in the mean, which sum to 1; and all words' features in a row,
     with where each word's begin. Features of fewer documents than LEAST are left out, as unseen ones are."""
     number: dict[str, int] = {}
     found, every, sizes, holders = [], array("i"), array("i"), array("i")
-    for text in texts:
-        words = Counter(text.lower().split())
+    for words in counted:
         ids = np.empty(len(words), np.int32)
         for k, token in enumerate(words):
             at = number.setdefault(token, len(number))
@@ -74,7 +78,7 @@ def bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndar
     number.clear()
     feature, size, held = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (every, sizes, holders))
     begin = np.concatenate([[0], np.cumsum(size)])
-    holders_of, kept = np.zeros(BUCKETS), np.zeros(len(size), np.int64)
+    holders_of, known_of = np.zeros(BUCKETS), np.zeros(len(size), np.int64)
     steps = range(0, len(size), 20_000)
     for at in steps:
         part = slice(at, at + 20_000)
@@ -83,12 +87,32 @@ def bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndar
     for at in steps:
         part = slice(at, at + 20_000)
         a, b = begin[at], begin[min(at + 20_000, len(size))]
-        kept[part] = np.bincount(np.repeat(np.arange(len(size[part])), size[part]), known[a:b], len(size[part]))
-    return found, feature[known], np.concatenate([[0], np.cumsum(kept)])
+        known_of[part] = np.bincount(np.repeat(np.arange(len(size[part])), size[part]), known[a:b], len(size[part]))
+    return found, feature[known], np.concatenate([[0], np.cumsum(known_of)])
+
+
+def distinct(values: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and each value's place among them, without sorting; scratch has an entry for any value."""
+    place = np.arange(len(values), dtype=scratch.dtype)
+    scratch[values] = place
+    found = values[scratch[values] == place]
+    scratch[found] = place[: len(found)]
+    return found, scratch[values]
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
-    """One number per bucket and the bias: what the joint model adds to the log-odds of label 1."""
+def run_sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x over consecutive runs of the given sizes."""
+    out = np.zeros((len(size), x.shape[1]), np.float32)
+    full = np.flatnonzero(size)
+    if len(full):
+        out[full] = np.add.reduceat(x, (np.cumsum(size) - size)[full], axis=0)
+    return out
+
+
+def train(counted: Iterable[Mapping[str, int]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
+    """One number per bucket and the bias: what the joint model adds to the log-odds of label 1. Of each text only its word
+    counts are needed. With two classes the gradient by the logits is -d and d, so that a feature's gradient is a number times
+    the difference of the layer's columns."""
     rng = np.random.default_rng(seed)
     table = np.zeros((BUCKETS, WIDTH), np.float32)  # n-grams never seen add nothing; the random layer breaks the symmetry
     # a softmax over two classes: columns of the linear layer, and its bias
@@ -97,33 +121,31 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     bias = np.log([(len(labels) - ones + 1) / (len(labels) + 2), (ones + 1) / (len(labels) + 2)]).astype(np.float32)
     if not 0 < ones < len(labels):
         return np.zeros(BUCKETS, np.float32), float(bias[1] - bias[0]) if len(labels) else -1e-9
-    docs, every, begin = bags(texts)
+    docs, every, begin = bags(counted)
     seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    columns = lambda at, x, n: np.stack([np.bincount(at, x[:, k], n) for k in range(WIDTH)], 1).astype(np.float32)
+    of_word, of_bucket = np.zeros(len(begin), np.int32), np.zeros(BUCKETS, np.int32)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(docs))
         for start in range(0, len(order), BATCH):
             chosen = order[start : start + BATCH]
-            words, at = np.unique(np.concatenate([docs[i][0] for i in chosen]), return_inverse=True)
+            words, at = distinct(np.concatenate([docs[i][0] for i in chosen]), of_word)
             weights = np.concatenate([docs[i][1] for i in chosen])
-            row = np.repeat(np.arange(len(chosen)), [len(docs[i][0]) for i in chosen])
+            many = np.array([len(docs[i][0]) for i in chosen])
             size = begin[words + 1] - begin[words]
             feature = every[np.repeat(begin[words] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            owner = np.repeat(np.arange(len(words)), size)
-            vectors = columns(owner, table[feature], len(words))
-            mean = columns(row, vectors[at] * weights[:, None], len(chosen))
-            logits = mean @ layer + bias
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(chosen)), labels[chosen]] -= 1  # the gradient by the logits
-            g_layer, g_bias, g_mean = mean.T @ p, p.sum(0), p @ layer.T
-            g_word = columns(at, g_mean[row] * weights[:, None], len(words))
-            touched, inverse = np.unique(feature, return_inverse=True)
-            g_table = columns(inverse, g_word[owner], len(touched))
-            seen_table[touched] += (g_table**2).mean(1)
-            table[touched] -= rate * g_table / np.sqrt(seen_table[touched])[:, None]
+            vectors = run_sums(table.take(feature, axis=0), size)
+            mean = run_sums(vectors[at] * weights[:, None], many)
+            apart = layer[:, 1] - layer[:, 0]
+            logit = np.clip(mean @ apart + bias[1] - bias[0], -60, 60)
+            d = 1 / (1 + np.exp(-logit)) - labels[chosen]  # the gradient by the second logit
+            both = np.stack([-d, d], 1)
+            g_layer, g_bias = mean.T @ both, both.sum(0)
+            of_words = np.bincount(at, np.repeat(d, many) * weights, len(words))
+            touched, inverse = distinct(feature, of_bucket)
+            g = np.bincount(inverse, np.repeat(of_words, size), len(touched)).astype(np.float32)
+            seen_table[touched] += g**2 * (apart**2).mean()
+            table[touched] -= np.outer(rate * g / np.sqrt(seen_table[touched]), apart)
             seen_layer += g_layer**2
             layer -= rate * g_layer / np.sqrt(seen_layer)
             seen_bias += g_bias**2
@@ -147,7 +169,7 @@ class Scorer(dict):
         return got
 
     def score(self, text: str) -> float:
-        words = Counter(text.lower().split())
+        words = counts(text)
         weights = 1 + np.log(np.fromiter(words.values(), np.float64, len(words)))
         logit = self.bias + (float(np.fromiter(map(self.__getitem__, words), np.float64, len(words)) @ weights / weights.sum()) if words else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
@@ -170,9 +192,16 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, names: tuple[str, s
     return rest.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{names[0]}` double", f"`{names[1]}` int"]))
 
 
+def _counted(texts: pa.Array) -> list[pa.Array]:
+    found = [counts(x) for x in texts.to_pylist()]
+    return [pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Learns labels.toxic from documents whose crc32(doc_id) mod 5 is not 0."""
-    return train(*labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, rows))
+    table = labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, rows, _counted, "words array<string>, times array<long>")
+    counted = (dict(zip(w, n, strict=True)) for batch in table.to_batches(250) for w, n in zip(batch.column("words").to_pylist(), batch.column("times").to_pylist(), strict=True))
+    return train(counted, label_array(table))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
