@@ -92,6 +92,28 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
         give_back()
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], group: str, most: int = 100_000) -> Iterator[pa.Table]:
+    """Rows in order of the number group, as tables of about most rows that end where a group ends; a larger group comes
+    whole. So a task holds such a table, not its partition."""
+    held: list[pa.RecordBatch] = []
+    count, room = 0, most
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < room:
+            continue
+        table = pa.Table.from_batches(held)
+        values = table.column(group).to_numpy()
+        start = int(np.searchsorted(values, values[-1]))
+        if start:
+            yield table.slice(0, start)
+        held = table.slice(start).combine_chunks().to_batches()
+        count -= start
+        room = max(most, 2 * count)
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 _KEPT: dict[str, tuple[Any, Any]] = {}
 
 

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, give_back
+from rasterloom.llm.common import cut, give_back, whole_groups
 from rasterloom.llm.components import components, forest
 
 COSINE = 0.98
 TABLES, HASHES, SEED = 8, 2, 17
 BLOCK = 2_048
+#: Dealt vectors that a task holds at once, or those of one larger group.
+PART = 20_000
 #: Pairs compared at once in small buckets.
 CHUNK = 200_000
 
@@ -125,47 +127,43 @@ def _pairs(group: np.ndarray, side: np.ndarray, x: np.ndarray, least: float) ->
 
 def _compare(tables: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        widths = table.column("width").to_numpy()
-        key_out, sums, edges = [], [], []
-        for width in np.unique(widths):
-            rows = table.filter(pa.array(widths == width))
-            t, bucket, label, key, weight, group, side = (rows.column(n).to_numpy() for n in ("table", "bucket", "label", "key", "weight", "grp", "side"))
-            order = np.lexsort((side, group, bucket, t, label))
-            t, bucket, label, key, weight, group, side = (c[order] for c in (t, bucket, label, key, weight, group, side))
-            raw = _matrix(rows.column("vector"))[order]
-            code = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(order), tables, -1)[order]
-            same = (label[1:] == label[:-1]) & (t[1:] == t[:-1]) & (bucket[1:] == bucket[:-1]) & (group[1:] == group[:-1])
-            number = np.cumsum(np.r_[0, ~same])
-            norm = np.sqrt((raw**2).sum(1))
-            x = raw / norm[:, None]
-            for i, j in _pairs(number, side, x, least):
-                ok = ((raw[i] * raw[j]).sum(1) / (norm[i] * norm[j]) >= least) & ((side[i] == 0) | (side[i] != side[j])) & (key[i] != key[j])
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                # where else the two meet: a first choice of one among the choices of the other
-                ci, cj = code[i], code[j]
-                meet = np.concatenate([np.where(ci == cj[:, :, :1], ci, -1), np.where(cj == ci[:, :, :1], cj, -1)], 2)
-                any_ = (meet >= 0).any(2)
-                first = np.where(any_.any(1), any_.argmax(1), -1)
-                at = np.where(meet >= 0, meet, np.iinfo(np.int64).max)[np.arange(len(i)), first].min(1)
-                mine = (first == t[i]) & (at == bucket[i])
-                i, j = i[mine], j[mine]
-                key_out += [key[i], key[j]]
-                sums += [weight[j], weight[i]]
-                edges.append(np.stack([key[i], key[j]]))
-        if key_out:
-            unique, inverse = np.unique(np.concatenate(key_out), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(sums)).astype(np.int64)
-            v, u = forest(*np.concatenate(edges, 1))
-            both = np.concatenate([unique, v])
-            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.r_[total, np.zeros(len(v), np.int64)]), pa.array(np.r_[unique, u])], ["v", "links", "u"])
-        held.clear()
-        del table, rows, raw, x, code
+        for table in whole_groups(batches, "cell", PART):
+            widths = table.column("width").to_numpy()
+            key_out, sums, edges = [], [], []
+            for width in np.unique(widths):
+                rows = table.filter(pa.array(widths == width))
+                t, bucket, label, key, weight, group, side = (rows.column(n).to_numpy() for n in ("table", "bucket", "label", "key", "weight", "grp", "side"))
+                order = np.lexsort((side, group, bucket, t, label))
+                t, bucket, label, key, weight, group, side = (c[order] for c in (t, bucket, label, key, weight, group, side))
+                raw = _matrix(rows.column("vector"))[order]
+                code = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(order), tables, -1)[order]
+                same = (label[1:] == label[:-1]) & (t[1:] == t[:-1]) & (bucket[1:] == bucket[:-1]) & (group[1:] == group[:-1])
+                number = np.cumsum(np.r_[0, ~same])
+                norm = np.sqrt((raw**2).sum(1))
+                x = raw / norm[:, None]
+                for i, j in _pairs(number, side, x, least):
+                    ok = ((raw[i] * raw[j]).sum(1) / (norm[i] * norm[j]) >= least) & ((side[i] == 0) | (side[i] != side[j])) & (key[i] != key[j])
+                    i, j = i[ok], j[ok]
+                    if not len(i):
+                        continue
+                    # where else the two meet: a first choice of one among the choices of the other
+                    ci, cj = code[i], code[j]
+                    meet = np.concatenate([np.where(ci == cj[:, :, :1], ci, -1), np.where(cj == ci[:, :, :1], cj, -1)], 2)
+                    any_ = (meet >= 0).any(2)
+                    first = np.where(any_.any(1), any_.argmax(1), -1)
+                    at = np.where(meet >= 0, meet, np.iinfo(np.int64).max)[np.arange(len(i)), first].min(1)
+                    mine = (first == t[i]) & (at == bucket[i])
+                    i, j = i[mine], j[mine]
+                    key_out += [key[i], key[j]]
+                    sums += [weight[j], weight[i]]
+                    edges.append(np.stack([key[i], key[j]]))
+            if key_out:
+                unique, inverse = np.unique(np.concatenate(key_out), return_inverse=True)
+                total = np.bincount(inverse, np.concatenate(sums)).astype(np.int64)
+                v, u = forest(*np.concatenate(edges, 1))
+                both = np.concatenate([unique, v])
+                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.r_[total, np.zeros(len(v), np.int64)]), pa.array(np.r_[unique, u])], ["v", "links", "u"])
+            del table, rows, raw, x, code
         give_back()
 
     return run
@@ -196,7 +194,9 @@ def near_duplicates(rows: DataFrame, least: float = COSINE, tables: int = TABLES
     else:
         marked = dealt.withColumns({"grp": F.lit(0).cast("long"), "side": F.lit(0).cast("int")})
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    met = cut(marked.repartition(parts, *place, "grp").mapInArrow(_compare(tables, least), "v long, links long, u long"), "met")
+    # rows that may meet come together, cell by cell, so that a task never holds its partition
+    marked = marked.withColumn("cell", F.xxhash64(*place, "grp")).repartition(parts, "cell").sortWithinPartitions("cell")
+    met = cut(marked.mapInArrow(_compare(tables, least), "v long, links long, u long"), "met")
     links = met.groupBy(F.col("v").alias("key")).agg(F.sum("links").alias("links"))
     found = components(met.where("v <> u").select("v", "u"))
     named = classes.join(found, F.col("key") == F.col("node"), "left").select("key", "label", "embedding", "rep", "weight", F.coalesce("component", "key").alias("part"))

@@ -7,9 +7,10 @@ within distance d agree on d whole groups at least, so each vector is dealt to C
 groups. Inside a cell, members are ordered by their total bit count and only compared while totals differ by d or less; the
 Manhattan bound comes first and the Hamming distance decides.
 
-Only distinct fingerprints take part, and tasks hand on spanning forests instead of links. A cell with more than HOT members
-is not compared inside: its fingerprints go by meeting points (two fingerprints within 3 bits share a point within 1 bit of
-one and 2 of the other), which is linear and loses nothing.
+Only distinct fingerprints take part, and tasks hand on spanning forests instead of links. Cells are told by some 22 bits on
+average. One with more than HOT members is split by further segments: its members are dealt anew, by segments of one bit (whose
+counts are the bits) in 4d groups of which 3d agree. Such a cell is told by 48 of 64 bits at d = 3, so that whatever the data
+it has 65,536 members at most.
 
 Defined cases: a null or wordless text has fingerprint zero, which is linked like any other; fewer words than a shingle are
 one shingle; a null doc_id keeps its row and its fingerprint and never names a component unless a whole component has no id;
@@ -27,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, give_back, slices, utf8
+from rasterloom.llm.common import cut, give_back, slices, utf8, whole_groups
 from rasterloom.llm.components import components, forest
 
 SEED = 42
 DISTANCE = 3
 SEGMENTS = 32
-#: A cell with more distinct fingerprints is linked by meeting points.
+#: A cell with more distinct fingerprints is split by segments of one bit.
 HOT = 20_000
-#: Links held by a task before it contracts them to a forest.
+#: Links held by a task before it hands on their forest.
 HELD = 2_000_000
 ONES = np.uint64(0x5555555555555555)
 
@@ -120,21 +121,24 @@ def thermometer(x: np.ndarray) -> np.ndarray:
     return (high | low) | ((high & low) << np.uint64(1))
 
 
-def masks(distance: int = DISTANCE) -> list[np.uint64]:
-    """Of 2 * distance groups of segments, every choice of distance groups, as a mask of their bits."""
-    groups = 2 * distance
-    bits = [sum(3 << (2 * s) for s in range(SEGMENTS) if s * groups // SEGMENTS == g) for g in range(groups)]
-    return [np.uint64(sum(bits[g] for g in chosen)) for chosen in combinations(range(groups), distance)]
+def masks(distance: int = DISTANCE, fine: bool = False) -> list[np.uint64]:
+    """Of 2 * distance groups of segments, every choice of distance groups, as a mask of their bits; or, with segments of one
+    bit, of 4 * distance groups every choice of 3 * distance."""
+    groups, agreeing, wide = (4 * distance, 3 * distance, 1) if fine else (2 * distance, distance, 2)
+    segments = 64 // wide
+    bits = [sum((1 << wide) - 1 << (wide * s) for s in range(segments) if s * groups // segments == g) for g in range(groups)]
+    return [np.uint64(sum(bits[g] for g in chosen)) for chosen in combinations(range(groups), agreeing)]
 
 
-def _cells(distance: int):
-    chosen = masks(distance)
+def _cells(distance: int, fine: bool = False):
+    chosen = masks(distance, fine)
     odd = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, fp, table = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            t = thermometer(fp.view(np.uint64))
+            bits = fp.view(np.uint64)
+            t = bits if fine else thermometer(bits)
             salt = table.to_numpy().astype(np.uint64) * np.uint64(len(chosen))
             for k, mask in enumerate(chosen):
                 cell = (t & mask) * odd
@@ -167,63 +171,43 @@ def close_pairs(cell: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tup
 
 
 def _link(distance: int):
+    """Rows in order of cell -> forests of the links, cell by cell."""
+
+    def contracted(ends: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        v, u = forest(np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))
+        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.select(["cell", "rep", "fp"]) for b in batches if b.num_rows]
-        if not held:
-            return
-        cell, rep, fp = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
-        held.clear()
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
-        for a, b in close_pairs(cell, fp.view(np.uint64), distance):
-            ends.append((rep[a], rep[b]))
-            count += len(a)
-            if count > HELD:
-                ends = [forest(np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))]
-                count = len(ends[0][0])
+        for part in whole_groups(batches, "cell"):
+            cell, rep, fp = (part.column(k).to_numpy() for k in ("cell", "rep", "fp"))
+            for a, b in close_pairs(cell, fp.view(np.uint64), distance):
+                ends.append((rep[a], rep[b]))
+                count += len(a)
+                if count > HELD:
+                    yield contracted(ends)
+                    ends, count = [], 0
         if ends:
-            v, u = forest(np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
-        ends.clear()
-        del cell, rep, fp
+            yield contracted(ends)
         give_back()
 
     return run
 
 
-def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All points within two bits of each fingerprint; near: within one."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    i, j = np.triu_indices(64, 1)
-    flips = np.concatenate([[np.uint64(0)], one, one[i] | one[j]])
-    near = np.arange(len(flips)) <= 64
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            fp = part.column(1).to_numpy().view(np.uint64)
-            z = (fp[:, None] ^ flips[None, :]).ravel().view(np.int64)
-            rep, t = (np.repeat(part.column(k).to_numpy(), len(flips)) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(t), pa.array(rep), pa.array(np.tile(near, part.num_rows))], ["z", "t", "rep", "near"])
-
-
 def link(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """nodes (rep, fps) -> edges (v, u) over rep with the same components as all links have, a link being a pair that is
     within distance in some table."""
-    spark = nodes.sparkSession
-    dealt = nodes.select("rep", F.posexplode("fps").alias("t", "fp")).select("rep", "fp", "t").mapInArrow(_cells(distance), "cell long, rep long, fp long, t int")
-    crowded = cut(dealt.groupBy("cell").count().where(F.col("count") > hot).select("cell"), "crowded")
+    spark, kind = nodes.sparkSession, "cell long, rep long, fp long, t int"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = nodes.select("rep", F.posexplode("fps").alias("t", "fp")).select("rep", "fp", "t").mapInArrow(_cells(distance), kind)
+    crowded = cut(dealt.groupBy("cell").count().where(F.col("count") > hot).select("cell"), "crowded")
+    linked = lambda rows: rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_link(distance), "v long, u long")
     if not crowded.limit(1).count():
-        return dealt.repartition(parts, "cell").mapInArrow(_link(distance), "v long, u long")
-    if distance != 3:
-        raise ValueError("meeting points are for a distance of 3")
+        return linked(dealt)
     dealt = cut(dealt, "dealt")
-    few = dealt.join(crowded, "cell", "left_anti").repartition(parts, "cell").mapInArrow(_link(distance), "v long, u long")
-    many = dealt.join(crowded, "cell", "left_semi").select("rep", "fp", "t").distinct()
-    points = cut(many.repartition(parts, "rep").mapInArrow(_ball, "z long, t int, rep long, near boolean"), "points")
-    meet = points.groupBy("z", "t").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("m"), F.count(F.lit(1)).alias("n")).where("m is not null and n > 1")
-    met = points.join(meet, ["z", "t"]).where("rep <> m").select(F.col("rep").alias("v"), F.col("m").alias("u")).distinct()
-    return few.unionByName(met)
+    many = dealt.join(crowded, "cell", "left_semi").select("rep", "fp", "t").distinct().mapInArrow(_cells(distance, fine=True), kind)
+    return linked(dealt.join(crowded, "cell", "left_anti").unionByName(many))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, tables: int = 1) -> DataFrame:

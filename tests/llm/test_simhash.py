@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from rasterloom.llm import simhash
+from rasterloom.llm.common import whole_groups
 from rasterloom.llm.components import components, forest
 
 
@@ -45,8 +47,9 @@ def test_against_brute_force(spark):
     assert [r.component_id for r in got] == brute_components(prints)
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 5])
-def test_links_lose_nothing(spark, hot):
+@pytest.mark.parametrize("hot", [simhash.HOT, 5, 0])
+@pytest.mark.parametrize("distance", [2, 3])
+def test_links_lose_nothing(spark, hot, distance):
     rnd = random.Random(1)
     prints = set()
     for _ in range(60):
@@ -57,8 +60,19 @@ def test_links_lose_nothing(spark, hot):
                 x ^= 1 << b
     prints = sorted(prints)
     rows = [(i, [p - 2**64 if p >= 2**63 else p]) for i, p in enumerate(prints)]
-    found = {r.node: r.component for r in components(simhash.link(spark.createDataFrame(rows, "rep long, fps array<long>"), hot=hot)).collect()}
-    assert [found.get(i, i) for i in range(len(prints))] == brute_components(prints)
+    found = {r.node: r.component for r in components(simhash.link(spark.createDataFrame(rows, "rep long, fps array<long>"), distance, hot)).collect()}
+    assert [found.get(i, i) for i in range(len(prints))] == brute_components(prints, distance)
+
+
+def test_whole_groups_keep_rows_and_order():
+    rnd = random.Random(2)
+    values = sorted(rnd.choices(range(-9, 9), weights=[40] + [1] * 17, k=500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[a : a + 7], pa.int64())], ["g"]) for a in range(0, 500, 7)]
+    for most in (1, 20, 100, 10_000):
+        parts = [t.column("g").to_pylist() for t in whole_groups(batches, "g", most)]
+        assert sum(parts, []) == values
+        assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
+    assert list(whole_groups([], "g")) == []
 
 
 def test_manhattan_is_a_lower_bound():
