@@ -50,6 +50,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, whatever the case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo modulus; a null key counts as the empty text."""
     column = F.col(key) if isinstance(key, str) else key

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, embeddings, html, lm, quality, secrets, simhash, toxicity, warc
+from rasterloom.llm import bpe, decontaminate, embeddings, html, lines, lm, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_lines": lines.op11_lines,
 }
-ORACLE_SQL = {"op2_embeddings": embeddings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_embeddings": embeddings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lines": lines.ORACLE_SQL}
