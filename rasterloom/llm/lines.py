@@ -229,8 +229,8 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
-lines as (select doc_id, unnest(l) as line, unnest(range(len(l))) as at from split),
+lines as (select doc_id, unnest(l) as line, unnest(range(len(l))) as place from split),
 keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
 often as (select k, max(doc_id) as largest from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
 told as (select keyed.*, largest is not null and doc_id <> largest as gone from keyed left join often using (k))
-select doc_id, count(*)::bigint as n_lines, sum(gone::int)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256 from told group by doc_id"""
+select doc_id, count(*)::bigint as n_lines, sum(gone::int)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256 from told group by doc_id"""

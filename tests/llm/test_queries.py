@@ -22,6 +22,7 @@ COLUMNS = {
     "op7_secrets": [("doc_id", "bigint"), ("start", "bigint"), ("end", "bigint"), ("rule", "string"), ("score", "double"), ("secret_sha256", "string")], "op8_html": [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")],
     "op9_warc": [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")], "op10_quality": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
     "op11_lines": [("doc_id", "bigint"), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string")],
+    "op12_resample": [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")],
 }
 
 
