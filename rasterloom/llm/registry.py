@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, embeddings, html, lines, lm, quality, resample, secrets, simhash, toxicity, warc
+from rasterloom.llm import bpe, collocations, decontaminate, embeddings, html, lines, lm, quality, resample, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_lines": lines.op11_lines,
     "op12_resample": resample.op12_resample,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLE_SQL = {"op2_embeddings": embeddings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lines": lines.ORACLE_SQL}
+ORACLE_SQL = {"op2_embeddings": embeddings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lines": lines.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}

@@ -67,22 +67,22 @@ def moves(lengths: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32).reshape(-1, 4, 256)
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """(text of each word, words as a dictionary) in order."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """(text of each word, words as a dictionary, where they begin) in order; word says which bytes belong to words."""
     low = LOWER[raw]
-    inside = WORD[low]
+    inside = word[low]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
     ends = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
     at = np.concatenate([[0], np.cumsum(ends - starts)])
     told = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(low[inside])])
-    return np.searchsorted(offsets, starts, side="right") - 1, told.dictionary_encode()
+    return np.searchsorted(offsets, starts, side="right") - 1, told.dictionary_encode(), starts
 
 
 def buckets_of(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(words of each text, buckets of all features, text by text)."""
-    text, told = words_of(raw, offsets)
+    text, told, _ = words_of(raw, offsets)
     ids, distinct = told.indices.to_numpy(), told.dictionary.to_pylist()
     alone = np.array([zlib.crc32(w) for w in distinct], np.uint32)
     after = np.array([zlib.crc32(b" " + w) for w in distinct], np.uint32)

@@ -23,6 +23,7 @@ COLUMNS = {
     "op9_warc": [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")], "op10_quality": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
     "op11_lines": [("doc_id", "bigint"), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string")],
     "op12_resample": [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")],
+    "op13_collocations": [("lang", "string"), *((x, "string" if x == "phrase" else "bigint") for x in "rank phrase a l r n score".split())],
 }
 
 
