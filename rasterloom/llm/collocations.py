@@ -37,7 +37,7 @@ from rasterloom.llm.resample import words_of
 
 LEAST, TOP, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: Bytes of text whose trie a task holds, and whose phrases make a range.
-RUN_BYTES, RANGE_BYTES = 16 << 20, 12 << 20
+RUN_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Bytes of text, and phrases for each range and at most, that set the bounds.
 SAMPLE_BYTES, SAMPLE_EACH, SAMPLE_MOST = 8 << 20, 40, 1_000_000
 
@@ -75,7 +75,7 @@ class Trie:
         rank = np.empty(self.size, np.int64)
         rank[order] = np.arange(self.size)
         token = rank[token]
-        piece = np.cumsum(BREAK[raw])[starts] if len(starts) else starts
+        piece = np.cumsum(BREAK[raw], dtype=np.int32 if len(raw) < 1 << 31 else np.int64)[starts] if len(starts) else starts
         follows = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
         pairs = token[:-1] * self.size + token[1:]
         self.pairs, n2 = _rle(pairs[follows])
@@ -150,7 +150,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[Trie]:
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in chain(slices(batches), [None]):
+    for batch in chain(slices(batches, most=RUN_BYTES // 2), [None]):
         if batch is not None:
             held.append(batch)
             size += batch.column("text").nbytes
