@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, discard, slices
 
-#: Key formats: a literal that must occur, and the format.
+_FIELD = r"(?:Proc-Type|DEK-Info): [^\n\\]*+"
+#: Key formats: a literal that must occur, and the format; its group, where it has one, is the secret.
 FORMATS = [
     ("aws_key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("aws_key", "ASIA", re.compile(r"(?<![A-Za-z0-9])ASIA[0-9A-Z]{16}(?![A-Za-z0-9])")),
@@ -39,7 +40,10 @@ FORMATS = [
     ("map_key", "AIza", re.compile(r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}")),
     ("pay_key", "k_live_", re.compile(r"(?<![A-Za-z0-9])[sr]k_live_[A-Za-z0-9]{16,}")),
     ("web_token", "eyJ", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)),
+    ("mail_key", "SG.", re.compile(r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{32,}")),
+    ("address", "://", re.compile(r"(?<=://)(?:[^\s/:@\"'<>]{0,64}):([^\s/:@\"'<>]{4,})(?=@)")),
+    # the header, its fields, lines of the key, and the end where there is one
+    ("private_key", "PRIVATE KEY", re.compile(rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?=(?:\s|\\[nr])*+(?:{_FIELD}|[A-Za-z0-9+/=]{{24}}|-----END))(?:(?:\s|\\[nr])*+(?:{_FIELD}|[A-Za-z0-9+/=]{{24,}}+))*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{1,23}}+)?(?:\s|\\[nr])*+-----END [A-Z ]*PRIVATE KEY-----)?")),
 ]
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key")
 TAIL = re.compile(r"[\w-]*+")
@@ -62,11 +66,12 @@ MASK = "[SECRET]"
 Finding = tuple[int, int, str]  # start, end, rule
 
 
-def candidates(text: str) -> list[Finding]:
+def ordered(text: str) -> list[Finding]:
+    """All candidates, the surest rules first; they may overlap, but no two have the same place."""
     found: list[tuple[int, int, int, str]] = []
     for rule, literal, pattern in FORMATS:
         if literal in text:
-            found += [(0, m.start(), m.end(), rule) for m in pattern.finditer(text)]
+            found += [(0, m.start(pattern.groups), m.end(), rule) for m in pattern.finditer(text)]
     low = text.lower()
     if len(low) != len(text):  # case rules that change lengths: lower one by one what keeps its length
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -87,15 +92,28 @@ def candidates(text: str) -> list[Finding]:
                 if any(map(str.isdigit, s)) and not s.isdigit() or (s.lower() != s and s.upper() != s and not s.istitle()):
                     found.append((2, at + m.start(), at + m.end(), "long"))
             at += len(word)
-    kept: list[Finding] = []  # in order, never overlapping
+    places: dict[tuple[int, int], str] = {}
     for _, a, b, rule in sorted(set(found), key=lambda x: (x[0], x[1], -x[2], x[3])):
         b -= len(text[a:b]) - len(text[a:b].rstrip(".!?:"))
-        at = bisect_left(kept, (a,))
-        if b > a and (at == len(kept) or b <= kept[at][0]) and (not at or kept[at - 1][1] <= a):
-            kept.insert(at, (a, b, rule))
+        if b > a:
+            places.setdefault((a, b), rule)
+    return [(a, b, rule) for (a, b), rule in places.items()]
+
+
+def apart(found: Iterable[tuple]) -> list[tuple]:
+    """Of findings (start, end, ...) those that overlap none before them, in order of place."""
+    kept: list[tuple] = []
+    for x in found:
+        at = bisect_left(kept, (x[0],))
+        if (at == len(kept) or x[1] <= kept[at][0]) and (not at or kept[at - 1][1] <= x[0]):
+            kept.insert(at, x)
     return kept
 
 
+def candidates(text: str) -> list[Finding]:
+    return apart(ordered(text))
+
+
 class Around:
     """Where a text's words and runs of white space lie, found once for all its candidates."""
 
@@ -203,12 +221,17 @@ def labelled_findings(seed: int = SEED, count: int = 6_000, words: Sequence[str]
     alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     any_name = lambda: rnd.choice(NAMES)
 
+    def memorable() -> str:  # a word or two that people remember, with digits or a sign among them
+        swap = str.maketrans({"o": "0", "e": "3", "a": "4"})
+        return rnd.choice([lambda: f"{word()}{rnd.randint(1, 99)}{word()}", lambda: f"{word().title()}{rnd.choice('!$&#')}{rnd.randint(10, 999)}", lambda: word().title().translate(swap) + rnd.choice("!$&#") + str(rnd.randint(1, 99)) + word()])()
+
     def real() -> str:
         hexed, mixed, strong = pick(hexes, rnd.choice([16, 18, 20, 24, 32, 40, 48, 64])), pick(alnum + "+/", rnd.choice([20, 24, 32, 40, 44, 64])), pick(alnum + "!@#%&_", rnd.randint(9, 22))
         key = rnd.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + "234567", 16)
         return rnd.choice([
             key, f'aws_access_key_id = "{key}"', key, f"{any_name()}={hexed}", f'{any_name()} = "{hexed}"', f"{any_name()}: {mixed}", f"{any_name()}={strong}", f'"{any_name()}": "{mixed}"',
             f"ghp_{pick(alnum, 36)}", f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", f"AIza{pick(alnum + '_-', 35)}", f"sk_live_{pick(alnum, 24)}", f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, 50)}.{pick(alnum + '_-', 43)}",
+            f"{any_name()}{rnd.choice([': ', ' = ', '='])}{memorable()}", f"{rnd.choice(['postgres', 'mysql', 'amqp', 'https'])}://{word()}:{rnd.choice([strong.replace('@', ''), memorable()])}@{word()}.{word()}/{word()}", f"SG.{pick(alnum + '_-', 22)}.{pick(alnum + '_-', 43)}",
             f"-----BEGIN RSA PRIVATE KEY-----\n{pick(alnum + '+/', 160)}\n-----END RSA PRIVATE KEY-----", f"key {mixed}", f"login with {mixed}",
         ])
 
@@ -290,13 +313,16 @@ def fit(findings: list[tuple[str, int, int, str, int]] | None = None, words: Seq
     return forest
 
 
-def judged(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
-    found = candidates(text)
+def judged(text: str, forest: Forest, least: float = 0.5) -> list[tuple[int, int, str, float]]:
+    """Candidates with their scores, none overlapping. What scores least or more comes first, so that a candidate that is
+    thrown away hides none inside it."""
+    found = ordered(text)
     if not found:
         return []
     around = Around(text)
     scores = forest.score(np.array([describe(text, f, around, forest.lexicon) for f in found], float))
-    return [(*f, float(s)) for f, s in zip(found, scores, strict=True)]
+    got = [(*f, float(s)) for f, s in zip(found, scores, strict=True)]
+    return apart([x for x in got if x[3] >= least] + [x for x in got if x[3] < least])
 
 
 SCHEMA = "doc_id long, start long, end long, rule string, score double, secret string"
@@ -309,7 +335,7 @@ def findings(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches):
-            rows = [(ident, a, b, rule, s, text[a:b]) for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for a, b, rule, s in judged(text, model) if s >= least]
+            rows = [(ident, a, b, rule, s, text[a:b]) for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for a, b, rule, s in judged(text, model, least) if s >= least]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -327,7 +353,7 @@ def redact(docs: DataFrame, forest: Forest, least: float = 0.5, mask: str = MASK
             texts = batch.column(names.index("text")).to_pylist()
             counts = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else []
             for i, text in enumerate(texts):
-                found = [x for x in judged(text, model) if x[3] >= least] if text else []
+                found = [x for x in judged(text, model, least) if x[3] >= least] if text else []
                 for a, b, _, _ in reversed(found):
                     texts[i] = texts[i][:a] + mask + texts[i][b:]
                 if found and counts:
