@@ -9,7 +9,8 @@ whose own capacity outweighs all their edges are settled first, which is exact;
 Defined cases: a null or empty html, or one without text, has empty text; whole pages are read, whatever their length;
 ``<br>`` and tags between words of one block are white space or nothing as in browsers; unclosed elements end with their
 parents; scripts, styles, comments, titles and what stands in a template, iframe or textarea that is closed are never
-text, an unclosed script or style runs to the page's end; a null page_id or url and repeated rows stay; other columns
+text, an unclosed script or style runs to the page's end; a quote that never closes is none, and a tag without an end is
+text; any page takes time in proportion to its length; a null page_id or url and repeated rows stay; other columns
 are ignored.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|iframe|textarea|title)\b[^>]*?(?:/>|>.*?</\1\s*>)|<(?:script|style)\b[^>]*>.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+RAW = frozenset("script style template iframe textarea title".split())
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = frozenset("html head body p div section article main aside nav header footer ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend label button select option h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr address details summary dialog menu center".split())
@@ -87,6 +90,56 @@ class Block:
         self.text, self.linked, self.tag, self.place, self.within, self.inside, self.outside = text, linked, tag, place, within, inside, outside
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """The page's markup in order: start, end, "/" of a closing tag, the tag's name (None for what is no tag or is dropped with
+    its content), its attributes. One pass: what a search has found missing is not searched for again."""
+    at, n = 0, len(page)
+    ends: dict[str, re.Pattern] = {}
+    missing: set[str] = set()  # raw elements without an end from here on
+    lost: set[int] = set()  # marks outside quotes from which no tag ends
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!--", "<![CDATA["), at):
+            end = page.find(*(("-->", at + 4) if page[at + 2] == "-" else ("]]>", at + 9)))
+            yield at, n if end < 0 else end + 3, "", None, ""
+            at = n if end < 0 else end + 3
+            continue
+        name, close = NAME.match(page, at), page.find(">", at)
+        if close < 0:  # nothing ends any more; an open script or style goes on to the page's end
+            return
+        if not name:
+            if page.startswith(("<!", "<?"), at):
+                yield at, close + 1, "", None, ""
+                at = close
+            at += 1
+            continue
+        tag = name[2].lower()
+        if tag in RAW and not name[1] and name.end() < n and not (page[name.end()].isalnum() or page[name.end()] == "_"):
+            end = close + 1
+            if page[close - 1] != "/":
+                found = None if tag in missing else ends.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I)).search(page, end)
+                if found:
+                    end = found.end()
+                else:
+                    missing.add(tag)
+                    end = n if tag in ("script", "style") else -1
+            if end >= 0:
+                yield at, end, "", None, ""
+                at = end
+                continue
+        # the first > outside quotes; a quote that never closes makes the next > the end
+        mark, seen = MARK.search(page, name.end()), []
+        while mark and mark[0] != ">" and mark.start() not in lost:
+            seen.append(mark.start())
+            quote = page.find(mark[0], mark.end())
+            mark = MARK.search(page, quote + 1) if quote >= 0 else None
+        if mark and mark[0] == ">":
+            close = mark.start()
+        else:
+            lost.update(seen)
+        yield at, close + 1, name[1], tag, page[name.end() : close].rstrip("/")
+        at = close + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks, decoded and with single spaces."""
     found: list[Block] = []
@@ -110,18 +163,16 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, stop, closing, tag, attributes in tokens(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[3]
+                linked += start - at
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            links = max(0, links + (-1 if m[2] else 1))
+            links = max(0, links + (-1 if closing else 1))
             continue
         if tag == "br":
             parts.append(" ")
@@ -129,7 +180,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCK:
             continue
         end()
-        if m[2]:
+        if closing:
             if count[tag]:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
@@ -145,7 +196,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "table", "dl", "select", "menu", "div", "nav") or tag in ("td", "th") and stack[i][0] == "tr":
                     break
-        top, k = stack[-1], kind(tag, m[4])
+        top, k = stack[-1], kind(tag, attributes)
         within, inside, outside = top[2:]
         if k == -2:
             k = 0 if within else -1
@@ -163,7 +214,9 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-FEATURES = ("one", "within", "inside", "outside", "linked", "length", "sentences", "heading", "paragraph", "item")
+FEATURES = ("one", "within", "inside", "outside", "linked", "length", "sentences", "heading", "paragraph", "item", "legal")
+#: A notice of rights, in a block of at most so many characters.
+LEGAL, LEGAL_CHARS = re.compile(r"\u00a9|\(c\) ?(?:19|20)\d\d|\bcopyright\b|\ball rights reserved\b", re.I), 300
 ENDS = re.compile(r"[.!?](?:\s|$)")
 
 
@@ -171,7 +224,7 @@ def shape(block: Block) -> list[float]:
     n = len(block.text)
     return [
         1.0, block.within, block.inside, block.outside and not block.within, min(1.0, block.linked / n), min(6.0, np.log1p(n)) / 6, sum(1 for _ in islice(ENDS.finditer(block.text), 3)) / 3,
-        block.tag in HEADING, block.tag in ("p", "blockquote", "pre"), block.tag in ("li", "td", "th", "dt", "dd"),
+        block.tag in HEADING, block.tag in ("p", "blockquote", "pre"), block.tag in ("li", "td", "th", "dt", "dd"), n <= LEGAL_CHARS and bool(LEGAL.search(block.text)),
     ]
 
 
@@ -185,8 +238,8 @@ def made_up(seed: int, pages: int = 300) -> tuple[np.ndarray, np.ndarray]:
         return " ".join([word, *words]) + rnd.choice([".", ".", ""])
 
     def boiler() -> str:
-        inner = rnd.choice([lambda: "".join(f"<li><a href=x>{text('BOILER', 0, 4)}</a></li>" for _ in range(rnd.randint(2, 8))), lambda: f"<p>{text('BOILER', 1, 40)}</p>", lambda: text("BOILER", 1, 25), lambda: f"<h3>{text('BOILER', 0, 4)}</h3><p>{text('BOILER', 4, 60)}</p>"])()
-        tag, name = rnd.choice([("nav", ""), ("footer", ""), ("aside", ""), ("header", ""), ("form", ""), *[("div", w) for w in ("ad", "sidebar", "comments", "cookie-notice", "share", "related-posts", "menu")], ("div", ""), ("ul", "")])
+        inner = rnd.choice([lambda: "".join(f"<li><a href=x>{text('BOILER', 0, 4)}</a></li>" for _ in range(rnd.randint(2, 8))), lambda: f"<p>{text('BOILER', 1, 40)}</p>", lambda: text("BOILER", 1, 25), lambda: f"<p>{rnd.choice(['\u00a9 2021', 'Copyright 2020', '(c) 2019'])} {text('BOILER', 0, 6)}</p>", lambda: f"<h3>{text('BOILER', 0, 4)}</h3><p>{text('BOILER', 4, 60)}</p>"])()
+        tag, name = rnd.choice([("nav", ""), ("footer", ""), ("aside", ""), ("header", ""), ("form", ""), *[("div", w) for w in ("ad", "sidebar", "comments", "cookie-notice", "share", "related-posts", "menu")], ("div", "bottom"), ("div", "x7"), ("div", ""), ("ul", "")])
         return f"<{tag}{f' class={name}' if name else ''}>{inner}</{tag}>" if (tag, name) != ("div", "") else f"<div><a href=x>{text('BOILER', 1, 6)}</a></div>"
 
     def article() -> str:
@@ -195,11 +248,13 @@ def made_up(seed: int, pages: int = 300) -> tuple[np.ndarray, np.ndarray]:
             inner.append(rnd.choice([f"<p>{text('CONTENT', 0, 120)}</p>"] * 6 + [f"<h2>{text('CONTENT', 0, 6)}</h2>", f"<ul><li>{text('CONTENT', 0, 12)}</li></ul>", f"<blockquote>{text('CONTENT', 3, 30)}</blockquote>", f"<p><a href=x>{text('CONTENT', 1, 5)}</a> {text('', 3, 30)}</p>"]))
             if rnd.random() < 0.12:
                 inner.append(rnd.choice(["<div class=ad>%s</div>", "<aside>%s</aside>", "<div class=comments><p>%s</p></div>", "<footer>%s</footer>"]) % text("BOILER", 2, 50))
-        before, after = rnd.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div>", "</div>")])
+        before, after = rnd.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post-content>", "</div>"), ("<div class=k2>", "</div>"), ("<div>", "</div>")])
         return before + "".join(inner) + after
 
     for _ in range(pages):
         page = "".join(boiler() for _ in range(rnd.randint(0, 4))) + article() + "".join(boiler() for _ in range(rnd.randint(0, 4)))
+        if rnd.random() < 0.15:  # a wrapper of the whole page that is called like content
+            page = f"<div class={rnd.choice(['page-wrapper', 'main', 'site-content'])}>{page}</div>"
         for block in blocks(page):
             xs.append(shape(block))
             ys.append("CONTENT" in block.text)

@@ -85,3 +85,20 @@ def test_hand_written_pages_without_telling_names():
     <div><a href=/impressum>Impressum</a> <a href=/daten>Datenschutz</a></div></body>"""
     got = html.extract(page)
     assert "zweihundert" in got and "Bach zu baden" in got and "Impressum" not in got and "Kontakt" not in got
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for part in ("<iframe>", '<div title="', "<p a='", "<textarea>", "<!", "<", "<b c=\"'", "<p a='\"<q b=\"'", "</iframe ", '<div a=">'):
+        page = "<p>Before.</p>" + part * (10**6 // len(part))
+        began = time.process_time()
+        html.extract(page)
+        assert time.process_time() - began < 4, part
+    assert " ".join(b.text for b in html.blocks('<p>one</p><div title="two>three<p>four')) == "one three four"
+    assert [b.text for b in html.blocks("<p title='a > b'>one</p><p x=\"</p>\">two</p>")] == ["one", "two"]
+
+
+def test_wrappers_and_notices():
+    page = '<div class="page-wrapper"><p>An article about mills. It has sentences, and they end.</p><p>It goes on for a while. Then it stops.</p><div class="bottom">Copyright 2020 X.</div></div>'
+    assert html.extract(page) == "An article about mills. It has sentences, and they end.\nIt goes on for a while. Then it stops."
