@@ -1,7 +1,8 @@
 """Connected components over written edge tables, by alternating large-star and small-star rounds.
 
-Every round aggregates minima with map-side combine and joins them back, so no node's neighbours are ever gathered in one
-place; edges leave the driver untouched. Rounds end when a fingerprint of the edge set stays the same, that is, when every
+Every round aggregates minima with map-side combine, writes them as a table and joins them back: both sides of the join then
+come straight from a shuffle, so that Spark can split the rows of a node with very many neighbours (the least one of a large
+component), and no node's neighbours are ever gathered in one place; edges leave the driver untouched. Rounds end when a fingerprint of the edge set stays the same, that is, when every
 edge points from a node to its component's smallest node.
 """
 
@@ -44,14 +45,15 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        least = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = cut(large.where("v <> u").distinct(), "large")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        discard(least)
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         small = cut(small.distinct(), "edges")
-        discard(now)
-        discard(large)
+        for done in (now, large, least):
+            discard(done)
         now, before, state = small, state, _state(small)
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component"))

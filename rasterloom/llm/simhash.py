@@ -14,7 +14,7 @@ it has 65,536 members at most.
 
 Defined cases: a null or wordless text has fingerprint zero, which is linked like any other; fewer words than a shingle are
 one shingle; a null doc_id keeps its row and its fingerprint and never names a component unless a whole component has no id;
-repeated rows stay; an empty table gives an empty result; other columns are ignored.
+repeated rows stay; rows that share a doc_id are rows of their own; very long texts count whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,20 +211,18 @@ def link(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, tables: int = 1) -> DataFrame:
-    """(doc_id, fps, component_id) for every row of docs. With several tables, independent fingerprints of the same shingles,
-    a pair is linked where any of them is within distance: similar texts are found more surely, and others no more often
-    than by chance (about 4e-15 for a pair and table)."""
+    """(doc_id, fps, component_id) for every row of docs. A row reaches the rows that its own fingerprint links, whatever ids
+    they have; rows of one doc_id with different texts may lie in different components. With several tables, independent
+    fingerprints of the same shingles, a pair is linked where any of them is within distance: similar texts are found more
+    surely, and others no more often than by chance (about 4e-15 for a pair and table)."""
     prints = cut(fingerprints(docs, words, tables), "prints")
-    nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("id"))
-    # a class that only rows without an id have still links others, under a negative number of its own
-    nodes = cut(nodes.withColumn("rep", F.coalesce("id", F.xxhash64("fps").bitwiseOR(F.lit(-(1 << 63))))), "nodes")
-    found = components(link(nodes, distance))
-    classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fps", "id", F.coalesce("component", "rep").alias("class"))
-    if nodes.where("id is null").limit(1).count():
-        classes = classes.join(classes.groupBy("class").agg(F.min("id").alias("component_id")), "class")
-    else:
-        classes = classes.withColumn("component_id", F.col("class"))
-    return prints.join(classes.select("fps", "component_id"), "fps").select("doc_id", "fps", "component_id")
+    # numbers of the written classes, so that they stay the same
+    classes = cut(prints.groupBy("fps").agg(F.min("doc_id").alias("id")), "classes")
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    found = components(link(classes, distance))
+    classes = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("fps", "id", F.coalesce("component", "rep").alias("class")), "linked")
+    least = cut(classes.groupBy("class").agg(F.min("id").alias("component_id")), "least")
+    return prints.join(classes.join(least, "class").select("fps", "component_id"), "fps").select("doc_id", "fps", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,15 @@ def test_several_tables(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, tables=12).collect()}
     assert all(got[i] == i for i in range(groups)) and all(got[500 + i] == 500 + i for i in range(60))
     assert sum(got[100 + i] == i // 2 for i in range(2 * groups)) >= 2 * groups - 1
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows are nodes: by brute force over the rows' fingerprints, whatever ids they have."""
+    rnd = random.Random(11)
+    t, u, w = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(3))
+    rows = [(3, t + " end"), (5, t), (5, u), (9, t), (9, w), (11, w), (2, u), (None, w), (5, t)]
+    prints = [brute_fp(x) for _, x in rows]
+    part = brute_components(prints)
+    want = [(i, min(rows[k][0] for k in range(len(rows)) if part[k] == part[n] and rows[k][0] is not None)) for n, (i, _) in enumerate(rows)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
