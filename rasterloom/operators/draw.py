@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, floor
+from math import ceil, comb, cos, floor, fmod, inf, pi, sin, sqrt
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.samples import quotient
 from rasterloom.model import KEYS, Raster
+from rasterloom.operators import spans
 from rasterloom.operators.joins import compose
 
 
-
 def _x() -> Column:
     return F.col("x")
 
@@ -144,22 +144,145 @@ def bezier(r: Raster, points: list[tuple[float, float]], colour: tuple[int, ...]
     return polyline(r, curve_points(points), colour, aa=True)
 
 
-def circle(r: Raster, cx: int, cy: int, radius: int, colour: tuple[int, ...], filled: bool = True) -> Raster:
-    if radius < 0:
-        raise ValueError("a circle's radius isn't negative")
-    dx, dy = _x() - cx, _y() - cy
-    inside = dx * dx + dy * dy <= radius * radius + radius
-    if not filled:
-        inside = inside & (dx * dx + dy * dy > radius * radius - radius)
-    return _where(r, inside, colour)
+#: Degrees between the places of a rim.
+RIM_STEP = 0.01
+
+
+def _spoke(x1: int, y1: int, x2: int, y2: int) -> Iterator[tuple[int, int]]:
+    """A place for each step of a radius' longer axis, the other coordinate growing by additions."""
+    flat = abs(y2 - y1) <= abs(x2 - x1) and x1 != x2
+    (a1, b1), (a2, b2) = sorted([(x1, y1), (x2, y2)] if flat else [(y1, x1), (y2, x2)], key=lambda p: p[0])
+    slope = (y2 - y1) / (x2 - x1) if x1 != x2 else inf
+    grow, at = slope if flat else 1 / slope if slope else 0.0, float(b1)
+    for a in range(a1, a2 + 1):
+        yield (a, int(at + 0.5)) if flat else (int(at + 0.5), a)
+        at += grow
+
+
+def sector_rows(cx: int, cy: int, radius: float, d1: float, d2: float) -> list[tuple[int, int, int]]:
+    """A pie's spans (y, x1, x2): in each row all from the least to the largest of the rounded places of its rim and its two
+    radii. d1 > d2 goes through 360 and is two pies."""
+    if d1 > d2:
+        return sector_rows(cx, cy, radius, d1, 360) + sector_rows(cx, cy, radius, 0, d2)
+    d1, d2 = float(np.float32(d1)), float(np.float32(d2))
+    rim = lambda d: (int(cx + 0.5 + radius * cos(d * pi / 180.0)), int(cy + 0.5 + radius * sin(d * pi / 180.0)))
+    # sums one after another, as many as a full turn has steps
+    places = [rim(d) for d in np.add.accumulate(np.r_[d1, np.full(int((d2 - d1) / RIM_STEP) + 2, RIM_STEP)]).tolist() if d <= d2]
+    ends: dict[int, tuple[int, int]] = {}
+    for x, y in (*places, *_spoke(cx, cy, *rim(d1)), *_spoke(cx, cy, *rim(d2))):
+        low, high = ends.get(y, (x, x))
+        ends[y] = min(low, x), max(high, x)
+    return [(y, low, high + 1) for y, (low, high) in sorted(ends.items())]
+
+
+def arc(r: Raster, cx: int, cy: int, radius: float, d1: float, d2: float, colour: tuple[int, ...]) -> Raster:
+    """A filled pie from d1 to d2 degrees (clockwise from the right, as y grows downward)."""
+    return spans.paint(r, spans.made(r.px.sparkSession, sector_rows(cx, cy, radius, d1, d2)), colour)
+
+
+#: Where a place of the first eighth of a circle, (along, across) from the middle, goes in each eighth, and where that lies on
+#: a way round of length 8: at a quarter's start, or before or after it by the place's distance across.
+EIGHTHS = [(1, 1, False, 0, 1), (1, 1, True, 2, -1), (-1, 1, True, 2, 1), (-1, 1, False, 4, -1), (-1, -1, False, 4, 1), (-1, -1, True, 6, -1), (1, -1, True, 6, 1), (1, -1, False, 8, -1)]
+
+
+def eighth(radius: int) -> list[tuple[int, int]]:
+    """(along, across) of the places of an eighth of a circle after its first one: across grows by one, along shrinks where the
+    error of x * x + y * y isn't negative."""
+    along, across, error, out = radius, 0, 1 - radius, []
+    while across < along:
+        if error >= 0:
+            along -= 1
+            error -= 2 * along
+        across += 1
+        error += 2 * across + 1
+        out.append((along, across))
+    return out
+
+
+def soft_eighth(radius: int) -> list[tuple[int, int, int, bool]]:
+    """(along, across, alpha, inner): at each step two places share the colour by how far the rim is from the outer one."""
+    along, across, before, out = radius, 0, 0.0, []
+    while along > across + 1:
+        across += 1
+        exact = sqrt(radius * radius - across * across)
+        gap = ceil(exact) - exact
+        along -= gap < before
+        share = int(gap * 255 + 0.5)
+        out += [(along, across, 255 - share, False)] * (share < 255) + [(along - 1, across, share, True)] * (share > 0 and along > across)
+        before = gap
+    return out
+
+
+def _ways(radius: int, d1: float, d2: float) -> list[tuple[int, int]]:
+    """The parts of the way round (of length 8 * (radius + 1)) that an arc takes."""
+    scale = radius + 1
+
+    def way(angle: float) -> int:
+        quarter = int((angle + 45) / 90)
+        rest = angle - 90 * quarter
+        return int(scale * ((0 if quarter == 4 and rest > 0 else 2 * quarter) + sin(rest * pi / 180)))
+
+    a, b = (way(fmod(d + 360 * floor((359 - d) / 360) if d < 0 else d, 360)) for d in (d1, d2))
+    return [(0, b), (a, 8 * scale)] if b < a else [(a, b)]
+
+
+def outline(radius: int, d1: float = 0, d2: float = 361, soft: bool = False) -> list[tuple[int, int, int]]:
+    """(dx, dy, alpha) of an arc's outline, in the order of writing. Eighths meet in one place, which is written once, but for
+    the inner one of an arc."""
+    if radius < 0 or radius == 0 and (soft or d2 - d1 < 360):
+        raise ValueError("a circle's radius isn't negative, nor zero for an arc or a soft one")
+    scale = radius + 1
+    whole = d1 + 360 <= d2
+    ways = [(0, 8 * scale)] if whole else _ways(radius, d1, d2)
+    steps = soft_eighth(radius) if soft else [(*p, 255, False) for p in eighth(radius)]
+    out: list[tuple[int, int, int]] = []
+    for start, end in ways:
+        out += [(x * radius, y * radius, 255) for x, y, k in ((1, 0, 0), (0, 1, 2), (-1, 0, 4), (0, -1, 6)) if (start <= k * scale <= end if k else start == 0)]
+        for along, across, alpha, inner in steps:
+            for sx, sy, turned, base, sign in EIGHTHS:
+                if start <= base * scale + sign * across <= end and not (turned and along == across and (whole or not inner)):
+                    out.append((sx * across, sy * along, alpha) if turned else (sx * along, sy * across, alpha))
+    return out
+
 
+def dab(r: Raster, places: list[tuple[int, int, int]], colour: tuple[int, ...]) -> Raster:
+    """The colour written at each place (x, y, alpha) in order; with an alpha channel, over what is there. The places, about as
+    many as an outline is long, are joined; all other pixels stay."""
+    held: dict[tuple[int, int], list[int]] = {}
+    for x, y, alpha in places:
+        if alpha and 0 <= x < r.width and 0 <= y < r.height:
+            held.setdefault((x, y), []).append(alpha)
+    if not held:
+        return r
+    table = r.px.sparkSession.createDataFrame([(x, y, a) for (x, y), a in held.items()], "x int, y int, _a array<int>")
+    values = dict(zip(r.names, colour, strict=False))
+
+    def written(old: Column, alpha: Column) -> Column:
+        if not r.has_alpha:
+            return F.struct(*(quotient(old[n] * (255 - alpha) + values[n] * alpha, 255).cast("int").alias(n) for n in r.names))
+        top = r.names[-1]
+        left = (255 - alpha) * old[top]
+        both = alpha + quotient(left, 255)
+        mixed = [F.when(alpha == 255, F.lit(values[n])).otherwise(quotient(alpha * values[n] + quotient(left * old[n], 255), both)).cast("int").alias(n) for n in r.colour_names]
+        return F.struct(*mixed, both.cast("int").alias(top))
+
+    first = F.struct(*(F.col(n).cast("int").alias(n) for n in r.names))
+    px = r.px.join(F.broadcast(table), ["y", "x"], "left").withColumn("_new", F.when(F.col("_a").isNotNull(), F.aggregate("_a", first, written)))
+    return r.with_px(px).project({n: F.coalesce(F.col("_new")[n], F.col(n)) for n in r.names})
 
-def arc(r: Raster, cx: int, cy: int, radius: int, d1: float, d2: float, colour: tuple[int, ...]) -> Raster:
-    """A filled pie from d1 to d2 degrees (clockwise from the right, as y grows downward); d1 > d2 goes through 360."""
-    dx, dy = (_x() - cx).cast("double"), (_y() - cy).cast("double")
-    angle = F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))
-    span = angle.between(d1, d2) if d1 <= d2 else (angle >= d1) | (angle <= d2)
-    return _where(r, (dx * dx + dy * dy <= radius * radius + radius) & (span | ((dx == 0) & (dy == 0))), colour)
+
+def arc_outline(r: Raster, cx: int, cy: int, radius: int, d1: float, d2: float, colour: tuple[int, ...], soft: bool = False) -> Raster:
+    """An arc's rim from d1 to d2 degrees, one pixel wide or anti-aliased; a range of 360 or more is a circle."""
+    if soft:
+        return dab(r, [(cx + x, cy + y, a) for x, y, a in outline(radius, d1, d2, True)], colour)
+    return stroke(r, [(cx + x, cy + y, 0.0, 1.0) for x, y, _ in dict.fromkeys(outline(radius, d1, d2))], colour)
+
+
+def circle(r: Raster, cx: int, cy: int, radius: int, colour: tuple[int, ...], filled: bool = True, soft: bool = False) -> Raster:
+    """A disc, or its outline."""
+    if radius < 0:
+        raise ValueError("a circle's radius isn't negative")
+    return arc(r, cx, cy, radius, 0, 361, colour) if filled else arc_outline(r, cx, cy, radius, 0, 361, colour, soft)
 
 
 def _inside(px: Column, py: Column, contours: list[list[tuple[float, float]]], rule: str) -> Column:
@@ -246,14 +369,3 @@ def flood_fill(r: Raster, x: int, y: int, colour: tuple[int, ...], border: tuple
 
     px = r.px.select(*KEYS, *names)
     return r.with_px(px.groupBy("image_id").applyInPandas(run, px.schema))
-
-
-def merge_spans(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Half-open spans of one row, overlapping or touching ones merged."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(s for s in spans if s[1] > s[0]):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out

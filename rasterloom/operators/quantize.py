@@ -28,26 +28,31 @@ def common_palette(palettes: list[list[Colour]], most: int = 256) -> list[Colour
     return found if len(found) <= most else None
 
 
+def colour_bins(r: Raster) -> DataFrame:
+    """(c0, c1, c2, n): the stack's pixels by the upper five bits of each channel (greys by their first), as colours spread
+    from 0 to 255; at most 32,768 rows."""
+    names = [r.names[0]] * 3 if r.channels <= 2 else r.colour_names
+    return r.px.groupBy(*(F.expr(f"cast({n} div 8 * 255 div 31 as int)").alias(f"c{k}") for k, n in enumerate(names))).agg(F.count(F.lit(1)).alias("n"))
+
+
 def median_cut(r: Raster, size: int) -> list[Colour]:
-    """A palette for all images of the stack. At most 32,768 bins reach the driver, whatever the data."""
-    names = [r.names[0]] * 3 if len(r.colour_names) == 1 else r.colour_names
-    bins = r.px.groupBy(*(F.floor(F.col(n) / 8).cast("int").alias(f"b{k}") for k, n in enumerate(names))).agg(F.count(F.lit(1)).alias("n")).collect()
-    table = np.array([[b.b0 * 8 + 4, b.b1 * 8 + 4, b.b2 * 8 + 4, b.n] for b in sorted(bins)], np.int64).reshape(-1, 4)
-    if len(table) <= size:
-        return [tuple(int(v) for v in row[:3]) for row in table]
-    boxes = [table]
+    """A palette for all images of the stack. The box with the widest channel, the first of equals, is cut where about half
+    its pixels are reached; colours are the boxes' means. At most 32,768 bins reach the driver, whatever the data."""
+    bins = np.array(sorted((b.c0, b.c1, b.c2, b.n) for b in colour_bins(r).collect()), np.int64).reshape(-1, 4)
+    if len(bins) < size:
+        return [tuple(map(int, b[:3])) for b in bins]
+    channels, boxes = 1 if r.channels <= 2 else 3, [bins]
     while len(boxes) < size:
-        spans = [(int((b[:, :3].max(0) - b[:, :3].min(0)).max()), -k) for k, b in enumerate(boxes) if len(b) > 1]
-        if not spans:
+        widths = [np.ptp(b[:, :channels], axis=0) if len(b) > 1 else np.full(channels, -1) for b in boxes]
+        k, channel = divmod(int(np.argmax(widths)), channels)
+        if len(boxes[k]) < 2:
             break
-        k = -max(spans)[1]
-        b = boxes[k]
-        channel = int((b[:, :3].max(0) - b[:, :3].min(0)).argmax())
-        b = b[np.lexsort((b[:, 2], b[:, 1], b[:, 0], b[:, channel]))]
-        half = np.searchsorted(np.cumsum(b[:, 3]), b[:, 3].sum() / 2) + 1
-        half = min(max(1, int(half)), len(b) - 1)
-        boxes[k : k + 1] = [b[:half], b[half:]]
-    return [tuple(int(v) for v in (b[:, :3] * b[:, 3:]).sum(0) // b[:, 3].sum()) for b in boxes]
+        box = boxes[k][np.argsort(boxes[k][:, channel], kind="stable")]
+        total = np.cumsum(box[:, 3])
+        at = min(int(np.searchsorted(total, int(total[-1]) // 2)) + 1, len(box) - 1)
+        boxes[k] = box[:at]
+        boxes.append(box[at:])
+    return [tuple(int(v) // int(b[:, 3].sum()) for v in (b[:, :3] * b[:, 3:]).sum(0)) for b in boxes]
 
 
 def _samples(r: Raster) -> list[Column]:
@@ -57,20 +62,47 @@ def _samples(r: Raster) -> list[Column]:
 
 def nearest_index(colours: list[Column], palette: list[Colour]) -> Column:
     """The palette entry at least squared distance, the first on ties."""
-    entries = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for r, g, b in palette))
+    return _nearest(colours, F.array(*(F.struct(F.lit(k).alias("i"), *(F.lit(v).alias(n) for n, v in zip("rgb", c, strict=True))) for k, c in enumerate(palette))))
+
+
+def _nearest(colours: list[Column], entries: Column) -> Column:
     square = lambda c: c * c
-    ranked = F.transform(entries, lambda p, i: F.struct((square(colours[0] - p["r"]) + square(colours[1] - p["g"]) + square(colours[2] - p["b"])).alias("d"), i.alias("i")))
-    return F.array_min(ranked)["i"]
+    return F.array_min(F.transform(entries, lambda p: F.struct((square(colours[0] - p["r"]) + square(colours[1] - p["g"]) + square(colours[2] - p["b"])).alias("d"), p["i"].alias("i"))))["i"]
+
+
+#: Colour space is cut into 512 boxes of so many values a side; a palette of more than FEW entries is searched by box.
+BOX, FEW = 32, 16
+
+
+def box_candidates(palette: list[Colour]) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """For each box the entries (index, r, g, b) that are nearest to some colour in it: those no farther from its nearest
+    colour than some entry is from its farthest."""
+    entries, low = np.array(palette, np.int64), BOX * np.stack(np.unravel_index(np.arange(512), (8, 8, 8)), 1)[:, None]
+    gap = np.maximum(0, np.maximum(low - entries, entries - (low + BOX - 1)))
+    reach = np.maximum(np.abs(entries - low), np.abs(entries - (low + BOX - 1)))
+    near = (gap**2).sum(2) <= (reach**2).sum(2).min(1)[:, None]
+    return [(k, [(i, *palette[i]) for i in np.flatnonzero(near[k]).tolist()]) for k in range(512)]
+
+
+def nearest(r: Raster, colours: list[Column], palette: list[Colour]) -> Raster:
+    """One channel of indexes of the nearest entries: over all of a small palette, or over the candidates of the colour's box,
+    from a table of 512 rows."""
+    if len(palette) <= FEW:
+        return r.project({"c0": nearest_index(colours, palette).cast("int")}, channels=1)
+    table = r.px.sparkSession.createDataFrame(box_candidates(palette), "_box int, _entries array<struct<i:int,r:int,g:int,b:int>>")
+    box = sum(F.floor(c / BOX) * w for c, w in zip(colours, (64, 8, 1), strict=True)).cast("int")
+    px = r.px.select(*KEYS, *(c.alias(f"_{k}") for k, c in enumerate(colours)), box.alias("_box")).join(F.broadcast(table), "_box")
+    return r.with_px(px).project({"c0": _nearest([F.col(f"_{k}") for k in range(3)], F.col("_entries")).cast("int")}, channels=1)
 
 
 def closest(r: Raster, palette: list[Colour]) -> Raster:
     """One channel of palette indexes."""
-    return r.project({"c0": nearest_index(_samples(r), palette).cast("int")}, channels=1)
+    return nearest(r, _samples(r), palette)
 
 
 def perturbed(r: Raster, palette: list[Colour], amount: float, seed: int = 0) -> Raster:
     shifted = [F.least(F.greatest((c + (F.randn(seed + k) * amount)).cast("int"), F.lit(0)), F.lit(255)) for k, c in enumerate(_samples(r))]
-    return r.project({"c0": nearest_index(shifted, palette).cast("int")}, channels=1)
+    return nearest(r, shifted, palette)
 
 
 def expand(r: Raster, palette: list[Colour]) -> Raster:
@@ -112,29 +144,92 @@ def error_diffusion(r: Raster, palette: list[Colour], kind: str | tuple[list[lis
     return Raster(px, w, h, 1, "8")
 
 
-def ordered_map(name: str = "dot8") -> list[list[int]]:
-    """An 8 x 8 threshold map by rule: the bits of x ^ y and y interleaved, or lines."""
-    if name == "hline":
-        return [[(y * 8 + x) * 4 for x in range(8)] for y in range(8)]
-    if name == "vline":
-        return [[(x * 8 + y) * 4 for x in range(8)] for y in range(8)]
-    if name == "slashline":
-        return [[((x + y) % 8 * 8 + y) * 4 for x in range(8)] for y in range(8)]
-    if name == "backline":
-        return [[((x - y) % 8 * 8 + y) * 4 for x in range(8)] for y in range(8)]
-    rank = lambda x, y: sum(((x ^ y) >> b & 1) << 2 * (2 - b) + 1 | (y >> b & 1) << 2 * (2 - b) for b in range(3))
-    return [[rank(x, y) * 4 for x in range(8)] for y in range(8)]
-
-
-def transparent(r: Raster, how: str = "threshold", threshold: int = 128, table: list[list[int]] | None = None) -> Column:
-    """Whether a pixel takes the transparent index: by a threshold, or by an 8 x 8 map of thresholds."""
+# Thresholds by place, eight rows of eight.
+ORDERED = {
+    "random": """ 48  72 196 252 180  92 108  52
+228 176  64   8 236  40  20 164
+120 128  84 116  24  28 172 220
+ 68   0 188 124 184 224 192 104
+132 100 240 200 152 160 244  44
+ 96 204 144  16 140  56 232 216
+208   4  76 212 136 248  80 168
+156  88  32 112 148  12  36  60""",
+    "dot8": """240 232 200 136 140 192 228 248
+220 148 100  76  80 104 152 212
+180 116  56  32  36  60 120 176
+156  64  28   0   8  44  88 160
+128  92  24  12   4  40  68 132
+184  96  48  20  16  52 108 188
+216 144 112  72  84 124 164 224
+244 236 196 168 172 204 208 252""",
+    "dot4": """196  72 104 220 200  80 112 224
+ 76   4  24 136  84   8  32 144
+108  28  52 168 116  36  56 176
+216 140 172 244 228 148 180 248
+204  92 124 236 192  68  96 208
+ 88  12  44 156  64   0  16 128
+120  40  60 188 100  20  48 160
+232 152 184 252 212 132 164 240""",
+    "hline": """160 164 168 172 176 180 184 188
+128 132 136 140 144 148 152 156
+ 32  36  40  44  48  52  56  60
+  0   4   8  12  16  20  24  28
+ 64  68  72  76  80  84  88  92
+ 96 100 104 108 112 116 120 124
+192 196 200 204 208 212 216 220
+224 228 232 236 240 244 248 252""",
+    "vline": """180 100  40  12  44 104 184 232
+204 148  60  16  64 128 208 224
+212 144  76   8  80 132 216 244
+160 112  68  20  84 108 172 236
+176  96  72  28  88 152 188 228
+200 124  92   0  32 116 164 240
+168 120  36  24  48 136 192 248
+196 140  52   4  56 156 220 252""",
+    "slashline": """248 232 224 192 140  92  52  28
+240 220 196 144 108  60  12  64
+216 180 148 116  76  20  80 128
+204 152 104  44  16  72 100 160
+164  96  68  24  56 112 168 176
+124  40   8  36  88 136 184 212
+ 84   4  32 120 156 188 228 236
+  0  48 132 172 200 208 244 252""",
+    "backline": """  0  32 116 172 184 216 236 252
+ 56   8  72 132 136 200 228 240
+100  36  12  40  92 144 204 220
+168 120  60  16  44  96 156 176
+180 164 112  48  28  52 128 148
+208 192 152  88  84  20  64 104
+232 224 196 140 108  68  24  76
+248 244 212 188 160 124  80   4""",
+    "tiny": """  0 128  32 192   8 136  40 200
+224  64 160 112 232  72 168 120
+ 48 144  16 208  56 152  24 216
+176  96 240  80 184 104 248  88
+ 12 140  44 204   4 132  36 196
+236  76 172 124 228  68 164 116
+ 60 156  28 220  52 148  20 212
+188 108 252  92 180 100 244  84""",
+}
+
+
+def ordered_map(name: str = "tiny") -> list[list[int]]:
+    if name not in ORDERED:
+        raise ValueError(f"no threshold map {name!r}")
+    return [[int(v) for v in row.split()] for row in ORDERED[name].splitlines()]
+
+
+def transparent(r: Raster, how: str = "threshold", threshold: int = 128, table: list[list[int]] | str = "tiny") -> Column:
+    """Whether a pixel takes the transparent index: by a threshold, or by an 8 x 8 map of thresholds (a name, or rows)."""
     a = F.col(r.names[-1])
     if how == "threshold":
         return a < threshold
     if how != "ordered":
         raise ValueError(f"no transparency method {how!r}")
-    flat = [v for row in (table or ordered_map()) for v in row]
-    return a <= F.element_at(F.array(*map(F.lit, flat)), (F.col("y") % 8) * 8 + F.col("x") % 8 + 1)
+    flat = [v for row in (ordered_map(table) if isinstance(table, str) else table) for v in row]
+    if len(flat) != 64:
+        raise ValueError("a threshold map has eight rows of eight")
+    return a < F.element_at(F.array(*map(F.lit, flat)), (F.col("y") % 8) * 8 + F.col("x") % 8 + 1)
 
 
 def diffused_alpha(r: Raster, kind: str = "floyd") -> DataFrame:
@@ -159,10 +254,10 @@ def diffused_alpha(r: Raster, kind: str = "floyd") -> DataFrame:
     return r.px.select(*KEYS, name).groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, _t boolean")
 
 
-def to_paletted(r: Raster, palette: list[Colour], how: str = "closest", transparency: str | None = None) -> Raster:
+def to_paletted(r: Raster, palette: list[Colour], how: str = "closest", transparency: str | None = None, table: list[list[int]] | str = "tiny") -> Raster:
     """Indexes, and with transparency the index after the palette's last where a pixel is transparent."""
     base = error_diffusion(r, palette) if how == "errdiff" else closest(r, palette)
     if transparency is None or not r.has_alpha:
         return base
-    gone = diffused_alpha(r) if transparency == "errdiff" else r.px.select(*KEYS, transparent(r, transparency).alias("_t"))
+    gone = diffused_alpha(r) if transparency == "errdiff" else r.px.select(*KEYS, transparent(r, transparency, table=table).alias("_t"))
     return base.with_px(base.px.join(gone, KEYS)).project({"c0": F.when(F.col("_t"), F.lit(len(palette))).otherwise(F.col("c0"))})

@@ -10,7 +10,7 @@ from rasterloom import model
 from rasterloom.functions import samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import aggregates, draw, fills, geometry, joins, palette, point, procedural, quantize, stencil, text
+from rasterloom.operators import aggregates, draw, fills, geometry, joins, palette, point, procedural, quantize, spans, stencil, text
 from rasterloom.plans import assembler, expression, registry
 from rasterloom.sources import codecs, images
 
@@ -346,10 +346,68 @@ add("line_steep", lambda r: draw.line(r, 30, 45, 9, 3, (1, 2, 3), endpoint=False
 add("line_dda", lambda r: draw.line_dda(r, 3, 5, 60, 41, (1, 2, 3)), _line_sql("trunc(5::double + (x - 3) / 57::double * 36 + 0.5)::int", 3, 60))
 _DONE, _TOWARD = "31 * (x - 6) // 50", "(50 * (31 * (x - 6) // 50 + 1) - 31 * (x - 5)) / 50::double"
 add("line_aa", lambda r: draw.line_aa(r, 5, 4, 55, 35, (200, 100, 50)), select(", ".join(f"case when (x = 5 and y = 4) or (x = 55 and y = 35) then {v} when x between 6 and 54 and y = 4 + {_DONE} then trunc((1 - t) * c{k} + t * {v})::int when x between 6 and 54 and y = 5 + {_DONE} then trunc(t * c{k} + (1 - t) * {v})::int else c{k} end as c{k}" for k, v in enumerate((200, 100, 50))), "l", f"l as (select *, greatest(0, {_TOWARD})::float::double as t from p)"))
-add("circle", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 then {k + 1} else c{k} end as c{k}" for k in range(3))))
-add("circle_outline", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3), filled=False), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 156 and (x - 30) ** 2 + (y - 25) ** 2 > 132 then {k + 1} else c{k} end as c{k}" for k in range(3))))
-_ANGLE = "case when atan2(y - 25, x - 30) < 0 then degrees(atan2(y - 25, x - 30)) + 360 else degrees(atan2(y - 25, x - 30)) end"
-add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)), select(", ".join(f"case when (x - 30) ** 2 + (y - 25) ** 2 <= 240 and (x = 30 and y = 25 or {_ANGLE} >= 300 or {_ANGLE} <= 60) then {k + 1} else c{k} end as c{k}" for k in range(3))))
+
+
+def _sector_sql(cx: int, cy: int, radius: int, pies: list[tuple[float, float]]) -> str:
+    """A table s (y, low, high): for each pie and row the least and largest of the rounded places on its rim, at every
+    hundredth of a degree, and on its two radii, a place for each step of the longer axis."""
+    angles = ", ".join(f"({k}, {d}::double, {a}::double, {b}::double)" for k, (a, b) in enumerate(pies) for d in (a, b))
+    place = lambda d: f"trunc({cx} + 0.5::double + {radius} * cos({d} * pi() / 180))::int as x, trunc({cy} + 0.5::double + {radius} * sin({d} * pi() / 180))::int as y"
+    return f"""v as (select * from (values {angles}) v(part, d, a, b)), rim as (select part, {place('d')} from (select distinct part, a + k * 0.01::double as d, b from v, (select unnest(range(36102)) as k)) where d <= b),
+sp as (select part, x, y, abs(y - {cy}) <= abs(x - {cx}) and x <> {cx} as flat from (select part, {place('d')} from v)),
+sq as (select part, flat, case when flat then least({cx}, x) else least({cy}, y) end as a1, case when flat then greatest({cx}, x) else greatest({cy}, y) end as a2, case when flat and {cx} <= x or not flat and {cy} > y then (case when flat then {cy} else x end) when flat then y else {cx} end as b1, case when flat then (y - {cy}) / (x - {cx})::double else coalesce((x - {cx}) / nullif(y - {cy}, 0)::double, 0) end as g from sp),
+sr as (select part, flat, a1 + k as u, trunc(b1 + k * g + 0.5::double)::int as w from sq, (select unnest(range({radius + 2})) as k) where a1 + k <= a2),
+s as (select part, y, min(x) as low, max(x) as high from (select part, x, y from rim union all select part, case when flat then u else w end, case when flat then w else u end from sr) group by 1, 2)"""
+
+
+def _painted(where: str, more: str) -> str:
+    return select(", ".join(f"case when {where} then {k + 1} else c{k} end as c{k}" for k in range(3)), "p", more)
+
+
+_IN_SECTOR = "exists (select 1 from s where s.y = p.y and p.x between s.low and s.high)"
+add("circle", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3)), _painted(_IN_SECTOR, _sector_sql(30, 25, 12, [(0, 361)])))
+add("circle_clipped", lambda r: draw.circle(r, 52, 30, 27, (1, 2, 3)), _painted(_IN_SECTOR, _sector_sql(52, 30, 27, [(0, 361)])))
+add("arc", lambda r: draw.arc(r, 30, 25, 15, 300, 60, (1, 2, 3)), _painted(_IN_SECTOR, _sector_sql(30, 25, 15, [(300, 360), (0, 60)])))
+add("arc_wide", lambda r: draw.arc(r, 28, 24, 19, 35, 250, (1, 2, 3)), _painted(_IN_SECTOR, _sector_sql(28, 24, 19, [(35, 250)])))
+
+
+def _outline_sql(cx: int, cy: int, radius: int, low: int = 0, high: int | None = None) -> str:
+    """The eighth of a circle that keeps the error of x * x + y * y small, step by step, and its seven images; of a place's way
+    round, 8 * (radius + 1) long, a part."""
+    n = radius + 1
+    images = [("a", "b", "b"), ("b", "a", f"{2 * n} - b"), ("-b", "a", f"{2 * n} + b"), ("-a", "b", f"{4 * n} - b"), ("-a", "-b", f"{4 * n} + b"), ("-b", "-a", f"{6 * n} - b"), ("b", "-a", f"{6 * n} + b"), ("a", "-b", f"{8 * n} - b")]
+    eighths = " union all ".join(f"select {x} as dx, {y} as dy, {w} as way from st" for x, y, w in images)
+    axes = ", ".join(f"({x * radius}, {y * radius}, {k * n})" for x, y, k in ((1, 0, 0), (0, 1, 2), (-1, 0, 4), (0, -1, 6)))
+    steps = f"st as (select {radius} as a, 0 as b, {1 - radius} as e union all select a - (e >= 0)::int, b + 1, e - case when e >= 0 then 2 * (a - 1) else 0 end + 2 * (b + 1) + 1 from st where b < a)"
+    rim = f"rim as (select distinct {cx} + dx as x, {cy} + dy as y from (select dx, dy, way from ({eighths}) where way not in (0, {2 * n}, {4 * n}, {6 * n}, {8 * n}) union all select * from (values {axes}) t(dx, dy, way)) where way between {low} and {8 * n if high is None else high})"
+    return _painted("exists (select 1 from rim where rim.x = p.x and rim.y = p.y)", f"{steps}, {rim}").replace("with e as", "with recursive e as", 1)
+
+
+add("circle_outline", lambda r: draw.circle(r, 30, 25, 12, (1, 2, 3), filled=False), _outline_sql(30, 25, 12))
+add("circle_outline_clipped", lambda r: draw.circle(r, 40, 20, 23, (1, 2, 3), filled=False), _outline_sql(40, 20, 23))
+# the way to 44 degrees, and to 226, which is 46 before the fourth quarter's end: quarters and a sine
+add("arc_outline", lambda r: draw.arc_outline(r, 30, 25, 19, 44, 226, (1, 2, 3)), _outline_sql(30, 25, 19, int(20 * 0.6946583704589973), int(20 * (6 - 0.6946583704589973))))
+add("circle_outline_aa", lambda r: draw.circle(r, 30, 25, 12, (200, 100, 50), filled=False, soft=True))
+add("arc_outline_aa", lambda r: draw.arc_outline(r, 30, 25, 20, 200, 80, (200, 100, 50, 255), soft=True), None, 4)
+
+_BRIGHT = "case when c0 >= 150 then 2 when c0 >= 105 then 1 else 0 end"
+
+
+def _levels(r: Raster) -> Raster:
+    return r.project({"c0": F.when(F.col("c0") >= 150, 2).when(F.col("c0") >= 105, 1).otherwise(0)}, channels=1)
+
+
+def _bright_spans(r: Raster):
+    """Spans of bright runs, and the same ones moved to the right by two."""
+    found = spans.runs(_levels(r)).where("c0 = 2").select("image_id", "y", "x1", "x2")
+    return found.unionByName(found.select("image_id", "y", (F.col("x1") + 2).alias("x1"), (F.col("x2") + 2).alias("x2")))
+
+
+_RUNS = f"lv as (select image_id, y, x, {_BRIGHT} as c0 from p), nw as (select *, case when c0 = lag(c0) over (partition by image_id, y order by x) then 0 else 1 end as n from lv), ru as (select image_id, y, min(x) as x1, max(x) + 1 as x2, c0 from (select *, sum(n) over (partition by image_id, y order by x) as run from nw) group by image_id, y, run, c0)"
+_ISLANDS = f"{_RUNS}, br as (select image_id, y, x1, x2 from ru where c0 = 2 union all select image_id, y, x1 + 2, x2 + 2 from ru where c0 = 2), gp as (select *, case when x1 <= max(x2) over (partition by image_id, y order by x1, x2 rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from br), il as (select image_id, y, min(x1) as x1, max(x2) as x2 from (select *, sum(n) over (partition by image_id, y order by x1, x2 rows unbounded preceding) as k from gp) group by image_id, y, k)"
+add("row_runs", lambda r: spans.runs(_levels(r)), f"{BASE}, {_RUNS} select image_id, y, x1, x2, c0 from ru")
+add("span_union", lambda r: spans.union(_bright_spans(r)), f"{BASE}, {_ISLANDS} select image_id, y, x1, x2 from il")
+add("span_fill", lambda r: spans.paint(r, _bright_spans(r), (9, F.col("c2"), 7)), select("case when b then 9 else c0 end as c0, case when b then c2 else c1 end as c1, case when b then 7 else c2 end as c2", "q", f"{_ISLANDS}, q as (select p.*, il.x1 is not null as b from p left join il on il.image_id = p.image_id and il.y = p.y and p.x >= il.x1 and p.x < il.x2)"))
 _REACH = [f"case when (y + {(s + 1) / 16 - 25.5}::double) ** 2 < 81 then sqrt(81::double - (y + {(s + 1) / 16 - 25.5}::double) * (y + {(s + 1) / 16 - 25.5}::double)) end" for s in range(16)]
 _HITS = " + ".join(f"coalesce(greatest(0, least(trunc(0.5::double + (30.5::double + {h}) * 16)::int, x * 16 + 16) - greatest(trunc(0.5::double + (30.5::double - {h}) * 16)::int, x * 16)), 0)" for h in _REACH)
 add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, case when y between 16 and 34 then ({_HITS}) * 255 // 256 else 0 end as s from p)"))
@@ -379,8 +437,12 @@ add("quant_mediancut", lambda r: r.px.sparkSession.createDataFrame([(k, *c) for
 add("quant_errdiff", lambda r: quantize.error_diffusion(r, _PAL))
 add("quant_perturb", lambda r: quantize.perturbed(r, _PAL, 8.0, 2))
 add("quant_transparent_threshold", lambda r: quantize.to_paletted(r, _PAL, transparency="threshold"), select("case when c3 < 128 then 5 else case " + " ".join(f"when d{k} = least(d0, d1, d2, d3, d4) then {k}" for k in range(5)) + " end end as c0", "q", "q as (select *, " + ", ".join(f"{d} as d{k}" for k, d in enumerate(_D)) + " from a)"), 4)
-_MAP = [v for row in quantize.ordered_map() for v in row]
-add("quant_ordered", lambda r: quantize.to_paletted(r, _PAL, transparency="ordered"), select(f"case when c3 <= (list_value({', '.join(map(str, _MAP))}))[(y % 8) * 8 + x % 8 + 1] then 5 else case " + " ".join(f"when d{k} = least(d0, d1, d2, d3, d4) then {k}" for k in range(5)) + " end end as c0", "q", "q as (select *, " + ", ".join(f"{d} as d{k}" for k, d in enumerate(_D)) + " from a)"), 4)
+add("quant_bins", lambda r: quantize.colour_bins(r), f"{BASE} select c0 // 8 * 255 // 31 as c0, c1 // 8 * 255 // 31 as c1, c2 // 8 * 255 // 31 as c2, count(*) as n from p group by 1, 2, 3")
+for _name in quantize.ORDERED:
+    _MAP = ", ".join(str(v) for row in quantize.ordered_map(_name) for v in row)
+    add("quant_ordered" if _name == "tiny" else f"quant_ordered_{_name}", lambda r, t=_name: quantize.to_paletted(r, _PAL, transparency="ordered", table=t), select(f"case when c3 < (list_value({_MAP}))[(y % 8) * 8 + x % 8 + 1] then 5 else case " + " ".join(f"when d{k} = least(d0, d1, d2, d3, d4) then {k}" for k in range(5)) + " end end as c0", "q", "q as (select *, " + ", ".join(f"{d} as d{k}" for k, d in enumerate(_D)) + " from a)"), 4)
+_MANY = [((k * 37) % 256, (k * 91 + 13) % 256, (k * 53 + 7) % 256) for k in range(60)]
+add("quant_closest_boxes", lambda r: quantize.closest(r, _MANY), select("list_position(d, list_min(d))::int - 1 as c0", "q", "q as (select *, [" + ", ".join(f"(c0 - {a}) ** 2 + (c1 - {b}) ** 2 + (c2 - {c}) ** 2" for a, b, c in _MANY) + "] as d from p)"))
 
 # Files
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import colour, tags
 from rasterloom.model import Raster, blank, to_bits
-from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, procedural, quantize, stencil, text
+from rasterloom.operators import aggregates, draw, fills, geometry, joins, point, procedural, quantize, spans, stencil, text
 from rasterloom.plans import assembler, expression, registry
 
 
@@ -155,7 +155,7 @@ def test_histogram_counts_all(spark):
 
 def test_drawing(spark):
     r = draw.circle(blank(spark, 9, 9, 1), 4, 4, 3, (1,))
-    assert sum(map(sum, grid(r))) == sum((x - 4) ** 2 + (y - 4) ** 2 <= 12 for x in range(9) for y in range(9))
+    assert ["".join(map(str, row)) for row in grid(r)][1:8] == ["001111100", "011111110", "011111110", "011111110", "011111110", "011111110", "001111100"]
     assert grid(draw.line(blank(spark, 5, 1, 1), 0, 0, 4, 0, (1,), endpoint=False)) == [[1, 1, 1, 1, 0]]
     ring = draw.polygon(blank(spark, 9, 9, 1), [[(1, 1), (8, 1), (8, 8), (1, 8)], [(3, 3), (6, 3), (6, 6), (3, 6)]], (1,))
     assert sum(map(sum, grid(ring))) == 49 - 9
@@ -163,7 +163,8 @@ def test_drawing(spark):
     assert sum(map(sum, grid(same))) == 49
     filled = draw.flood_fill(draw.box(blank(spark, 9, 9, 1), 2, 2, 6, 6, (5,)), 4, 4, (9,))
     assert sum(v == 9 for row in grid(filled) for v in row) == 9
-    assert draw.merge_spans(iter([(-5, 2), (8, 12), (3, 6), (2, 8)])) == [(-5, 12)] and draw.merge_spans(iter([(0, 2), (8, 12), (3, 6)])) == [(0, 2), (3, 6), (8, 12)]
+    held = spans.made(spark, [(0, -5, 2), (0, 8, 12), (0, 3, 6), (0, 2, 8), (1, 0, 2), (1, 8, 12), (1, 3, 6), (2, 4, 4)])
+    assert sorted(map(tuple, spans.union(held).collect())) == [(0, -5, 12), (1, 0, 2), (1, 3, 6), (1, 8, 12)]
     with pytest.raises(ValueError, match="negative"):
         draw.circle(r, 1, 1, -1, (1,))
 
@@ -185,7 +186,7 @@ def test_fills(spark):
 def test_palettes(spark):
     assert len(quantize.fixed_palette("webmap")) == 216 and quantize.fixed_palette("gray4") == [(0,) * 3, (85,) * 3, (170,) * 3, (255,) * 3]
     r = areas(spark)
-    assert sorted(quantize.median_cut(r, 8)) == [(4, 4, 4), (4, 4, 252), (252, 4, 4)] and len(quantize.median_cut(r, 2)) == 2
+    assert sorted(quantize.median_cut(r, 8)) == [(0, 0, 0), (0, 0, 255), (255, 0, 0)] and len(quantize.median_cut(r, 2)) == 2
     pal = [(0, 0, 0), (255, 0, 0), (0, 0, 255)]
     back = quantize.expand(quantize.closest(r, pal), pal)
     assert aggregates.colour_usage_counts(back).first().counts == [625, 625, 1250]
@@ -194,7 +195,10 @@ def test_palettes(spark):
     with pytest.raises(ValueError):
         quantize.error_diffusion(r, pal, ([[0, 0]], 1))
     assert quantize.common_palette([[(1, 1, 1)], [(2, 2, 2), (1, 1, 1)]]) == [(1, 1, 1), (2, 2, 2)]
-    assert sorted(v for row in quantize.ordered_map() for v in row) == [4 * k for k in range(64)]
+    for name in quantize.ORDERED:
+        assert sorted(v for row in quantize.ordered_map(name) for v in row) == [4 * k for k in range(64)], name
+    with pytest.raises(ValueError, match="dot9"):
+        quantize.ordered_map("dot9")
 
 
 def test_registry(spark):
