@@ -3,6 +3,9 @@ nothing grows with an image's pixels after the first stage."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +13,44 @@ from rasterloom.functions.samples import clamp, grey
 from rasterloom.model import Raster
 
 
-def colour_usage(r: Raster) -> DataFrame:
-    """(image_id, colours..., n): the pixels of each colour; alpha doesn't count."""
-    return r.px.groupBy("image_id", *r.colour_names).agg(F.count(F.lit(1)).alias("n"))
+def colour_usage(r: Raster, most: int | None = None) -> DataFrame:
+    """(image_id, colours..., n): the pixels of each colour; alpha doesn't count. With most, images of more colours have no
+    rows, and only the others' colours are counted."""
+    px = r.px
+    if most is not None:
+        px = px.join(colour_count(r, most).where("colours is not null").select("image_id"), "image_id", "left_semi")
+    return px.groupBy("image_id", *r.colour_names).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _first_colours(names: list[str], most: int):
+    """In a task: each image's distinct colours as they come, until there are more than most."""
+
+    keys = ["image_id", *names]
+    schema = pa.schema([("image_id", pa.int64()), *((n, pa.int32()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set[tuple]] = {}
+        for batch in batches:
+            distinct = pa.Table.from_batches([batch]).group_by(keys).aggregate([])
+            for image, *colour in zip(*(distinct.column(n).to_pylist() for n in keys), strict=True):
+                found = held.setdefault(image, set())
+                if len(found) <= most:
+                    found.add(tuple(colour))
+        rows = [(image, *c) for image, found in held.items() for c in found]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return run
 
 
 def colour_count(r: Raster, most: int | None = None) -> DataFrame:
-    """(image_id, colours): the distinct colours, or null beyond most."""
-    n = colour_usage(r).groupBy("image_id").agg(F.count(F.lit(1)).alias("colours"))
-    return n if most is None else n.withColumn("colours", F.when(F.col("colours") <= most, F.col("colours")))
+    """(image_id, colours): the distinct colours, or null beyond most. With most, a task hands on most + 1 colours of an image
+    at the most, so that no image's colours are all shuffled."""
+    if most is None:
+        return colour_usage(r).groupBy("image_id").agg(F.count(F.lit(1)).alias("colours"))
+    names = r.colour_names
+    found = r.px.select("image_id", *(F.col(n).cast("int") for n in names)).mapInArrow(_first_colours(names, most), "image_id long, " + ", ".join(f"{n} int" for n in names))
+    n = found.distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("colours"))
+    return n.withColumn("colours", F.when(F.col("colours") <= most, F.col("colours")))
 
 
 def colour_usage_counts(r: Raster) -> DataFrame:

@@ -1,18 +1,18 @@
-"""Drawing. Shapes are predicates or coverages over (x, y), so drawing is a projection; only flood fill walks, image by image."""
+"""Drawing. Shapes are predicates or coverages over (x, y), or small tables of rows or places that are joined."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, comb, cos, floor, fmod, inf, pi, sin, sqrt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.functions.samples import quotient
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import spans
+from rasterloom.operators import regions, spans
 from rasterloom.operators.joins import compose
 
 
@@ -314,13 +314,16 @@ def circle_aa(r: Raster, cx: float, cy: float, radius: float, colour: tuple[int,
     row takes no part."""
     reach = ceil(radius)
     rows = _y().between(max(0, floor(cy) - reach), min(r.height - 1, ceil(cy) + reach) - 1)
-    covered = F.lit(0)
-    for sub in range(16):
-        dy = _y() + F.lit((sub + 1) / 16 - cy)
-        half = F.sqrt(F.when(dy * dy < radius * radius, F.lit(float(radius * radius)) - dy * dy))
-        left, right = ((F.lit(0.5) + (F.lit(float(cx)) + side) * F.lit(16.0)).cast("int") for side in (-half, half))
-        covered = covered + F.coalesce(F.greatest(F.least(right, _x() * 16 + 16) - F.greatest(left, _x() * 16), F.lit(0)), F.lit(0))
-    px = r.px.withColumn("_share", F.when(rows, F.floor(covered * 255 / F.lit(256)).cast("int")).otherwise(F.lit(0)))
+    # the sixteen lines' ends by row, a table no longer than the frame is high
+    ends = []
+    for y in range(max(0, floor(cy) - reach), min(r.height, ceil(cy) + reach + 1)):
+        lines = [sqrt(float(radius * radius) - dy * dy) for dy in (y + ((sub + 1) / 16 - cy) for sub in range(16)) if dy * dy < radius * radius]
+        ends.append((y, [(int(0.5 + (float(cx) - half) * 16.0), int(0.5 + (float(cx) + half) * 16.0)) for half in lines]))
+    table = r.px.sparkSession.createDataFrame(ends, "y int, _ends array<struct<a:int,b:int>>")
+    here = _x() * 16
+    covered = F.aggregate("_ends", F.lit(0), lambda n, e: n + F.greatest(F.least(e["b"], here + 16) - F.greatest(e["a"], here), F.lit(0)))
+    near = F.col("_ends").isNotNull() & _x().between(floor(cx) - reach - 1, ceil(cx) + reach + 1)
+    px = r.px.join(F.broadcast(table), "y", "left").withColumn("_share", F.when(rows & near, F.floor(covered * 255 / F.lit(256)).cast("int")).otherwise(F.lit(0)))
     share = F.col("_share")
     return r.with_px(px).project({n: quotient(F.col(n) * (F.lit(255) - share) + F.lit(colour[k]) * share, 255).cast("int") for k, n in enumerate(r.names)})
 
@@ -330,42 +333,15 @@ def pixel_alpha(r: Raster, x: int, y: int, colour: tuple[int, ...], alpha: int)
     return r.project({n: F.when(here, quotient(F.col(n) * (255 - alpha) + F.lit(colour[k] * alpha), 255).cast("int")).otherwise(F.col(n)) for k, n in enumerate(r.names)})
 
 
-def region(image: np.ndarray, x: int, y: int, border: tuple[int, ...] | None = None) -> np.ndarray:
-    """The 4-connected region of a place: of its colour, or up to a border colour. image: rows x columns x channels."""
-    h, w = image.shape[:2]
-    open_ = ~(image == np.array(border)).all(2) if border is not None else (image == image[y, x]).all(2)
-    out = np.zeros((h, w), bool)
-    if not open_[y, x]:
-        return out
-    stack = [(y, x)]
-    while stack:  # a run of a row at a time
-        y, x = stack.pop()
-        if out[y, x]:
-            continue
-        left, right = x, x
-        while left and open_[y, left - 1] and not out[y, left - 1]:
-            left -= 1
-        while right + 1 < w and open_[y, right + 1] and not out[y, right + 1]:
-            right += 1
-        out[y, left : right + 1] = True
-        for ny in (y - 1, y + 1):
-            if 0 <= ny < h:
-                row = open_[ny, left : right + 1] & ~out[ny, left : right + 1]
-                starts = np.flatnonzero(row & ~np.r_[False, row[:-1]])
-                stack += [(ny, left + int(s)) for s in starts]
-    return out
-
-
 def flood_fill(r: Raster, x: int, y: int, colour: tuple[int, ...], border: tuple[int, ...] | None = None) -> Raster:
-    """A recurrence over an image's pixels: each image is one group, bounded by its size."""
-    names, w, h = r.names, r.width, r.height
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x"], ignore_index=True)
-        mask = region(group[names].to_numpy().reshape(h, w, len(names)), x, y, border).ravel()
-        for k, n in enumerate(names):
-            group.loc[mask, n] = colour[k]
-        return group
-
-    px = r.px.select(*KEYS, *names)
-    return r.with_px(px.groupBy("image_id").applyInPandas(run, px.schema))
+    """The region around a place takes a colour: what has the place's own colour, or all up to a border's."""
+    if not (0 <= x < r.width and 0 <= y < r.height):
+        raise ValueError("the place lies outside the image")
+    alike = lambda values: reduce(lambda a, b: a & b, (F.col(n) == v for n, v in zip(r.names, values, strict=False)))
+    if border is not None:
+        found = regions.region(r, ~alike(border), x, y)
+    else:
+        seed = r.px.where((_x() == x) & (_y() == y)).select("image_id", *(F.col(n).alias(f"_{n}") for n in r.names))
+        found = regions.region(r.with_px(r.px.join(seed, "image_id")), alike([F.col(f"_{n}") for n in r.names]), x, y)
+    px = r.px.join(found.withColumn("_in", F.lit(True)), KEYS, "left")
+    return r.with_px(px).project({n: F.when(F.col("_in"), F.lit(colour[k])).otherwise(F.col(n)) for k, n in enumerate(r.names)})

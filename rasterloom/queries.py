@@ -10,7 +10,7 @@ from rasterloom import model
 from rasterloom.functions import samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import aggregates, draw, fills, geometry, joins, palette, point, procedural, quantize, spans, stencil, text
+from rasterloom.operators import aggregates, draw, fills, geometry, glyphs, joins, palette, point, procedural, quantize, spans, stencil, text
 from rasterloom.plans import assembler, expression, registry
 from rasterloom.sources import codecs, images
 
@@ -164,6 +164,7 @@ _SKEW = ", ".join(f"m{k} as (select image_id, coalesce(min(case when up >= total
 add("autolevels_skew", lambda r: aggregates.autolevels_skew(r, 0.1, 0.1), f"{BASE}, {_SKEW} select p.image_id, y, x, {each('case when hi@ = lo@ then c@ else greatest(0, least(255, trunc((c@ - lo@) * 255 / (hi@ - lo@))::int)) end')} from p join m0 using (image_id) join m1 using (image_id) join m2 using (image_id)")
 add("colorcount", lambda r: aggregates.colour_count(r), f"{BASE} select image_id, count(*) as colours from (select distinct image_id, c0, c1, c2 from p) group by 1")
 add("colorcount_limit", lambda r: aggregates.colour_count(r, 100), f"{BASE} select image_id, case when count(*) <= 100 then count(*) end as colours from (select distinct image_id, c0, c1, c2 from p) group by 1")
+add("colorusagehash_maxcolors", lambda r: aggregates.colour_usage(point.convert(r, "grey").map_all(lambda c: (c / 16).cast("int")), 8), f"{BASE}, gr as (select image_id, trunc(c0 * 0.222::double + c1 * 0.707::double + c2 * 0.071::double)::int // 16 as c0 from p) select image_id, c0, count(*) as n from gr where image_id in (select image_id from gr group by 1 having count(distinct c0) <= 8) group by 1, 2")
 add("colorusagehash", lambda r: aggregates.colour_usage(r), f"{BASE} select image_id, c0, c1, c2, count(*) as n from p group by 1, 2, 3, 4")
 add("colorusage", lambda r: aggregates.colour_usage_counts(point.convert(r, "grey")).select("image_id", F.concat_ws(",", F.col("counts").cast("array<string>")).alias("counts")), f"{BASE} select image_id, string_agg(n::varchar, ',' order by n) as counts from (select image_id, trunc(c0 * 0.222::double + c1 * 0.707::double + c2 * 0.071::double) as v, count(*) as n from p group by 1, 2) group by 1")
 add("count_color", lambda r: aggregates.count_colour(point.convert(r, "grey"), (127,)), f"{BASE} select image_id, sum(case when trunc(c0 * 0.222::double + c1 * 0.707::double + c2 * 0.071::double) = 127 then 1 else 0 end)::bigint as n from p group by 1")
@@ -409,7 +410,7 @@ add("row_runs", lambda r: spans.runs(_levels(r)), f"{BASE}, {_RUNS} select image
 add("span_union", lambda r: spans.union(_bright_spans(r)), f"{BASE}, {_ISLANDS} select image_id, y, x1, x2 from il")
 add("span_fill", lambda r: spans.paint(r, _bright_spans(r), (9, F.col("c2"), 7)), select("case when b then 9 else c0 end as c0, case when b then c2 else c1 end as c1, case when b then 7 else c2 end as c2", "q", f"{_ISLANDS}, q as (select p.*, il.x1 is not null as b from p left join il on il.image_id = p.image_id and il.y = p.y and p.x >= il.x1 and p.x < il.x2)"))
 _REACH = [f"case when (y + {(s + 1) / 16 - 25.5}::double) ** 2 < 81 then sqrt(81::double - (y + {(s + 1) / 16 - 25.5}::double) * (y + {(s + 1) / 16 - 25.5}::double)) end" for s in range(16)]
-_HITS = " + ".join(f"coalesce(greatest(0, least(trunc(0.5::double + (30.5::double + {h}) * 16)::int, x * 16 + 16) - greatest(trunc(0.5::double + (30.5::double - {h}) * 16)::int, x * 16)), 0)" for h in _REACH)
+_HITS = " + ".join(f"case when {h} is null then 0 else greatest(0, least(trunc(0.5::double + (30.5::double + {h}) * 16)::int, x * 16 + 16) - greatest(trunc(0.5::double + (30.5::double - {h}) * 16)::int, x * 16)) end" for h in _REACH)
 add("circle_aa", lambda r: draw.circle_aa(r, 30.5, 25.5, 9.0, (200, 100, 50)), select(", ".join(f"trunc((c{k} * (255 - s) + {v} * s) / 255)::int as c{k}" for k, v in enumerate((200, 100, 50))), "q", f"q as (select *, case when y between 16 and 34 then ({_HITS}) * 255 // 256 else 0 end as s from p)"))
 _RINGS = [[(5, 5), (55, 10), (40, 45), (10, 40)], [(20, 15), (35, 15), (35, 30), (20, 30)]]
 
@@ -426,6 +427,32 @@ add("polygon_aa", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 4
 add("bezier", lambda r: draw.bezier(r, [(2, 2), (30, 60), (60, 4)], (1, 2, 3)))
 add("flood_fill", lambda r: draw.flood_fill(draw.box(r, 10, 10, 40, 40, (0, 0, 0)), 20, 20, (1, 2, 3), border=(0, 0, 0)), select(", ".join(f"case when x between 11 and 39 and y between 11 and 39 then {k + 1} when x between 10 and 40 and y between 10 and 40 then 0 else c{k} end as c{k}" for k in range(3))))
 
+_OPEN = f"op as (select image_id, y, x, {_BRIGHT} as v from p), rg as (select image_id, y, x, v from op where image_id < 3 and y = 25 and x = 30 union select op.image_id, op.y, op.x, op.v from rg join op on op.image_id = rg.image_id and op.v = rg.v and abs(op.x - rg.x) + abs(op.y - rg.y) = 1)"
+add("flood_fill_colour", lambda r: draw.flood_fill(_levels(r.with_px(r.px.where("image_id < 3"))), 30, 25, (9,)), f"{BASE}, {_OPEN} select op.image_id, op.y, op.x, case when rg.x is not null then 9 else op.v end as c0 from op left join rg using (image_id, y, x) where op.image_id < 3".replace("with e as", "with recursive e as", 1))
+
+# Gradients over several places of a pixel, and laid over an image
+
+
+def _several_sql(places: list[tuple[str, str]], last: str = "") -> str:
+    """A linear gradient from (5, 5) to (50, 40), black to white, the mean over places of each pixel."""
+    v = [f"least(1::double, greatest(0::double, ((x + {dx} - 5::double) * 45 + (y + {dy} - 5::double) * 35) / {float(45 * 45 + 35 * 35)!r}::double))" for dx, dy in places]
+    mean = f"(({' + '.join(v)}) / {len(v)}::double)"
+    return select(last or f"{each(f'trunc({mean} * 255 + 0.5)::int')}, 255 as c3", "p") if not last else f"{BASE}, q as (select *, trunc({mean} * 255 + 0.5)::int as s from p) select image_id, y, x, {last} from q"
+
+
+_GRID = [(f"({-0.5 + 0.5 / 3!r}::double + {1 / 3!r}::double * {a})", f"({-0.5 + 0.5 / 3!r}::double + {1 / 3!r}::double * {b})") for a in range(3) for b in range(3)]
+_ROUND = [(f"0.3::double * cos({k} * pi() / 3)", f"0.3::double * sin({k} * pi() / 3)") for k in range(6)]
+add("fountain_grid_samples", lambda r: fills.fountain(r, 5, 5, 50, 40, samples="grid", points=9), _several_sql(_GRID))
+add("fountain_circle_samples", lambda r: fills.fountain(r, 5, 5, 50, 40, samples="circle", points=6), _several_sql(_ROUND))
+add("fountain_random_samples", lambda r: fills.fountain(r, 5, 5, 50, 40, "radial", "triangle", samples="random", points=5, seed=3))
+add("fountain_combine", lambda r: fills.fountain_over(r, 5, 5, 50, 40, "add", samples="grid", points=9), _several_sql(_GRID, each("least(255, c@ + s)")))
+
+# Image fonts: glyphs are rectangles of the first image
+
+_FONT = glyphs.ImageFont({97: glyphs.Glyph(3, 9, 2, 12, 1, 8), 98: glyphs.Glyph(20, 27, 5, 17, 0, 7), 99: glyphs.Glyph(40, 44, 30, 38, -2, 6)}, 9, -3)
+_TYPED = "m as (select * from (values (97, 3, 9, 2, 12), (98, 20, 27, 5, 17), (99, 40, 44, 30, 38)) m(code, l, r, t, b)), w as (select * from (values (97, 6, 11), (98, 13, 11), (97, 21, 11), (98, 28, 11), (99, 33, 11)) w(code, px, py)), k as (select px + a.x - l as x, py + a.y - t as y, a.c0 as s0, a.c1 as s1, a.c2 as s2, a.c3 as s3 from a join m on a.image_id = 0 and a.x >= l and a.x < r and a.y >= t and a.y < b join w using (code))"
+add("text_image_font", lambda r: glyphs.draw(Raster(r.px.drop("c3"), r.width, r.height, 3), "ab?ab", 5, 20, _FONT, r), f"{BASE}, {_TYPED.replace(', (99, 33, 11)', '')} select p.image_id, p.y, p.x, {each('case when s3 is null then p.c@ else trunc((s3 * s@ + (255 - s3) * p.c@) / 255)::int end')} from p left join k using (y, x)", 4)
+
 # Palettes
 
 add("pal_web", lambda r: quantize.expand(quantize.closest(r, quantize.fixed_palette("webmap")), quantize.fixed_palette("webmap")), select(each("(c@ + 25) // 51 * 51")))

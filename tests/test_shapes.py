@@ -182,3 +182,76 @@ def test_box_candidates(spark):
     for y in range(16):
         for x in range(16):
             assert got[y, x, 0] == min(range(len(palette)), key=lambda k: (sum((a - b) ** 2 for a, b in zip(palette[k], image[y, x], strict=True)), k))
+
+
+def test_soft_disc(spark):
+    """Sixteen lines a row, cut to sixteenths of a pixel; nothing beside the disc changes."""
+    got = array(draw.circle_aa(blank(spark, 40, 40, 1), 20.5, 18.25, 9.0, (255,)))[..., 0]
+    for y in range(40):
+        lines = [sqrt(81 - d * d) for d in (y + (s + 1) / 16 - 18.25 for s in range(16)) if d * d < 81]
+        for x in range(40):
+            n = sum(max(0, min(int(0.5 + (20.5 + h) * 16), 16 * x + 16) - max(int(0.5 + (20.5 - h) * 16), 16 * x)) for h in lines)
+            assert got[y, x] == n * 255 // 256 and (n == 0 or abs(x - 20.5) < 11)
+
+
+@pytest.mark.parametrize("kind", ["colour", "border"])
+def test_floods(spark, kind):
+    """Mazes with dead ends and spirals, against a plain search; images whose place is closed, or of a colour of its own."""
+    rnd = random.Random(4)
+    size = 24
+    rows = [(k, y, x, int(rnd.random() < (0.25, 0.4, 0.5)[k])) for k in range(3) for y in range(size) for x in range(size)]
+    spiral = [[0] * size for _ in range(size)]
+    x, y, dx, dy = 0, 0, 1, 0
+    for n in (size - 1, *[k for k in range(size - 1, 0, -2) for _ in (0, 1)]):
+        for _ in range(n):
+            spiral[y][x] = 1
+            x, y = x + dx, y + dy
+        dx, dy = -dy, dx
+    rows += [(3, y, x, spiral[y][x]) for y in range(size) for x in range(size)]
+    r = blank(spark, size, size, 1, images=4).with_px(spark.createDataFrame(rows, "image_id long, y int, x int, c0 int"))
+    at = (5, 7)
+    out = {(p.image_id, p.y, p.x): p.c0 for p in draw.flood_fill(r, *at, (9,), (1,) if kind == "border" else None).px.collect()}
+    value = {p[:3]: p[3] for p in rows}
+    for k in range(4):
+        seed = value[k, at[1], at[0]]
+        open_ = {(y, x) for (i, y, x), v in value.items() if i == k and (v != 1 if kind == "border" else v == seed)}
+        reached, todo = set(), [(at[1], at[0])]
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in open_ and (y, x) not in reached:
+                reached.add((y, x))
+                todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        assert all(out[k, y, x] == (9 if (y, x) in reached else value[k, y, x]) for y in range(size) for x in range(size)), k
+    with pytest.raises(ValueError, match="outside"):
+        draw.flood_fill(r, 24, 0, (9,))
+
+
+def test_counts_that_stop(spark):
+    from rasterloom.operators import aggregates
+
+    r = blank(spark, 20, 20, 1, images=3).project({"c0": F.when(F.col("image_id") == 0, 5).when(F.col("image_id") == 1, F.col("x") % 4).otherwise(F.col("x") * 11)})
+    assert sorted(map(tuple, aggregates.colour_count(r, 4).collect())) == [(0, 1), (1, 4), (2, None)]
+    assert sorted(map(tuple, aggregates.colour_usage(r, 4).collect())) == [(0, 5, 400), *((1, k, 100) for k in range(4))]
+    held = [b.num_rows for b in aggregates._first_colours(["c0"], 4)(r.px.select("image_id", "c0").toArrow().to_batches())]
+    assert sum(held) == 1 + 4 + 5
+
+
+def test_image_fonts(spark):
+    from rasterloom.operators import glyphs
+
+    font = glyphs.ImageFont.parse(["# a font", "Image_spec = foo.png", "Font_size  = 12", "Global_ascent = 3", "Global_descent = -2", "FM_65 = 0 2 0 2 0 1 ", "FM_66 = 2 4 0 3 1 3", "FM_x = 1"])
+    assert font.glyphs[66] == glyphs.Glyph(2, 4, 0, 3, 1, 3) and (font.size, font.image) == (12, "foo.png")
+    assert font.bounds("AB") == glyphs.Bounds(0, -2, 4, 3, 0, 3, 4, 0) and font.bounds("BA?") == glyphs.Bounds(0, -2, 5, 3, 0, 3, 4, -1) and font.bounds("").advance_width == 0
+    with pytest.raises(ValueError, match="Global_ascent"):
+        glyphs.ImageFont.parse(["Image_spec = a", "Font_size = 1", "Global_descent = 0"])
+    sheet = blank(spark, 4, 3, 2).project({"c0": F.col("x") * 20 + F.col("y"), "c1": F.when(F.col("x") < 2, 128).otherwise(255)})
+    got = array(glyphs.draw(blank(spark, 7, 4, 1, colour=(100,)), "AAB", 1, 3, font, sheet))[..., 0].astype(int).tolist()
+    want = [[100] * 7 for _ in range(4)]
+    x = 1
+    for g, s in ((font.glyphs[65], 128), (font.glyphs[65], 128), (font.glyphs[66], 255)):  # the two first overlap
+        for dy in range(g.bottom - g.top):
+            for dx in range(g.right - g.left):
+                if dy < 4 and x + g.shift + dx < 7:
+                    want[dy][x + g.shift + dx] = (s * ((g.left + dx) * 20 + dy) + (255 - s) * want[dy][x + g.shift + dx]) // 255
+        x += g.forward
+    assert got == want
