@@ -55,6 +55,16 @@ def paint(r: Raster, spans: DataFrame, colour: tuple[int | Column, ...]) -> Rast
     return r.with_px(covered(r, spans)).project({n: F.when(F.col("_covered"), colour[k] if isinstance(colour[k], Column) else F.lit(colour[k])).otherwise(F.col(n)) for k, n in enumerate(r.names)})
 
 
+def shared(r: Raster, runs: DataFrame, name: str = "_share") -> DataFrame:
+    """r's pixels with the share of the run (y, x1, x2, share) that they lie in, 0 outside; runs are disjoint."""
+    rows = _rows_of(runs)
+    held = runs.groupBy(*rows).agg(F.collect_list(F.struct("x1", "x2", "share")).alias("_runs"))
+    # without image_id there is a row for each row of one image at most
+    px = r.px.join(F.broadcast(held) if rows == ["y"] else held, rows, "left")
+    here = F.get(F.filter("_runs", lambda s: (F.col("x") >= s["x1"]) & (F.col("x") < s["x2"])), F.lit(0))
+    return px.withColumn(name, F.coalesce(here["share"], F.lit(0))).drop("_runs")
+
+
 def runs(r: Raster) -> DataFrame:
     """(image_id, y, x1, x2, channels): each row's longest runs of equal pixels."""
     row = Window.partitionBy("image_id", "y").orderBy("x")

@@ -10,7 +10,7 @@ from rasterloom import model
 from rasterloom.functions import samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import aggregates, draw, fills, geometry, glyphs, joins, palette, point, procedural, quantize, spans, stencil, text
+from rasterloom.operators import aggregates, draw, fills, geometry, glyphs, joins, palette, point, procedural, quantize, spans, stencil, sweep, text
 from rasterloom.plans import assembler, expression, registry
 from rasterloom.sources import codecs, images
 
@@ -423,7 +423,54 @@ def _crossings(rings: list[list[tuple[int, int]]], signed: bool) -> str:
 
 add("polygon", lambda r: draw.polygon(r, _RINGS, (1, 2, 3)), select(", ".join(f"case when n % 2 <> 0 then {k + 1} else c{k} end as c{k}" for k in range(3)), "q", f"q as (select *, {_crossings(_RINGS, False)} as n from p)"))
 add("polygon_nonzero", lambda r: draw.polygon(r, _RINGS, (1, 2, 3), "nonzero"), select(", ".join(f"case when n <> 0 then {k + 1} else c{k} end as c{k}" for k in range(3)), "q", f"q as (select *, {_crossings(_RINGS, True)} as n from p)"))
-add("polygon_aa", lambda r: draw.polygon(r, [[(5, 5), (55, 10), (40, 45), (10, 40)]], (1, 2, 3), "nonzero", 4))
+
+
+def _swept_sql(rings: list[list[tuple[float, float]]], nonzero: bool, colour: tuple[int, ...]) -> str:
+    """Coverage of a polygon over p: each pair of edges of a band adds, row by row and pixel by pixel, what lies right of its
+    left edge and takes away what lies right of its right one."""
+    whole = [[(int(x * 16), int(y * 16)) for x, y in ring] for ring in rings]
+    lines = [(*p, *q) for ring in whole for p, q in zip(ring, ring[1:] + ring[:1], strict=True) if p[1] != q[1]]
+    heights = sorted({y for ring in whole for _, y in ring})
+    div = lambda a, b: f"trunc(({a}) / ({b}))::bigint"
+    at_y = lambda s, y: div(f"({y} - {s}y1) * {s}x2 + ({s}y2 - {y}) * {s}x1", f"{s}y2 - {s}y1")
+    at_x = lambda s, x: div(f"({x} - {s}x1) * {s}y2 + ({s}x2 - {x}) * {s}y1", f"nullif({s}x2 - {s}x1, 0)")
+    edges = ", ".join(f"({k}, {', '.join(map(str, e))})" for k, e in enumerate(lines))
+    bands = ", ".join(f"({a}, {b})" for a, b in zip(heights, heights[1:], strict=False))
+    met = f"e0 as (select * from (values {edges}) e0(n, x1, y1, x2, y2)), bd as (select * from (values {bands}) bd(b0, b1)), met as (select *, {at_y('', '(b0 + b1) // 2')} as mx, case when y1 < y2 then 1 else -1 end as way, least(y1, y2) as tp, greatest(y1, y2) as lw from e0, bd where greatest(y1, y2) > b0 and least(y1, y2) < b1)"
+    nth = "nth as (select *, row_number() over (partition by b0 order by mx, n) as k, sum(way) over (partition by b0 order by mx, n rows between unbounded preceding and current row) as open, max(tp) over (partition by b0) as least_, min(lw) over (partition by b0) as most_ from met)"
+    number = "sum(case when open = way then 1 else 0 end) over (partition by b0 order by k rows between unbounded preceding and current row)" if nonzero else "(k - 1) // 2"
+    pairs = f"pr as (select b0, b1, pair, {', '.join(f'arg_min({c}, k) as l{c}, arg_max({c}, k) as r{c}' for c in ('x1', 'y1', 'x2', 'y2'))}, any_value(least_) as least_, any_value(most_) as most_ from (select *, {number} as pair from nth) group by b0, b1, pair having {'sum(way) = 0' if nonzero else 'count(*) = 2'})"
+    rows = "rw as (select pr.*, y, greatest(least_, 0, y * 16) as lo, least(most_, 800, y * 16 + 16) as hi from pr, (select unnest(range(50))::int as y) where y >= trunc(b0 / 16) and y < trunc((b1 + 15) / 16))"
+    ends = f"ed as (select *, {', '.join(f'{f}({at_y(s, 'lo')}, {at_y(s, 'hi')}) as {s}{n}' for s in 'lr' for f, n in (('least', 'a'), ('greatest', 'b')))} from rw)"
+    cells = "cl as (select ed.*, x, x * 16 as u, x * 16 + 16 as v from ed, (select unnest(range(64))::int as x) where x >= greatest(trunc(la / 16), 0) and x <= trunc((rb - 1) / 16))"
+
+    def area(s: str) -> str:
+        left, right, top, low, rises = at_x(s, "u"), at_x(s, "v"), at_y(s, "lo"), at_y(s, "hi"), f"({s}x2 - {s}x1) * ({s}y2 - {s}y1) < 0"
+        through_left, through_right = f"coalesce({left} between lo and hi, false)", f"coalesce({right} between lo and hi, false)"
+        both = f"8 * (case when {rises} then 2 * hi - {left} - {right} else {left} + {right} - 2 * lo end)"
+        one_left = f"trunc(16 * (hi - lo) - (case when {rises} then ({top} - u) * ({left} - lo) else ({low} - u) * (hi - {left}) end) / 2.0::double)"
+        one_right = f"trunc((case when {rises} then (v - {low}) * (hi - {right}) else (v - {top}) * ({right} - lo) end) / 2.0::double)"
+        return f"case when {through_left} and {through_right} then {both} when {through_left} then {one_left} when {through_right} then {one_right} else trunc((hi - lo) * (2 * v - {top} - {low}) / 2.0::double) end"
+
+    total = f"sw as (select y, x, least(255, greatest(0, sum((case when trunc((lb - 1) / 16) >= x then {area('l')} else 16 * (hi - lo) end) - (case when trunc(ra / 16) <= x then {area('r')} else 0 end)))) / 255.0::double as s from cl group by y, x)"
+    mixed = ", ".join(f"trunc(coalesce(s, 0) * {float(v)!r}::double + (1.0::double - coalesce(s, 0)) * c{k})::int as c{k}" for k, v in enumerate(colour))
+    return f"{BASE}, {met}, {nth}, {pairs}, {rows}, {ends}, {cells}, {total} select image_id, p.y, p.x, {mixed} from p left join sw on sw.y = p.y and sw.x = p.x"
+
+
+_STAR = [[(32, 2), (45, 46), (8, 18), (56, 18), (19, 46)], [(-5, 30.3), (70.5, 33), (30, 60)]]
+_QUAD = [[(5, 5), (55, 10), (40, 45), (10, 40)]]
+for _name, _shape, _rule in (("polygon_aa", _QUAD, "nonzero"), ("polygon_aa_star", _STAR, "evenodd"), ("polygon_aa_star_nonzero", _STAR, "nonzero")):
+    add(_name, lambda r, s=_shape, u=_rule: sweep.polygon(r, s, (1, 2, 3), u), _swept_sql(_shape, _rule == "nonzero", (1, 2, 3)))
+
+
+def _own_shapes(r: Raster) -> DataFrame:
+    """A triangle of each image's own: its corners follow the samples of three of its pixels."""
+    corners = F.col("y").isin(0) & F.col("x").isin(3, 4, 5)
+    place = {"x": F.col("c0") % 60 + F.col("c1") / 256, "y": F.col("c2") % 45 + F.col("c1") / 512}
+    return r.px.where(corners).select("image_id", F.lit(0).alias("ring"), (F.col("x") - 3).alias("at"), *(place[n].cast("double").alias(n) for n in "xy"))
+
+
+add("polygon_aa_by_image", lambda r: sweep.polygon(r, _own_shapes(r), (200, 100, 50)))
 add("bezier", lambda r: draw.bezier(r, [(2, 2), (30, 60), (60, 4)], (1, 2, 3)))
 add("flood_fill", lambda r: draw.flood_fill(draw.box(r, 10, 10, 40, 40, (0, 0, 0)), 20, 20, (1, 2, 3), border=(0, 0, 0)), select(", ".join(f"case when x between 11 and 39 and y between 11 and 39 then {k + 1} when x between 10 and 40 and y between 10 and 40 then 0 else c{k} end as c{k}" for k in range(3))))
 
