@@ -1,4 +1,4 @@
-"""Palettes: fixed ones by rule, median cut from a histogram of 15-bit colours, and translation to palette indexes."""
+"""Palettes: fixed ones by rule, median cut from a histogram of 15-bit colours, local means, and translation to palette indexes."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterloom.model import KEYS, Raster
+from rasterloom.sources.scratch import stored
 
 Colour = tuple[int, int, int]
 
@@ -261,3 +263,73 @@ def to_paletted(r: Raster, palette: list[Colour], how: str = "closest", transpar
         return base
     gone = diffused_alpha(r) if transparency == "errdiff" else r.px.select(*KEYS, transparent(r, transparency, table=table).alias("_t"))
     return base.with_px(base.px.join(gone, KEYS)).project({"c0": F.when(F.col("_t"), F.lit(len(palette))).otherwise(F.col("c0"))})
+
+
+# A palette by local means. Colours are counted first, so that rounds run over distinct ones.
+
+
+def _seeded(*of: str | int, below: int) -> str:
+    return f"cast(pmod(xxhash64({', '.join(map(str, of))}), {below}) as int)"
+
+
+def _coloured(r: Raster, each: bool) -> DataFrame:
+    """(image_id, c0, c1, c2, n, box): each colour with its pixels, and its box of 512; image_id is 0 for a whole stack."""
+    names = ([r.names[0]] * 3) if r.channels <= 2 else r.colour_names
+    found = r.px.groupBy((F.col("image_id") if each else F.lit(0)).cast("long").alias("image_id"), *(F.col(n).alias(f"c{k}") for k, n in enumerate(names))).agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("box", F.expr(f"cast(c0 div {BOX} * 64 + c1 div {BOX} * 8 + c2 div {BOX} as int)"))
+
+
+def first_means(colours: DataFrame, places: int, seed: int = 0) -> DataFrame:
+    """(image_id, place, r, g, b): where means begin. A place goes to the box with the most pixels, whose standing is divided
+    by the square of its next place's number; a lone one is the box's middle, others are drawn within the box."""
+    boxes = colours.groupBy("image_id", "box").agg(F.sum("n").alias("n"))
+    rank = Window.partitionBy("image_id").orderBy(F.desc("standing"), "box", "turn")
+    turns = boxes.select("image_id", "box", F.explode(F.sequence(F.lit(1), F.lit(places))).alias("turn"), "n").withColumn("standing", F.expr("n div (turn * turn)"))
+    taken = turns.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= places)
+    taken = taken.withColumn("lone", F.count(F.lit(1)).over(Window.partitionBy("image_id", "box")) == 1)
+    low = {"r": f"box div 64 * {BOX}", "g": f"box div 8 % 8 * {BOX}", "b": f"box % 8 * {BOX}"}
+    value = lambda k, n: F.expr(f"cast({low[n]} + if(lone, 15, 6 + {_seeded(seed, 'box', 'turn', k, below=25)}) as int)").alias(n)
+    return taken.select("image_id", "place", *(value(k, n) for k, n in enumerate("rgb")))
+
+
+def means_round(colours: DataFrame, state: DataFrame, round_: int = 0, seed: int = 0) -> DataFrame:
+    """One round over a palette held as (image_id, entries), entries being structs (i, r, g, b, fixed, used): each colour
+    goes to its nearest entry, the first on ties, among its box's candidates; an entry becomes the cut mean of its pixels, one
+    without pixels a colour that is drawn. Fixed entries stay."""
+    low = [F.expr(f"{t} * {BOX}") for t in ("box div 64", "box div 8 % 8", "box % 8")]
+    gap = lambda e, n, k: F.greatest(F.lit(0), low[k] - e[n], e[n] - low[k] - (BOX - 1))
+    reach = lambda e, n, k: F.greatest(F.abs(e[n] - low[k]), F.abs(e[n] - low[k] - (BOX - 1)))
+    square = lambda f, e: sum((f(e, n, k) * f(e, n, k) for k, n in enumerate("rgb")), F.lit(0))
+    boxes = colours.select("image_id", "box").distinct().join(state, "image_id")
+    boxes = boxes.withColumn("_limit", F.array_min(F.transform("entries", lambda e: square(reach, e))))
+    boxes = boxes.select("image_id", "box", F.filter("entries", lambda e: square(gap, e) <= F.col("_limit")).alias("_near"))
+    taken = colours.join(boxes, ["image_id", "box"]).withColumn("i", _nearest([F.col(f"c{k}") for k in range(3)], F.col("_near")))
+    sums = taken.groupBy("image_id", "i").agg(*(F.expr(f"cast(sum(c{k} * n) div sum(n) as int)").alias(f"m{k}") for k in range(3)))
+    old = state.select("image_id", F.explode("entries").alias("e")).withColumn("i", F.col("e.i"))
+    drawn = lambda k: F.expr(_seeded(seed, round_, "i", k, below=256))
+    new = [F.when(F.col("e.fixed"), F.col(f"e.{n}")).otherwise(F.coalesce(f"m{k}", drawn(k))).alias(n) for k, n in enumerate("rgb")]
+    entry = F.struct("i", *new, F.col("e.fixed").alias("fixed"), F.col("m0").isNotNull().alias("used"))
+    moved = old.join(sums, ["image_id", "i"], "left").select("image_id", entry.alias("e"))
+    return moved.groupBy("image_id").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+
+
+def local_means(r: Raster, size: int, fixed: list[Colour] | None = None, each: bool = False, start: list[Colour] | None = None, rounds: int = 3, seed: int = 0) -> DataFrame:
+    """([image_id,] idx, c0, c1, c2): a palette of at most size colours, the fixed ones first, for the whole stack or each
+    image. Means begin at start, or in the boxes with the most pixels; entries that end without pixels are left out."""
+    fixed = fixed or []
+    if not max(1, len(fixed)) <= size <= 256:
+        raise ValueError("a palette has 1 to 256 colours, no fewer than its fixed ones")
+    if start is not None and len(start) != size - len(fixed):
+        raise ValueError("start has a colour for each place that isn't fixed")
+    colours = stored(_coloured(r, each), "colours")
+    flags = lambda held: [F.lit(held).alias("fixed"), F.lit(held).alias("used")]
+    given = [(k, *c, True) for k, c in enumerate(fixed)] + [(len(fixed) + k, *c, False) for k, c in enumerate(start or [])]
+    entries = colours.select("image_id").distinct().select("image_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("i", "r", "g", "b", "fixed"), g, strict=True)), F.lit(g[4]).alias("used")) for g in given)))) if given else None
+    if start is None and size > len(fixed):
+        begun = first_means(colours, size - len(fixed), seed).select("image_id", (F.col("place") + len(fixed) - 1).alias("i"), "r", "g", "b", *flags(False))
+        entries = begun if entries is None else entries.unionByName(begun)
+    state = stored(entries.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b", "fixed", "used"))).alias("entries")), "means")
+    for k in range(rounds):
+        state = stored(means_round(colours, state, k, seed), "means")
+    kept = F.filter("entries", lambda e: e["fixed"] | e["used"])
+    return state.select("image_id", F.posexplode(kept).alias("idx", "e")).select(*(["image_id"] if each else []), "idx", *(F.col(f"e.{n}").alias(f"c{k}") for k, n in enumerate("rgb")))

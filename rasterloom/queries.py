@@ -518,6 +518,12 @@ for _name in quantize.ORDERED:
 _MANY = [((k * 37) % 256, (k * 91 + 13) % 256, (k * 53 + 7) % 256) for k in range(60)]
 add("quant_closest_boxes", lambda r: quantize.closest(r, _MANY), select("list_position(d, list_min(d))::int - 1 as c0", "q", "q as (select *, [" + ", ".join(f"(c0 - {a}) ** 2 + (c1 - {b}) ** 2 + (c2 - {c}) ** 2" for a, b, c in _MANY) + "] as d from p)"))
 
+_GREYS = [(v, v, v) for v in range(16, 256, 32)]
+_NEAR = f"fx as (select * from (values {', '.join(f'({k}, {a}, {b}, {c})' for k, (a, b, c) in enumerate([(0, 0, 0), *_GREYS]))}) fx(i, r, g, b)), co as (select image_id, c0, c1, c2, count(*) as n from p group by 1, 2, 3, 4), ne as (select image_id, c0, c1, c2, n, arg_min(i, ((c0 - r) ** 2 + (c1 - g) ** 2 + (c2 - b) ** 2) * 1000 + i) as i from co, fx group by 1, 2, 3, 4, 5), mo as (select image_id, i, {', '.join(f'trunc(sum(c{k} * n) / sum(n))::int as c{k}' for k in range(3))} from ne where i > 0 group by 1, 2 union all select distinct image_id, 0, 0, 0, 0 from p)"
+add("quant_local_means_round", lambda r: quantize.local_means(r, 9, [(0, 0, 0)], each=True, start=_GREYS, rounds=1), f"{BASE}, {_NEAR} select image_id, (row_number() over (partition by image_id order by i) - 1)::int as idx, c0, c1, c2 from mo")
+add("quant_local_means", lambda r: quantize.local_means(r, 32))
+add("quant_local_means_by_image", lambda r: quantize.local_means(r, 16, [(0, 0, 0), (255, 255, 255)], each=True))
+
 # Files
 
 
