@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from math import ceil, cos, floor, pi, sin, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.model import KEYS, Raster
+from rasterloom.model import KEYS, Raster, to_bits
 
 
 def _moved(r: Raster, x: Column, y: Column, width: int | None = None, height: int | None = None) -> Raster:
@@ -111,27 +112,70 @@ def scale_mixing(r: Raster, width: int, height: int) -> Raster:
     return r
 
 
-def lanczos(x: float) -> float:
-    if abs(x) < 1e-6:
-        return 1.0
-    return sin(pi * x) / (pi * x) * sin(pi * x / 2) / (pi * x / 2) if abs(x) < 2 else 0.0
+def lanczos(x: np.float32) -> np.float32:
+    """Two lobes of a windowed sine, in single precision."""
+    if x == 0 or abs(x) >= 2:
+        return np.float32(x == 0)
+    turn = np.float32(pi * x)
+    half = np.float32(turn / 2.0)
+    return np.float32(sin(turn) / float(turn) * sin(half) / float(half))
 
 
-def scale_axis(r: Raster, axis: str, factor: float) -> Raster:
-    """Lanczos with two lobes along one axis: support widened when shrinking, weights normalised, edges repeated."""
-    size = r.width if axis == "x" else r.height
-    n = max(1, int(size * factor + 0.5))
-    wide = max(1.0, 1.4 / factor if factor < 1 else 1.0)
-    reach = 2 * (int(wide) if factor < 1 else 1)
-    table: dict[tuple[int, int], float] = {}
+def axis_taps(size: int, factor: float) -> tuple[int, list[list[tuple[int, float]]]]:
+    """The filter's width, and for each place of a scaled axis its sources with weights, in the order in which they are added:
+    from the middle outwards, the later side first. Weights add up to the width, in single precision; edges repeat."""
+    n = int(0.5 + size * factor)
+    if n < 1:
+        n, factor = 1, 1.0 / size
+    wide = 1 if factor >= 1 else int(1.4 / factor)
+    out = []
     for o in range(n):
-        centre = (o + 0.5) / factor - 0.5
-        taps = [(i, lanczos((i - centre) / (reach / 2))) for i in range(floor(centre) - reach + 1, floor(centre) + reach + 1)]
-        total = sum(w for _, w in taps)
-        for i, w in taps:
-            at = (o, min(size - 1, max(0, i)))
-            table[at] = table.get(at, 0.0) + w / total
-    return _resample(r, [(o, i, w) for (o, i), w in table.items()], axis, n, lambda c: F.least(F.greatest(F.floor(c + 0.5), F.lit(0)), F.lit(255)).cast("int"))
+        at = o / factor
+        left = int(at)
+        off = np.float32(at - left)
+        after = [lanczos(np.float32(np.float32(k + 1) - off) / np.float32(wide)) for k in range(2 * wide)]
+        before = [lanczos(np.float32(np.float32(k) + off) / np.float32(wide)) for k in range(2 * wide)]
+        total = 0.0
+        for k in range(2 * wide):
+            total += float(before[2 * wide - 1 - k])
+            total += float(after[k])
+        total /= wide
+        # the k-th step adds the k-th source after the place, then the source as far before its first one
+        steps = [[(min(size - 1, left + k + 1), after[k]), (max(0, left - 2 * wide + k + 1), before[2 * wide - 1 - k])] for k in range(2 * wide)]
+        out.append([(i, float(np.float32(float(w) / total))) for pair in steps for i, w in pair])
+    return wide, out
+
+
+def scale_axis(r: Raster, axis: str, factor: float) -> Raster:
+    """Lanczos along one axis, to 8-bit samples; with alpha, colours count by it. A row (or column) of an image is one array,
+    and each new sample a sum over its taps, in order and in single precision."""
+    r, other = to_bits(r, "8"), "y" if axis == "x" else "x"
+    wide, taps = axis_taps(r.width if axis == "x" else r.height, factor)
+    # one row, whose size follows one image's edge
+    table = r.px.sparkSession.createDataFrame([(0, taps)], "_one int, _taps array<array<struct<i:int,w:float>>>")
+    rows = r.px.groupBy("image_id", other).agg(F.sort_array(F.collect_list(F.struct(axis, *r.names))).alias("_row")).withColumn("_one", F.lit(0))
+    single = lambda c: c.cast("float")
+    here = lambda t, n: F.get(F.col("_row"), t["i"])[n]
+
+    def added(each: Column, n: str) -> Column:
+        def term(t: Column) -> Column:
+            value = single(t["w"] * single(here(t, n)))
+            return single(single(value * single(here(t, r.names[-1]))) / 255) if r.has_alpha and n != r.names[-1] else value
+
+        return single(F.aggregate(each, F.lit(0.0).cast("float"), lambda sum_, t: single(sum_ + term(t))) / wide)
+
+    whole = lambda v: F.least(F.greatest((v + F.lit(0.5)).cast("int"), F.lit(0)), F.lit(255))
+    sums = F.transform("_taps", lambda each: F.struct(*(added(each, n).alias(n) for n in r.names)))
+    px = rows.join(F.broadcast(table), "_one").select("image_id", other, F.posexplode(sums).alias(axis, "_s"))
+    made = {n: F.col(f"_s.{n}") for n in r.names}
+    if r.has_alpha:
+        a = made[r.names[-1]]
+        opaque = {n: F.when(whole(a) > 0, whole(single(single(made[n] * single(F.lit(255))) / a))).otherwise(F.lit(0)) for n in r.colour_names}
+        columns = opaque | {r.names[-1]: whole(a)}
+    else:
+        columns = {n: whole(c) for n, c in made.items()}
+    px = px.select("image_id", *(F.col(k).cast("int") for k in ("y", "x")), *(c.alias(n) for n, c in columns.items()))
+    return Raster(px, len(taps) if axis == "x" else r.width, len(taps) if axis == "y" else r.height, r.channels, "8")
 
 
 def scale(r: Raster, sx: float, sy: float, quality: str = "normal") -> Raster:

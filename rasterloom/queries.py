@@ -92,7 +92,46 @@ for _d, _x, _y in ((90, "49 - y", "x"), (180, "63 - x", "49 - y"), (270, "y", "6
     add(f"rotate{_d}", lambda r, d=_d: geometry.rotate90(r, d), f"{BASE} select image_id, {_y} as y, {_x} as x, c0, c1, c2 from p")
 add("scale_nn", lambda r: geometry.scale_nearest(r, 0.5, 2.0), f"{BASE}, o as (select unnest(range(32))::int as ox), q as (select unnest(range(100))::int as oy) select image_id, oy as y, ox as x, c0, c1, c2 from o, q, p where p.x = trunc(ox / 0.5)::int and p.y = trunc(oy / 2.0)::int")
 add("scale_mixing", lambda r: geometry.scale_mixing(r, 32, 25), f"{BASE} select image_id, y // 2 as y, x // 2 as x, {each('least(255, floor(sum(c@) / 4 + 0.5))::int')} from p group by 1, y // 2, x // 2")
-add("scale_lanczos", lambda r: Raster(geometry.scale(r, 0.5, 0.5).px, 32, 25))
+
+
+def _windowed(x: str) -> str:
+    """A windowed sine at a distance, in single precision."""
+    turn = f"(pi() * ({x})::float)::float"
+    return f"case when abs({x}) >= 2 then 0::float when ({x}) = 0 then 1::float else (sin({turn}::double) / {turn}::double * sin(({turn} / 2)::float::double) / ({turn} / 2)::float::double)::float end"
+
+
+def _halved_sql(axis: str, table: str, name: str, names: str, alpha: bool = False) -> str:
+    """An axis halved: sources go by whole places of the old one, so that all sums have the same eight weights, taken as
+    pairs after and before the middle from near to far on one side and far to near on the other."""
+    other, size = ("y", 64) if axis == "x" else ("x", 50)
+    far = range(4)
+    weights = {d: _windowed(f"{d} / 2.0") for d in range(5)}
+    total = " + ".join(f"({weights[3 - k]})::double + ({weights[k + 1]})::double" for k in far)
+    weight = {d: f"(({w})::double / (({total}) / 2))::float" for d, w in weights.items()}
+    steps = [(f"least({size - 1}, 2 * o + {k + 1})", k + 1) if late else (f"greatest(0, 2 * o - {3 - k})", 3 - k) for k in far for late in (True, False)]
+    ch = len(names.split())
+
+    def summed(k: int) -> str:
+        value = "0::float"
+        for place, d in steps:
+            term = f"w{d} * (s{k}[{place} + 1])::float"
+            if alpha and k < ch - 1:
+                term = f"({term} * (s{ch - 1}[{place} + 1])::float / 255::float)"
+            value = f"({value} + {term})"
+        return f"{value} / 2::float as v{k}"
+
+    whole = lambda v: f"greatest(0, least(255, trunc(({v})::double + 0.5::double)))::int"
+    if alpha:
+        last = f"v{ch - 1}"
+        done = ", ".join(f"case when {whole(last)} > 0 then {whole(f'v{k} * 255::float / {last}')} else 0 end as c{k}" for k in range(ch - 1)) + f", {whole(last)} as c{ch - 1}"
+    else:
+        done = ", ".join(f"{whole(f'v{k}')} as c{k}" for k in range(ch))
+    lists = ", ".join(f"list(c{k} order by {axis}) as s{k}" for k in range(ch))
+    return f"{name} as (select image_id, {other}, o as {axis}, {done} from (select image_id, {other}, o, {', '.join(map(summed, range(ch)))} from (select image_id, {other}, {lists} from {table} group by 1, 2), (select unnest(range({size // 2}))::int as o), (select {', '.join(f'{w} as w{d}' for d, w in weight.items())})))"
+
+
+add("scale_lanczos", lambda r: Raster(geometry.scale(r, 0.5, 0.5).px, 32, 25), f"{BASE}, {_halved_sql('x', 'p', 'hx', 'c0 c1 c2')}, {_halved_sql('y', 'hx', 'hy', 'c0 c1 c2')} select image_id, y, x, c0, c1, c2 from hy")
+add("scale_lanczos_alpha", lambda r: geometry.scale(r, 0.5, 0.5), f"{BASE}, {_halved_sql('x', 'a', 'hx', 'c0 c1 c2 c3', True)}, {_halved_sql('y', 'hx', 'hy', 'c0 c1 c2 c3', True)} select image_id, y, x, c0, c1, c2, c3 from hy", 4)
 
 
 def _mixed_sql(m: tuple[float, ...], w: int, h: int) -> str:
@@ -601,7 +640,7 @@ _VIEW = lambda r: joins.View(Raster(r.px.drop("c3"), 64, 50, 3), 20, 15, 40, 30,
 add("masked_view", lambda r: _VIEW(r).view(5, 4, 20, 12).read(), f"{BASE} select image_id, y - 19 as y, x - 25 as x, c0, c1, c2 from p where x between 25 and 44 and y between 19 and 30", 4)
 add("masked_view_write", lambda r: _VIEW(r).view(5, 4, 20, 12).write(Raster(model.turned(r).px.drop("c3"), 64, 50, 3)), f"{BASE} select p.image_id, p.y, p.x, {each('case when p.x between 25 and 44 and p.y between 19 and 30 and a.c3 <> 0 then t.c@ else p.c@ end')} from p left join t on p.image_id = t.image_id and t.x = p.x - 25 and t.y = p.y - 19 left join a on p.image_id = a.image_id and a.x = p.x - 20 and a.y = p.y - 15", 4)
 add("transform_legacy", lambda r: expression.transform(r, "x 2 *", "y 1 +"), f"{BASE} select o.image_id, o.y, o.x, {each('coalesce(q.c@, 0)')} from p o left join p q on q.image_id = o.image_id and q.x = o.x * 2 and q.y = o.y + 1")
-add("scale_x", lambda r: geometry.scale_axis(r, "x", 0.5))
+add("scale_x", lambda r: geometry.scale_axis(r, "x", 0.5), f"{BASE}, {_halved_sql('x', 'p', 'hx', 'c0 c1 c2')} select image_id, y, x, c0, c1, c2 from hx")
 add("scale_y", lambda r: geometry.scale_axis(r, "y", 1.5))
 add("gaussian2", lambda r: stencil.gaussian2(r, 0, 2.0), _gauss_sql(0, 2.0))
 add("gaussian2_both", lambda r: stencil.gaussian2(r, 1.0, 2.5), _gauss_sql(1.0, 2.5))
