@@ -706,3 +706,24 @@ def _tagged(r: Raster) -> DataFrame:
 
 add("flatten_tagged", _tagged, select(", ".join(f"trunc((c{k} * c3 + (case when image_id % 2 = 1 then {v} else 0 end) * (255 - c3)) / 255)::int as c{k}" for k, v in enumerate(("image_id % 256", "90", "200"))), "a"), 4)
 add("quant_transparent_errdiff", lambda r: quantize.to_paletted(r, quantize.fixed_palette("gray4"), transparency="errdiff"), None, 4)
+
+
+def _tags_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags by name and by code: a float, one of five digits, a colour, and one that is deleted by its place."""
+    made = tags.add(tags.add(tags.add(_untagged(), "gone", "x"), 7, F.col("p_size")), 7, "again")
+    made = tags.put_colour(tags.put_float(tags.put_float(made, "price", F.col("p_retailprice")), 9, F.col("p_retailprice") / 7, 5), "tint", F.col("p_size"), F.col("p_partkey") % 256, 3)
+    parts = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", tags.delete_at(made, 0).alias("t"))
+    t = F.col("t")
+    columns = {
+        "n": F.size("t"), "price": tags.get_float(t, "price"), "seventh": tags.get_float(t, 9), "first": tags.get(t, 7), "both": F.size(tags.find(t, 7)), "left": F.size(tags.delete(t, 7)),
+        "green": tags.get_colour(t, "tint")["g"], "gone": tags.get(t, "gone").isNull(), "text": tags.get(t, "tint"),
+    }
+    return parts.select("p_partkey", *(c.alias(n) for n, c in columns.items()))
+
+
+def _untagged():
+    return F.lit(None).cast(tags.KIND)
+
+
+QUERIES["tags_typed"] = _tags_typed
+SQL["tags_typed"] = "select p_partkey, 5 as n, p_retailprice::double as price, printf('%.4e', p_retailprice::double / 7)::double as seventh, p_size::varchar as \"first\", 2 as \"both\", 3 as \"left\", (p_partkey % 256)::int as green, true as gone, 'color(' || p_size || ',' || (p_partkey % 256) || ',3,255)' as \"text\" from part"
