@@ -71,7 +71,7 @@ def test_masked_channels_and_tagged_backgrounds(spark):
     assert tuple(joins.masked_channels(a, b, 0b1010).px.first())[3:] == (1, 6, 3, 8)
     assert tuple(joins.masked_channels(a, b, 0).px.first())[3:] == (1, 2, 3, 4)
     clear = blank(spark, 1, 1, 4, images=3)
-    kept = spark.createDataFrame([(0, [("i_background", "color(10,20,30)")]), (1, [("i_background", "pink"), ("other", "color(1,2,3)")]), (2, None)], f"image_id long, tags {tags.KIND}")
+    kept = spark.createDataFrame([(0, [("i_background", "color(10,20,30)")]), (1, [("i_background", "pink"), ("other", "color(1,2,3)")]), (2, None)], f"image_id long, tags array<struct<name:string,data:string>>")
     got = point.flatten_tagged(clear, kept).px.orderBy("image_id").collect()
     assert [tuple(x)[3:] for x in got] == [(10, 20, 30), (0, 0, 0), (0, 0, 0)]
     grey = point.flatten_tagged(blank(spark, 1, 1, 2), kept.where("image_id = 0"))
