@@ -301,8 +301,9 @@ def means_round(colours: DataFrame, state: DataFrame, round_: int = 0, seed: int
     reach = lambda e, n, k: F.greatest(F.abs(e[n] - low[k]), F.abs(e[n] - low[k] - (BOX - 1)))
     square = lambda f, e: sum((f(e, n, k) * f(e, n, k) for k, n in enumerate("rgb")), F.lit(0))
     boxes = colours.select("image_id", "box").distinct().join(state, "image_id")
-    boxes = boxes.withColumn("_limit", F.array_min(F.transform("entries", lambda e: square(reach, e))))
-    boxes = boxes.select("image_id", "box", F.filter("entries", lambda e: square(gap, e) <= F.col("_limit")).alias("_near"))
+    # the limit is a variable of the outer function, so that it is found once a box and not once an entry
+    limit = F.array(F.array_min(F.transform("entries", lambda e: square(reach, e))))
+    boxes = boxes.select("image_id", "box", F.get(F.transform(limit, lambda most: F.filter("entries", lambda e: square(gap, e) <= most)), F.lit(0)).alias("_near"))
     taken = colours.join(boxes, ["image_id", "box"]).withColumn("i", _nearest([F.col(f"c{k}") for k in range(3)], F.col("_near")))
     sums = taken.groupBy("image_id", "i").agg(*(F.expr(f"cast(sum(c{k} * n) div sum(n) as int)").alias(f"m{k}") for k in range(3)))
     old = state.select("image_id", F.explode("entries").alias("e")).withColumn("i", F.col("e.i"))
