@@ -9,9 +9,9 @@ there; the root decides on the whole item. All distances are Myers' bit-parallel
 Items are never gathered beyond a block: blocks hold about BLOCK_CHARS characters, chosen by hash, and each goes over all
 documents.
 
-Defined cases: null texts are empty; items without letters or digits match nothing; items of under LEAST characters
-match exactly or not at all, inside texts on word bounds or, with inside=False, only whole texts;
-items with equal texts each give their rows; every
+Defined cases: null texts are empty; items without letters or digits match nothing; items of every length follow the one
+rule for k, so those of under 1 / SHARE characters have no edits: they match on word bounds inside texts or, with
+inside=False, only whole texts; items with equal texts each give their rows; an
 occurrence is a row, overlapping ones too, but of those that begin within the item's budget of each other only the one of
 least distance, then of least start, then of least end; very long texts are walked whole; a null id is kept as null; repeated rows give repeated results; other columns are ignored.
 """
@@ -34,8 +34,6 @@ from rasterloom.llm.common import kept, slices
 
 #: Edits allowed, as a share of an item's characters.
 SHARE = 0.1
-#: Shorter items are only matched without edits.
-LEAST = 24
 #: About so many characters of items are held by a task at once.
 BLOCK_CHARS = 400_000
 OTHER = re.compile(r"[\W_]+")
@@ -155,8 +153,8 @@ class Matcher:
         for ident, text in items:
             if text:
                 by_text[text].append(ident)
-        self.whole = {t: ids for t, ids in by_text.items() if len(t) < LEAST and not inside}
-        self.items = [(Item(t, share if len(t) >= LEAST else 0), ids) for t, ids in by_text.items() if t not in self.whole]
+        self.whole = {t: ids for t, ids in by_text.items() if not int(len(t) * share) and not inside}
+        self.items = [(Item(t, share), ids) for t, ids in by_text.items() if t not in self.whole]
         pieces = defaultdict(list)
         for k, (item, _) in enumerate(self.items):
             for leaf, (a, b) in enumerate(zip(item.cuts[:-1], item.cuts[1:], strict=True)):
@@ -177,7 +175,7 @@ class Matcher:
         for last, (length, where) in self.automaton.iter(text):
             for k, leaf, offset in where:
                 item, diagonal = self.items[k][0], last + 1 - length - offset
-                if len(item.text) < LEAST and (text[max(0, diagonal - 1) : diagonal].strip() or text[last + 1 : last + 2].strip()):
+                if not item.budget and (text[max(0, diagonal - 1) : diagonal].strip() or text[last + 1 : last + 2].strip()):
                     continue
                 # the whole item's distance on a diagonal is the same whichever piece hit it
                 if tried.get((k, diagonal), 0) >> leaf & 1:
@@ -222,7 +220,8 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS, inside: bool = True) -> DataFrame:
-    """(doc_id, item_id, start, end, distance): every occurrence of an item in a document, in characters of its text."""
+    """(doc_id, item_id, start, end, distance): where items occur in documents, in characters of the text; of occurrences
+    that begin within an item's budget of each other the best one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return reduce(DataFrame.unionByName, [_matches(docs, items, share, inside) for items in _blocks(benchmark, block_chars)])
 

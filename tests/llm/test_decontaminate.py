@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
             a, b = d.normal(words or ""), d.normal(text or "")
             if len(b) > 3000:
                 b = b[-400:]
-            if len(a) >= d.LEAST:
+            if int(len(a) * d.SHARE):
                 n = least_distance(a, b)
                 assert pairs.get((ident, item)) == (n if n <= int(len(a) * d.SHARE) else None)
             else:
@@ -64,6 +64,31 @@ def test_against_brute_force(spark):
     assert sum(r.doc_id == 906 and r.item_id == 2 for r in got) == 2
 
 
+def test_items_of_every_length(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdef", k=rnd.randint(2, 6)))
+    items = []
+    for n in range(6, 41):
+        text = " ".join(word() for _ in range(12))[:n]
+        items.append((n, text[:-1] + "g" if text.endswith(" ") else text))
+    docs = []
+    for n, text in items:
+        for edits in range(4):
+            for k in range(3):
+                docs.append((len(docs), f"{word()} {word()} {mutate(rnd, text, edits)} {word()} {word()}"))
+    got = {(r.doc_id, r.item_id): r.distance for r in d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=200).collect()}
+    for ident, text in docs:
+        b = d.normal(text)
+        for item, words in items:
+            a, budget = d.normal(words), int(len(d.normal(words)) * d.SHARE)
+            if budget:
+                n = least_distance(a, b)
+                assert got.get((ident, item)) == (n if n <= budget else None), (a, b)
+            else:
+                assert got.get((ident, item)) == (0 if f" {a} " in f" {b} " else None), (a, b)
+    assert len({i for _, i in got}) > 30 and set(got.values()) == {0, 1, 2, 3, 4} - {4}
+
+
 def test_places():
     text = "  Ab--İΣ cİd_!"
     at = d.places(text)
