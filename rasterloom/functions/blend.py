@@ -112,10 +112,10 @@ def _keep_alpha(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
     return colours, None if alpha is None else F.when(src[1] == m.top, src[1]).otherwise(da)
 
 
-def _hue(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
+def _hue(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel | None:
     (sc, sa), (dc, da) = src, dst
     if len(sc) < 3:
-        return dst
+        return None
     sh, ss, _ = m.source_hsv or m.to_hsv(sc)
     dh, ds, dv = m.target_hsv or m.to_hsv(dc)
     lively = (ss != 0) & (sa != 0) & (F.lit(True) if da is None else da != 0)
@@ -123,19 +123,30 @@ def _hue(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
     made = m.to_rgb(sh, ds, dv)
     if da is None:
         # over a grey destination the source carries the destination's HSV figures, with whatever stands in its alpha's place
-        colours = [F.when(lively & ~grey, a).otherwise(b) for a, b in zip(made, (dh, ds, dv), strict=True)]
-        alpha = F.when(lively & ~grey, sa).otherwise(m.zero)
-        return _keep_alpha(m, (colours, alpha), dst)
-    return _keep_alpha(m, (made, F.when(lively & ~grey, sa).otherwise(m.zero)), dst)
+        made = [F.when(lively & ~grey, a).otherwise(b) for a, b in zip(made, (dh, ds, dv), strict=True)]
+    return made, F.when(lively & ~grey, sa).otherwise(m.zero)
 
 
 def _parts(hue: bool, saturation: bool, value: bool):
-    def mode(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
+    def made(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel | None:
         (sc, sa), (dc, _) = src, dst
         if len(sc) < 3:
-            return _keep_alpha(m, src, dst) if value else dst
+            return src if value else None
         a, b = m.source_hsv or m.to_hsv(sc), m.target_hsv or m.to_hsv(dc)
-        return _keep_alpha(m, (m.to_rgb(*(p if take else q for p, q, take in zip(a, b, (hue, saturation, value), strict=True))), sa), dst)
+        return list(m.to_rgb(*(p if take else q for p, q, take in zip(a, b, (hue, saturation, value), strict=True)))), sa
+
+    return made
+
+
+#: Modes that work on HSV figures: what their source becomes before it is mixed (None: the destination stays). A caller does
+#: well to put the figures, and then the new source, into columns first, as each is used many times.
+IN_HSV: dict[str, Callable] = {"hue": _hue, "saturation": _parts(False, True, False), "value": _parts(False, False, True), "color": _parts(True, True, False)}
+
+
+def _mixed(made: Callable):
+    def mode(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
+        new = made(m, src, dst)
+        return dst if new is None else _keep_alpha(m, new, dst)
 
     return mode
 
@@ -154,17 +165,22 @@ def _dissolve(seed: int):
 
 MODES: dict[str, Callable] = {
     "none": _none, "normal": _mix(_normal, _over_alpha), "multiply": _mix(_multiply, _union), "dissolve": _dissolve(1), "add": _mix(_add, _capped), "subtract": _mix(_subtract, _capped),
-    "diff": _mix(_difference, _union), "lighten": _mix(_pick(F.greatest), _union), "darken": _mix(_pick(F.least), _union), "hue": _hue, "saturation": _parts(False, True, False), "value": _parts(False, False, True), "color": _parts(True, True, False),
+    "diff": _mix(_difference, _union), "lighten": _mix(_pick(F.greatest), _union), "darken": _mix(_pick(F.least), _union), **{name: _mixed(made) for name, made in IN_HSV.items()},
 }
 
 
-#: Modes that work on HSV figures; a caller does well to put these into columns first, as each is used many times.
-IN_HSV = ("hue", "saturation", "value", "color")
+def prepared(mode: str, top: float, src: Pixel, dst: Pixel, source_hsv: tuple[Column, ...], target_hsv: tuple[Column, ...]) -> Pixel:
+    """The source that a mode in IN_HSV mixes, from HSV figures of both sides; mix it by prepared_over."""
+    math = Arithmetic(top)
+    math.source_hsv, math.target_hsv = source_hsv, target_hsv
+    return IN_HSV[mode](math, src, dst)
+
 
+def prepared_over(top: float, src: Pixel, dst: Pixel) -> Pixel:
+    return _keep_alpha(Arithmetic(top), src, dst)
 
-def combine(mode: str, top: float, src: Pixel, dst: Pixel, source_hsv: tuple[Column, ...] | None = None, target_hsv: tuple[Column, ...] | None = None) -> Pixel:
+
+def combine(mode: str, top: float, src: Pixel, dst: Pixel) -> Pixel:
     if mode not in MODES:
         raise ValueError(f"unknown combine mode {mode}; known: {', '.join(MODES)}")
-    math = Arithmetic(top)
-    math.source_hsv, math.target_hsv = source_hsv, target_hsv
-    return MODES[mode](math, src, dst)
+    return MODES[mode](Arithmetic(top), src, dst)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.samples import quotient
 from rasterloom.model import KEYS, Raster
-from rasterloom.operators import regions, spans
+from rasterloom.operators import regions, spans, sweep
 from rasterloom.operators.joins import compose
 
 
@@ -323,6 +323,22 @@ def circle_aa(r: Raster, cx: float, cy: float, radius: float, colour: tuple[int,
     return r.with_px(px).project({n: quotient(F.col(n) * (F.lit(255) - share) + F.lit(colour[k]) * share, 255).cast("int") for k, n in enumerate(r.names)})
 
 
+def soft_sector(cx: float, cy: float, radius: float, d1: float, d2: float) -> list[tuple[float, float]]:
+    """The corners of a pie: its middle and places of its rim, about one for each pixel of a whole circle's length, 8 to 360."""
+    d1 = fmod(d1, 360)
+    d2 = 360.0 if d1 == 0 and d2 >= 360 else fmod(d2, 360)
+    first, last = d1 * pi / 180, (d2 + 360 * (d2 < d1)) * pi / 180
+    step = 2 * pi / min(360, max(8, int(2 * pi * radius)))
+    # sums one after another, as many as a full turn has steps
+    between = [a for a in np.add.accumulate(np.r_[first, np.full(int((last - first) / step) + 2, step)]).tolist() if a < last]
+    return [(float(cx), float(cy)), *((cx + radius * cos(a), cy + radius * sin(a)) for a in (first, *between, last))]
+
+
+def arc_aa(r: Raster, cx: float, cy: float, radius: float, d1: float, d2: float, colour: tuple[int, ...]) -> Raster:
+    """An anti-aliased pie from d1 to d2 degrees; 0 to 361 is a disc."""
+    return circle_aa(r, cx, cy, radius, colour) if (d1, d2) == (0, 361) else sweep.polygon(r, [soft_sector(cx, cy, radius, d1, d2)], colour)
+
+
 def pixel_alpha(r: Raster, x: int, y: int, colour: tuple[int, ...], alpha: int) -> Raster:
     here = (_x() == x) & (_y() == y)
     return r.project({n: F.when(here, quotient(F.col(n) * (255 - alpha) + F.lit(colour[k] * alpha), 255).cast("int")).otherwise(F.col(n)) for k, n in enumerate(r.names)})

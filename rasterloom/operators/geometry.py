@@ -260,7 +260,8 @@ def _between(r: Raster, before: list[Column], after: list[Column], share: Column
 
 def matrix_transform(r: Raster, matrix, width: int | None = None, height: int | None = None, background: tuple[int, ...] = (0, 0, 0, 0)) -> Raster:
     """Each output place's source by a 3 x 3 matrix with perspective division, mixed from the (up to four) pixels around it;
-    background stands where there is none. The pixels around are rows of one join, gathered again by output place."""
+    background stands where there is none. A row of the source and the one below it are arrays of one band, which an output
+    place meets by one join."""
     m, w, h = matrix, width or r.width, height or r.height
     images = r.px.select("image_id").distinct()
     grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("ox"))
@@ -269,14 +270,18 @@ def matrix_transform(r: Raster, matrix, width: int | None = None, height: int |
     place = lambda k: at(k) / F.when(F.abs(z) > 1e-7, z)
     asked = grid.withColumns({"sx": place(0), "sy": place(3)})
     near = F.coalesce((F.col("sx") >= -1) & (F.col("sx") < r.width) & (F.col("sy") >= -1) & (F.col("sy") < r.height), F.lit(False))
-    asked = asked.select("image_id", "oy", "ox", *(F.when(near, F.floor(s)).cast("int").alias(f"b{s[1]}") for s in ("sx", "sy")), *(F.when(near, F.col(s) - F.floor(s)).otherwise(F.lit(0.0)).alias(f"d{s[1]}") for s in ("sx", "sy")))
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)))).alias("at")
-    asked = asked.select("*", corner).where("(at.i = 0 or dx > 0) and (at.j = 0 or dy > 0)").withColumns({"x": F.col("bx") + F.col("at.i"), "y": F.col("by") + F.col("at.j")})
-    found = asked.join(r.px, KEYS, "left").select("image_id", "oy", "ox", "dx", "dy", "at", *(F.coalesce(F.col(n), F.lit(background[k])).alias(n) for k, n in enumerate(r.names)))
-    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
-    gathered = found.groupBy("image_id", "oy", "ox").agg(F.max("dx").alias("dx"), F.max("dy").alias("dy"), *(F.max(F.when((F.col("at.i") == i) & (F.col("at.j") == j), F.col(n))).alias(f"{n}_{i}{j}") for i, j in corners for n in r.names))
-    row = lambda j: _between(r, *([F.coalesce(F.col(f"{n}_{i}{j}"), F.col(f"{n}_00")) for n in r.names] for i in (0, 1)), F.col("dx"))
-    rows = gathered.select("image_id", "oy", "ox", "dy", *(c.alias(f"{n}_{j}") for j in (0, 1) for n, c in zip(r.names, row(j), strict=True)))
+    share = lambda s: F.when(near, F.col(s) - F.floor(s)).otherwise(F.lit(0.0))
+    # places outside go by bands that don't exist, spread by their own rows
+    band = F.when(near, F.floor("sy").cast("int")).otherwise(-2 - F.col("oy"))
+    asked = asked.select("image_id", "oy", "ox", band.alias("band"), F.when(near, F.floor("sx").cast("int")).alias("bx"), share("sx").alias("dx"), share("sy").alias("dy"))
+    lines = r.px.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *r.names))).alias("_line"))
+    lines = lines.select("image_id", "_line", F.explode(F.array(F.struct(F.col("y").alias("band"), F.lit(0).alias("j")), F.struct((F.col("y") - 1).alias("band"), F.lit(1).alias("j")))).alias("_at"))
+    bands = lines.groupBy("image_id", F.col("_at.band").alias("band")).agg(*(F.first(F.when(F.col("_at.j") == j, F.col("_line")), ignorenulls=True).alias(f"_line{j}") for j in (0, 1)))
+    found = asked.join(bands, ["image_id", "band"], "left")
+    corner = lambda i, j: [F.coalesce(F.get(F.col(f"_line{j}"), F.col("bx") + i)[n], F.lit(background[k])) for k, n in enumerate(r.names)]
+    found = found.select("image_id", "oy", "ox", "dx", "dy", *(c.alias(f"{n}_{i}{j}") for j in (0, 1) for i in (0, 1) for n, c in zip(r.names, corner(i, j), strict=True)))
+    row = lambda j: _between(r, *([F.col(f"{n}_{i}{j}") for n in r.names] for i in (0, 1)), F.col("dx"))
+    rows = found.select("image_id", "oy", "ox", "dy", *(c.alias(f"{n}_{j}") for j in (0, 1) for n, c in zip(r.names, row(j), strict=True)))
     out = _between(r, *([F.col(f"{n}_{j}") for n in r.names] for j in (0, 1)), F.col("dy"))
     if r.bits == "16":
         out = [(c + 0.5).cast("int") for c in out]

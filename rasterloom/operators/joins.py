@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.blend import IN_HSV, Arithmetic
+from rasterloom.functions.blend import IN_HSV, Arithmetic, prepared, prepared_over
 from rasterloom.functions.blend import combine as blended
 from rasterloom.functions.samples import clamp, quotient
 from rasterloom.model import KEYS, Raster
@@ -66,13 +66,16 @@ def compose(dst: Raster, src: Raster, left: int = 0, top: int = 0, mode: str = "
     else:
         alpha = F.when(cover == int(top_) if whole else cover == 1.0, alpha).otherwise(quotient(alpha * cover, int(top_)).cast("int") if whole else alpha * cover)
     old = _pixel(dst.names, dst.has_alpha)
-    known: tuple = (None, None)
+    unit = int(top_) if whole else 1.0
     if mode in IN_HSV and len(colours) == 3:
-        math = Arithmetic(int(top_) if whole else 1.0)
-        staged = {f"_{side}{k}": c for side, of in (("s", colours), ("d", old[0])) for k, c in zip("hsv", math.to_hsv(of), strict=True)}
-        px = px.withColumns(staged | {"_alpha": alpha})
-        known, alpha = (tuple(F.col(f"_s{k}") for k in "hsv"), tuple(F.col(f"_d{k}") for k in "hsv")), F.col("_alpha")
-    new_colours, new_alpha = blended(mode, 1.0 if not whole else int(top_), (colours, alpha), old, *known)
+        to_hsv = Arithmetic(unit).to_hsv
+        px = px.withColumns({f"_{side}{k}": c for side, of in (("s", colours), ("d", old[0])) for k, c in zip("hsv", to_hsv(of), strict=True)} | {"_alpha": alpha})
+        figures = [tuple(F.col(f"_{side}{k}") for k in "hsv") for side in "sd"]
+        new, cover_ = prepared(mode, unit, (colours, F.col("_alpha")), old, *figures)
+        px = px.withColumns({f"_n{k}": c for k, c in enumerate(new)} | {"_cover": cover_})
+        new_colours, new_alpha = prepared_over(unit, ([F.col(f"_n{k}") for k in range(3)], F.col("_cover")), old)
+    else:
+        new_colours, new_alpha = blended(mode, unit, (colours, alpha), old)
     made = new_colours + ([new_alpha] if dst.has_alpha else [])
     return dst.with_px(px).project({n: F.when(there, c).otherwise(F.col(n)) for n, c in zip(dst.names, made, strict=True)})
 

@@ -501,6 +501,9 @@ _QUAD = [[(5, 5), (55, 10), (40, 45), (10, 40)]]
 for _name, _shape, _rule in (("polygon_aa", _QUAD, "nonzero"), ("polygon_aa_star", _STAR, "evenodd"), ("polygon_aa_star_nonzero", _STAR, "nonzero")):
     add(_name, lambda r, s=_shape, u=_rule: sweep.polygon(r, s, (1, 2, 3), u), _swept_sql(_shape, _rule == "nonzero", (1, 2, 3)))
 
+for _name, _pie in (("arc_aa", (30.5, 25.25, 17.5, 20, 250)), ("arc_aa_over_zero", (20, 20, 30, 300, 45))):
+    add(_name, lambda r, a=_pie: draw.arc_aa(r, *a, (1, 2, 3)), _swept_sql([draw.soft_sector(*_pie)], False, (1, 2, 3)))
+
 
 def _own_shapes(r: Raster) -> DataFrame:
     """A triangle of each image's own: its corners follow the samples of three of its pixels."""

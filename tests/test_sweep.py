@@ -1,5 +1,6 @@
 """Anti-aliased polygons against a plain sweep written from the definition, and by hand."""
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.model import KEYS, blank
-from rasterloom.operators import sweep
+from rasterloom.operators import draw, sweep
 
 
 def cut(a, b):
@@ -111,6 +112,33 @@ def test_random_shapes_by_image(spark):
             assert (out[k] == swept(shape, 32, 30, rule)).all(), (rule, k)
 
 
+def plain_pie(cx, cy, radius, d1, d2):
+    """From the middle to the rim and along it, by steps of one pixel or a degree at least and an eighth turn at most."""
+    d1, d2 = math.fmod(d1, 360), 360 if d1 % 360 == 0 and d2 >= 360 else math.fmod(d2, 360)
+    at, end = math.radians(1) * d1, math.radians(1) * (d2 if d2 >= d1 else d2 + 360)
+    steps = int(2 * math.pi * radius)
+    out = [(cx, cy), (cx + radius * math.cos(at), cy + radius * math.sin(at))]
+    while at < end:
+        out.append((cx + radius * math.cos(at), cy + radius * math.sin(at)))
+        at += 2 * math.pi / (360 if steps > 360 else 8 if steps < 8 else steps)
+    return [*out, (cx + radius * math.cos(end), cy + radius * math.sin(end))]
+
+
+@pytest.mark.parametrize("pie", [(30.3, 25.1, 17.5, 20, 250), (20, 20, 30, 300, 45), (32, 25, 0.9, 10, 200), (32, 25, 80, 0, 90), (10, 10, 9, 0, 400), (31, 22, 12, 725, 30)])
+def test_soft_pies(spark, pie):
+    want = swept([plain_pie(*pie)], 64, 50, "evenodd") / 255.0
+    assert np.allclose(draw.soft_sector(*pie), plain_pie(*pie), atol=1e-9)
+    got = {(p.y, p.x): p.c0 for p in draw.arc_aa(blank(spark, 64, 50, 1, colour=(40,)), *pie, (200,)).px.collect()}
+    assert len(got) == 3200 and want.any()
+    assert all(v == int(want[k] * 200 + (1 - want[k]) * 40) for k, v in got.items())
+
+
+def test_soft_pie_of_all_is_a_disc(spark):
+    r = blank(spark, 20, 20, 1)
+    rows = lambda r: sorted(map(tuple, r.px.select(*KEYS, "c0").collect()))
+    assert rows(draw.arc_aa(r, 9.5, 9.5, 6, 0, 361, (9,))) == rows(draw.circle_aa(r, 9.5, 9.5, 6, (9,)))
+
+
 def test_painted_by_hand(spark):
     """A box from 1.5 to 3 by 1 to 2.25: half a pixel, a whole one, and a quarter of their heights below."""
     r = sweep.polygon(blank(spark, 5, 4, 2, colour=(100, 0)), [[(1.5, 1), (3, 1), (3, 2.25), (1.5, 2.25)]], (200, 255))
