@@ -22,6 +22,8 @@ class Arithmetic:
         # HSV figures that already stand in columns, of the source and the destination
         self.source_hsv: tuple[Column, ...] | None = None
         self.target_hsv: tuple[Column, ...] | None = None
+        # and the colours that the chosen figures make
+        self.made: list[Column] | None = None
         self.zero = F.lit(0.0 if self.exact else 0)
 
     def over(self, a: Column, b: Column | float) -> Column:
@@ -112,35 +114,36 @@ def _keep_alpha(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel:
     return colours, None if alpha is None else F.when(src[1] == m.top, src[1]).otherwise(da)
 
 
+def chosen(mode: str, source: tuple[Column, ...], target: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Of the HSV figures of both sides those that a mode makes colours from."""
+    taken = {"hue": (True, False, False), "saturation": (False, True, False), "value": (False, False, True), "color": (True, True, False)}[mode]
+    return tuple(p if take else q for p, q, take in zip(source, target, taken, strict=True))
+
+
 def _hue(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel | None:
     (sc, sa), (dc, da) = src, dst
     if len(sc) < 3:
         return None
-    sh, ss, _ = m.source_hsv or m.to_hsv(sc)
+    sh, ss, sv = m.source_hsv or m.to_hsv(sc)
     dh, ds, dv = m.target_hsv or m.to_hsv(dc)
-    lively = (ss != 0) & (sa != 0) & (F.lit(True) if da is None else da != 0)
-    grey = ds == 0
-    made = m.to_rgb(sh, ds, dv)
-    if da is None:
-        # over a grey destination the source carries the destination's HSV figures, with whatever stands in its alpha's place
-        made = [F.when(lively & ~grey, a).otherwise(b) for a, b in zip(made, (dh, ds, dv), strict=True)]
-    return made, F.when(lively & ~grey, sa).otherwise(m.zero)
+    lively = (ss != 0) & (ds != 0) if da is None else (ss != 0) & (ds != 0) & (da != 0)
+    # over or from a grey nothing is mixed, whatever the colours
+    return m.made or m.to_rgb(*chosen("hue", (sh, ss, sv), (dh, ds, dv))), F.when(lively, sa).otherwise(m.zero)
 
 
-def _parts(hue: bool, saturation: bool, value: bool):
+def _parts(mode: str):
     def made(m: Arithmetic, src: Pixel, dst: Pixel) -> Pixel | None:
         (sc, sa), (dc, _) = src, dst
         if len(sc) < 3:
-            return src if value else None
-        a, b = m.source_hsv or m.to_hsv(sc), m.target_hsv or m.to_hsv(dc)
-        return list(m.to_rgb(*(p if take else q for p, q, take in zip(a, b, (hue, saturation, value), strict=True)))), sa
+            return src if mode == "value" else None
+        return m.made or m.to_rgb(*chosen(mode, m.source_hsv or m.to_hsv(sc), m.target_hsv or m.to_hsv(dc))), sa
 
     return made
 
 
 #: Modes that work on HSV figures: what their source becomes before it is mixed (None: the destination stays). A caller does
 #: well to put the figures, and then the new source, into columns first, as each is used many times.
-IN_HSV: dict[str, Callable] = {"hue": _hue, "saturation": _parts(False, True, False), "value": _parts(False, False, True), "color": _parts(True, True, False)}
+IN_HSV: dict[str, Callable] = {"hue": _hue, **{name: _parts(name) for name in ("saturation", "value", "color")}}
 
 
 def _mixed(made: Callable):
@@ -169,10 +172,11 @@ MODES: dict[str, Callable] = {
 }
 
 
-def prepared(mode: str, top: float, src: Pixel, dst: Pixel, source_hsv: tuple[Column, ...], target_hsv: tuple[Column, ...]) -> Pixel:
-    """The source that a mode in IN_HSV mixes, from HSV figures of both sides; mix it by prepared_over."""
+def prepared(mode: str, top: float, src: Pixel, dst: Pixel, source_hsv: tuple[Column, ...], target_hsv: tuple[Column, ...], made: list[Column]) -> Pixel:
+    """The source that a mode in IN_HSV mixes, from HSV figures of both sides and the colours that the chosen ones make; mix
+    it by prepared_over."""
     math = Arithmetic(top)
-    math.source_hsv, math.target_hsv = source_hsv, target_hsv
+    math.source_hsv, math.target_hsv, math.made = source_hsv, target_hsv, made
     return IN_HSV[mode](math, src, dst)
 
 

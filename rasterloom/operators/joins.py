@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.blend import IN_HSV, Arithmetic, prepared, prepared_over
+from rasterloom.functions.blend import IN_HSV, Arithmetic, chosen, prepared, prepared_over
 from rasterloom.functions.blend import combine as blended
-from rasterloom.functions.samples import clamp, quotient
+from rasterloom.functions.samples import clamp, quotient, with_hsv8, with_rgb8
 from rasterloom.model import KEYS, Raster
 from rasterloom.operators.point import adapt
 
@@ -68,12 +68,17 @@ def compose(dst: Raster, src: Raster, left: int = 0, top: int = 0, mode: str = "
     old = _pixel(dst.names, dst.has_alpha)
     unit = int(top_) if whole else 1.0
     if mode in IN_HSV and len(colours) == 3:
-        to_hsv = Arithmetic(unit).to_hsv
-        px = px.withColumns({f"_{side}{k}": c for side, of in (("s", colours), ("d", old[0])) for k, c in zip("hsv", to_hsv(of), strict=True)} | {"_alpha": alpha})
-        figures = [tuple(F.col(f"_{side}{k}") for k in "hsv") for side in "sd"]
-        new, cover_ = prepared(mode, unit, (colours, F.col("_alpha")), old, *figures)
-        px = px.withColumns({f"_n{k}": c for k, c in enumerate(new)} | {"_cover": cover_})
-        new_colours, new_alpha = prepared_over(unit, ([F.col(f"_n{k}") for k in range(3)], F.col("_cover")), old)
+        px, sides, new_names = px.withColumn("_alpha", alpha), {"_s": colours, "_d": old[0]}, ["_n0", "_n1", "_n2"]
+        figures = [tuple(F.col(p + k) for k in "hsv") for p in sides]
+        if whole:
+            px = with_rgb8(with_hsv8(px, sides), *chosen(mode, *figures), new_names)
+        else:
+            math = Arithmetic(unit)
+            px = px.withColumns({p + k: c for p, of in sides.items() for k, c in zip("hsv", math.to_hsv(of), strict=True)})
+            px = px.withColumns(dict(zip(new_names, math.to_rgb(*chosen(mode, *figures)), strict=True)))
+        new, cover_ = prepared(mode, unit, (colours, F.col("_alpha")), old, *figures, [F.col(n) for n in new_names])
+        px = px.withColumns({n: c for n, c in zip(new_names, new, strict=True)} | {"_cover": cover_})
+        new_colours, new_alpha = prepared_over(unit, ([F.col(n) for n in new_names], F.col("_cover")), old)
     else:
         new_colours, new_alpha = blended(mode, unit, (colours, alpha), old)
     made = new_colours + ([new_alpha] if dst.has_alpha else [])
