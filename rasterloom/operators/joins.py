@@ -167,11 +167,19 @@ def img_same(a: Raster, b: Raster, epsilon: float) -> DataFrame:
     return _both(a, b).groupBy("image_id").agg(F.bool_and(ok).alias("same"))
 
 
-def set_pixels(r: Raster, updates: DataFrame) -> Raster:
-    """updates (image_id, y, x, seq, c0..): the last of each place by seq wins; places outside are dropped."""
-    last = updates.groupBy(*KEYS).agg(F.max_by(F.struct(*r.names), "seq").alias("_new"))
+def set_pixels(r: Raster, updates: DataFrame, channels: list[int] | None = None) -> Raster:
+    """updates (image_id, y, x, seq, c0..): the last of each place by seq wins; places outside are dropped. With channels,
+    only these are there and written."""
+    names = r.names if channels is None else [r.names[k] for k in channels]
+    last = updates.groupBy(*KEYS).agg(F.max_by(F.struct(*names), "seq").alias("_new"))
     px = r.px.join(last, KEYS, "left")
-    return r.with_px(px).project({n: F.coalesce(F.col(f"_new.{n}"), F.col(n)) for n in r.names})
+    return r.with_px(px).project({n: F.coalesce(F.col(f"_new.{n}"), F.col(n)) for n in names})
+
+
+def set_scanline(r: Raster, y: int, left: int, pixels: DataFrame, channels: list[int] | None = None) -> Raster:
+    """pixels (image_id, at, c0..): written along row y from left on; those beyond the row are dropped."""
+    place = (F.col("at") + left).cast("int")
+    return set_pixels(r, pixels.select("*", F.lit(y).alias("y"), place.alias("x"), F.lit(0).alias("seq")), channels) if 0 <= y < r.height else r
 
 
 def masked_channels(r: Raster, new: Raster, mask: int) -> Raster:

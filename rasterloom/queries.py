@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import model
-from rasterloom.functions import samples, tags
+from rasterloom.functions import colour, samples, tags
 from rasterloom.functions.blend import MODES
 from rasterloom.model import KEYS, Raster
 from rasterloom.operators import aggregates, draw, fills, geometry, glyphs, joins, palette, point, procedural, quantize, spans, stencil, sweep, text
@@ -730,3 +730,46 @@ def _untagged():
 
 QUERIES["tags_typed"] = _tags_typed
 SQL["tags_typed"] = "select p_partkey, 5 as n, p_retailprice::double as price, printf('%.4e', p_retailprice::double / 7)::double as seventh, p_size::varchar as \"first\", 2 as \"both\", 3 as \"left\", (p_partkey % 256)::int as green, true as gone, 'color(' || p_size || ',' || (p_partkey % 256) || ',3,255)' as \"text\" from part"
+
+
+# Rows and samples written, colours as text and by hue
+
+add("setscanline", lambda r: joins.set_scanline(r, 11, 40, r.px.where("y = 3").select("image_id", F.col("x").alias("at"), *r.names)), f"{BASE} select p.image_id, p.y, p.x, {each('case when p.y = 11 and p.x >= 40 then q.c@ else p.c@ end')} from p left join p q on q.image_id = p.image_id and q.y = 3 and q.x = p.x - 40")
+add("setsamples", lambda r: joins.set_scanline(r, 11, -9, r.px.where("y = 3").select("image_id", F.col("x").alias("at"), F.col("c0").alias("c2"), F.col("c1").alias("c0")), [2, 0]), f"{BASE} select p.image_id, p.y, p.x, case when q.c0 is not null then q.c1 else p.c0 end as c0, p.c1, case when q.c0 is not null then q.c0 else p.c2 end as c2 from p left join p q on p.y = 11 and q.image_id = p.image_id and q.y = 3 and q.x = p.x + 9")
+_TURN = {a: f"({p} - {q}) / (mx - mn)::double * 60" for a, p, q in (("r", "c1", "c2"), ("g", "c2", "c0"), ("b", "c0", "c1"))}
+_DEGREES = f"dg as (select *, case when mx = mn then 0 when c0 = mx then (trunc({_TURN['r']})::int + 360) % 360 when c1 = mx then trunc({_TURN['g']} + 120)::int else trunc({_TURN['b']} + 240)::int end as h, case when mx = 0 then 0::double else 1 - mn / mx::double end as s, mx / 255.0::double as v from (select *, greatest(c0, c1, c2) as mx, least(c0, c1, c2) as mn from p))"
+
+
+def _from_degrees(sextants: str) -> str:
+    """Of the letters m, n, k and v that which the hue's sextant, which starts at h // 60, takes."""
+    return f"trunc(case when s <= 0 then w when false then 0 {' '.join(f'when h // 60 = {i} then {x}' for i, x in enumerate(sextants.replace('v', 'w')))} end)::int"
+
+
+add("colour_hsv", lambda r: r.px.select(*KEYS, *(c.alias(n) for n, c in zip("hsv", colour.hsv(*map(F.col, r.names)), strict=True))), f"{BASE}, {_DEGREES} select image_id, y, x, h, s, v from dg")
+add("colour_from_hsv", lambda r: r.project(dict(zip(r.names, colour.from_hsv(F.col("c0") * 3 - 100, F.col("c1") / 250, F.col("c2") / 255), strict=True))), f"""{BASE}, q0 as (select image_id, y, x, case when c0 * 3 - 100 >= 360 then (c0 * 3 - 100) % 360 when c0 * 3 < 100 then c0 * 3 + 260 else c0 * 3 - 100 end as h, least(1, c1 / 250::double) as s, c2 / 255::double * 255 as w from p),
+q as (select *, w * (1 - s) as m, w * (1 - s * (h / 60.0::double - h // 60)) as n, w * (1 - s * (1 - (h / 60.0::double - h // 60))) as k from q0) select image_id, y, x, {_from_degrees('vnmmkv')} as c0, {_from_degrees('kvvnmm')} as c1, {_from_degrees('mmkvvn')} as c2 from q""")
+_READS = "ceil({} * 255 / {}::double) = c3"
+_CSS_ALPHA = f"case when {_READS.format('(c3 * 1000 // 255 // 100)', 10)} then case when c3 * 1000 // 255 < 100 then '0' else '0.' || (c3 * 1000 // 255 // 100) end when {_READS.format('(c3 * 1000 // 255 // 10)', 100)} or c3 * 1000 // 255 % 10 = 0 then (c3 * 1000 // 255 // 10) || '%' else (c3 * 1000 // 255 // 10) || '.' || (c3 * 1000 // 255 % 10) || '%' end"
+add("colour_css", lambda r: r.px.select(*KEYS, colour.css(*map(F.col, r.names)).alias("css")), f"{BASE} select image_id, y, x, case when c3 = 255 then format('rgb({{}}, {{}}, {{}})', c0, c1, c2) else format('rgba({{}}, {{}}, {{}}, {{}})', c0, c1, c2, {_CSS_ALPHA}) end as css from a", 4)
+add("colour_round_trip", lambda r: r.px.select(*KEYS, colour.parsed(colour.css(*map(F.col, r.names))).alias("_c")).select(*KEYS, *(F.col(f"_c.{c}").alias(n) for c, n in zip("rgba", r.names, strict=True))), select(each("c@", 4), "a"), 4)
+
+
+def _colour_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Colours written in seven ways by the number of a part."""
+    keys = spark.read.parquet(f"{folder}/part.parquet").selectExpr("p_partkey", "cast(p_partkey % 256 as int) as r", "cast(p_partkey * 7 % 256 as int) as g", "cast(p_partkey * 13 % 256 as int) as b")
+    ways = ["format_string('#%02x%02x%02x', r, g, b)", "format_string('%02X%02X%02X%02X', r, g, b, r)", "format_string(' #%x%x%x', r % 16, g % 16, b % 16)", "format_string('rgb(%d, %d,%d)', r, g, b)", "format_string('rgba(%d %d %d / %d%%)', r, g, b, r % 100)", "format_string('rgb( %d.5%% %d%%,%d )', r % 100, g % 100, b)", "element_at(array('Navy', 'teal ', 'nothing'), r % 3 + 1)"]
+    text_ = F.expr(f"element_at(array({', '.join(ways)}), cast(p_partkey % 7 + 1 as int))")
+    return keys.select("p_partkey", colour.parsed(text_).alias("c")).select("p_partkey", *(F.col(f"c.{n}").alias(n) for n in "rgba"))
+
+
+QUERIES["colour_parse"] = _colour_parse
+
+
+def _way(*values: str) -> str:
+    return f"case p_partkey % 7 {' '.join(f'when {k} then {v}' for k, v in enumerate(values))} end"
+
+
+_NAMED = [f"[{', '.join(map(str, v))}, null][r0 % 3 + 1]" for v in ((0, 0), (0, 128), (128, 128), (255, 255))]
+_PER_CENT = "ceil({} * 255 / 100.0::double)::int"
+SQL["colour_parse"] = f"""with k as (select p_partkey, p_partkey % 256 as r0, p_partkey * 7 % 256 as g0, p_partkey * 13 % 256 as b0 from part) select p_partkey, {_way('r0', 'r0', 'r0 % 16 * 17', 'r0', 'r0', _PER_CENT.format('(r0 % 100 + 0.5::double)'), _NAMED[0])}::int as r,
+{_way('g0', 'g0', 'g0 % 16 * 17', 'g0', 'g0', _PER_CENT.format('(g0 % 100)'), _NAMED[1])}::int as g, {_way('b0', 'b0', 'b0 % 16 * 17', 'b0', 'b0', 'b0', _NAMED[2])}::int as b, {_way('255', 'r0', '255', '255', _PER_CENT.format('(r0 % 100)'), '255', _NAMED[3])}::int as a from k"""

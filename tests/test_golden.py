@@ -224,6 +224,21 @@ def test_colours():
         colour.parse("nothing")
 
 
+def test_colour_columns(spark):
+    texts = ["#f80", "102030", "#10203040", "rgb(10%, 20, 30)", "rgba(1,2,3,0.5)", "rgba( 1 2 3 / .25 )", "rgb(255.0 0 300)", " Navy ", "ivory", "nothing", "#12", "rgb(1,2)", "", None]
+    got = [r.c and tuple(r.c) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(colour.parsed(F.col("t"), {"ivory": (255, 255, 240)}).alias("c")).collect()]
+    assert got == [(255, 136, 0, 255), (16, 32, 48, 255), (16, 32, 48, 64), (26, 20, 30, 255), (1, 2, 3, 128), (1, 2, 3, 64), (255, 0, 255, 255), (0, 0, 128, 255), (255, 255, 240, 255), None, None, None, None, None]
+    d = spark.range(256).select(F.col("id").cast("int").alias("a"))
+    for a, text_ in d.select("a", colour.css(F.lit(1), F.lit(2), F.lit(3), F.col("a"))).collect():
+        assert text_ == colour.as_css((1, 2, 3, a)) and colour.parse(text_) == (1, 2, 3, a)
+    assert [colour.as_css((0, 0, 0, a)) for a in (0, 128, 64, 3, 1)] == ["rgba(0, 0, 0, 0)", "rgba(0, 0, 0, 0.5)", "rgba(0, 0, 0, 25%)", "rgba(0, 0, 0, 1%)", "rgba(0, 0, 0, 0.3%)"]
+    rgb = spark.createDataFrame([(255, 0, 0), (255, 0, 128), (0, 255, 0), (10, 20, 30), (0, 0, 0), (7, 7, 7)], "r int, g int, b int")
+    rows = [tuple(r) for r in rgb.select(*colour.hsv(*map(F.col, "rgb"))).collect()]
+    assert rows == [(0, 1.0, 1.0), (330, 1.0, 1.0), (120, 1.0, 1.0), (210, 1 - 10 / 30, 30 / 255), (0, 0.0, 0.0), (0, 0.0, 7 / 255)]
+    hsv = spark.createDataFrame([(120.0, 0.5, 1.0), (480.9, 0.5, 1.0), (-60.0, 1.0, 1.0), (7.0, 0.0, 0.5), (7.0, 2.0, -1.0)], "h double, s double, v double")
+    assert [tuple(r) for r in hsv.select(*colour.from_hsv(*map(F.col, "hsv"))).collect()] == [(127, 255, 127), (127, 255, 127), (255, 0, 255), (127, 127, 127), (0, 0, 0)]
+
+
 def test_tags(spark):
     d = spark.range(1).select(F.array().cast(tags.KIND).alias("t"))
     d = d.select(tags.add(tags.add(tags.add(F.col("t"), "a", 1), "a", "x7"), "c", "color(1,2,3)").alias("t"))
