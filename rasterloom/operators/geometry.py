@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, cos, floor, pi, sin, sqrt
 
 import numpy as np
@@ -186,21 +187,36 @@ def scale(r: Raster, sx: float, sy: float, quality: str = "normal") -> Raster:
     return scale_axis(scale_axis(r, "x", sx), "y", sy)
 
 
-def scale_calculate(width: int, height: int, scalefactor: float | None = None, xpixels: int | None = None, ypixels: int | None = None, kind: str = "max") -> tuple[float, float, int, int]:
-    """(sx, sy, width, height) for pixel targets: kind max, min or nonprop."""
-    if scalefactor:
-        sx = sy = scalefactor
-    elif xpixels and ypixels:
+def scale_calculate(
+    width: int, height: int, scalefactor: float | None = None, xpixels: int | None = None, ypixels: int | None = None, kind: str = "max",
+    xscalefactor: float | None = None, yscalefactor: float | None = None, constrain: Callable[[int, int], float] | None = None,
+) -> tuple[float, float, int, int]:
+    """(sx, sy, width, height). Pixel targets (both by kind max, min or nonprop) come before a function of the size that
+    gives a factor, and that before factors; an axis without one takes scalefactor, then the other axis', then a half."""
+    if kind not in ("max", "min", "nonprop", "non-proportional"):
+        raise ValueError(f"no kind of scaling {kind}")
+    if xpixels and ypixels:
         sx, sy = xpixels / width, ypixels / height
-        if kind != "nonprop":
+        if not kind.startswith("non"):
             sx = sy = max(sx, sy) if kind == "max" else min(sx, sy)
     elif xpixels or ypixels:
         sx = sy = xpixels / width if xpixels else ypixels / height
+    elif constrain is not None:
+        sx = sy = constrain(width, height)
+        if not sx:
+            raise ValueError("no factor from constrain")
     else:
-        sx = sy = 0.5
+        sx = xscalefactor or scalefactor or yscalefactor or 0.5
+        sy = yscalefactor or scalefactor or xscalefactor or 0.5
     return sx, sy, max(1, int(width * sx + 0.5)), max(1, int(height * sy + 0.5))
 
 
+def scale_to(r: Raster, quality: str = "normal", **target) -> Raster:
+    """Scaled as scale_calculate says."""
+    sx, sy, width, height = scale_calculate(r.width, r.height, **target)
+    return scale_mixing(r, width, height) if quality == "mixing" else scale(r, sx, sy, quality)
+
+
 class Matrix2d(tuple):
     """Nine numbers, row by row, that take output places to source places."""
 
@@ -222,13 +238,21 @@ class Matrix2d(tuple):
         return cls((1, x, 0, y, 1, 0, 0, 0, 1))
 
     @classmethod
-    def reflect(cls, axis: str) -> Matrix2d:
-        return cls((-1 if axis in ("x", "xy") else 1, 0, 0, 0, -1 if axis in ("y", "xy") else 1, 0, 0, 0, 1))
+    def reflect(cls, axis: str | None = None, radians: float | None = None) -> Matrix2d:
+        """At an axis (x: what lies above goes below), or at one through the origin at an angle."""
+        if axis is None:
+            if radians is None:
+                raise ValueError("a reflection has an axis or an angle")
+            return cls.rotate(-radians) * cls.reflect("x") * cls.rotate(radians)
+        if axis not in ("x", "y"):
+            raise ValueError(f"no axis {axis}")
+        return cls((-1 if axis == "y" else 1, 0, 0, 0, -1 if axis == "x" else 1, 0, 0, 0, 1))
 
     @classmethod
     def scale(cls, x: float = 1, y: float = 1, centre: tuple[float, float] | None = None) -> Matrix2d:
+        """With a centre, places are moved by it first and back after."""
         m = cls((x, 0, 0, 0, y, 0, 0, 0, 1))
-        return m if centre is None else cls.translate(*centre) * m * cls.translate(-centre[0], -centre[1])
+        return m if centre is None else cls.translate(-centre[0], -centre[1]) * m * cls.translate(*centre)
 
     def __mul__(self, other) -> Matrix2d:
         if isinstance(other, (int, float)):

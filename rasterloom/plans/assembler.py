@@ -1,5 +1,5 @@
 """Assembled pixel programs, the only ones with loops: parsed once, then run over whole batches of pixels. Pixels that have
-come to different instructions are run in groups by instruction; a cap on steps ends programs that don't."""
+come to different instructions are run in groups by instruction; a program that hasn't ended after a number of steps is an error."""
 
 from __future__ import annotations
 
@@ -106,6 +106,9 @@ class Program:
                     continue
                 store[to][..., rows] = np.array((NUMBERS | PIXELS)[op](*(get(a, rows) for a in args)), float)
                 at[rows] += 1
+            else:
+                if at.min(initial=end) < end:
+                    raise ExpressionError(f"a pixel hasn't returned after {steps} steps")
         return list(out)
 
 

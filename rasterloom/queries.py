@@ -91,6 +91,7 @@ for _d, _x, _y in (("h", "63 - x", "y"), ("v", "x", "49 - y"), ("hv", "63 - x",
 for _d, _x, _y in ((90, "49 - y", "x"), (180, "63 - x", "49 - y"), (270, "y", "63 - x")):
     add(f"rotate{_d}", lambda r, d=_d: geometry.rotate90(r, d), f"{BASE} select image_id, {_y} as y, {_x} as x, c0, c1, c2 from p")
 add("scale_nn", lambda r: geometry.scale_nearest(r, 0.5, 2.0), f"{BASE}, o as (select unnest(range(32))::int as ox), q as (select unnest(range(100))::int as oy) select image_id, oy as y, ox as x, c0, c1, c2 from o, q, p where p.x = trunc(ox / 0.5)::int and p.y = trunc(oy / 2.0)::int")
+add("scale_to_pixels", lambda r: geometry.scale_to(r, "preview", xpixels=40, ypixels=70, kind="min"), f"{BASE}, o as (select unnest(range(40))::int as ox), q as (select unnest(range(31))::int as oy) select image_id, oy as y, ox as x, c0, c1, c2 from o, q, p where p.x = trunc(ox / 0.625)::int and p.y = trunc(oy / 0.625)::int")
 add("scale_mixing", lambda r: geometry.scale_mixing(r, 32, 25), f"{BASE} select image_id, y // 2 as y, x // 2 as x, {each('least(255, floor(sum(c@) / 4 + 0.5))::int')} from p group by 1, y // 2, x // 2")
 
 
@@ -149,6 +150,8 @@ def _mixed_sql(m: tuple[float, ...], w: int, h: int) -> str:
 _SHEARED = geometry.Matrix2d.translate(3, -2.25) * geometry.Matrix2d.shear(0.5, 0)
 add("matrix_transform", lambda r: geometry.matrix_transform(r, _SHEARED), _mixed_sql(_SHEARED, 64, 50))
 add("matrix_transform_alpha", lambda r: geometry.matrix_transform(r, _SHEARED, background=(10, 20, 30, 40)), None, 4)
+_MIRRORED = geometry.Matrix2d.translate(30, 40) * geometry.Matrix2d.reflect(radians=0.3) * geometry.Matrix2d.scale(0.8, 1.1, (2, 3))
+add("matrix_reflect", lambda r: geometry.matrix_transform(r, _MIRRORED), _mixed_sql(_MIRRORED, 64, 50))
 add("rotate_angle", lambda r: geometry.rotate(r, 30), _mixed_sql(*geometry.rotation(64, 50, 30)))
 
 # Neighbourhoods

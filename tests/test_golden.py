@@ -123,7 +123,8 @@ def test_assembled(spark):
     for bad in ("jump nowhere", "q = add 1 2", "var a:z", "var a:n ; var a:n", "var a:n ; a = add b 1"):
         with pytest.raises(expression.ExpressionError):
             assembler.Program(bad)
-    assert assembler.Program("here: jump here").run(50, x=__import__("numpy").zeros(2))[0].tolist() == [0, 0]
+    with pytest.raises(expression.ExpressionError, match="50 steps"):
+        assembler.Program("here: jump here").run(50, x=__import__("numpy").zeros(2))
 
 
 def test_geometry_properties(spark):
@@ -148,6 +149,27 @@ def test_geometry_properties(spark):
     assert m.close(geometry.Matrix2d.identity())
 
 
+def test_scale_sizes():
+    c = geometry.scale_calculate
+    assert c(100, 50) == (0.5, 0.5, 50, 25) and c(100, 50, 2, ypixels=100) == (2, 2, 200, 100) and c(100, 50, 3, xpixels=50) == (0.5, 0.5, 50, 25)
+    assert c(100, 50, xpixels=50, ypixels=50) == (1, 1, 100, 50) and c(100, 50, xpixels=50, ypixels=50, kind="min")[2:] == (50, 25) and c(100, 50, xpixels=50, ypixels=50, kind="nonprop") == (0.5, 1, 50, 50)
+    assert c(100, 50, xscalefactor=0.3)[:2] == (0.3, 0.3) and c(100, 50, 2, yscalefactor=0.3)[:2] == (2, 0.3) and c(3, 1, xscalefactor=0.5, yscalefactor=0.1) == (0.5, 0.1, 2, 1)
+    assert c(100, 50, constrain=lambda w, h: 20 / max(w, h)) == (0.2, 0.2, 20, 10)
+    for bad in ({"kind": "most"}, {"constrain": lambda w, h: 0}):
+        with pytest.raises(ValueError):
+            c(100, 50, **bad)
+
+
+def test_matrices():
+    m = geometry.Matrix2d
+    at = lambda a, x, y: tuple(round(a[3 * k] * x + a[3 * k + 1] * y + a[3 * k + 2], 9) for k in (0, 1))
+    assert at(m.reflect("x"), 3, 2) == (3, -2) and at(m.reflect("y"), 3, 2) == (-3, 2)
+    assert at(m.reflect(radians=0.7853981633974483), 3, 2) == (-2, -3) and at(m.scale(2, 3, (10, 20)), -10, -20) == (-10, -20) and at(m.rotate(1.5707963267948966, (1, 1)), 2, 1) == (1, 2)
+    for bad in ({}, {"axis": "z"}):
+        with pytest.raises(ValueError):
+            m.reflect(**bad)
+
+
 def test_histogram_counts_all(spark):
     r = expression.transform2([], postfix="x y 3 rgb", grid=blank(spark, 9, 4, images=2))
     assert {x[0] for x in aggregates.histogram(r).groupBy("image_id", "channel").agg(F.sum("n").alias("n")).select("n").collect()} == {36}
