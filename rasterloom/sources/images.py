@@ -50,13 +50,16 @@ def pixels(lines: DataFrame, image_id) -> DataFrame:
 
 
 def encoded(r: Raster, kind: str, **options) -> DataFrame:
-    """(image_id, content): each image of a stack as a file's bytes. Pixels are packed by line first; a group is an image."""
-    names, w, h, bits = r.names, r.width, r.height, r.bits
+    """(image_id, content): each image of a stack as a file's bytes. Pixels are packed by line first; a group is an image. A file
+    ends with the last row and column that its image has pixels in; places without one before that are 0."""
+    names, bits = r.names, r.bits
     lines = r.px.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", *names))).alias("line"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("y")
-        s = np.array([[[p[n] for n in names] for p in line] for line in group["line"]], np.int64).reshape(h, w, len(names))
+        places = [[p["x"] for p in line] for line in group["line"]]
+        s = np.zeros((int(group["y"].max()) + 1, max(map(max, places)) + 1, len(names)), np.int64)
+        for y, xs, line in zip(group["y"], places, group["line"], strict=True):
+            s[y, xs] = [[p[n] for n in names] for p in line]
         return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "content": [codecs.encode(codecs.Picture(s, bits), kind, **options)]})
 
     return lines.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
