@@ -120,7 +120,8 @@ DIFFUSION = {
 
 
 def error_diffusion(r: Raster, palette: list[Colour], kind: str | tuple[list[list[int]], int] = "floyd") -> Raster:
-    """A recurrence along an image's rows, left to right: each image is one group, bounded by its size."""
+    """A recurrence along an image's rows, left to right: each image is one group, bounded by its size. What falls on a place
+    without a pixel is lost, as outside."""
     weights, origin = DIFFUSION[kind] if isinstance(kind, str) else kind
     total = sum(map(sum, weights))
     if total == 0 or any(w < 0 for row in weights for w in row):
@@ -130,17 +131,16 @@ def error_diffusion(r: Raster, palette: list[Colour], kind: str | tuple[list[lis
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "x"], ignore_index=True)
-        image = group[names * 3 if len(names) == 1 else names].to_numpy(np.int64).reshape(h, w, 3)
-        debt, out = np.zeros_like(image), np.zeros((h, w), np.int32)
-        for y in range(h):
-            for x in range(w):
-                want = np.clip(image[y, x] + debt[y, x], 0, 255)
-                k = int(((pal - want) ** 2).sum(1).argmin())
-                out[y, x], error = k, want - pal[k]
-                for dy, dx, v in taps:
-                    if y + dy < h and 0 <= x + dx < w:
-                        debt[y + dy, x + dx] += np.trunc(error * v / total).astype(np.int64)
-        return pd.DataFrame({"image_id": group["image_id"], "y": group["y"], "x": group["x"], "c0": out.ravel()})
+        pixels = group[names * 3 if len(names) == 1 else names].to_numpy(np.int64)
+        debt, out = np.zeros((h, w, 3), np.int64), np.zeros(len(group), np.int32)
+        for i, (y, x) in enumerate(zip(group["y"].tolist(), group["x"].tolist(), strict=True)):
+            want = np.clip(pixels[i] + debt[y, x], 0, 255)
+            k = int(((pal - want) ** 2).sum(1).argmin())
+            out[i], error = k, want - pal[k]
+            for dy, dx, v in taps:
+                if y + dy < h and 0 <= x + dx < w:
+                    debt[y + dy, x + dx] += np.trunc(error * v / total).astype(np.int64)
+        return pd.DataFrame({"image_id": group["image_id"], "y": group["y"], "x": group["x"], "c0": out})
 
     px = r.px.select(*KEYS, *r.names).groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, c0 int")
     return Raster(px, w, h, 1, "8")
@@ -243,14 +243,13 @@ def diffused_alpha(r: Raster, kind: str = "floyd") -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "x"], ignore_index=True)
-        alpha, owed, gone = group[name].to_numpy().reshape(h, w).tolist(), np.zeros((h + 3, w + 6), np.int64).tolist(), []
-        for y in range(h):
-            for x in range(w):
-                value = min(255, max(0, alpha[y][x] - int(owed[y][x + 3] / total)))
-                gone.append(value < 128)
-                off = (0 if gone[-1] else 255) - value
-                for dy, dx, v in taps:
-                    owed[y + dy][x + 3 + dx] += off * v
+        owed, gone = np.zeros((h + 3, w + 6), np.int64).tolist(), []
+        for y, x, alpha in zip(group["y"].tolist(), group["x"].tolist(), group[name].tolist(), strict=True):
+            value = min(255, max(0, alpha - int(owed[y][x + 3] / total)))
+            gone.append(value < 128)
+            off = (0 if gone[-1] else 255) - value
+            for dy, dx, v in taps:
+                owed[y + dy][x + 3 + dx] += off * v
         return pd.DataFrame({"image_id": group["image_id"], "y": group["y"], "x": group["x"], "_t": gone})
 
     return r.px.select(*KEYS, name).groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, _t boolean")
