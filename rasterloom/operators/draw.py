@@ -39,9 +39,9 @@ def box_filled(r: Raster, x1: int, y1: int, x2: int, y2: int, colour: tuple[int,
 
 
 def box_fill(r: Raster, x1: int, y1: int, x2: int, y2: int, painted: Raster, mode: str = "none") -> Raster:
-    """A box filled with what another stack (of the same size, say a fill) has there."""
+    """A box filled with what another stack (of the same size, say a fill) has there. The result has the places that both have."""
     x1, y1, x2, y2 = max(0, x1), max(0, y1), min(r.width - 1, x2), min(r.height - 1, y2)
-    return compose(r, painted, x1, y1, mode, src_box=(x1, y1, x2 + 1, y2 + 1))
+    return compose(r, painted, x1, y1, mode, src_box=(x1, y1, x2 + 1, y2 + 1), common=True)
 
 
 def _axes(x1: int, y1: int, x2: int, y2: int) -> tuple[bool, int, int, int, int, int]:
