@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each a call of one operator.
 
 toxicity drops the documents that the classifier rejects; near_duplicates keeps one row of each group that links
-join (a link: sets of five-word shingles with a Jaccard similarity of 0.8 or more); decontamination drops the documents that
+join (a link: SimHash fingerprints of operator 5 at 3 or fewer differing bits, or sets of five-word shingles with a Jaccard
+similarity of 0.8 or more); decontamination drops the documents that
 hold a benchmark item; secrets masks secrets in the texts; tokens encodes what is left and checks the way back.
 Copies are told by row: of a group the row of the least doc_id stays, one without a doc_id only where no row of it has one.
 """
@@ -11,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from rasterloom.llm import bpe, decontaminate, jaccard, secrets, simhash, toxicity
 from rasterloom.llm.common import cut
+from rasterloom.llm.components import components
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -32,15 +34,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (operator 5 for texts: five words, similarity 0.8): that of the least doc_id,
+    """One row of each group of near-duplicates: rows that the SimHash fingerprints of operator 5 link (three words, 3 bits), and
+    those with similar sets of five-word shingles (0.8), most of which are too far apart for it. That of the least doc_id stays,
     one without an id only where all are; of equal ids the first in the written table. Null, empty and wordless texts are one
     group; very long texts count whole; repeated rows are copies; an empty table stays empty; other columns, whatever their
     names, are kept. Each row learns its group's first from a table of groups of two or more, joined by group, whose rows
     hold two numbers each, so that Spark can split a large group."""
     row = fresh(docs, "_row")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = jaccard.near_duplicates(rows.select(F.col(row).alias("key"), "text"), words=5)
-    found = cut(found.join(rows.select(F.col(row).alias("key"), F.col("doc_id").alias("id")), "key"), "found")
+    by_print = simhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("v"), F.col("component_id").alias("u"))
+    by_set = jaccard.near_duplicates(rows.select(F.col(row).alias("key"), "text"), words=5).select(F.col("key").alias("v"), F.col("component").alias("u"))
+    linked = components(by_print.unionByName(by_set))
+    ids = rows.select(F.col(row).alias("key"), F.col("doc_id").alias("id"))
+    found = cut(ids.join(linked, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("component", "key").alias("component")), "found")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = cut(found.join(first, "component").where("key <> first").select(F.col("key").alias(row)), "copies")
     return rows.join(copies, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

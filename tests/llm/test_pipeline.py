@@ -84,3 +84,16 @@ def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_copies_by_fingerprint_and_by_set(spark, tmp_path):
+    """Rows of a fingerprint within 3 bits are copies even where few of their different shingles are shared; so are similar sets
+    whose fingerprints lie further apart, and rows that both kinds of links join."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rnd = random.Random(3)
+    say = lambda n: ["".join(rnd.choices("abcdefghilmnorstu", k=6)) for _ in range(n)]
+    chorus, verse = say(3) * 600, say(120)
+    edited = [*verse[:60], "edited", *verse[61:]]
+    rows = [(1, chorus + say(12)), (2, chorus + say(12)), (3, say(100)), (4, verse), (5, edited), (6, say(100))]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.drop_copies(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 6]
