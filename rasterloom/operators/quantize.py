@@ -291,10 +291,11 @@ def first_means(colours: DataFrame, places: int, seed: int = 0) -> DataFrame:
     return taken.select("image_id", "place", *(value(k, n) for k, n in enumerate("rgb")))
 
 
-def means_round(colours: DataFrame, state: DataFrame, round_: int = 0, seed: int = 0) -> DataFrame:
+def means_round(colours: DataFrame, state: DataFrame, round_: int = 0, seed: int = 0, whole: bool = False) -> DataFrame:
     """One round over a palette held as (image_id, entries), entries being structs (i, r, g, b, fixed, used): each colour
     goes to its nearest entry, the first on ties, among its box's candidates; an entry becomes the cut mean of its pixels, one
-    without pixels a colour that is drawn. Fixed entries stay."""
+    without pixels a colour that is drawn. Fixed entries stay. whole says that there is one palette: 512 boxes at most, so that no
+    colours need to move to theirs."""
     low = [F.expr(f"{t} * {BOX}") for t in ("box div 64", "box div 8 % 8", "box % 8")]
     gap = lambda e, n, k: F.greatest(F.lit(0), low[k] - e[n], e[n] - low[k] - (BOX - 1))
     reach = lambda e, n, k: F.greatest(F.abs(e[n] - low[k]), F.abs(e[n] - low[k] - (BOX - 1)))
@@ -303,7 +304,11 @@ def means_round(colours: DataFrame, state: DataFrame, round_: int = 0, seed: int
     # the limit is a variable of the outer function, so that it is found once a box and not once an entry
     limit = F.array(F.array_min(F.transform("entries", lambda e: square(reach, e))))
     boxes = boxes.select("image_id", "box", F.get(F.transform(limit, lambda most: F.filter("entries", lambda e: square(gap, e) <= most)), F.lit(0)).alias("_near"))
-    taken = colours.join(boxes, ["image_id", "box"]).withColumn("i", _nearest([F.col(f"c{k}") for k in range(3)], F.col("_near")))
+    # distance and number in one long, so that no entry needs a row of its own
+    ranked = F.array_min(F.transform("_near", lambda e: sum(((F.col(f"c{k}") - e[n]) * (F.col(f"c{k}") - e[n]) for k, n in enumerate("rgb")), F.lit(0)).cast("long") * 256 + e["i"]))
+    # never null, or else the join below would find it twice to tell
+    ranked = F.coalesce(ranked, F.lit(-1).cast("long"))
+    taken = colours.join(F.broadcast(boxes) if whole else boxes, ["image_id", "box"]).withColumn("i", (ranked % 256).cast("int"))
     sums = taken.groupBy("image_id", "i").agg(*(F.expr(f"cast(sum(c{k} * n) div sum(n) as int)").alias(f"m{k}") for k in range(3)))
     old = state.select("image_id", F.explode("entries").alias("e")).withColumn("i", F.col("e.i"))
     drawn = lambda k: F.expr(_seeded(seed, round_, "i", k, below=256))
@@ -321,7 +326,9 @@ def local_means(r: Raster, size: int, fixed: list[Colour] | None = None, each: b
         raise ValueError("a palette has 1 to 256 colours, no fewer than its fixed ones")
     if start is not None and len(start) != size - len(fixed):
         raise ValueError("start has a colour for each place that isn't fixed")
-    colours = stored(_coloured(r, each), "colours")
+    # counted colours are small, but each meets many entries: they are spread over all cores whatever their size
+    parts = max(2 * r.px.sparkSession.sparkContext.defaultParallelism, int(r.px.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    colours = stored(_coloured(r, each).repartition(parts), "colours")
     flags = lambda held: [F.lit(held).alias("fixed"), F.lit(held).alias("used")]
     given = [(k, *c, True) for k, c in enumerate(fixed)] + [(len(fixed) + k, *c, False) for k, c in enumerate(start or [])]
     entries = colours.select("image_id").distinct().select("image_id", F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("i", "r", "g", "b", "fixed"), g, strict=True)), F.lit(g[4]).alias("used")) for g in given)))) if given else None
@@ -330,6 +337,6 @@ def local_means(r: Raster, size: int, fixed: list[Colour] | None = None, each: b
         entries = begun if entries is None else entries.unionByName(begun)
     state = stored(entries.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b", "fixed", "used"))).alias("entries")), "means")
     for k in range(rounds):
-        state = stored(means_round(colours, state, k, seed), "means")
+        state = stored(means_round(colours, state, k, seed, whole=not each), "means")
     kept = F.filter("entries", lambda e: e["fixed"] | e["used"])
     return state.select("image_id", F.posexplode(kept).alias("idx", "e")).select(*(["image_id"] if each else []), "idx", *(F.col(f"e.{n}").alias(f"c{k}") for k, n in enumerate("rgb")))
