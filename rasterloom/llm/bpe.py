@@ -15,11 +15,13 @@ text; a null doc_id and repeated rows are kept; other columns are ignored; an em
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ WIDTH = 256
 #: Pre-tokens that a generation of the cache holds, and the length from which they aren't kept.
 CACHED = 400_000
 CACHED_LENGTH = 64
+#: Texts encoded at once: so many bytes (or one longer text); their ids and tokens are Python objects for a while.
+ENCODED_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,9 +102,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Pre-token -> packed ids; looks up, and encodes what is missing."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int | None = None):
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks, self.old, self.most = ranks, {}, cached or CACHED
         self.split = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -110,10 +114,11 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.old.get(piece)
         if packed is None:
-            packed = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
+            packed = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.old = dict(self)
+            if len(self) >= self.most:
+                self.old.clear()  # before the copy, so that no third generation is held
+                self.old.update(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -125,8 +130,8 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    return kept(f"bpe {pattern}", shared, lambda ranks: Encoder(ranks, pattern))
+def _encoder(shared, pattern: str, cached: int | None = None) -> Encoder:
+    return kept(f"bpe {cached} {pattern}", shared, lambda ranks: Encoder(ranks, pattern, cached))
 
 
 def _ids(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,27 +146,28 @@ def _bytes(encoder: Encoder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(encoder.decode(ids))])
 
 
-def _run(docs: DataFrame, path: str, pattern: str, decoded: bool, keep_text: bool = False) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, decoded: bool = False, intact: bool = False, cached: int | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
-        for batch in slices(batches, most=4 << 20):
+        encoder = _encoder(shared, pattern, cached)
+        for batch in slices(batches, most=ENCODED_BYTES):
             ids, ends = _ids(encoder, batch.column(1))
             columns = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+            back = _bytes(encoder, ids, ends) if decoded or intact else None
             if decoded:
-                columns["decoded"] = _bytes(encoder, ids, ends)
-            if keep_text:
-                columns["text"] = batch.column(1)
+                columns["decoded"] = back
+            if intact:
+                columns["intact"] = pc.equal(back, batch.column(1).cast(pa.binary()))
             yield pa.RecordBatch.from_pydict(columns)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded + ", text string" * keep_text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded + ", intact boolean" * intact)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, ids)."""
-    return _run(docs, path, pattern, False)
+    return _run(docs, path, pattern)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -177,9 +183,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids, decoded[, text]): encoded, and decoded again from the ids, in one pass."""
-    return _run(docs, path, pattern, True, keep_text)
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids, decoded): encoded, and decoded again from the ids, in one pass."""
+    return _run(docs, path, pattern, decoded=True)
+
+
+def intact(docs: DataFrame, path: str, pattern: str, cached: int | None = None) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids, intact): whether the ids decode to the text. Told where they are decoded, so that
+    neither the text nor the decoded bytes go back to the JVM. cached: pre-tokens that a generation of the cache holds."""
+    return _run(docs, path, pattern, intact=True, cached=cached)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

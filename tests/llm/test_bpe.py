@@ -48,3 +48,23 @@ def test_cache_generations(monkeypatch):
 
 def test_empty(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_intact(spark):
+    """The way back is told by rows of doc_id, ids and a boolean: neither texts nor decoded bytes are returned."""
+    rows = [(i if i else None, t) for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frame = bpe.intact(docs, PATH, public_tokenizers.PATTERN, 5)
+    assert frame.columns == ["doc_id", "ids", "intact"]
+    got = {r.doc_id: r for r in frame.collect()}
+    assert len(got) == len(rows) and all(r.intact for r in got.values())
+    assert all(got[i].ids == REF.encode_ordinary(t or "") for i, t in rows)
+
+
+def test_cache_generations_are_bounded():
+    """At most two generations are held at any time, also while one takes the place of the other."""
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, 50)
+    old = encoder.old
+    words = [f"zq{i}x" for i in range(200)]
+    assert [encoder.encode(w).tolist() for w in words] == [REF.encode_ordinary(w) for w in words]
+    assert encoder.old is old and len(encoder) <= 50 and len(old) == 50
